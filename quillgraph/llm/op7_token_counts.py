@@ -2,8 +2,8 @@
 
 Which vocabulary strings encode alone as one token is proven once per worker
 with the library itself; pre-tokens among them count 1 without any merging,
-and only the rest are given to the merge rules, each distinct one once while
-it is remembered.
+and only the rest are given to the merge rules.  Counts of pieces of text are
+remembered, so each distinct piece is looked at once while it is remembered.
 
 Nulls and empty texts count 0 tokens.  Rows are independent: repeated rows
 give repeated results, an empty table gives an empty result, and columns other
@@ -39,11 +39,10 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = _piece_counter(sent.value) if piece_model else encoder(sent.value.decode("utf-8")).counts
         for batch in batches:
-            column = batch.column(1).fill_null("")
-            _, offs = text_buffers(column)
-            n = np.zeros(len(column), dtype=np.int64)
+            raw, offs = text_buffers(batch.column(1))
+            n = np.zeros(batch.num_rows, dtype=np.int64)
             for a, b in groups(offs):
-                n[a:b] = count(column.slice(a, b - a).to_pylist())
+                n[a:b] = count(raw[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offs)), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, SCHEMA)
@@ -53,7 +52,13 @@ def _piece_counter(model: bytes):
     import sentencepiece
 
     processor = sentencepiece.SentencePieceProcessor(model_proto=model)
-    return lambda texts: [len(ids) for ids in processor.encode(texts, num_threads=1)]
+
+    def count(buf: np.ndarray, offs: np.ndarray) -> list[int]:
+        raw = buf.tobytes()
+        texts = [raw[a:b].decode("utf-8") for a, b in zip(offs[:-1], offs[1:], strict=True)]
+        return [len(ids) for ids in processor.encode(texts, num_threads=1)]
+
+    return count
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

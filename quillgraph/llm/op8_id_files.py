@@ -42,7 +42,7 @@ from .textkit import groups, text_buffers
 from .tokens import encoder
 
 MAGIC = b"QGB1"
-#: A block is closed once it holds so many ids.
+#: A block is closed once it holds so many ids; only whole documents are added.
 BLOCK_IDS = 1 << 20
 BLOCKS = "part int, seq int, before long, n_docs long, n_ids long, payload binary"
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -56,11 +56,15 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     Ranks go by falling count, ties by the id.
     """
-    values, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.lexsort((values, -counts))
-    rank = np.empty(len(values), dtype=np.uint32)
-    rank[order] = np.arange(len(values), dtype=np.uint32)
-    ranks = rank[inverse] if len(ids) else np.zeros(0, dtype=np.uint32)
+    if len(ids) and ids.max() >= 1 << 22:
+        values, ids, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    else:
+        counts = np.bincount(ids)
+        values = np.arange(len(counts))
+    order = np.lexsort((values, -counts))[: np.count_nonzero(counts)]
+    rank = np.zeros(len(values), dtype=np.uint32)
+    rank[order] = np.arange(len(order), dtype=np.uint32)
+    ranks = rank[ids]
     codes = (ranks > 0xFF).astype(np.uint8)
     codes += ranks > 0xFFFF
     codes += ranks > 0xFFFFFF
@@ -86,20 +90,28 @@ def unpack(table: np.ndarray, control: np.ndarray, data: np.ndarray, n: int) ->
     return table[ranks]
 
 
-def write_block(doc_ids: list[int | None], parts: list[bytes]) -> tuple[int, bytes]:
-    """(ids, payload) of documents given as little-endian 32-bit ids."""
-    ids = np.frombuffer(b"".join(parts), dtype="<u4")
+def write_block(doc_ids: list[int | None], sizes: np.ndarray, ids: np.ndarray) -> bytes:
+    """The payload of documents with ``sizes`` ids each."""
     table, control, data = pack(ids)
     head = MAGIC + np.array([len(doc_ids)], "<u4").tobytes() + np.array([len(ids)], "<u8").tobytes() + np.array([len(table)], "<u4").tobytes()
     body = [
         np.array([d or 0 for d in doc_ids], "<i8").tobytes(),
         np.array([d is None for d in doc_ids], np.uint8).tobytes(),
-        np.array([len(p) // 4 for p in parts], "<u8").tobytes(),
+        sizes.astype("<u8").tobytes(),
         table.tobytes(),
         control.tobytes(),
         data.tobytes(),
     ]
-    return len(ids), b"".join([head, *body])
+    return b"".join([head, *body])
+
+
+def with_end(ids: np.ndarray, sizes: np.ndarray, end_id: int) -> np.ndarray:
+    """``ids`` with ``end_id`` after each document's."""
+    out = np.full(len(ids) + len(sizes), end_id, np.uint32)
+    own = np.ones(len(out), dtype=bool)
+    own[np.cumsum(sizes + 1) - 1] = False
+    out[own] = ids
+    return out
 
 
 def read_block(payload: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
@@ -127,35 +139,33 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0,
     """Encode every text, append ``end_id``, and write blocks in ascending order of doc_id to ``path``."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(Path(tokenizer_path).read_bytes())
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, before = TaskContext.get().partitionId(), 0, 0
         encode = encoder(sent.value.decode("utf-8")).ids
-        held: list[bytes] = []
         numbers: list[int | None] = []
-        size = 0
+        held: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
 
         def close() -> pa.RecordBatch:
-            nonlocal seq, before, size
-            n, payload = write_block(numbers, held)
-            row = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before]), pa.array([len(numbers)]), pa.array([n]), pa.array([payload], pa.binary())], ["part", "seq", "before", "n_docs", "n_ids", "payload"])
-            seq, before, size = seq + 1, before + n, 0
-            held.clear()
-            numbers.clear()
+            nonlocal seq, before
+            ids = np.concatenate(held)
+            payload = write_block(numbers, np.concatenate(counts), ids)
+            row = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before]), pa.array([len(numbers)]), pa.array([len(ids)]), pa.array([payload], pa.binary())], ["part", "seq", "before", "n_docs", "n_ids", "payload"])
+            seq, before = seq + 1, before + len(ids)
+            for x in (numbers, held, counts):
+                x.clear()
             return row
 
         for batch in batches:
-            column = batch.column(1).fill_null("")
-            _, offs = text_buffers(column)
+            raw, offs = text_buffers(batch.column(1))
             for a, b in groups(offs):
-                own = batch.column(0).slice(a, b - a).to_pylist()
-                for d, ids in zip(own, encode(column.slice(a, b - a).to_pylist()), strict=True):
-                    held.append(ids + end)
-                    numbers.append(d)
-                    size += len(ids) // 4 + 1
-                    if size >= block_ids:
-                        yield close()
+                ids, n = encode(raw[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
+                held.append(with_end(ids, n, end_id))
+                counts.append(n + 1)
+                numbers.extend(batch.column(0).slice(a, b - a).to_pylist())
+                if sum(map(len, held)) >= block_ids:
+                    yield close()
         if numbers:
             yield close()
 

@@ -1,8 +1,9 @@
 """Byte-level BPE through the tokenizers library, with remembered pieces.
 
-A text is cut at spaces where the cut cannot change the result; equal pieces
-are encoded once per worker.  A tokenizer whose rules do not allow the cut is
-given whole texts.
+A text is cut at spaces where the cut cannot change the result.  Pieces are
+looked up by a 64-bit hash in a numpy table; only pieces new to the worker are
+turned into strings and given to the library, in batches.  A tokenizer whose
+rules do not allow the cut is given whole texts.
 """
 
 from __future__ import annotations
@@ -14,13 +15,18 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 
-#: Pieces remembered in each of two generations; bounds a worker's memory.
-REMEMBERED = 300_000
+from .textkit import hash_words
 
-# A space is a safe place to cut unless white space stands on both its sides:
-# a run of white space is then never divided.
-_UNSAFE = re.compile(r"\s \s")
-_SAFE = re.compile(r"(?<!\s) | (?!\s)")
+#: Pieces remembered by a worker; beyond that it starts afresh.  About 40 bytes each.
+REMEMBERED = 2_000_000
+
+# A space is a safe place to cut unless white space stands on both its sides: a
+# run of white space is then never divided.  Bytes that may end, or begin, a
+# white space character are taken as white space: cutting less is always safe.
+_ENDS_SPACE = np.zeros(256, dtype=bool)
+_ENDS_SPACE[[*range(0x09, 0x0E), *range(0x1C, 0x21), *range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]] = True
+_BEGINS_SPACE = np.zeros(256, dtype=bool)
+_BEGINS_SPACE[[*range(0x09, 0x0E), *range(0x1C, 0x21), 0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
 def cuts_at_spaces(spec: dict) -> bool:
@@ -40,35 +46,114 @@ def cuts_at_spaces(spec: dict) -> bool:
     )
 
 
-def pieces(text: str) -> list[str]:
-    """The text cut at safe spaces; each piece but the first lost one leading space."""
-    return _SAFE.split(text) if _UNSAFE.search(text) else text.split(" ")
+def piece_starts(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Where pieces begin: at each row's first byte and at each safe space."""
+    start = buf == 0x20
+    if len(buf) > 2:
+        start[1:-1] &= ~(_ENDS_SPACE[buf[:-2]] & _BEGINS_SPACE[buf[2:]])
+    start[offs[:-1][offs[:-1] < offs[1:]]] = True
+    return np.flatnonzero(start)
 
 
 class Remembered:
-    """Values of pieces, computed in batches, kept in two bounded generations."""
-
-    def __init__(self, compute: Callable[[list[str]], list], limit: int = REMEMBERED):
-        self._compute, self._limit = compute, limit
-        self._new: dict[str, object] = {}
-        self._old: dict[str, object] = {}
-
-    def table(self, keys: set[str]) -> dict[str, object]:
-        """A mapping that holds all of ``keys``."""
-        if len(self._new) >= self._limit:
-            self._old, self._new = self._new, {}
-        new, old = self._new, self._old
-        missing = [k for k in keys if k not in new]
-        ask = []
-        for k in missing:
-            v = old.get(k)
-            if v is None:
-                ask.append(k)
-            else:
-                new[k] = v
-        if ask:
-            new.update(zip(ask, self._compute(ask), strict=True))
-        return new
+    """Hash -> entry number, with linear probing over numpy arrays."""
+
+    def __init__(self, limit: int = REMEMBERED):
+        self.limit = limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.count = 0
+        self._size(1 << 16)
+
+    def _size(self, slots: int) -> None:
+        self._mask = np.uint64(slots - 1)
+        self._keys = np.zeros(slots, np.uint64)
+        self._entry = np.full(slots, -1, np.int32)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The entry of each hash, -1 where there is none."""
+        slot = hashes & self._mask
+        entry = self._entry[slot]
+        open_ = np.flatnonzero((entry >= 0) & (self._keys[slot] != hashes))
+        while len(open_):
+            slot[open_] = (slot[open_] + np.uint64(1)) & self._mask
+            entry[open_] = self._entry[slot[open_]]
+            open_ = open_[(entry[open_] >= 0) & (self._keys[slot[open_]] != hashes[open_])]
+        return entry
+
+    def add(self, hashes: np.ndarray) -> None:
+        """Number distinct new hashes on from ``count``."""
+        slots = len(self._keys)
+        while 2 * (self.count + len(hashes)) > slots:
+            slots *= 2
+        if slots > len(self._keys):
+            used = self._entry >= 0
+            keys, entry = self._keys[used], self._entry[used]
+            self._size(slots)
+            self._place(keys, entry)
+        self._place(hashes, np.arange(self.count, self.count + len(hashes), dtype=np.int32))
+        self.count += len(hashes)
+
+    def _place(self, hashes: np.ndarray, entry: np.ndarray) -> None:
+        slot = hashes & self._mask
+        while len(hashes):
+            free = np.flatnonzero(self._entry[slot] < 0)
+            own, first = np.unique(slot[free], return_index=True)
+            won = free[first]
+            self._keys[own], self._entry[own] = hashes[won], entry[won]
+            lost = np.ones(len(hashes), dtype=bool)
+            lost[won] = False
+            hashes, entry, slot = hashes[lost], entry[lost], (slot[lost] + np.uint64(1)) & self._mask
+
+
+class PieceValues:
+    """Arrays of numbers remembered for pieces."""
+
+    def __init__(self, compute: Callable[[list[str]], list[list[int]]], limit: int = REMEMBERED):
+        self._compute = compute
+        self._known = Remembered(limit)
+        self._reset()
+
+    def _reset(self) -> None:
+        self._known.clear()
+        self._at = np.zeros(1, np.int64)
+        self._values = np.zeros(0, np.uint32)
+        self._n = 0
+
+    def _append(self, lists: list[list[int]]) -> None:
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        flat = np.array([x for v in lists for x in v], np.uint32)
+        if self._n + len(flat) > len(self._values):
+            self._values = np.concatenate([self._values[: self._n], np.zeros(max(len(flat), self._n), np.uint32)])
+        self._values[self._n : self._n + len(flat)] = flat
+        known = self._known.count
+        if known + len(lists) + 1 > len(self._at):
+            self._at = np.concatenate([self._at[: known + 1], np.zeros(max(len(lists), known), np.int64)])
+        self._at[known + 1 : known + 1 + len(lists)] = self._n + np.cumsum(sizes)
+        self._n += len(flat)
+
+    def look_up(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(values of all pieces in order, number of values of each row)."""
+        if self._known.count > self._known.limit:
+            self._reset()
+        starts = piece_starts(buf, offs)
+        ends = np.append(starts[1:], len(buf))
+        hashes = hash_words(buf, starts, ends, fold=False)
+        entry = self._known.find(hashes)
+        new = np.flatnonzero(entry < 0)
+        if len(new):
+            keys, first = np.unique(hashes[new], return_index=True)
+            raw, at = buf.tobytes(), new[first]
+            self._append(self._compute([raw[a:b].decode("utf-8") for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]))
+            self._known.add(keys)
+            entry[new] = self._known.find(hashes[new])
+        begin = self._at[entry]
+        sizes = self._at[entry + 1] - begin
+        done = np.zeros(len(sizes) + 1, np.int64)
+        np.cumsum(sizes, out=done[1:])
+        values = self._values[np.repeat(begin - done[:-1], sizes) + np.arange(done[-1])]
+        return values, np.diff(done[np.searchsorted(starts, offs)])
 
 
 class Encoder:
@@ -84,29 +169,28 @@ class Encoder:
         self.cut = cuts_at_spaces(spec)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self._whole: frozenset[str] | None = None
-        self._ids = Remembered(self._encode)
-        self._first_counts = Remembered(self.count_pieces)
-        self._counts = Remembered(lambda keys: self.count_pieces([" " + k for k in keys]))
-        self._rest = Remembered(lambda keys: [len(e.ids) for e in self._batch(keys)])
+        self._ids = PieceValues(self._encode)
+        self._counts = PieceValues(lambda pieces: [[n] for n in self.count_pieces(pieces)])
 
-    def _batch(self, texts: Sequence[str]):
-        return self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)
+    def _encode(self, texts: Sequence[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
 
-    def _encode(self, keys: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self._batch(keys)]
+    def ids(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids in order, number of ids of each row)."""
+        if self.cut:
+            return self._ids.look_up(buf, offs)
+        found = self._encode(_texts(buf, offs))
+        return np.array([x for ids in found for x in ids], np.uint32), np.array([len(ids) for ids in found], np.int64)
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
+    def counts(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """Number of ids of each row."""
         if not self.cut:
-            return self._encode(texts)
-        cut = []
-        for t in texts:
-            p = pieces(t)
-            # The leading space is part of what is encoded, so it is part of the key.
-            cut.append([p[0], *[" " + x for x in p[1:]]])
-        table = self._ids.table({x for p in cut for x in p})
-        get = table.__getitem__
-        return [b"".join(map(get, p)) for p in cut]
+            return np.array([len(ids) for ids in self._encode(_texts(buf, offs))], np.int64)
+        values, sizes = self._counts.look_up(buf, offs)
+        done = np.zeros(len(values) + 1, np.int64)
+        np.cumsum(values, out=done[1:])
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        return np.diff(done[at])
 
     @property
     def whole(self) -> frozenset[str]:
@@ -125,17 +209,15 @@ class Encoder:
                     continue
             pre = self.tokenizer.pre_tokenizer
             self._whole = frozenset(
-                s
-                for (s, number), e in zip(found, self._batch([s for s, _ in found]), strict=True)
-                if e.ids == [number] and len(pre.pre_tokenize_str(s)) == 1
+                s for (s, number), ids in zip(found, self._encode([s for s, _ in found]), strict=True) if ids == [number] and len(pre.pre_tokenize_str(s)) == 1
             )
         return self._whole
 
-    def count_pieces(self, keys: list[str]) -> list[int]:
+    def count_pieces(self, pieces: list[str]) -> list[int]:
         """Tokens of each piece: 1 per proven pre-token, merges only for the rest."""
         whole, pre = self.whole, self.tokenizer.pre_tokenizer
         out, rest, wanted = [], [], set()
-        for k in keys:
+        for k in pieces:
             if k in whole:
                 out.append(1)
                 rest.append(None)
@@ -149,18 +231,14 @@ class Encoder:
                 out.append(len(spans) - len(left))
                 rest.append(left)
                 wanted.update(left)
-        table = self._rest.table(wanted)
-        return [n + sum(map(table.__getitem__, r)) if r else n for n, r in zip(out, rest, strict=True)]
+        asked = list(wanted)
+        merged = dict(zip(asked, map(len, self._encode(asked)), strict=True))
+        return [n + sum(map(merged.__getitem__, r)) if r else n for n, r in zip(out, rest, strict=True)]
 
-    def counts(self, texts: list[str]) -> list[int]:
-        """Number of ids of each text."""
-        if not self.cut:
-            return [len(e.ids) for e in self._batch(texts)]
-        cut = [pieces(t) for t in texts]
-        firsts = self._first_counts.table({p[0] for p in cut})
-        table = self._counts.table({x for p in cut for x in p[1:]})
-        get = table.__getitem__
-        return [firsts[p[0]] + sum(map(get, p[1:])) for p in cut]
+
+def _texts(buf: np.ndarray, offs: np.ndarray) -> list[str]:
+    raw = buf.tobytes()
+    return [raw[a:b].decode("utf-8") for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
 
 
 def _byte_chars() -> dict[str, int]:
