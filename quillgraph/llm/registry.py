@@ -6,19 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_compression_bands, op2_decontaminate, op6_language_ppm, op7_token_counts, op8_id_files, op10_text_density
+from . import op1_compression_bands, op2_decontaminate, op3_preferences, op4_mixing, op6_language_ppm, op7_token_counts, op8_id_files, op9_secrets, op10_text_density
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_compression_bands": op1_compression_bands.query,
         "op2_decontaminate": op2_decontaminate.query,
+        "op3_preferences": op3_preferences.query,
+        "op4_mixing": op4_mixing.query,
         "op6_language_ppm": op6_language_ppm.query,
         "op7_token_counts": op7_token_counts.query,
         "op8_id_files": op8_id_files.query,
+        "op9_secrets": op9_secrets.query,
         "op10_text_density": op10_text_density.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": op2_decontaminate.SQL}
+    return {
+        "op2_decontaminate": op2_decontaminate.SQL,
+        "op3_preferences": op3_preferences.SQL,
+        "op4_mixing": op4_mixing.SQL,
+    }
