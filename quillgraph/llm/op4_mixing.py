@@ -46,9 +46,9 @@ SMALL = 8
 _WORD = "[^\\x20\\x09-\\x0D]+"
 
 
-def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size."""
-    return docs.select(docs[id_col].alias("doc_id"), docs[source_col].cast("string").alias("source"), F.regexp_count(F.coalesce(docs[text_col].cast("string"), F.lit("")), F.lit(_WORD)).cast("long").alias("size"))
+def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *more: Column) -> DataFrame:
+    """doc_id, source, size and ``more``."""
+    return docs.select(docs[id_col].alias("doc_id"), docs[source_col].cast("string").alias("source"), F.regexp_count(F.coalesce(docs[text_col].cast("string"), F.lit("")), F.lit(_WORD)).cast("long").alias("size"), *more)
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -163,11 +163,10 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     Documents of equal id, source and text share what they take evenly.
     """
     keyed = docs.withColumn("__key", F.xxhash64("text"))
-    sizes = written(sized(docs).withColumn("key", F.xxhash64(docs["text"])), "sizes")
     # Equal rows count as one document of their joint size while words are dealt.
-    merged = sizes.groupBy("doc_id", "source", "key").agg(F.sum("size").alias("size"), F.count("*").alias("copies"))
-    unit = written(merged.select(F.struct("doc_id", "key", "copies").alias("doc_id"), "source", "size"), "units")
-    dealt = mix_sizes(unit.withColumn("doc_id", F.to_json("doc_id", {"ignoreNullFields": "false"})))
+    merged = sized(docs, "doc_id", "text", "source", F.xxhash64(docs["text"]).alias("key")).groupBy("doc_id", "source", "key").agg(F.sum("size").alias("size"), F.count("*").alias("copies"))
+    unit = written(merged.select(F.to_json(F.struct("doc_id", "key", "copies"), {"ignoreNullFields": "false"}).alias("doc_id"), "source", "size"), "units")
+    dealt = mix_sizes(unit)
     dealt = dealt.withColumn("d", F.from_json("doc_id", "doc_id long, key long, copies long"))
     dealt = dealt.where("taken > 0").select(F.col("d.doc_id").alias("__id"), F.col("source").alias("__source"), F.col("d.key").alias("__k"), F.floor(F.col("taken") / F.col("d.copies")).alias("__taken"), F.floor(F.col("size") / F.col("d.copies")).alias("__size"))
     joined = keyed.join(dealt, keyed["doc_id"].eqNullSafe(dealt["__id"]) & keyed["source"].eqNullSafe(dealt["__source"]) & (keyed["__key"] == dealt["__k"]))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_compression_bands, op2_decontaminate, op3_preferences, op4_mixing, op6_language_ppm, op7_token_counts, op8_id_files, op9_secrets, op10_text_density
+from . import op1_compression_bands, op2_decontaminate, op3_preferences, op4_mixing, op5_jaccard_join, op6_language_ppm, op7_token_counts, op8_id_files, op9_secrets, op10_text_density
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_decontaminate": op2_decontaminate.query,
         "op3_preferences": op3_preferences.query,
         "op4_mixing": op4_mixing.query,
+        "op5_jaccard_join": op5_jaccard_join.query,
         "op6_language_ppm": op6_language_ppm.query,
         "op7_token_counts": op7_token_counts.query,
         "op8_id_files": op8_id_files.query,
@@ -28,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_decontaminate": op2_decontaminate.SQL,
         "op3_preferences": op3_preferences.SQL,
         "op4_mixing": op4_mixing.SQL,
+        "op5_jaccard_join": op5_jaccard_join.SQL,
     }
