@@ -73,7 +73,8 @@ def _blocks(names: DataFrame) -> list[list[str]]:
     if n <= 1:
         return [[r.page_id for r in names.where("page_id <> ''").collect()]] if total else []
     dealt = names.where("page_id <> ''").withColumn("block", F.pmod(F.xxhash64("page_id"), F.lit(n)))
-    return [[r.page_id for r in dealt.where(F.col("block") == k).collect()] for k in range(n)]
+    blocks = ([r.page_id for r in dealt.where(F.col("block") == k).collect()] for k in range(n))
+    return [b for b in blocks if b]
 
 
 def mentions(pages: DataFrame, names: DataFrame) -> DataFrame:
