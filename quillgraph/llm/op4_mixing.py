@@ -85,7 +85,7 @@ def apportion(items: DataFrame, group: list[str], name: str) -> DataFrame:
     whose ``name`` comes first.
     """
     w = Window.partitionBy(*group)
-    share = F.col("votes") / F.sum("votes").over(w)
+    share = F.try_divide("votes", F.sum("votes").over(w))
     base = F.coalesce(F.floor(share * F.col("seats") + 0.5), F.lit(0)).cast("long")
     x = items.withColumn("base", base)
     x = x.withColumn("more", (F.col("seats") - F.sum("base").over(w)).cast("long"))
