@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .textkit import PLAIN, find_words, groups, hash_words, text_buffers, window_hashes
+from .textkit import PLAIN, find_words, groups, hash_words, text_buffers, trimmed, window_hashes
 
 #: (bytes from, lowest ratio, highest ratio), by ascending length.
 BANDS = ((0, 0.0, 3.0), (128, 1.0, 3.5), (256, 1.1, 4.0), (1024, 1.25, 4.5), (4096, 1.35, 6.0), (65536, 1.4, 8.0))
@@ -106,7 +106,7 @@ def compression_bands(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] + [pa.int64()] * 2
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]], NAMES)
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(trimmed(run), SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

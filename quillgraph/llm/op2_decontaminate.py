@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import written
-from .textkit import ALNUM, text_buffers, window_hashes, word_groups
+from .textkit import ALNUM, text_buffers, trimmed, window_hashes, word_groups
 
 WINDOW = 13
 SHINGLE = 5
@@ -177,7 +177,7 @@ def _count(texts: DataFrame, windows: Windows) -> dict[tuple[int, int], int]:
 
     if not sent.value:
         return {}
-    found = texts.select("text").mapInArrow(run, "size int, at long, n long").groupBy("size", "at").agg(F.sum("n").alias("n")).collect()
+    found = texts.select("text").mapInArrow(trimmed(run), "size int, at long, n long").groupBy("size", "at").agg(F.sum("n").alias("n")).collect()
     return {(r.size, int(sent.value[r.size][0][r.at])): r.n for r in found}
 
 
@@ -230,7 +230,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, columns: list[str], id
                 found = [{"n_words": n, "hits": hit.tolist(), "items": named} for n, hit, named in _scan(batch.column(last - 1), sent.value, before)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(found, _FOUND)], batch.schema.names)
 
-        rows = rows.mapInArrow(run, rows.schema)
+        rows = rows.mapInArrow(trimmed(run), rows.schema)
         if k + 1 < len(blocks):
             rows = written(rows, "hits")
     return rows.select(*columns, "found")

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textkit import groups, text_buffers
+from .textkit import groups, text_buffers, trimmed
 
 ORDER = 3
 #: Documents learned from per language, about.
@@ -184,7 +184,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
                     codes, n = count_contexts(raw[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "code", "n"])
 
-    found = chosen.mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
+    found = chosen.mapInArrow(trimmed(run), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted({*found.column("lang").to_pylist()})
     if not langs:
         return None
@@ -226,7 +226,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             langs, score = _score(batch.column(at), sent.value)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(score)], [*batch.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def known_language(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
