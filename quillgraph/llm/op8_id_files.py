@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .shared import new_path
-from .textkit import groups, text_buffers
+from .textkit import groups, text_buffers, trimmed
 from .tokens import encoder
 
 MAGIC = b"QGB1"
@@ -172,7 +172,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0,
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text"))
-    dealt.mapInArrow(run, BLOCKS).write.option("compression", "none").parquet(path)
+    dealt.mapInArrow(trimmed(run, "tokens"), BLOCKS).write.option("compression", "none").parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -192,7 +192,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                 sums = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for n, e in zip(sizes, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(batch.column(0)[i].as_py() + ends - sizes), pa.array(sizes), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return placed.mapInArrow(run, RESULT)
+    return placed.mapInArrow(trimmed(run, "tokens"), RESULT)
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:

@@ -1,6 +1,6 @@
 """Byte-level BPE through the tokenizers library, with remembered pieces.
 
-A text is cut at spaces where the cut cannot change the result.  Pieces are
+A text is cut at places where the cut cannot change the result.  Pieces are
 looked up by a 64-bit hash in a numpy table; only pieces new to the worker are
 turned into strings and given to the library, in batches.  A tokenizer whose
 rules do not allow the cut is given whole texts.
@@ -15,10 +15,10 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 
-from .textkit import hash_words
+from .textkit import hash_words, kept
 
-#: Pieces remembered by a worker; beyond that it starts afresh.  About 40 bytes each.
-REMEMBERED = 2_000_000
+#: Pieces remembered by a worker; beyond that it starts afresh.  About 45 bytes each.
+REMEMBERED = 1_000_000
 
 # A space is a safe place to cut unless white space stands on both its sides: a
 # run of white space is then never divided.  Bytes that may end, or begin, a
@@ -27,10 +27,16 @@ _ENDS_SPACE = np.zeros(256, dtype=bool)
 _ENDS_SPACE[[*range(0x09, 0x0E), *range(0x1C, 0x21), *range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]] = True
 _BEGINS_SPACE = np.zeros(256, dtype=bool)
 _BEGINS_SPACE[[*range(0x09, 0x0E), *range(0x1C, 0x21), 0xC2, 0xE1, 0xE2, 0xE3]] = True
+# No pre-token goes on from a letter to a sign: a sign after an ASCII letter is a
+# safe place, too (an apostrophe opens a pre-token of its own).
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_SIGN = np.zeros(256, dtype=bool)
+_SIGN[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 
 
-def cuts_at_spaces(spec: dict) -> bool:
-    """Whether pieces that start at a space are encoded independently."""
+def cuts_safely(spec: dict) -> bool:
+    """Whether the pieces described above are encoded independently."""
     pre = spec.get("pre_tokenizer") or {}
     model = spec.get("model") or {}
     return (
@@ -46,11 +52,22 @@ def cuts_at_spaces(spec: dict) -> bool:
     )
 
 
-def piece_starts(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Where pieces begin: at each row's first byte and at each safe space."""
+def piece_starts(buf: np.ndarray, offs: np.ndarray, special: list[bytes] = ()) -> np.ndarray:
+    """Where pieces begin: at each row's first byte and at each safe place.
+
+    Special strings are not divided.
+    """
     start = buf == 0x20
     if len(buf) > 2:
         start[1:-1] &= ~(_ENDS_SPACE[buf[:-2]] & _BEGINS_SPACE[buf[2:]])
+    start[1:] |= _LETTER[buf[:-1]] & _SIGN[buf[1:]]
+    if special:
+        raw = buf.tobytes()
+        for s in special:
+            at = raw.find(s)
+            while at >= 0:
+                start[at + 1 : at + len(s)] = False
+                at = raw.find(s, at + 1)
     start[offs[:-1][offs[:-1] < offs[1:]]] = True
     return np.flatnonzero(start)
 
@@ -110,26 +127,26 @@ class Remembered:
 class PieceValues:
     """Arrays of numbers remembered for pieces."""
 
-    def __init__(self, compute: Callable[[list[str]], list[list[int]]], limit: int = REMEMBERED):
-        self._compute = compute
+    def __init__(self, compute: Callable[[list[str]], list[list[int]]], special: list[str], limit: int = REMEMBERED, kind: type = np.uint32):
+        self._compute, self._kind, self._special = compute, kind, [s.encode() for s in special]
         self._known = Remembered(limit)
         self._reset()
 
     def _reset(self) -> None:
         self._known.clear()
         self._at = np.zeros(1, np.int64)
-        self._values = np.zeros(0, np.uint32)
+        self._values = np.zeros(0, self._kind)
         self._n = 0
 
     def _append(self, lists: list[list[int]]) -> None:
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.array([x for v in lists for x in v], np.uint32)
+        flat = np.array([x for v in lists for x in v], self._kind)
         if self._n + len(flat) > len(self._values):
-            self._values = np.concatenate([self._values[: self._n], np.zeros(max(len(flat), self._n), np.uint32)])
+            self._values = np.concatenate([self._values[: self._n], np.zeros(max(len(flat), self._n // 2), self._kind)])
         self._values[self._n : self._n + len(flat)] = flat
         known = self._known.count
         if known + len(lists) + 1 > len(self._at):
-            self._at = np.concatenate([self._at[: known + 1], np.zeros(max(len(lists), known), np.int64)])
+            self._at = np.concatenate([self._at[: known + 1], np.zeros(max(len(lists), known // 2), np.int64)])
         self._at[known + 1 : known + 1 + len(lists)] = self._n + np.cumsum(sizes)
         self._n += len(flat)
 
@@ -137,7 +154,7 @@ class PieceValues:
         """(values of all pieces in order, number of values of each row)."""
         if self._known.count > self._known.limit:
             self._reset()
-        starts = piece_starts(buf, offs)
+        starts = piece_starts(buf, offs, self._special)
         ends = np.append(starts[1:], len(buf))
         hashes = hash_words(buf, starts, ends, fold=False)
         entry = self._known.find(hashes)
@@ -166,11 +183,11 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(spec_json)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.cut = cuts_at_spaces(spec)
+        self.cut = cuts_safely(spec)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self._whole: frozenset[str] | None = None
-        self._ids = PieceValues(self._encode)
-        self._counts = PieceValues(lambda pieces: [[n] for n in self.count_pieces(pieces)])
+        self._ids = PieceValues(self._encode, self.special, kind=np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
+        self._counts = PieceValues(lambda pieces: [[n] for n in self.count_pieces(pieces)], self.special)
 
     def _encode(self, texts: Sequence[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
@@ -178,7 +195,8 @@ class Encoder:
     def ids(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(all ids in order, number of ids of each row)."""
         if self.cut:
-            return self._ids.look_up(buf, offs)
+            ids, sizes = self._ids.look_up(buf, offs)
+            return ids.astype(np.uint32), sizes
         found = self._encode(_texts(buf, offs))
         return np.array([x for ids in found for x in ids], np.uint32), np.array([len(ids) for ids in found], np.int64)
 
@@ -252,13 +270,11 @@ def _byte_chars() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(spec_json: str) -> Encoder:
     """One encoder per worker process and tokenizer."""
+    own = kept.setdefault("tokens", {})
     key = hashlib.sha256(spec_json.encode()).hexdigest()
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(spec_json)
-    return _encoders[key]
+    if key not in own:
+        own.clear()
+        own[key] = Encoder(spec_json)
+    return own[key]
