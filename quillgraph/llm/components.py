@@ -28,7 +28,7 @@ def connected_components(edges: DataFrame, name: str = "components", most: int =
         large = both.where("b > a").join(least, F.col("a") == F.col("x")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         smallest = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("x"), "m")
         small = large.join(smallest, F.col("a") == F.col("x")).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
-        now = written(small, name)
+        now = written(small, name, rows=state[0])  # steps never add edges
         after = _state(now)
         if after == state:
             break

@@ -43,7 +43,7 @@ from pyspark.sql.window import Window
 
 from .components import connected_components
 from .shared import written
-from .textkit import groups, mix64, shingle_sets, text_buffers
+from .textkit import groups, mix64, shingle_sets, text_buffers, trimmed
 
 SIZE = 3
 #: Sets link if 100 * intersection >= PERCENT * union.
@@ -136,7 +136,7 @@ def _profiles(docs: DataFrame) -> DataFrame:
         if held:
             yield tell()
 
-    return docs.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, token long, count long")
+    return docs.mapInArrow(trimmed(run), "doc_id long, n long, f1 long, f2 long, token long, count long")
 
 
 def _prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -173,7 +173,7 @@ def _prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataF
             f = np.array(marks, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f[:, 0].copy()), pa.array(f[:, 1].copy()), lists], ["doc_id", "f1", "f2", "prefix"])
 
-    return docs.mapInArrow(run, "doc_id long, f1 long, f2 long, prefix array<long>")
+    return docs.mapInArrow(trimmed(run), "doc_id long, f1 long, f2 long, prefix array<long>")
 
 
 class _Lists:
@@ -387,10 +387,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     profiles = written(_profiles(rows), "profiles")
     told = profiles.where("token IS NULL").select("doc_id", "n", "f1", "f2")
+    n_rows = told.count()
     nodes = told.where("n > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     # A node is called by the smallest doc_id of its set; further sets of the same doc_id get other, negative names.
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("f1", "f2"))
-    nodes = written(nodes.withColumn("k", place).select("f1", "f2", "n", "doc_id", "copies", F.when(F.col("k") == 1, F.col("doc_id")).otherwise(-1 - F.abs(F.xxhash64("doc_id", "k") % (1 << 62))).alias("node")), "nodes")
+    nodes = written(nodes.withColumn("k", place).select("f1", "f2", "n", "doc_id", "copies", F.when(F.col("k") == 1, F.col("doc_id")).otherwise(-1 - F.abs(F.xxhash64("doc_id", "k") % (1 << 62))).alias("node")), "nodes", rows=n_rows)
     tokens, counts = frequent = _frequent(profiles, limits.frequent_from)
 
     # Lists by shingle.  Very frequent shingles have their lists salted.
@@ -408,7 +409,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ordered = ["token", "salt", "n", "node"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kinds = "kind long, a long, b long, na long, nb long, token long"
-    listed = written(posts.select(*ordered).repartition(parts, "token", "salt").sortWithinPartitions(*ordered).mapInArrow(lambda rows: _list_rows(rows, limits.short), kinds), "lists")
+    listed = written(posts.select(*ordered).repartition(parts, "token", "salt").sortWithinPartitions(*ordered).mapInArrow(trimmed(lambda rows: _list_rows(rows, limits.short)), kinds), "lists")
     bridges = listed.where("kind = 2")
     ends = bridges.groupBy("token").agg(F.min("a").alias("leader"))
     ties = listed.where("kind = 1").select("a", "b").union(bridges.join(ends, "token").select(F.col("leader").alias("a"), F.col("a").alias("b")).where("a <> b"))
@@ -422,7 +423,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     weights = members.groupBy("root").agg(F.sum("n").alias("weight"))
     blocks = F.when(F.col("weight") <= 2 * limits.block, 1).otherwise(F.greatest(F.lit(3), F.ceil(F.col("weight") / limits.block))).cast("long")
     members = members.join(weights.select("root", blocks.alias("blocks")), "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    members = written(members.select("root", "blocks", "block", "node", "copies", "doc_id", "f1", "f2"), "members")
+    members = written(members.select("root", "blocks", "block", "node", "copies", "doc_id", "f1", "f2"), "members", rows=n_rows)
 
     # Ship each member's set to its group, or to all groups of its block.
     size = members.count() * 80
@@ -430,18 +431,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = list(_sets(batch.column("text")))
-            f = np.array([fingerprint(s) for s in sets], np.int64).reshape(-1, 2)
-            own = pa.array((f[:, 0] == batch.column("f1").to_numpy()) & (f[:, 1] == batch.column("f2").to_numpy()))
-            columns = [batch.column(c) for c in ("root", "blocks", "block", "node", "copies")]
-            out = pa.RecordBatch.from_arrays([*columns, pa.array([s.tobytes() for s in sets], pa.binary())], ["root", "blocks", "block", "node", "copies", "tokens"])
-            yield out.filter(own)
-
-    shipped = picked.select("root", "blocks", "block", "node", "copies", "f1", "f2", "text").mapInArrow(with_sets, "root long, blocks long, block long, node long, copies long, tokens binary")
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = list(_sets(part.column("text")))
+                f = np.array([fingerprint(s) for s in sets], np.int64).reshape(-1, 2)
+                own = pa.array((f[:, 0] == part.column("f1").to_numpy()) & (f[:, 1] == part.column("f2").to_numpy()))
+                columns = [part.column(c) for c in ("root", "blocks", "block", "node", "copies")]
+                out = pa.RecordBatch.from_arrays([*columns, pa.array([s.tobytes() for s in sets], pa.binary())], ["root", "blocks", "block", "node", "copies", "tokens"])
+                yield out.filter(own)
+
+    shipped = picked.select("root", "blocks", "block", "node", "copies", "f1", "f2", "text").mapInArrow(trimmed(with_sets), "root long, blocks long, block long, node long, copies long, tokens binary")
     others = F.expr("CASE WHEN blocks = 1 THEN array(0L) ELSE filter(sequence(0L, blocks - 1), x -> x <> block) END")
     shipped = shipped.withColumn("other", F.explode(others)).select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "blocks", "block", "node", "copies", "tokens")
     order = ["root", "i", "j", "blocks", "node"]
-    found = written(shipped.repartition(parts, "root", "i", "j").sortWithinPartitions(*order).mapInArrow(_group_rows, "node long, root long, links long, blocks long"), "found")
+    found = written(shipped.repartition(parts, "root", "i", "j").sortWithinPartitions(*order).mapInArrow(trimmed(_group_rows), "node long, root long, links long, blocks long"), "found")
 
     # Whole groups are settled; the roots of blocks are joined.
     single = found.where("blocks = 1").select("node", "root", "links")
@@ -469,7 +472,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its component, all
     columns kept; of equal rows one.  Rows without doc_id stay.
     """
-    found = written(jaccard_components(docs), "classes")
+    found = written(jaccard_components(docs), "classes", rows=docs.count())
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     twice = found.where("doc_id = component_id").groupBy("doc_id", "n_shingles").count().where("count > 1")
     kept = docs
