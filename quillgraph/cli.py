@@ -101,7 +101,7 @@ def _scan(wiki: Wiki) -> int:
 
 def _lint(wiki: Wiki, severity: str) -> int:
     config_ = wiki.config
-    if config_.index and config_.checks.index_coverage in lint.FILTERS[severity] and wiki.pages.where("is_index").first() is None:
+    if config_.index and config_.checks.index_coverage in lint.FILTERS[severity] and wiki.pages().where("is_index").first() is None:
         print(f"warning: index {config_.index} not found; coverage is not checked", file=sys.stderr)
     errors = warnings = 0
     for f in wiki.lint(severity).orderBy("code", "rel_path", "message").toLocalIterator():
@@ -127,7 +127,7 @@ def run(spark: SparkSession, argv: list[str]) -> int:
         wiki = Wiki(corpus.read_corpus(spark, root), config.detect(root), persist=True)
         if a.command == "scan":
             return _scan(wiki)
-        text = setup.proposal(wiki.pages)
+        text = setup.proposal(wiki.pages("frontmatter", "headings", "links"))
         print(text if a.show else f"wrote {sinks.write_config(root, text, a.force)}")
         return 0
     wiki = Wiki.open(spark, root, persist=True).check()
@@ -175,7 +175,7 @@ def run(spark: SparkSession, argv: list[str]) -> int:
     if a.command == "sections":
         return _rewrite(wiki, root, wiki.rename_section(a.old, a.new, a.dirs), a.write)
     if action == "get":
-        print(rewrite.get_frontmatter(wiki.pages, a.file, a.field))
+        print(rewrite.get_frontmatter(wiki.pages(), a.file, a.field))
         return 0
     return _rewrite(wiki, root, wiki.set_frontmatter(a.file, a.field, a.value), True)
 

@@ -55,9 +55,12 @@ def skipped(resolved: DataFrame, converted: DataFrame) -> DataFrame:
     return resolved.where("NOT embed").join(converted.select("rel_path", "pos"), ["rel_path", "pos"], "left_anti")
 
 
-def format_edits(pages: DataFrame, resolved: DataFrame, linking: Linking) -> DataFrame:
-    """Edits that bring every convertible link into the preferred style."""
-    links = convertible(resolved, pages, linking)
+def format_edits(pages: DataFrame, targets_: DataFrame, resolved: DataFrame, linking: Linking) -> DataFrame:
+    """Edits that bring every convertible link into the preferred style.
+
+    ``pages`` has definitions and uses, ``targets_`` headings and block ids.
+    """
+    links = convertible(resolved, targets_, linking)
     per_doc = links.groupBy("rel_path").agg(F.array_sort(F.collect_list(F.struct("pos", *[c for c in links.columns if c not in ("rel_path", "pos")]))).alias("found"))
     docs = pages.select("rel_path", "source", "definitions", "uses").join(per_doc, "rel_path")
     return docs.mapInPandas(_by_document(lambda row: _format_document(row, linking)), SCHEMA)

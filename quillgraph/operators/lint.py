@@ -6,6 +6,7 @@ finding(severity, code, rel_path, message, detail)
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -105,31 +106,40 @@ def citation_pattern(pages: DataFrame, rule: Rule) -> DataFrame:
     return _finding(lost, rule.severity, rule.name, message, F.col("id"))
 
 
+#: The check of each rule and the facets of pages it reads.
 RULES = {
-    "required-sections": required_sections,
-    "required-frontmatter": required_frontmatter,
-    "mirror-parity": mirror_parity,
-    "citation-pattern": citation_pattern,
+    "required-sections": (required_sections, ("frontmatter", "headings")),
+    "required-frontmatter": (required_frontmatter, ("frontmatter",)),
+    "mirror-parity": (mirror_parity, ()),
+    "citation-pattern": (citation_pattern, ("frontmatter",)),
 }
 
 
-def lint(pages: DataFrame, resolved: DataFrame, broken: DataFrame, edges: DataFrame, config: WikiConfig, severity: str = "all") -> DataFrame:
+def rule_findings(pages: Callable[..., DataFrame], rule: Rule) -> DataFrame:
+    """Findings of a rule; ``pages`` gives pages with the facets asked for."""
+    check, facets = RULES[rule.check]
+    if not rule.when and rule.check != "required-frontmatter":
+        facets = tuple(f for f in facets if f != "frontmatter")
+    return check(pages(*facets), rule)
+
+
+def lint(pages: Callable[..., DataFrame], resolved: DataFrame, broken: DataFrame, edges: DataFrame, config: WikiConfig, severity: str = "all") -> DataFrame:
     """All findings of the wanted severities."""
     shown = FILTERS[severity]
     checks = config.checks
     parts = []
     if checks.broken_links in shown or checks.unmanaged_broken_links in shown:
-        parts.append(broken_links(broken, pages, config).where(F.col("severity").isin(*shown)))
+        parts.append(broken_links(broken, pages(), config).where(F.col("severity").isin(*shown)))
     if checks.orphan_pages in shown:
-        parts.append(orphan_pages(graph.orphans(pages, edges), checks.orphan_pages))
+        parts.append(orphan_pages(graph.orphans(pages(), edges), checks.orphan_pages))
     if checks.index_coverage in shown and config.index:
         # Without an index file there is nothing to be covered by.
-        there = pages.where("is_index").select(F.lit(1).alias("one"))
-        missing = graph.not_in_index(pages, resolved).withColumn("one", F.lit(1)).join(there, "one", "left_semi")
+        there = pages().where("is_index").select(F.lit(1).alias("one"))
+        missing = graph.not_in_index(pages(), resolved).withColumn("one", F.lit(1)).join(there, "one", "left_semi")
         parts.append(index_coverage(missing, checks.index_coverage))
-    parts += [RULES[r.check](pages, r) for r in config.rules if r.severity in shown]
+    parts += [rule_findings(pages, r) for r in config.rules if r.severity in shown]
     if not parts:
-        return _finding(pages.limit(0), "error", "", F.lit(""))
+        return _finding(pages().limit(0), "error", "", F.lit(""))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -60,13 +60,13 @@ def name_conflicts(pages: DataFrame) -> DataFrame:
     return grouped.where("n > 1").select("name", kind.alias("kind"), "paths")
 
 
-def resolved(links: DataFrame, pages: DataFrame) -> DataFrame:
+def resolved(links: DataFrame, names: DataFrame, pages: DataFrame) -> DataFrame:
     """``links`` with target_id and target_path, NULL where nothing is found.
 
     Names and paths are looked up by one join on a tagged key.  An empty name
     or path is the page itself.
     """
-    table = names(pages).select(F.concat(F.lit("n:"), "name").alias("key"), F.col("page_id").alias("found_id"), F.col("rel_path").alias("found_path"))
+    table = names.select(F.concat(F.lit("n:"), "name").alias("key"), F.col("page_id").alias("found_id"), F.col("rel_path").alias("found_path"))
     table = table.unionByName(pages.select(F.concat(F.lit("p:"), "rel_path").alias("key"), F.col("page_id").alias("found_id"), F.col("rel_path").alias("found_path")))
     key = F.when(F.col("target") == "", F.concat(F.lit("p:"), "rel_path")).when(F.col("target_kind") == "name", F.concat(F.lit("n:"), "target")).otherwise(F.concat(F.lit("p:"), S.resolved_path("rel_path", "target")))
     out = links.withColumn("key", key).join(table, "key", "left")

@@ -115,16 +115,13 @@ def corpus_from_tables(spark: SparkSession, sf_dir: str, parts: tuple[str, ...]
 GRAPH = ("regions", "raw_regions", "nations", "raw_nations", "suppliers", "customers")
 
 
-def _wiki(spark: SparkSession, sf_dir: str, facets: tuple[str, ...], parts: tuple[str, ...] = GRAPH) -> Wiki:
-    return Wiki(corpus_from_tables(spark, sf_dir, parts), config.parse(CONFIG), facets)
+def _wiki(spark: SparkSession, sf_dir: str, parts: tuple[str, ...] = GRAPH) -> Wiki:
+    return Wiki(corpus_from_tables(spark, sf_dir, parts), config.parse(CONFIG))
 
 
-_LINKED = ("frontmatter", "links", "headings", "block_ids")
-
-
-def _rule(wiki: Wiki, k: int) -> DataFrame:
-    rule = wiki.config.rules[k]
-    return lint.RULES[rule.check](wiki.pages, rule)
+def _rule(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    wiki = _wiki(spark, sf_dir)
+    return lint.rule_findings(wiki.pages, wiki.config.rules[k])
 
 
 # Inventory
@@ -135,11 +132,11 @@ def scan_directories(spark, d):
 
 
 def scan_frontmatter_fields(spark, d):
-    return inventory.frontmatter_fields(_wiki(spark, d, ("frontmatter",)).pages)
+    return inventory.frontmatter_fields(_wiki(spark, d).pages("frontmatter"))
 
 
 def scan_headings_topk(spark, d):
-    return inventory.top_headings(_wiki(spark, d, ("headings",)).pages)
+    return inventory.top_headings(_wiki(spark, d).pages("headings"))
 
 
 def mirror_candidates(spark, d):
@@ -147,7 +144,7 @@ def mirror_candidates(spark, d):
 
 
 def index_refs(spark, d):
-    return inventory.index_refs(_wiki(spark, d, ("links",), ("regions", "nations")).pages)
+    return inventory.index_refs(_wiki(spark, d, ("regions", "nations")).pages("links"))
 
 
 def page_categories(spark, d):
@@ -159,7 +156,7 @@ def name_conflicts(spark, d):
     """With suppliers named like their nation's alias, names clash."""
     own = corpus_from_tables(spark, d, ("regions", "nations"))
     extra = own.where("rel_path LIKE 'wiki/nations/%'").select(F.regexp_replace("rel_path", "^wiki/nations/NATION_([0-9]*[05])[.]md$", "wiki/suppliers/N$1.md").alias("rel_path"), F.lit("# Clash\n").alias("source")).where("rel_path LIKE 'wiki/suppliers/%'")
-    pages = Wiki(own.unionByName(extra), config.parse(CONFIG), ("frontmatter",)).pages
+    pages = Wiki(own.unionByName(extra), config.parse(CONFIG)).pages("frontmatter")
     return resolve.name_conflicts(pages).select("name", "kind", F.array_join("paths", ",").alias("paths"))
 
 
@@ -167,28 +164,28 @@ def name_conflicts(spark, d):
 
 
 def links_all(spark, d):
-    w = _wiki(spark, d, ("links",))
+    w = _wiki(spark, d)
     return w.links.select("rel_path", "pos", "style", "target", "frag_kind", "frag", "display", "line", "col")
 
 
 def refs_graph(spark, d):
-    return _wiki(spark, d, ("frontmatter", "links")).refs_graph()
+    return _wiki(spark, d).refs_graph()
 
 
 def refs_to(spark, d):
-    return _wiki(spark, d, ("frontmatter", "links")).refs_to("n3")
+    return _wiki(spark, d).refs_to("n3")
 
 
 def refs_from(spark, d):
-    return _wiki(spark, d, ("frontmatter", "links")).refs_from("Supplier-000000001")
+    return _wiki(spark, d).refs_from("Supplier-000000001")
 
 
 def inbound_counts(spark, d):
-    return graph.inbound(_wiki(spark, d, ("frontmatter", "links")).edges)
+    return graph.inbound(_wiki(spark, d).edges)
 
 
 def _broken(spark, d, kind):
-    w = _wiki(spark, d, _LINKED)
+    w = _wiki(spark, d)
     return w.broken.where(F.col("reason_kind") == kind).select("rel_path", "line", "col", "markup", F.coalesce("reason_value", F.lit("-")).alias("reason_value"))
 
 
@@ -205,12 +202,12 @@ def links_broken_block(spark, d):
 
 
 def links_orphans(spark, d):
-    return _wiki(spark, d, ("frontmatter", "links")).orphans()
+    return _wiki(spark, d).orphans()
 
 
 def links_check_mentions(spark, d):
-    w = _wiki(spark, d, ("frontmatter", "ranges"))
-    return mentions.mentions(w.pages, mentions.autolink_pages(w.pages, w.config)).select("rel_path", "concept", "line", "col")
+    w = _wiki(spark, d)
+    return mentions.mentions(w.pages("ranges"), mentions.autolink_pages(w.pages("frontmatter"), w.config)).select("rel_path", "concept", "line", "col")
 
 
 def mentions_in_notes(spark, d):
@@ -226,80 +223,80 @@ def mentions_in_notes(spark, d):
 
 
 def lint_broken_links(spark, d):
-    w = _wiki(spark, d, _LINKED)
-    return lint.broken_links(w.broken, w.pages, w.config).groupBy("severity", "code").agg(F.count("*").alias("n"))
+    w = _wiki(spark, d)
+    return lint.broken_links(w.broken, w.pages(), w.config).groupBy("severity", "code").agg(F.count("*").alias("n"))
 
 
 def lint_index_coverage(spark, d):
-    w = _wiki(spark, d, ("frontmatter", "links"))
-    return lint.index_coverage(graph.not_in_index(w.pages, w.resolved), "error").drop("detail")
+    w = _wiki(spark, d)
+    return lint.index_coverage(graph.not_in_index(w.pages(), w.resolved), "error").drop("detail")
 
 
 def lint_required_sections(spark, d):
-    return _rule(_wiki(spark, d, ("headings",)), 0)
+    return _rule(spark, d, 0)
 
 
 def lint_required_frontmatter(spark, d):
-    return _rule(_wiki(spark, d, ("frontmatter",)), 1).select("severity", "code", "rel_path", F.coalesce("detail", F.lit("-")).alias("detail"))
+    return _rule(spark, d, 1).select("severity", "code", "rel_path", F.coalesce("detail", F.lit("-")).alias("detail"))
 
 
 def lint_when_predicate(spark, d):
-    return _rule(_wiki(spark, d, ("frontmatter",)), 2).select("code", "rel_path", "detail")
+    return _rule(spark, d, 2).select("code", "rel_path", "detail")
 
 
 def lint_mirror_parity(spark, d):
-    return _rule(_wiki(spark, d, ("frontmatter",)), 3).select("severity", "rel_path", "message")
+    return _rule(spark, d, 3).select("severity", "rel_path", "message")
 
 
 def lint_citation_filename(spark, d):
-    return _rule(_wiki(spark, d, ("frontmatter",)), 4).select("severity", "rel_path", "detail")
+    return _rule(spark, d, 4).select("severity", "rel_path", "detail")
 
 
 def lint_citation_content(spark, d):
-    return _rule(_wiki(spark, d, ("frontmatter",)), 5).select("severity", "rel_path", "detail")
+    return _rule(spark, d, 5).select("severity", "rel_path", "detail")
 
 
 def lint_summary(spark, d):
-    return lint.summary(_wiki(spark, d, _LINKED).lint())
+    return lint.summary(_wiki(spark, d).lint())
 
 
 # Rewrites
 
 
 def links_format_edits(spark, d):
-    w = _wiki(spark, d, (*_LINKED, "definitions", "uses"), ("regions", "nations", "suppliers"))
-    found = formatting.format_edits(w.pages, w.resolved, w.config.linking)
+    w = _wiki(spark, d, ("regions", "nations", "suppliers"))
+    found = formatting.format_edits(w.pages("definitions", "uses"), w.pages("headings", "block_ids"), w.resolved, w.config.linking)
     return found.where("rel_path LIKE 'wiki/suppliers/%'")
 
 
 def links_fix_edits(spark, d):
-    w = _wiki(spark, d, ("frontmatter", "links", "ranges", "definitions"), ("regions", "nations", "customers"))
-    hits = mentions.mentions(w.pages, mentions.autolink_pages(w.pages, w.config))
-    return formatting.fix_edits(w.pages, w.resolved, hits, w.config.linking)
+    w = _wiki(spark, d, ("regions", "nations", "customers"))
+    hits = mentions.mentions(w.pages("ranges"), mentions.autolink_pages(w.pages("frontmatter"), w.config))
+    return formatting.fix_edits(w.pages("definitions"), w.resolved, hits, w.config.linking)
 
 
 def rename_edits(spark, d):
-    w = _wiki(spark, d, ("frontmatter", "links", "destinations"))
-    return rewrite.rename(w.pages, w.resolved, w.names, w.config, "NATION_3", "Nation Three")[1]
+    w = _wiki(spark, d)
+    return rewrite.rename(w.pages("destinations"), w.resolved, w.names, w.config, "NATION_3", "Nation Three")[1]
 
 
 def rename_moves(spark, d):
-    w = _wiki(spark, d, ("frontmatter", "links", "destinations"), ("regions", "nations", "raw_nations"))
-    return rewrite.rename(w.pages, w.resolved, w.names, w.config, "N3", "Nation Three")[0]
+    w = _wiki(spark, d, ("regions", "nations", "raw_nations"))
+    return rewrite.rename(w.pages("destinations"), w.resolved, w.names, w.config, "N3", "Nation Three")[0]
 
 
 def move_edits(spark, d):
-    w = _wiki(spark, d, ("frontmatter", "destinations"), ("regions", "nations"))
-    return rewrite.move(w.pages, w.names, "NATION_3", "archive")[1]
+    w = _wiki(spark, d, ("regions", "nations"))
+    return rewrite.move(w.pages("destinations"), w.names, "NATION_3", "archive")[1]
 
 
 def sections_rename_edits(spark, d):
-    w = _wiki(spark, d, ("links", "headings", "destinations"), ("regions", "nations"))
-    return rewrite.rename_section(w.pages, "Key Findings", "Main Results")
+    w = _wiki(spark, d, ("regions", "nations"))
+    return rewrite.rename_section(w.pages("headings", "links", "destinations"), "Key Findings", "Main Results")
 
 
 def frontmatter_get(spark, d):
-    return rewrite.frontmatter_values(_wiki(spark, d, ("frontmatter",)).pages, "nation")
+    return rewrite.frontmatter_values(_wiki(spark, d).pages("frontmatter"), "nation")
 
 
 def frontmatter_set_edits(spark, d):
@@ -308,8 +305,8 @@ def frontmatter_set_edits(spark, d):
 
 
 def diff_hunks(spark, d):
-    w = _wiki(spark, d, ("links", "headings", "destinations"), ("regions", "nations"))
-    return w.hunks(rewrite.rename_section(w.pages, "Key Findings", "Main Results"))
+    w = _wiki(spark, d, ("regions", "nations"))
+    return w.hunks(rewrite.rename_section(w.pages("headings", "links", "destinations"), "Key Findings", "Main Results"))
 
 
 def edit_validation(spark, d):
@@ -322,7 +319,7 @@ def edit_validation(spark, d):
 
 
 def heading_anchors(spark, d):
-    return parse.headings(_wiki(spark, d, ("headings",)).pages).select("rel_path", "pos", "level", "text", "anchor")
+    return parse.headings(_wiki(spark, d).pages("headings")).select("rel_path", "pos", "level", "text", "anchor")
 
 
 def block_ids(spark, d):

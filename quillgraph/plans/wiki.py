@@ -23,12 +23,14 @@ class WikiError(ValueError):
 class Wiki:
     """Queries over ``files`` (rel_path, source).
 
-    Plans share the parsed pages; ``persist`` keeps them between actions, which
-    pays off when more than one query is run.
+    Every branch of a plan parses only the facets it reads; what needs paths
+    alone does not parse at all.  ``persist`` parses all facets once and keeps
+    them between actions, which pays off when more than one query is run.
     """
 
-    def __init__(self, files: DataFrame, config: WikiConfig, facets: tuple[str, ...] = tuple(parse.FACETS), persist: bool = False):
-        self.files, self.config, self._facets, self._persist = files, config, facets, persist
+    def __init__(self, files: DataFrame, config: WikiConfig, persist: bool = False):
+        self.files, self.config, self._persist = files, config, persist
+        self._by_facets: dict[tuple[str, ...], DataFrame] = {}
 
     @classmethod
     def open(cls, spark: SparkSession, root: str | Path | None = None, **more) -> Wiki:
@@ -37,23 +39,26 @@ class Wiki:
         config = settings.load_or_detect(folder)
         return cls(corpus.read_corpus(spark, folder, config.ignore), config, **more)
 
-    @cached_property
-    def pages(self) -> DataFrame:
-        """Every file with its facets, name and category."""
-        out = resolve.categorised(parse.parse_documents(self.files, self._facets), self.config)
-        return out.persist() if self._persist else out
+    def pages(self, *facets: str) -> DataFrame:
+        """Every file with its name, its category and the wanted facets."""
+        wanted = tuple(parse.FACETS) if self._persist else facets
+        if wanted not in self._by_facets:
+            parsed = parse.parse_documents(self.files, wanted) if wanted else self.files
+            out = resolve.categorised(parsed, self.config)
+            self._by_facets[wanted] = out.persist() if self._persist else out
+        return self._by_facets[wanted]
 
     @cached_property
     def names(self) -> DataFrame:
-        return resolve.names(self.pages)
+        return resolve.names(self.pages("frontmatter"))
 
     @cached_property
     def links(self) -> DataFrame:
-        return parse.links(self.pages)
+        return parse.links(self.pages("links"))
 
     @cached_property
     def resolved(self) -> DataFrame:
-        return resolve.resolved(self.links, self.pages)
+        return resolve.resolved(self.links, self.names, self.pages())
 
     @cached_property
     def edges(self) -> DataFrame:
@@ -61,14 +66,14 @@ class Wiki:
 
     @cached_property
     def broken(self) -> DataFrame:
-        return resolve.broken(self.resolved, self.pages)
+        return resolve.broken(self.resolved, self.pages("headings", "block_ids"))
 
     def check(self) -> Wiki:
         """Raise WikiError if names clash or a named page has bad frontmatter."""
-        bad = self.pages.where("(is_managed OR is_index) AND fm_error IS NOT NULL").select("rel_path", "fm_error").first()
+        bad = self.pages("frontmatter").where("(is_managed OR is_index) AND fm_error IS NOT NULL").select("rel_path", "fm_error").first()
         if bad:
             raise WikiError(f"{bad.rel_path}: {bad.fm_error}")
-        clash = resolve.name_conflicts(self.pages).orderBy("name").first()
+        clash = resolve.name_conflicts(self.pages("frontmatter")).orderBy("name").first()
         if clash:
             raise WikiError(f"{clash.kind}: {clash['name']} is claimed by {', '.join(clash.paths)}")
         return self
@@ -76,14 +81,17 @@ class Wiki:
     # Links and graph
 
     def mentions(self) -> DataFrame:
-        return mentions.mentions(self.pages, mentions.autolink_pages(self.pages, self.config)).orderBy("rel_path", "start")
+        return self._mentions().orderBy("rel_path", "start")
+
+    def _mentions(self) -> DataFrame:
+        return mentions.mentions(self.pages("ranges"), mentions.autolink_pages(self.pages("frontmatter"), self.config))
 
     def broken_links(self) -> DataFrame:
         cols = ["rel_path", "line", "col", "markup", "reason_kind", "reason_value"]
         return self.broken.orderBy("rel_path", "pos").select(*cols)
 
     def orphans(self) -> DataFrame:
-        return graph.orphans(self.pages, self.edges)
+        return graph.orphans(self.pages(), self.edges)
 
     def refs_to(self, name: str) -> DataFrame:
         return graph.refs_to(self.edges, self.names, name)
@@ -101,11 +109,11 @@ class Wiki:
 
     def scan(self) -> dict[str, DataFrame]:
         return {
-            "directories": inventory.directories(self.pages).orderBy("dir"),
-            "fields": inventory.frontmatter_fields(self.pages),
-            "headings": inventory.top_headings(self.pages),
-            "mirrors": inventory.mirror_candidates(self.pages),
-            "index": inventory.index_refs(self.pages),
+            "directories": inventory.directories(self.pages()).orderBy("dir"),
+            "fields": inventory.frontmatter_fields(self.pages("frontmatter")),
+            "headings": inventory.top_headings(self.pages("headings")),
+            "mirrors": inventory.mirror_candidates(self.pages()),
+            "index": inventory.index_refs(self.pages("links")),
         }
 
     # Rewrites: (moves, edits)
@@ -114,25 +122,24 @@ class Wiki:
         return E.checked(edits, self.files)
 
     def fix(self) -> DataFrame:
-        found = mentions.mentions(self.pages, mentions.autolink_pages(self.pages, self.config))
-        return self._plan(formatting.fix_edits(self.pages, self.resolved, found, self.config.linking))
+        return self._plan(formatting.fix_edits(self.pages("definitions"), self.resolved, self._mentions(), self.config.linking))
 
     def format(self) -> DataFrame:
-        return self._plan(formatting.format_edits(self.pages, self.resolved, self.config.linking))
+        return self._plan(formatting.format_edits(self.pages("definitions", "uses"), self.pages("headings", "block_ids"), self.resolved, self.config.linking))
 
     def skipped(self) -> DataFrame:
-        return formatting.skipped(self.resolved, formatting.convertible(self.resolved, self.pages, self.config.linking))
+        return formatting.skipped(self.resolved, formatting.convertible(self.resolved, self.pages("headings", "block_ids"), self.config.linking))
 
     def rename(self, old: str, new: str) -> tuple[DataFrame, DataFrame]:
-        moves, edits = rewrite.rename(self.pages, self.resolved, self.names, self.config, old, new)
+        moves, edits = rewrite.rename(self.pages("destinations"), self.resolved, self.names, self.config, old, new)
         return moves, self._plan(edits)
 
     def move(self, name: str, folder: str) -> tuple[DataFrame, DataFrame]:
-        moves, edits = rewrite.move(self.pages, self.names, name, folder)
+        moves, edits = rewrite.move(self.pages("destinations"), self.names, name, folder)
         return moves, self._plan(edits)
 
     def rename_section(self, old: str, new: str, dirs: list[str] | None = None) -> DataFrame:
-        return self._plan(rewrite.rename_section(self.pages, old, new, dirs))
+        return self._plan(rewrite.rename_section(self.pages("headings", "links", "destinations"), old, new, dirs))
 
     def set_frontmatter(self, rel_path: str, field: str, value: str) -> DataFrame:
         own = self.files.where(F.col("rel_path") == rel_path)
@@ -148,6 +155,6 @@ class Wiki:
 
     def register(self, prefix: str = "wiki_") -> None:
         """Make the fact tables known to SQL as temporary views."""
-        tables = {"pages": self.pages, "links": self.resolved, "edges": self.edges, "broken": self.broken, "headings": parse.headings(self.pages)}
+        tables = {"pages": self.pages("frontmatter"), "links": self.resolved, "edges": self.edges, "broken": self.broken, "headings": parse.headings(self.pages("headings"))}
         for name, df in tables.items():
             df.createOrReplaceTempView(prefix + name)

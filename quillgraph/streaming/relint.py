@@ -22,7 +22,7 @@ LOCAL = ("required-sections", "required-frontmatter")
 def page_findings(files: DataFrame, config: WikiConfig) -> DataFrame:
     """Findings of the local rules; works on static and on streaming files."""
     pages = resolve.categorised(parse.parse_documents(files, ("frontmatter", "headings")), config)
-    parts = [lint.RULES[r.check](pages, r) for r in config.rules if r.check in LOCAL and r.severity != "off"]
+    parts = [lint.RULES[r.check][0](pages, r) for r in config.rules if r.check in LOCAL and r.severity != "off"]
     if not parts:
         return pages.select(*[F.lit(None).cast("string").alias(c) for c in lint.COLUMNS]).where("false")
     return reduce(DataFrame.unionByName, parts)

@@ -116,7 +116,7 @@ def test_mentions(spark, monkeypatch, blocked):
 def test_autolink_pages(spark):
     c = config.parse('[[directories]]\npath = "t"\n[[directories]]\npath = "n"\nautolink = false\n[linking]\nexclude = ["gone", "KEPT"]\n')
     files = [("t/a.md", ""), ("t/gone.md", ""), ("t/Kept.md", ""), ("t/off.md", "---\nautolink: false\n---\n"), ("t/str.md", '---\nautolink: "false"\n---\n'), ("n/b.md", ""), ("index.md", "")]
-    pages = Wiki(spark.createDataFrame(files, "rel_path string, source string"), c, ("frontmatter",)).pages
+    pages = Wiki(spark.createDataFrame(files, "rel_path string, source string"), c).pages("frontmatter")
     assert {r.page_id for r in mentions.autolink_pages(pages, c).collect()} == {"a", "kept", "str"}
 
 
