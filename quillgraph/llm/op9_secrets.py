@@ -161,3 +161,37 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     counts = [counted(n).alias(f"n_{KINDS[n]}") for n in range(3)]
     return found.select("doc_id", *counts, F.sha2(_told(F.col("base")), 256).alias("base_sha256"), _told(F.array_sort(F.concat("base", "more"))).alias("spans"))
+
+
+def _sql_hits(number: int, pattern: str) -> str:
+    """SQL for the matches of a pattern: row, kind number, start, end, text."""
+    literal = pattern.replace("'", "''")
+    return f"""SELECT r, {number} AS kind, pos, pos + length(hit) AS stop, hit FROM (
+      SELECT r, hit, sum(length(gap)) OVER (PARTITION BY r ORDER BY i) + coalesce(sum(length(hit)) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+      FROM (SELECT r, unnest(regexp_split_to_array(t, '{literal}')) AS gap, unnest(regexp_extract_all(t, '{literal}')) AS hit,
+                   unnest(range(1, len(regexp_split_to_array(t, '{literal}')) + 1)) AS i FROM d WHERE regexp_matches(t, '{literal}'))) WHERE hit IS NOT NULL"""
+
+
+_SQL_ALLOWED = " OR ".join(f"regexp_matches(hit, '{p}')" for p in ALLOWED)
+_SQL_LEAST = "CASE " + " ".join(f"WHEN regexp_matches(hit, '{p}') THEN {bits}" for _, p, bits in CLASSES) + " END"
+SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+base AS (
+  SELECT * FROM ({_sql_hits(0, ASSIGN)}) WHERE length(regexp_extract(hit, '{ASSIGN.replace("'", "''")}', 2)) >= 8
+  UNION ALL {_sql_hits(1, ACCESS)}
+  UNION ALL {_sql_hits(2, HEX)}),
+c AS (SELECT *, {_SQL_LEAST} AS least FROM ({_sql_hits(3, CANDIDATE)}) WHERE regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Za-z]') AND NOT ({_SQL_ALLOWED})),
+w AS (SELECT r, pos, least, i, unnest(string_split(substr(hit, i + 1, {WINDOW}), '')) AS ch FROM (SELECT *, unnest(range(0, length(hit) - {WINDOW - 1})) AS i FROM c)),
+h AS (SELECT r, pos, i FROM (SELECT r, pos, least, i, ch, count(*) AS n FROM w GROUP BY r, pos, least, i, ch) GROUP BY r, pos, least, i
+      HAVING round(log2({WINDOW}) - sum(n * log2(n)) / {WINDOW}, 6) >= least),
+g AS (SELECT r, pos, i, sum(fresh) OVER (PARTITION BY r, pos ORDER BY i) AS run FROM (
+      SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY r, pos ORDER BY i) <= {WINDOW} THEN 0 ELSE 1 END AS fresh FROM h)),
+more AS (SELECT r, 3 AS kind, pos + min(i) AS pos, pos + max(i) + {WINDOW} AS stop FROM g GROUP BY r, g.pos, run),
+spans AS (
+  SELECT r, kind, pos, stop FROM base
+  UNION ALL SELECT r, kind, pos, stop FROM more m WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.r = m.r AND b.pos < m.stop AND m.pos < b.stop)),
+told AS (SELECT r, kind, ['assign', 'access', 'hex', 'entropy'][kind + 1] || ':' || pos::BIGINT || ':' || stop::BIGINT AS said, pos FROM spans)
+SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+       sha256(coalesce(string_agg(said, ',' ORDER BY pos, kind) FILTER (kind < 3), '')) AS base_sha256, coalesce(string_agg(said, ',' ORDER BY pos, kind), '') AS spans
+FROM d LEFT JOIN told USING (r) GROUP BY r, doc_id
+"""

@@ -30,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_preferences": op3_preferences.SQL,
         "op4_mixing": op4_mixing.SQL,
         "op5_jaccard_join": op5_jaccard_join.SQL,
+        "op9_secrets": op9_secrets.SQL,
     }
