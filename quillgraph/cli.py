@@ -152,6 +152,8 @@ def run(spark: SparkSession, argv: list[str]) -> int:
             print(o.rel_path)
         return 0
     if a.command == "links":
+        if action == "format" and (n := wiki.skipped().count()):
+            print(f"{n} link(s) skipped", file=sys.stderr)
         return _rewrite(wiki, root, wiki.fix() if action == "fix" else wiki.format(), a.write)
     if a.command == "refs":
         if action == "graph":

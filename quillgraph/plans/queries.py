@@ -102,14 +102,20 @@ def corpus_from_tables(spark: SparkSession, sf_dir: str, parts: tuple[str, ...]
         rows = spark.sql(f"SELECT {path} AS rel_path, {text} AS source FROM {source}")
         out = rows if out is None else out.unionByName(rows)
     if "nations" not in parts:
-        return out
+        return _spread(out)
     for t in ("region", "nation"):
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(f"corpus_{t}")
     index = spark.sql(
         "SELECT 'index.md' AS rel_path, '# Index\\n\\n' || listagg('- [[' || name || ']]\\n') WITHIN GROUP (ORDER BY name) AS source"
         " FROM (SELECT r_name AS name FROM corpus_region UNION ALL SELECT n_name FROM corpus_nation WHERE n_nationkey % 5 <> 0)"
     )
-    return out.unionByName(index)
+    return _spread(out.unionByName(index))
+
+
+def _spread(files: DataFrame) -> DataFrame:
+    """A corpus from fewer files than there are cores is dealt out before it is parsed."""
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    return files.repartition(cores) if len(files.inputFiles()) < cores else files
 
 
 GRAPH = ("regions", "raw_regions", "nations", "raw_nations", "suppliers", "customers")

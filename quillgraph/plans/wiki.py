@@ -81,14 +81,14 @@ class Wiki:
     # Links and graph
 
     def mentions(self) -> DataFrame:
-        return self._mentions().orderBy("rel_path", "start")
+        return self._mentions().orderBy(F.split("rel_path", "/"), "start")
 
     def _mentions(self) -> DataFrame:
         return mentions.mentions(self.pages("ranges"), mentions.autolink_pages(self.pages("frontmatter"), self.config))
 
     def broken_links(self) -> DataFrame:
         cols = ["rel_path", "line", "col", "markup", "reason_kind", "reason_value"]
-        return self.broken.orderBy("rel_path", "pos").select(*cols)
+        return self.broken.orderBy(F.split("rel_path", "/"), "pos").select(*cols)  # folder by folder
 
     def orphans(self) -> DataFrame:
         return graph.orphans(self.pages(), self.edges)
