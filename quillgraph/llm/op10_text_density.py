@@ -51,6 +51,10 @@ _CUT_WORDS = frozenset(
     "subscription signup login pagination pager widget widgets skip hidden".split()
 )
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: First words of class names that only tell about a part elsewhere, as in has-sidebar.
+_TELLING = frozenset("has with no without is not".split())
+#: A header of one of these belongs to the text.
+_TEXT_WORDS = frozenset("article post entry content story main body".split())
 
 
 class _Node:
@@ -63,8 +67,11 @@ class _Node:
         self.density = self.total = 0.0
 
 
-def _marked(name: str, attrs: str, inside_article: bool) -> bool:
-    """Whether an element is cut with everything in it."""
+def _marked(name: str, attrs: str, inside_article: bool, level: int) -> bool:
+    """Whether an element is cut with everything in it.
+
+    ``level``: 2 goes by names, attributes, classes and ids; 1 not by classes and ids.
+    """
     if name in _CUT or name == "header" and not inside_article:
         return True
     if not attrs or name in ("html", "body", "article", "main"):
@@ -77,12 +84,17 @@ def _marked(name: str, attrs: str, inside_article: bool) -> bool:
             return True
         if key == "role" and value in _CUT_ROLES:
             return True
-        if key in ("class", "id") and any(w in _CUT_WORDS for w in re.split(r"[^a-z]+", value)):
-            return True
+        if level > 1 and key in ("class", "id"):
+            for label in value.split():
+                words = [w for w in re.split(r"[^a-z]+", label) if w]
+                if words and words[0] not in _TELLING and not _CUT_WORDS.isdisjoint(words):
+                    return True
+                if "header" in words and not inside_article and _TEXT_WORDS.isdisjoint(words):
+                    return True
     return False
 
 
-def _parse(page: str, cut_marked: bool) -> tuple[_Node, list[tuple[int, _Node, str]]]:
+def _parse(page: str, level: int) -> tuple[_Node, list[tuple[int, _Node, str]]]:
     """The tree and its pieces of text: (block number, node, text)."""
     root = _Node("#root", None, False, 0)
     stack, texts, block, at = [root], [], 0, 0
@@ -153,7 +165,7 @@ def _parse(page: str, cut_marked: bool) -> tuple[_Node, list[tuple[int, _Node, s
         if name in _BLOCK:
             block += 1
         top = stack[-1]
-        node = _Node(name, top, top.cut or cut_marked and _marked(name, m[3], open_articles > 0) or name in _RAW, block)
+        node = _Node(name, top, top.cut or level > 0 and _marked(name, m[3], open_articles > 0, level) or name in _RAW, block)
         top.children.append(node)
         if name in ("br", "wbr", "hr"):
             if name == "br":
@@ -223,30 +235,55 @@ def _chosen(root: _Node, order: list[_Node]) -> list[_Node]:
     threshold = min((n.density for n in path), default=0.0)
     around = [k for k, n in enumerate(path) if n.name in ("article", "main")]
     if around:
-        core_at = max(k for k in around if path[k].name == path[around[0]].name)
-        return [path[core_at]]
+        at = max(k for k in around if path[k].name == path[around[0]].name)
+        # Headings before an article in the same main part are its own.
+        top = max(around)
+        if sum(n.name == "article" for n in order if n.chars and _below(n, path[top])) > 1:
+            top = at
+        return [path[at], *(x for k in range(at, top) for x in _before(path[k]) if x.name in _HEADINGS)]
     # Without such an element, go up and take siblings that reach the threshold.
     found = [core]
     for node in path[:-1]:
-        parent = node.parent
-        here = parent.children.index(node)
-        for k, other in enumerate(parent.children):
+        ahead = {id(x) for x in _before(node)}
+        for other in node.parent.children:
             if other is node or other.cut or not other.chars or other.link_chars * 2 > other.chars:
                 continue
-            if other.density >= threshold or k < here and other.name in _HEADINGS:
+            if other.density >= threshold or id(other) in ahead and other.name in _HEADINGS:
                 found.append(other)
     return found
 
 
+def _before(node: _Node) -> list[_Node]:
+    """The elder siblings of a node that are not cut."""
+    out = []
+    for x in node.parent.children:
+        if x is node:
+            return out
+        if not x.cut:
+            out.append(x)
+    return out
+
+
+def _below(node: _Node, top: _Node) -> bool:
+    while node is not None and node is not top:
+        node = node.parent
+    return node is top
+
+
 def main_text(page: str | None) -> str:
     """The main text of one page."""
     if not page:
         return ""
-    for cut_marked in (True, False):
-        root, texts = _parse(page, cut_marked)
-        order = _measure(root, texts)
-        if root.chars or not cut_marked:
+    root, texts = _parse(page, 2)
+    order = _measure(root, texts)
+    # If classes and ids left hardly anything, they did not mean what they seem to.
+    for level in (1, 0):
+        if 20 * root.chars >= len(page) or level == 0 and root.chars:
             break
+        other, more = _parse(page, level)
+        ranked = _measure(other, more)
+        if other.chars > 10 * root.chars:
+            root, texts, order = other, more, ranked
     if not root.chars:
         return ""
     inside: set[int] = set()

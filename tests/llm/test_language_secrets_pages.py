@@ -181,12 +181,20 @@ LINKS = "<ul>" + "".join(f'<li><a href="/{k}">Go to place number {k}</a></li>' f
         f"<body><article>{BODY}<form><p>Subscribe to our letter</p><input></form><div class='ad'>Buy this now.</div></article><!-- <p>no</p> --><div class=sidebar>{LINKS}</div>",
         f"<article><!-- open >{'' and ''}--> {BODY.replace('</p>', '')}</article><div hidden>hidden words</div>",
         f"<body><table class=layout><tr><td>{LINKS}<td>{BODY}</table>",
+        f"<body class='no-sidebar'><div class='page has-sidebar'><div class='site-header'>Our site, known everywhere for what it says</div><div class='post'>{BODY}</div><div id=sidebar>{LINKS}</div></div>",
+        f"<body><div class='widget'><article class='notice'>{BODY}</article></div><footer>f</footer>",
     ],
 )
 def test_main_text(page):
     assert main_text(page) == WANT
 
 
+def test_title_outside_the_article():
+    assert main_text(f"<body><main><h1>The title</h1><article>{BODY}</article><ul><li><a href=x>more</a></ul></main>") == "The title\n\n" + WANT
+    assert main_text(f"<body><div class='entry'><header class='entry-header'><h1>T</h1></header>{BODY}</div>") == WANT
+    assert main_text(f"<article><header><h1>The title</h1></header>{BODY}</article>") == "The title\n\n" + WANT
+
+
 def test_text_of_blocks():
     page = "<article><h1> A&nbsp;title\n <i>in</i>line</h1><p>One<br>two <b>three</b>&lt;x&gt;<p>Next <a href=#>link</a>.<ul><li>item<li>other</ul><pre>a\n  b</pre>tail text</article>"
     assert main_text(page) == "A title inline\n\nOne two three<x>\n\nNext link.\n\nitem\n\nother\n\na b\n\ntail text"
