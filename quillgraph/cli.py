@@ -112,7 +112,9 @@ def _lint(wiki: Wiki, severity: str) -> int:
             print(f"  -> {f.detail}", file=sys.stderr)
         errors += f.severity == "error"
         warnings += f.severity == "warn"
-    print(f"{errors} error(s), {warnings} warning(s)", file=sys.stderr)
+    parts = [f"{n} {what}(s)" for n, what in ((errors, "error"), (warnings, "warning")) if n]
+    if parts:
+        print(", ".join(parts), file=sys.stderr)
     return 2 if errors else 0
 
 
@@ -123,33 +125,35 @@ def run(spark: SparkSession, argv: list[str]) -> int:
     if a.command == "setup" and a.action != "init":
         print(config.EXAMPLE if a.action == "example-config" else PROMPT[(root / config.FILE_NAME).exists()])
         return 0
+    if a.command == "setup" and not (a.show or a.force) and (root / config.FILE_NAME).is_file():
+        print(f"{config.FILE_NAME} already exists at {root / config.FILE_NAME}. Use --force to overwrite.", file=sys.stderr)
+        return 0
     if a.command in ("scan", "setup"):
         wiki = Wiki(corpus.read_corpus(spark, root), config.detect(root), persist=True)
         if a.command == "scan":
             return _scan(wiki)
         text = setup.proposal(wiki.pages("frontmatter", "headings", "links"))
-        print(text if a.show else f"wrote {sinks.write_config(root, text, a.force)}")
+        print(text if a.show else f"created {sinks.write_config(root, text, a.force)}")
         return 0
     wiki = Wiki.open(spark, root, persist=True).check()
     action = getattr(a, "action", None)
     if a.command == "links" and action == "check":
         n = 0
         for m in wiki.mentions().toLocalIterator():
-            print(f"{m.rel_path}:{m.line}:{m.col} {m.concept}")
+            print(f'{m.rel_path}:{m.line}:{m.col}: bare mention "{m.display}" (should be linked)')
             n += 1
         print(f"{n} bare mention(s)")
         return 0
     if a.command == "links" and action == "broken":
         n = 0
-        for b in wiki.broken_links().toLocalIterator():
-            reason = "page not found" if b.reason_kind == "page" else f"{b.reason_kind} not found: {b.reason_value}"
-            print(f"{b.rel_path}:{b.line}:{b.col} {b.markup} ({reason})")
+        for b in wiki.broken_links().withColumn("reason", lint.broken_reason()).toLocalIterator():
+            print(f"{b.rel_path}:{b.line}:{b.col}: broken link {b.markup}: {b.reason}")
             n += 1
         print(f"{n} broken link(s)")
         return 1 if n else 0
     if a.command == "links" and action == "orphans":
         for o in wiki.orphans().toLocalIterator():
-            print(o.rel_path)
+            print(f"{o.rel_path}: orphan page (no inbound links)")
         return 0
     if a.command == "links":
         if action == "format" and (n := wiki.skipped().count()):
@@ -162,9 +166,9 @@ def run(spark: SparkSession, argv: list[str]) -> int:
             return 0
         rows = (wiki.refs_to if action == "to" else wiki.refs_from)(a.page).collect()
         if not rows:
-            print(f"no references {action} {a.page}", file=sys.stderr)
+            print(f"no {'inbound links to' if action == 'to' else 'outbound links from'} '{a.page}'", file=sys.stderr)
         for r in rows:
-            print(r[0])
+            print(f"{r[0]} -> {a.page}" if action == "to" else f"{a.page} -> {r[0]}")
         return 0
     if a.command == "lint":
         return _lint(wiki, a.severity)

@@ -31,8 +31,13 @@ def broken_links(broken: DataFrame, pages: DataFrame, config: WikiConfig) -> Dat
     managed = pages.where("is_managed").select("rel_path", F.lit(True).alias("managed"))
     severity = F.when(F.col("managed"), config.checks.broken_links).otherwise(config.checks.unmanaged_broken_links)
     message = F.concat(F.trim("markup"), F.lit(" in "), F.col("rel_path"))
-    reason = F.when(F.col("reason_kind") == "page", "page not found").otherwise(F.concat(F.col("reason_kind"), F.lit(" not found: "), F.col("reason_value")))
-    return _finding(broken.join(managed, "rel_path", "left"), severity, "broken-link", message, reason).where("severity <> 'off'")
+    return _finding(broken.join(managed, "rel_path", "left"), severity, "broken-link", message, broken_reason()).where("severity <> 'off'")
+
+
+def broken_reason() -> Column:
+    """Why a link is broken, in words."""
+    mark = F.when(F.col("reason_kind") == "block", "^").otherwise("")
+    return F.when(F.col("reason_kind") == "page", "page not found").otherwise(F.concat("reason_kind", F.lit(" not found: '"), mark, "reason_value", F.lit("'")))
 
 
 def orphan_pages(orphans: DataFrame, severity: str) -> DataFrame:

@@ -81,7 +81,8 @@ class Wiki:
     # Links and graph
 
     def mentions(self) -> DataFrame:
-        return self._mentions().orderBy(F.split("rel_path", "/"), "start")
+        shown = self.names.where("name = page_id").select(F.col("name").alias("concept"), F.col("stem").alias("display"))
+        return self._mentions().join(shown, "concept", "left").select("rel_path", "concept", F.coalesce("display", "concept").alias("display"), "start", "end", "line", "col").orderBy(F.split("rel_path", "/"), "start")
 
     def _mentions(self) -> DataFrame:
         return mentions.mentions(self.pages("ranges"), mentions.autolink_pages(self.pages("frontmatter"), self.config))

@@ -49,11 +49,11 @@ def test_scans_the_whole_folder_but_not_verbatim_pages(wiki):
             "drafts/ignored.md": "Example Resource [[Missing Page]]\n",
         },
     )
-    assert wiki.run("refs", "to", "Example Concept")[:2] == (0, "overview.md\n")
+    assert wiki.run("refs", "to", "Example Concept")[:2] == (0, "overview.md -> Example Concept\n")
     code, out, _ = wiki.run("links", "broken")
     assert code == 1 and "overview.md:1:" in out and "drafts" not in out
     code, out, _ = wiki.run("links", "check")
-    assert code == 0 and "overview.md:1:1 example resource" in out and "drafts" not in out
+    assert code == 0 and 'overview.md:1:1: bare mention "Example Resource"' in out and "drafts" not in out
     code, out, _ = wiki.run("rename", "Example Concept", "New Concept")
     assert "--- overview.md" in out and "+Example Resource references [[New Concept]] and" in out and "drafts" not in out
 
@@ -85,7 +85,8 @@ def test_aliases_and_unmanaged_targets(wiki):
     for name in ("Canonical Page", "Short Name"):
         assert "overview.md" in wiki.run("refs", "to", name)[1]
     assert wiki.run("links", "orphans")[1] == ""
-    assert wiki.run("refs", "to", "loose-note")[1] == "overview.md\n"
+    assert wiki.run("refs", "to", "loose-note")[1] == "overview.md -> loose-note\n"
+    assert wiki.run("refs", "from", "nothing")[2] == "no outbound links from 'nothing'\n"
 
 
 def test_markdown_links_make_edges(wiki):
@@ -256,8 +257,9 @@ def test_scan_and_init(wiki):
     assert "raw/papers <-> wiki/papers (2 files)" in out and "index: index.md (2 unique refs)" in out
     out = wiki.run("setup", "init", "--show")[1]
     assert 'fields = ["type"]' in out and 'sections = ["Notes"]' in out and 'left = "wiki/papers"\nright = "raw/papers"' in out
-    assert wiki.run("setup", "init")[0] == 1
-    assert wiki.run("setup", "init", "--force")[0] == 0
+    code, _, err = wiki.run("setup", "init")
+    assert code == 0 and "--force" in err and wiki.text("wiki.toml") == BARE
+    assert wiki.run("setup", "init", "--force")[0] == 0 and "mirror-parity" in wiki.text("wiki.toml")
 
 
 def test_mirror_parity_and_citations(wiki):
