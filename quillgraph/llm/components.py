@@ -8,15 +8,22 @@ from pyspark.sql import functions as F
 from .shared import written
 
 
+#: A node of so many edges is a hub; hubs' minima are broadcast.
+HUB_EDGES = 1_000
+#: Hubs at most: with more edges a hub needs more of them.
+HUBS = 10_000
+
+
 def connected_components(edges: DataFrame, name: str = "components", most: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b: long) but the roots; the
     root is the smallest node of the component.
 
     Alternates two steps until nothing changes: every node hands its larger
     neighbours to its smallest one, then its smaller ones.  Minima are partial
-    aggregates, so a node with very many neighbours does not burden one task;
-    each round is written to the shared folder, so a lost executor costs one
-    round at most.
+    aggregates, and the edges of hubs, of which there are at most ``HUBS``, are
+    not brought together: they meet their hub's minimum by a broadcast.  Each
+    round is written to the shared folder, so a lost executor costs one round
+    at most.
     """
     now = written(edges.where("a <> b").select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).distinct(), name)
     state = _state(now)
@@ -24,8 +31,13 @@ def connected_components(edges: DataFrame, name: str = "components", most: int =
         if state[0] == 0:
             break
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("x"), F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, F.col("a") == F.col("x")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select(F.col("a").alias("x"), F.least("a", "m").alias("m"), "n")
+        hub = max(HUB_EDGES, 2 * state[0] // HUBS)  # the edges, each seen from two sides, make at most HUBS such nodes
+        hubs = least.where(F.col("n") > hub).select(F.col("x").alias("hub"), F.col("m").alias("hub_m"))
+        met = both.where("b > a").join(F.broadcast(hubs), F.col("a") == F.col("hub"), "left")
+        of_hubs = met.where("hub IS NOT NULL").select(F.col("b").alias("a"), F.col("hub_m").alias("b"))
+        others = met.where("hub IS NULL").join(least.where(F.col("n") <= hub), F.col("a") == F.col("x")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = of_hubs.union(others).distinct()
         smallest = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("x"), "m")
         small = large.join(smallest, F.col("a") == F.col("x")).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
         now = written(small, name, rows=state[0])  # steps never add edges

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import fresh, written
 from .textkit import ALNUM, text_buffers, trimmed, window_hashes, word_groups
 
 WINDOW = 13
@@ -213,11 +213,11 @@ FOUND = "struct<n_words: long, hits: array<long>, items: array<string>>"
 _FOUND = pa.struct([("n_words", pa.int64()), ("hits", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, columns: list[str], id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """``columns`` of the documents and ``found``: the number of words, the
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, columns: list[str], id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, shingle: int = SHINGLE, found: str = "found") -> DataFrame:
+    """``columns`` of the documents and a column ``found``: the number of words, the
     positions of hit words and the items with occurring windows."""
     spark = docs.sparkSession
-    rows = docs.select(*[docs[c] for c in columns if c != "text"], docs["text"].cast("string").alias("text"), F.lit(None).cast(FOUND).alias("found"))
+    rows = docs.select(*[docs[c] for c in columns if c != "text"], docs["text"].cast("string").alias("text"), F.lit(None).cast(FOUND).alias(found))
     blocks = _blocks(benchmark, id_col, text_col)
     for k, items in enumerate(blocks):
         windows = Windows(items, window, shingle)
@@ -227,26 +227,25 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, columns: list[str], id
             for batch in batches:
                 last = batch.num_columns - 1
                 before = batch.column(last).to_pylist() if k else None
-                found = [{"n_words": n, "hits": hit.tolist(), "items": named} for n, hit, named in _scan(batch.column(last - 1), sent.value, before)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(found, _FOUND)], batch.schema.names)
+                told = [{"n_words": n, "hits": hit.tolist(), "items": named} for n, hit, named in _scan(batch.column(last - 1), sent.value, before)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(told, _FOUND)], batch.schema.names)
 
         rows = rows.mapInArrow(trimmed(run), rows.schema)
         if k + 1 < len(blocks):
             rows = written(rows, "hits")
-    return rows.select(*columns, "found")
+    return rows.select(*columns, found)
 
 
 def contaminated(found: str = "found") -> F.Column:
     """The contamination rule over what ``benchmark_hits`` found."""
-    hit = F.size(f"{found}.hits")
-    return (hit > 0) & (MIN_SHARE * hit >= F.col(f"{found}.n_words"))
+    hit = F.size(F.col(found)["hits"])
+    return (hit > 0) & (MIN_SHARE * hit >= F.col(found)["n_words"])
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns."""
-    if "found" in docs.columns:
-        raise ValueError("the documents have a column named found")
-    return benchmark_hits(docs, benchmark, docs.columns).where(~contaminated()).select(*docs.columns)
+    found = fresh("found", docs.columns)
+    return benchmark_hits(docs, benchmark, docs.columns, found=found).where(~contaminated(found)).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

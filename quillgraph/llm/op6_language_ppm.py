@@ -29,6 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import fresh
 from .textkit import groups, text_buffers, trimmed
 
 ORDER = 3
@@ -212,27 +213,28 @@ def _score(column: pa.Array, model: Model | None) -> tuple[list[str], np.ndarray
     return und, np.round(score, 6)
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """All columns of ``docs`` and lang_pred, score; only the text is looked at."""
-    for name in ("lang_pred", "score"):
-        if name in docs.columns:
-            raise ValueError(f"the documents have a column named {name}")
+def predict(docs: DataFrame, model: Model | None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """All columns of ``docs`` and two more, the language and its score; only
+    the text is looked at.  Columns of ``docs`` with these names are replaced.
+    """
+    docs = docs.drop(*names)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "lang_pred string, score double"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{names[0]}` string, `{names[1]}` double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, score = _score(batch.column(at), sent.value)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(score)], [*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(score)], [*batch.schema.names, *names])
 
     return docs.mapInArrow(trimmed(run), schema)
 
 
 def known_language(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """The rows whose language is predicted with some confidence, all columns kept."""
-    found = predict(docs, learn(docs))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select(*docs.columns)
+    lang, score = fresh("lang_pred", docs.columns), fresh("score", docs.columns)
+    found = predict(docs, learn(docs), (lang, score))
+    return found.where((F.col(lang) != "und") & (F.col(score) >= min_score)).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,3 +45,11 @@ def written(df: DataFrame, name: str, codec: str = "zstd", rows: int | None = No
         df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, or a longer one if a column is called that already."""
+    have = {c.lower() for c in taken}
+    while name.lower() in have:
+        name += "_"
+    return name

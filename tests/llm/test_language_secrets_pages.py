@@ -108,8 +108,10 @@ def test_language_filter(spark):
     lost = {r.doc_id for r in df.collect()} - {r.doc_id for r in kept.collect()}
     assert {1000, 1001, 1002} <= lost and len(lost) < 8
     assert op6.known_language(df.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        op6.predict(df.withColumn("score", F.lit(1)), None)
+    clash = df.withColumn("score", F.lit("own")).withColumn("lang_pred", F.lit(1))
+    kept = op6.known_language(clash)
+    assert kept.columns == clash.columns and {r.score for r in kept.collect()} == {"own"}
+    assert op6.predict(clash, None).where("score = 0").count() == df.count()
 
 
 # Secrets

@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 
+from quillgraph.llm import components
 from quillgraph.llm import op5_jaccard_join as op5
 from quillgraph.llm.components import connected_components
 
@@ -116,3 +117,15 @@ def test_connected_components(spark):
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {100: 90, 95: 90, 201: 200}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    monkeypatch.setattr(components, "HUB_EDGES", 3)
+    rng = random.Random(4)
+    edges = [(50, k) for k in range(60, 90)] + [(k, 49) for k in range(85, 120)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(150)]
+    root = {n: n for e in edges for n in e}
+    for _ in range(400):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: r for n, r in root.items() if n != r}

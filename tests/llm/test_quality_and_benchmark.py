@@ -133,3 +133,5 @@ def test_empty_tables(spark):
     assert op2.clean_documents(d, b).count() == 1
     assert op2.clean_documents(d.limit(0), spark.createDataFrame([(1, "some text")], "item_id long, text string")).count() == 0
     assert op2.clean_documents(d, spark.createDataFrame([(1, "Some Text")], "item_id long, text string")).count() == 0
+    clash = d.withColumn("Found", F.lit("own")).withColumn("item_id", F.lit(5))
+    assert [tuple(r) for r in op2.clean_documents(clash, b).collect()] == [(1, "some text", "own", 5)]
