@@ -396,11 +396,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # Lists by shingle.  Very frequent shingles have their lists salted.
     many = counts >= 2 * limits.salted
-    salts = spark.sparkContext.broadcast(frequent) if many.any() else None
     first = _prefixes(rows.where("doc_id IS NOT NULL"), frequent)
     first = first.join(nodes.select("doc_id", "f1", "f2", "n", "node"), ["doc_id", "f1", "f2"])
     posts = first.select(F.explode("prefix").alias("token"), "node", "n")
-    if salts is None:
+    if not many.any():
         posts = posts.withColumn("salt", F.lit(0).cast("long"))
     else:
         hot = {int(np.int64(t)): -(-int(c) // limits.salted) for t, c in zip(tokens[many].view(np.int64), counts[many], strict=True)}
