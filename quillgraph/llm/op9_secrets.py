@@ -41,6 +41,13 @@ CLASSES = (
     ("upper", "^[A-Z0-9_=-]+$", 3.6),
     ("mixed", "^[A-Za-z0-9+/_=-]+$", 3.8),
 )
+
+def _at_once(pattern: str) -> str:
+    """A run of a character class, tried only where a run begins and never given back."""
+    cls = pattern[: pattern.index("]") + 1]
+    return f"(?<!{cls}){pattern}+"
+
+
 #: A candidate must have a digit and a letter, and must match none of these:
 #: UUIDs, runs of the alphabet or of digits, and words or numbers joined by - _ / = +.
 ALLOWED = (
@@ -111,21 +118,24 @@ def _threshold(candidate: Column) -> Column:
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ``base`` and ``more``: arrays of struct(start, kind number, end)."""
     x = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("t"))
-    # Cheap patterns guard the dear ones: few texts have a long run or a keyword.
+    # Plain searches guard the dear patterns: few texts hold a keyword.
+    none = F.array().cast("array<string>")
+    low = F.lower("t")
+    keyword = low.contains("passw") | low.contains("secret") | low.contains("token") | low.contains("api")
     x = x.select(
         "doc_id",
         "t",
-        F.regexp_extract_all("t", F.lit(ASSIGN), F.lit(0)).alias("m_assign"),
-        F.regexp_extract_all("t", F.lit(ACCESS), F.lit(0)).alias("m_access"),
-        F.regexp_extract_all("t", F.lit(CANDIDATE), F.lit(0)).alias("m_more"),
-        F.regexp_extract_all("t", F.lit(HEX), F.lit(0)).alias("m_hex"),
+        F.when(keyword, F.regexp_extract_all("t", F.lit(ASSIGN), F.lit(0))).otherwise(none).alias("m_assign"),
+        F.when(F.col("t").contains("AKIA"), F.regexp_extract_all("t", F.lit(ACCESS), F.lit(0))).otherwise(none).alias("m_access"),
+        F.regexp_extract_all("t", F.lit(_at_once(CANDIDATE)), F.lit(0)).alias("m_more"),
+        F.regexp_extract_all("t", F.lit(_at_once(HEX)), F.lit(0)).alias("m_hex"),
     )
     x = x.select(
         "doc_id",
         F.filter(_found(F.col("t"), F.col("m_assign"), ASSIGN), lambda s: F.length(F.regexp_extract(s["text"], ASSIGN, 2)) >= 8).alias("assign"),
         _found(F.col("t"), F.col("m_access"), ACCESS).alias("access"),
-        _found(F.col("t"), F.col("m_hex"), HEX).alias("hex"),
-        _found(F.col("t"), F.col("m_more"), CANDIDATE).alias("more"),
+        _found(F.col("t"), F.col("m_hex"), _at_once(HEX)).alias("hex"),
+        _found(F.col("t"), F.col("m_more"), _at_once(CANDIDATE)).alias("more"),
     )
     base = F.concat(*[F.transform(k, _numbered(n)) for n, k in enumerate(KINDS[:3])])
     x = x.select("doc_id", F.array_sort(base).alias("base"), "more")
@@ -137,7 +147,12 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out = out | c.rlike(pattern)
         return out
 
-    spans = F.flatten(F.transform(F.filter("more", lambda s: ~harmless(s)), lambda s: _runs(window_starts(s["text"], _threshold(s["text"])), s["start"])))
+    def unions(s: Column) -> Column:
+        # The windows are found once and then handed on as a lambda's variable.
+        found = F.array(window_starts(s["text"], _threshold(s["text"])))
+        return F.get(F.transform(found, lambda starts: _runs(starts, s["start"])), F.lit(0))
+
+    spans = F.flatten(F.transform(F.filter("more", lambda s: ~harmless(s)), unions))
     x = x.select("doc_id", "base", spans.alias("more"))
     free = F.filter("more", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     return x.select("doc_id", "base", F.transform(free, _numbered(3)).alias("more"))
