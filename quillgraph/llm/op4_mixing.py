@@ -7,7 +7,12 @@ sources ordered by cap / weight finds that level exactly).
 
 The mix is dealt in blocks of equally many words.  Highest quotients
 target / (2k + 1) give each source an integer number of blocks, then
-shard size / (2k + 1) gives each shard of a source its quota.  A shard's
+shard size / (2k + 1) gives each shard of a source its quota.  Where blocks
+are large for the shards, those of the source are dealt in smaller ones, and
+what a shard cannot take (it gives at most ``CAP`` times its words) goes to the
+source's shards with room, so the quotas add up to the source's blocks.  ``SQL``
+cuts such a quota instead; it agrees while no source has several shards of
+which one is cut, or blocks larger than 1/8 of its mean shard.  A shard's
 documents stand in a seeded order; a quota takes whole passes over the shard
 and, for what remains, blocks in seeded order, the last one cut short.
 
@@ -104,6 +109,28 @@ def apportion(items: DataFrame, group: list[str], name: str) -> DataFrame:
     return x.join(moved, same, "left").select(*items.columns, (F.col("base") + F.coalesce("moved", F.lit(0))).alias("won"))
 
 
+def quotas(shards: DataFrame) -> DataFrame:
+    """Adds ``wanted`` words to source, shard, words, unit, blocks, and makes ``unit`` small enough for the shards.
+
+    A source's shards together want its blocks, or ``CAP`` times its words if that is less.
+    """
+    source = Window.partitionBy("source")
+    x = shards.withColumn("goal", F.least(F.col("blocks") * F.col("unit"), F.sum("words").over(source) * CAP))
+    # A shard of fewer than SMALL blocks would be dealt none or too much: smaller blocks for all shards of the source.
+    finer = F.greatest(F.lit(1), F.floor(F.sum("words").over(source) / (F.count("*").over(source) * SMALL))).cast("long")
+    coarse = (F.count("*").over(source) > 1) & (F.col("unit") > finer)
+    x = x.withColumn("coarse", coarse).withColumn("unit", F.when(F.col("coarse"), finer).otherwise(F.col("unit")))
+    x = x.withColumn("seats", F.when(F.col("coarse"), F.floor(F.col("goal") / F.col("unit"))).otherwise(F.col("blocks")).cast("long"))
+    x = apportion(x.withColumn("votes", F.col("words").cast("double")), ["source"], "shard")
+    x = x.withColumn("dealt", F.least(F.col("won") * F.col("unit"), F.col("words") * CAP)).withColumn("room", F.col("words") * CAP - F.col("dealt"))
+    # What is missing goes to the shards with room, in proportion to it.
+    upto = source.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("missing", F.col("goal") - F.sum("dealt").over(source)).withColumn("all_room", F.sum("room").over(source)).withColumn("room_upto", F.sum("room").over(upto))
+    part = "cast({} as decimal(19, 0)) * cast(missing as decimal(19, 0)) div all_room"
+    more = F.when((F.col("missing") > 0) & (F.col("all_room") > 0), F.expr(part.format("room_upto")) - F.expr(part.format("(room_upto - room)"))).otherwise(0)
+    return x.select("source", "shard", "words", "unit", (F.col("dealt") + more).cast("long").alias("wanted"))
+
+
 def _draw(*parts: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(SEED), *[F.coalesce(p.cast("string"), F.lit("null")) for p in parts]))
 
@@ -123,10 +150,9 @@ def mix_sizes(sizes: DataFrame) -> DataFrame:
     rows = sizes.join(goal, sizes["source"].eqNullSafe(goal["source"])).select(
         "doc_id", sizes["source"], "size", "source_size", "target", "unit", "blocks", draw.alias("draw"), (F.conv(F.substring(draw, 1, 8), 16, 10).cast("long") % shards).alias("shard")
     )
-    quota = rows.groupBy("source", "shard").agg(F.sum("size").alias("words"), F.first("unit").alias("unit"), F.first("blocks").alias("seats"), F.count("*").alias("n"))
-    quota = apportion(quota.withColumn("votes", F.col("words").cast("double")), ["source"], "shard")
-    wanted = F.least(F.col("won") * F.col("unit"), F.col("words") * CAP)
-    quota = quota.withColumn("wanted", wanted).withColumn("passes", F.when(F.col("words") > 0, F.floor(F.col("wanted") / F.col("words"))).otherwise(0).cast("long"))
+    quota = rows.groupBy("source", "shard").agg(F.sum("size").alias("words"), F.first("unit").alias("unit"), F.first("blocks").alias("blocks"), F.count("*").alias("n"))
+    quota = quotas(quota)
+    quota = quota.withColumn("passes", F.when(F.col("words") > 0, F.floor(F.col("wanted") / F.col("words"))).otherwise(0).cast("long"))
     quota = quota.withColumn("rest", F.col("wanted") - F.col("passes") * F.col("words"))
 
     # Blocks of a shard in seeded order; the first ones add up to the rest.

@@ -130,6 +130,21 @@ def test_mix_equals_its_sql(spark, monkeypatch):
     same(op4.mix(df).drop("source"), sql_rows(op4.SQL, documents=df))
 
 
+@pytest.mark.parametrize("shares", [{"a": 1, "b": 1, "c": 1}, {"hot": 30, "Z": 2, "é": 1, None: 3, "z": 1}])
+def test_mix_of_blocks_larger_than_shards(spark, shares, monkeypatch):
+    # Many shards of about four rows, as large sources have shards of 4,096 rows and growing blocks.
+    monkeypatch.setattr(op4, "SHARD_ROWS", 4)
+    df = corpus(spark, shares, seed=3, n=1500)
+    got = op4.mix(df).collect()
+    assert len(got) == df.count()
+    taken, goal = check(df, got)
+    unit = {r.source: r.blocks * r.unit for r in op4.targets(op4.sized(df)).collect()}
+    sizes = {r.source: r.source_size for r in got}
+    for s, g in goal.items():
+        assert taken[s] == min(unit[s], 2 * sizes[s]), (s, taken[s], g)
+        assert abs(taken[s] - g) <= max(2, 0.02 * g), (s, taken[s], g)
+
+
 def test_mix_of_odd_tables(spark):
     schema = "doc_id long, text string, source string, size int"
     odd = spark.createDataFrame([(1, None, "a", 0), (1, "x y", "a", 0), (1, "x y", "a", 0), (None, "p q r", None, 0), (2, " \t", "b", 0), (3, "long " * 30_000, "c", 0)], schema)
