@@ -1,9 +1,11 @@
 """Compression bands and decontamination against brute force."""
 
+import base64
 import collections
 import hashlib
 import random
 import re
+import string
 
 import pytest
 from pyspark.sql import functions as F
@@ -69,6 +71,22 @@ def test_band_limits():
     assert all(a[0] < b[0] and a[2] <= b[2] for a, b in zip(op1.BANDS, op1.BANDS[1:], strict=False))
 
 
+def test_random_text_is_not_kept(spark):
+    rng = random.Random(8)
+    letters = string.ascii_letters + string.digits
+    junk = " ".join("".join(rng.choices(letters, k=rng.randint(2, 12))) for _ in range(20_000)).encode()
+    lines = base64.b64encode(rng.randbytes(60_000)).decode()
+    lines = "\n".join(lines[i : i + 40] for i in range(0, len(lines), 40)).encode()
+    prose = " ".join("".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 8))) for _ in range(3000)).encode()
+    bad = [junk[:n] for n in (300, 600, 1200, 2000, 4000, 6000, 20_000, 100_000)] + [lines[:n] for n in (1200, 4000, 20_000)]
+    bad += [prose[:4096] + junk[:3000], prose[:8192] + junk[:8192]]
+    good = [prose[:n] for n in (300, 600, 1200, 2000, 4000, 6000, 10_000)] + [prose[:8192] + junk[:1500], prose[:8192] + b"-" * 100]
+    rows = [(i, t.decode()) for i, t in enumerate(bad + good)]
+    got = {r.doc_id: r for r in op1.compression_bands(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert [i for i in range(len(rows)) if got[i].kept] == list(range(len(bad), len(rows)))
+
+
 ITEM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
