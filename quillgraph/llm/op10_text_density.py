@@ -6,8 +6,9 @@ highest is the core; the least density on its path to the body is the
 threshold.  The core grows to an enclosing ``article`` or ``main``, and takes
 in siblings on the path that reach the threshold, or are headings right before
 it.  Elements that are never main text (navigation, asides, footers, forms,
-scripts, hidden parts, and parts whose class, id or role says so) are cut
-before densities are computed.
+scripts, hidden parts, and parts whose role or whole class or id says so) are
+cut before densities are computed; a class or id cuts nothing that holds the
+main article or most of the text.
 
 The text of the chosen nodes is returned whole: character references decoded,
 white space inside a block turned into one space and trimmed, blocks joined in
@@ -51,6 +52,14 @@ _CUT_WORDS = frozenset(
     "subscription signup login pagination pager widget widgets skip hidden".split()
 )
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Words that may stand beside those in a class or id that names such a part, as in related-posts.
+_BESIDE_WORDS = frozenset(
+    "site page main global primary secondary left right top bottom inner outer sticky mobile desktop container wrapper wrap box block area section "
+    "panel bar list item items link links post posts article articles stories reading body text header title icon icons button buttons form toggle "
+    "row col column group unit slot social media user reader blog tag tags wp md td js c l o m u g".split()
+)
+#: Words of parts that stay cut even if they hold most of the text.
+_REPLY_WORDS = frozenset("comment comments discussion disqus respond replies".split())
 #: First words of class names that only tell about a part elsewhere, as in has-sidebar.
 _TELLING = frozenset("has with no without is not".split())
 #: A header of one of these belongs to the text.
@@ -58,20 +67,18 @@ _TEXT_WORDS = frozenset("article post entry content story main body".split())
 
 
 class _Node:
-    __slots__ = ("name", "parent", "children", "cut", "first", "last", "chars", "link_chars", "tags", "link_tags", "own", "density", "total")
+    __slots__ = ("name", "parent", "children", "cut", "first", "last", "chars", "link_chars", "tags", "link_tags", "own", "density", "total", "label")
 
     def __init__(self, name: str, parent: _Node | None, cut: bool, first: int):
         self.name, self.parent, self.cut, self.first, self.last = name, parent, cut, first, first
         self.children: list[_Node] = []
         self.chars = self.link_chars = self.tags = self.link_tags = self.own = 0
         self.density = self.total = 0.0
+        self.label = 0
 
 
-def _marked(name: str, attrs: str, inside_article: bool, level: int) -> bool:
-    """Whether an element is cut with everything in it.
-
-    ``level``: 2 goes by names, attributes, classes and ids; 1 not by classes and ids.
-    """
+def _marked(name: str, attrs: str, inside_article: bool) -> bool:
+    """Whether an element is cut with everything in it, going by its name and attributes but not by class and id."""
     if name in _CUT or name == "header" and not inside_article:
         return True
     if not attrs or name in ("html", "body", "article", "main"):
@@ -84,21 +91,72 @@ def _marked(name: str, attrs: str, inside_article: bool, level: int) -> bool:
             return True
         if key == "role" and value in _CUT_ROLES:
             return True
-        if level > 1 and key in ("class", "id"):
-            for label in value.split():
-                words = [w for w in re.split(r"[^a-z]+", label) if w]
-                if words and words[0] not in _TELLING and not _CUT_WORDS.isdisjoint(words):
-                    return True
-                if "header" in words and not inside_article and _TEXT_WORDS.isdisjoint(words):
-                    return True
     return False
 
 
+def _label(name: str, attrs: str, inside_article: bool) -> int:
+    """1 if a class or id names a part that is not main text, 2 if one for replies, else 0.
+
+    The whole label must name it, not a word of it, as ids made from titles
+    have any words; headings and paragraphs are judged by no id.
+    """
+    if not attrs or name in ("html", "body"):
+        return 0
+    found = 0
+    for key, a, b, c in _ATTR.findall(attrs):
+        key = key.lower()
+        if key not in ("class", "id") or key == "id" and (name in _HEADINGS or name == "p"):
+            continue
+        for label in _html.unescape(a or b or c).lower().split():
+            words = {w for w in re.split(r"[^a-z]+", label) if w}
+            first = re.match(r"[^a-z]*([a-z]*)", label)[1]
+            if first in _TELLING or key == "id" and label == "discussion":
+                continue
+            telling = words & _CUT_WORDS
+            if "header" in words and not inside_article and _TEXT_WORDS.isdisjoint(words):
+                telling = telling | {"header"}
+            if telling and words - telling <= _BESIDE_WORDS:
+                found = max(found, 1 if _REPLY_WORDS.isdisjoint(words) else 2)
+    return found
+
+
+def _cut_labelled(root: _Node, texts: list[tuple[int, _Node, str]]) -> list[tuple[int, _Node, str]]:
+    """Cut the parts that a class or id names, but none that holds the main article or most of the text."""
+    chars: dict[int, int] = {}
+    for _, node, text in texts:
+        chars[id(node)] = chars.get(id(node), 0) + len(_SPACE.sub("", text))
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo.extend(node.children)
+    for node in reversed(order):
+        if node.parent is not None:
+            chars[id(node.parent)] = chars.get(id(node.parent), 0) + chars.get(id(node), 0)
+    holders = [max((n for n in order if n.name == kind and not n.label and chars.get(id(n))), key=lambda n: chars[id(n)], default=None) for kind in ("main", "article")]
+    if holders[0] is not None and holders[1] is not None and 2 * chars[id(holders[1])] < chars[id(holders[0])]:
+        holders[1] = None
+    held = set()
+    for node in holders:
+        while node is not None:
+            held.add(id(node))
+            node = node.parent
+    for node in order:
+        most = not held and node.label == 1 and 2 * chars.get(id(node), 0) > chars.get(id(root), 0)
+        named = node.label and node.name not in ("article", "main") and id(node) not in held and not most
+        node.cut = node.cut or bool(named) or node.parent is not None and node.parent.cut
+    return [x for x in texts if not x[1].cut]
+
+
 def _parse(page: str, level: int) -> tuple[_Node, list[tuple[int, _Node, str]]]:
-    """The tree and its pieces of text: (block number, node, text)."""
+    """The tree and its pieces of text: (block number, node, text).
+
+    ``level``: 2 cuts by names, attributes, classes and ids; 1 not by classes and ids; 0 by none.
+    """
     root = _Node("#root", None, False, 0)
     stack, texts, block, at = [root], [], 0, 0
     open_articles = 0
+    labelled = False
 
     def close(to: int) -> None:
         nonlocal open_articles, block
@@ -165,8 +223,11 @@ def _parse(page: str, level: int) -> tuple[_Node, list[tuple[int, _Node, str]]]:
         if name in _BLOCK:
             block += 1
         top = stack[-1]
-        node = _Node(name, top, top.cut or level > 0 and _marked(name, m[3], open_articles > 0, level) or name in _RAW, block)
+        node = _Node(name, top, top.cut or level > 0 and _marked(name, m[3], open_articles > 0) or name in _RAW, block)
         top.children.append(node)
+        if level > 1 and m[3] and not node.cut:
+            node.label = _label(name, m[3], open_articles > 0)
+            labelled = labelled or node.label > 0
         if name in ("br", "wbr", "hr"):
             if name == "br":
                 say(" ")
@@ -185,7 +246,7 @@ def _parse(page: str, level: int) -> tuple[_Node, list[tuple[int, _Node, str]]]:
             open_articles += 1
     close(0 + 1)
     root.last = block
-    return root, texts
+    return root, _cut_labelled(root, texts) if labelled else texts
 
 
 def _measure(root: _Node, texts: list[tuple[int, _Node, str]]) -> list[_Node]:

@@ -191,6 +191,19 @@ def test_main_text(page):
     assert main_text(page) == WANT
 
 
+@pytest.mark.parametrize("label", ["market-share-in-2020", "related-work", "discussion", "hidden-markov-models", "comments"])
+def test_headings_are_judged_by_no_id(label):
+    assert main_text(f"<body><article>{BODY}<h2 id='{label}'>T</h2><p id={label}>Last words.</p></article>") == f"{WANT}\n\nT\n\nLast words."
+    if label != "comments":
+        assert main_text(f"<body><article>{BODY}<section id={label}><p>Last words.</p></section></article>").endswith("Last words.")
+
+
+@pytest.mark.parametrize("label", ["content-sidebar-wrap", "page-with-sidebar", "sidebar-wrap"])
+def test_wrappers_of_an_article_are_not_cut(label):
+    page = f"<body><div id=menu>{LINKS}</div><div><p>{'What else there is to say on this site. ' * 3}</p></div><div class='{label}'><article>{BODY}</article><div class=sidebar>{LINKS}</div><div class='related-posts'><article>Other.</article></div></div>"
+    assert main_text(page) == main_text(f"<body><article>{BODY}</article>")
+
+
 def test_title_outside_the_article():
     assert main_text(f"<body><main><h1>The title</h1><article>{BODY}</article><ul><li><a href=x>more</a></ul></main>") == "The title\n\n" + WANT
     assert main_text(f"<body><div class='entry'><header class='entry-header'><h1>T</h1></header>{BODY}</div>") == WANT
