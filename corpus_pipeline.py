@@ -29,7 +29,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources: a document as often as it is taken, cut where the mix cuts it."""
+    """The mix of sources: each document, whole, as often as it is taken."""
     return op4_mixing.mixed_documents(docs)
 
 

@@ -141,8 +141,12 @@ def mix(docs: DataFrame) -> DataFrame:
     return mix_sizes(sizes)
 
 
-def mix_sizes(sizes: DataFrame) -> DataFrame:
-    """``mix`` for a table of doc_id, source, size that is cheap to read twice."""
+def mix_sizes(sizes: DataFrame, whole: bool = False) -> DataFrame:
+    """``mix`` for a table of doc_id, source, size that is cheap to read twice.
+
+    ``whole``: what remains of a quota after whole passes is not dealt in
+    blocks but in whole documents in seeded order, to the nearest document.
+    """
     goal = written(targets(sizes), "targets")
     shards = F.ceil(F.col("n_rows") / SHARD_ROWS)
     draw = _draw(F.col("doc_id"))
@@ -155,11 +159,20 @@ def mix_sizes(sizes: DataFrame) -> DataFrame:
     quota = quota.withColumn("passes", F.when(F.col("words") > 0, F.floor(F.col("wanted") / F.col("words"))).otherwise(0).cast("long"))
     quota = quota.withColumn("rest", F.col("wanted") - F.col("passes") * F.col("words"))
 
+    group = Window.partitionBy("source", "shard")
+    seeded_rows = group.orderBy("draw", "size", "doc_id")
+    if whole:
+        # Another name for each key: both tables come from ``rows``.
+        share = quota.select(F.col("source").alias("of"), F.col("shard").alias("part"), "passes", "rest")
+        line = rows.join(share, rows["source"].eqNullSafe(share["of"]) & (rows["shard"] == share["part"]))
+        left = F.col("rest") - F.coalesce(F.sum("size").over(seeded_rows.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        taken = (F.col("passes") + F.when(2 * left >= F.col("size"), 1).otherwise(0)) * F.col("size")
+        return line.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+
     # Blocks of a shard in seeded order; the first ones add up to the rest.
     block = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("words") - 1) / F.col("unit"))))
     blocks = quota.where("words > 0").select("source", "shard", "words", "unit", "rest", "passes", block.alias("block"))
     blocks = blocks.withColumn("length", F.least(F.col("unit"), F.col("words") - F.col("block") * F.col("unit")))
-    group = Window.partitionBy("source", "shard")
     seeded = group.orderBy(_draw(F.col("source"), F.col("shard"), F.col("block")), "block").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("length").over(seeded), F.lit(0))
     blocks = blocks.withColumn("chosen", F.greatest(F.lit(0), F.least(F.col("length"), F.col("rest") - before)))
@@ -168,8 +181,8 @@ def mix_sizes(sizes: DataFrame) -> DataFrame:
 
     # Documents and blocks by the word at which they start; a document takes
     # the chosen words between its start and the next document's.
-    start = F.sum("size").over(group.orderBy("draw", "size", "doc_id").rowsBetween(Window.unboundedPreceding, -1))
-    placed = rows.select("source", "shard", "doc_id", "size", "source_size", "target", F.coalesce(start, F.lit(0)).alias("at"), F.row_number().over(group.orderBy("draw", "size", "doc_id")).alias("nr"))
+    start = F.sum("size").over(seeded_rows.rowsBetween(Window.unboundedPreceding, -1))
+    placed = rows.select("source", "shard", "doc_id", "size", "source_size", "target", F.coalesce(start, F.lit(0)).alias("at"), F.row_number().over(seeded_rows).alias("nr"))
     line = placed.unionByName(
         blocks.select("source", "shard", (F.col("block") * F.col("unit")).alias("at"), F.lit(0).alias("nr"), F.struct((F.col("block") * F.col("unit")).alias("at"), "chosen", "chosen_before", "passes", "rest").alias("b")),
         allowMissingColumns=True,
@@ -183,28 +196,19 @@ def mix_sizes(sizes: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix itself, with the columns of ``docs``: each document as often as
-    it is taken whole, and once cut to its first words for what is left.
+    """The mix itself, with the columns of ``docs``: each document, whole, as often as it is taken.
 
-    Documents of equal id, source and text share what they take evenly.
+    Documents of equal id, source and text are taken equally often.
     """
     keyed = docs.withColumn("__key", F.xxhash64("text"))
     # Equal rows count as one document of their joint size while words are dealt.
-    merged = sized(docs, "doc_id", "text", "source", F.xxhash64(docs["text"]).alias("key")).groupBy("doc_id", "source", "key").agg(F.sum("size").alias("size"), F.count("*").alias("copies"))
-    unit = written(merged.select(F.to_json(F.struct("doc_id", "key", "copies"), {"ignoreNullFields": "false"}).alias("doc_id"), "source", "size"), "units")
-    dealt = mix_sizes(unit)
-    dealt = dealt.withColumn("d", F.from_json("doc_id", "doc_id long, key long, copies long"))
-    dealt = dealt.where("taken > 0").select(F.col("d.doc_id").alias("__id"), F.col("source").alias("__source"), F.col("d.key").alias("__k"), F.floor(F.col("taken") / F.col("d.copies")).alias("__taken"), F.floor(F.col("size") / F.col("d.copies")).alias("__size"))
+    merged = sized(docs, "doc_id", "text", "source", F.xxhash64(docs["text"]).alias("key")).groupBy("doc_id", "source", "key").agg(F.sum("size").alias("size"))
+    unit = written(merged.select(F.to_json(F.struct("doc_id", "key"), {"ignoreNullFields": "false"}).alias("doc_id"), "source", "size"), "units")
+    dealt = mix_sizes(unit, whole=True)
+    dealt = dealt.withColumn("d", F.from_json("doc_id", "doc_id long, key long"))
+    dealt = dealt.where("taken > 0").select(F.col("d.doc_id").alias("__id"), F.col("source").alias("__source"), F.col("d.key").alias("__k"), F.floor(F.col("taken") / F.col("size")).cast("int").alias("__times"))
     joined = keyed.join(dealt, keyed["doc_id"].eqNullSafe(dealt["__id"]) & keyed["source"].eqNullSafe(dealt["__source"]) & (keyed["__key"] == dealt["__k"]))
-    whole, left = F.floor(F.col("__taken") / F.col("__size")).cast("int"), (F.col("__taken") % F.col("__size")).cast("int")
-    times = F.explode(F.sequence(F.lit(1), whole + F.when(left > 0, 1).otherwise(0)))
-    rows = joined.where("__taken > 0").withColumn("__left", left).withColumn("__whole", whole).withColumn("__nr", times)
-    first_words = F.rtrim(F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"[\\x20\\x09-\\x0D]*{_WORD}"), F.lit(0)), F.lit(1), F.greatest(F.lit(1), F.col("__left"))), ""))
-    cut = F.col("__nr") > F.col("__whole")
-    rows = rows.withColumn("text", F.when(cut, first_words).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+    return joined.withColumn("__nr", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -179,3 +179,16 @@ def test_mixed_documents(spark):
         words[r.source] += len(WORD.findall(r.text))
     goal = {r.source: r.target for r in op4.mix(df).collect()}
     assert all(abs(words[s] - g) <= max(3, 0.05 * g) for s, g in goal.items())
+
+
+def test_mixed_documents_are_whole(spark):
+    # One short document in a source of its own makes blocks of a word.
+    rows = [(1, "only one", "tiny")] + [(10 + k, " ".join(f"w{k}-{i}" for i in range(100 + k % 7)), "abc"[k % 3]) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    texts = {r[0]: r[1] for r in rows}
+    words = Counter()
+    for r in op4.mixed_documents(df).collect():
+        assert r.text == texts[r.doc_id]
+        words[r.source] += len(WORD.findall(r.text))
+    goal = {r.source: r.target for r in op4.targets(op4.sized(df)).collect()}
+    assert all(abs(words[s] - g) <= 60 for s, g in goal.items()), (words, goal)
