@@ -137,9 +137,10 @@ def brute(text):
             continue
         least = next(bits for _, p, bits in op9.CLASSES if re.search(p, c))
         runs = []
+        plain = re.sub(op9.ALLOWED_PART, " " * 10, c)
         for i in range(len(c) - 19):
-            w = c[i : i + 20]
-            if round(-sum(w.count(x) / 20 * math.log2(w.count(x) / 20) for x in set(w)), 6) >= least:
+            w = plain[i : i + 20]
+            if " " not in w and round(-sum(w.count(x) / 20 * math.log2(w.count(x) / 20) for x in set(w)), 6) >= least:
                 if runs and i <= runs[-1][1]:
                     runs[-1][1] = i + 20
                 else:
@@ -157,6 +158,9 @@ def test_secrets(spark, tmp_path):
         body = "".join(rng.choices(rng.choice([letters, "0123456789abcdef", "ABCDEF0123456789+/", letters + "+/=_-."]), k=rng.randint(0, 60)))
         head = rng.choice(["token: ", "API_KEY=\"", "secret=secret: ", "pass ", "AKIA", "password = '", "x=550e8400-e29b-41d4-a716-446655440000 ", "ſecret=", "toKen="])
         texts.append(rng.choice(["", "é𝕏 ", " x"]) + head + body + rng.choice(["", " ", "\n", "é"]) + "".join(rng.choices("abcdefghijk=: 1234567890", k=rng.randint(0, 30))))
+    texts += ["ab-12-" * 20_000, "".join(rng.choices(letters + "+/", k=5000)), "x" + "".join(rng.choices(letters, k=300)) + "0123456789" + "".join(rng.choices(letters, k=300))]
+    texts += ["".join(rng.choices("abcd1234ABCD", weights=[9] + [1] * 11, k=3 * op9.PIECE))]  # runs here and there, also at cuts
+    texts += [" ".join("".join(rng.choices(rng.choice([letters, "0123456789abcdef"]), k=40)) for _ in range(700)), "secret=" + "f" * 40 + "/" + "".join(rng.choices(letters, k=60)) + " AKIA" + "".join(rng.choices(letters, k=60))]
     texts += texts[-5:]
     spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, spans string").write.parquet(f"{tmp_path}/documents.parquet")
     got = op9.query(spark, str(tmp_path)).collect()
