@@ -10,9 +10,7 @@ target / (2k + 1) give each source an integer number of blocks, then
 shard size / (2k + 1) gives each shard of a source its quota.  Where blocks
 are large for the shards, those of the source are dealt in smaller ones, and
 what a shard cannot take (it gives at most ``CAP`` times its words) goes to the
-source's shards with room, so the quotas add up to the source's blocks.  ``SQL``
-cuts such a quota instead; it agrees while no source has several shards of
-which one is cut, or blocks larger than 1/8 of its mean shard.  A shard's
+source's shards with room, so the quotas add up to the source's blocks.  A shard's
 documents stand in a seeded order; a quota takes whole passes over the shard
 and, for what remains, blocks in seeded order, the last one cut short.
 
@@ -35,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import written
+from .shared import fresh, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -45,7 +43,7 @@ SHARD_ROWS = 4096
 #: Blocks in the smallest target, if that keeps the number of blocks below MAX_BLOCKS.
 FINENESS = 64
 MAX_BLOCKS = 2_000_000
-#: A target below so many blocks is dealt in blocks 1/64 as large.
+#: A target below so many blocks is dealt in blocks of 1/FINENESS of itself.
 SMALL = 8
 
 _WORD = "[^\\x20\\x09-\\x0D]+"
@@ -75,7 +73,7 @@ def targets(sizes: DataFrame) -> DataFrame:
     block = F.greatest(F.lit(1.0), F.floor(smallest / FINENESS), F.ceil(F.col("total") / MAX_BLOCKS))
     by = by.withColumn("block", F.coalesce(block, F.lit(1.0)).cast("long"))
     small = F.col("target") < F.col("block") * SMALL
-    by = by.withColumn("unit", F.when(small, F.greatest(F.lit(1), F.floor(F.col("block") / 64))).otherwise(F.col("block")).cast("long"))
+    by = by.withColumn("unit", F.when(small, F.greatest(F.lit(1.0), F.floor(F.col("target") / FINENESS))).otherwise(F.col("block")).cast("long"))
     large = F.when(small, 0.0).otherwise(F.col("target"))
     seats = F.floor(F.sum(large).over(everything) / F.col("block") + 0.5)
     by = apportion(by.withColumn("votes", large).withColumn("seats", seats), [], "place")
@@ -198,24 +196,33 @@ def mix_sizes(sizes: DataFrame, whole: bool = False) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself, with the columns of ``docs``: each document, whole, as often as it is taken.
 
-    Documents of equal id, source and text are taken equally often.
+    Documents of equal id, source and text are taken equally often.  A null
+    text or one without words is never taken; columns of any name are kept.
     """
-    keyed = docs.withColumn("__key", F.xxhash64("text"))
+    names = [*docs.columns]
+    own = []
+    for name in ("key", "id", "of", "part", "times", "nr"):  # no column of ``docs`` is touched
+        own.append(fresh(name, names))
+        names.append(own[-1])
+    key, id_, of, part, times, nr = own
+    keyed = docs.withColumn(key, F.xxhash64("text"))
     # Equal rows count as one document of their joint size while words are dealt.
     merged = sized(docs, "doc_id", "text", "source", F.xxhash64(docs["text"]).alias("key")).groupBy("doc_id", "source", "key").agg(F.sum("size").alias("size"))
     unit = written(merged.select(F.to_json(F.struct("doc_id", "key"), {"ignoreNullFields": "false"}).alias("doc_id"), "source", "size"), "units")
     dealt = mix_sizes(unit, whole=True)
     dealt = dealt.withColumn("d", F.from_json("doc_id", "doc_id long, key long"))
-    dealt = dealt.where("taken > 0").select(F.col("d.doc_id").alias("__id"), F.col("source").alias("__source"), F.col("d.key").alias("__k"), F.floor(F.col("taken") / F.col("size")).cast("int").alias("__times"))
-    joined = keyed.join(dealt, keyed["doc_id"].eqNullSafe(dealt["__id"]) & keyed["source"].eqNullSafe(dealt["__source"]) & (keyed["__key"] == dealt["__k"]))
-    return joined.withColumn("__nr", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    dealt = dealt.where("taken > 0").select(F.col("d.doc_id").alias(id_), F.col("source").alias(of), F.col("d.key").alias(part), F.floor(F.col("taken") / F.col("size")).cast("int").alias(times))
+    joined = keyed.join(dealt, keyed["doc_id"].eqNullSafe(dealt[id_]) & keyed["source"].eqNullSafe(dealt[of]) & (keyed[key] == dealt[part]))
+    return joined.withColumn(nr, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("source")
 
 
-SQL = f"""
+def sql(shard_rows: int) -> str:
+    """The mix of ``documents`` in SQL, by ranking all quotients and enumerating all blocks."""
+    return f"""
 WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
 a AS (SELECT source, count(*) AS n_rows, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source COLLATE C ASC NULLS LAST) AS place FROM s GROUP BY source),
 b AS (SELECT *, [5, 2, 1][(place - 1) % 3 + 1] AS weight, 2 * source_size AS most, (sum(source_size) OVER ())::BIGINT * 1.5::DOUBLE AS total FROM a),
@@ -225,7 +232,7 @@ c AS (SELECT *, most::DOUBLE / weight AS q,
 f AS (SELECT q AS fq, place AS fplace, level AS flevel FROM c WHERE most > weight * level ORDER BY q, place LIMIT 1),
 t AS (SELECT c.*, CASE WHEN fq IS NOT NULL AND (q > fq OR q = fq AND place >= fplace) THEN weight * flevel ELSE most::DOUBLE END AS target FROM c LEFT JOIN f ON true),
 u AS (SELECT *, greatest(1, floor((SELECT min(target) FROM t WHERE target > 0) / 64), ceil(total / 2000000))::BIGINT AS block FROM t),
-v AS (SELECT *, target < block * 8 AS small, CASE WHEN target < block * 8 THEN greatest(1, block // 64) ELSE block END AS unit FROM u),
+v AS (SELECT *, target < block * 8 AS small, CASE WHEN target < block * 8 THEN greatest(1, floor(target / 64))::BIGINT ELSE block END AS unit FROM u),
 seats AS (SELECT floor(coalesce(sum(target), 0) / any_value(block) + 0.5)::BIGINT AS n FROM v WHERE NOT small),
 won AS (
   SELECT place, count(*) AS won FROM (
@@ -233,21 +240,28 @@ won AS (
     FROM (SELECT place, target, unnest(range(1, (SELECT n FROM seats) + 1)) AS k FROM v WHERE NOT small AND target > 0)) WHERE pos <= (SELECT n FROM seats) GROUP BY place),
 g AS (SELECT v.*, CASE WHEN small THEN floor(target / unit + 0.5) ELSE coalesce(won, 0) END::BIGINT AS blocks FROM v LEFT JOIN won USING (place)),
 r AS (SELECT s.doc_id, g.place, g.source, s.size, g.source_size, g.target, g.unit, g.blocks, md5('{SEED}|' || coalesce(s.doc_id::VARCHAR, 'null')) AS draw,
-        ('0x' || substr(md5('{SEED}|' || coalesce(s.doc_id::VARCHAR, 'null')), 1, 8))::BIGINT % ceil(g.n_rows / {SHARD_ROWS}.0)::BIGINT AS shard
+        ('0x' || substr(md5('{SEED}|' || coalesce(s.doc_id::VARCHAR, 'null')), 1, 8))::BIGINT % ceil(g.n_rows / {shard_rows}.0)::BIGINT AS shard
       FROM s JOIN g ON s.source IS NOT DISTINCT FROM g.source),
-h AS (SELECT place, any_value(source) AS source, shard, sum(size)::BIGINT AS words, any_value(unit) AS unit, any_value(blocks) AS seats FROM r GROUP BY place, shard),
+h0 AS (SELECT place, any_value(source) AS source, shard, sum(size)::BIGINT AS words, any_value(unit) AS unit, any_value(blocks) AS blocks FROM r GROUP BY place, shard),
+h1 AS (SELECT *, least(blocks * unit, 2 * sum(words) OVER q)::BIGINT AS goal, greatest(1, floor(sum(words) OVER q / (count(*) OVER q * 8)))::BIGINT AS finer, count(*) OVER q AS n FROM h0 WINDOW q AS (PARTITION BY place)),
+h AS (SELECT place, source, shard, words, goal, CASE WHEN n > 1 AND unit > finer THEN finer ELSE unit END AS unit, CASE WHEN n > 1 AND unit > finer THEN goal // finer ELSE blocks END AS seats FROM h1),
 hw AS (
   SELECT place, shard, count(*) AS won FROM (
     SELECT place, shard, seats, row_number() OVER (PARTITION BY place ORDER BY words::DOUBLE / (2 * k - 1) DESC, shard) AS pos
     FROM (SELECT place, shard, seats, words, unnest(range(1, seats + 1)) AS k FROM h WHERE words > 0)) WHERE pos <= seats GROUP BY place, shard),
-i AS (SELECT h.*, least(coalesce(won, 0) * unit, 2 * words) AS wanted FROM h LEFT JOIN hw USING (place, shard)),
+i0 AS (SELECT h.*, least(coalesce(won, 0) * unit, 2 * words)::HUGEINT AS dealt FROM h LEFT JOIN hw USING (place, shard)),
+i1 AS (SELECT *, goal - sum(dealt) OVER q AS missing, sum(2 * words - dealt) OVER q AS room, sum(2 * words - dealt) OVER (PARTITION BY place ORDER BY shard) AS upto FROM i0 WINDOW q AS (PARTITION BY place)),
+i AS (SELECT *, (dealt + CASE WHEN missing > 0 AND room > 0 THEN upto * missing // room - (upto - 2 * words + dealt) * missing // room ELSE 0 END)::BIGINT AS wanted FROM i1),
 j AS (SELECT *, CASE WHEN words > 0 THEN wanted // words ELSE 0 END AS passes FROM i),
 k AS (SELECT *, wanted - passes * words AS rest FROM j),
 bl AS (SELECT *, least(unit, words - block * unit) AS length FROM (SELECT *, unnest(range(0, (words - 1) // unit + 1)) AS block FROM k WHERE words > 0)),
 bc AS (SELECT *, greatest(0, least(length, rest - coalesce(sum(length) OVER (PARTITION BY place, shard ORDER BY md5('{SEED}|' || coalesce(source, 'null') || '|' || shard || '|' || block), block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))::BIGINT AS chosen FROM bl),
 p AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY place, shard ORDER BY draw, size, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos, row_number() OVER () AS id FROM r),
 o AS (SELECT p.id, sum(greatest(0, least(p.pos + p.size, bc.block * bc.unit + bc.chosen) - greatest(p.pos, bc.block * bc.unit))) AS extra
-      FROM p JOIN bc ON p.place = bc.place AND p.shard = bc.shard AND bc.block BETWEEN p.pos // p.unit AND (p.pos + p.size) // p.unit GROUP BY p.id)
+      FROM p JOIN bc ON p.place = bc.place AND p.shard = bc.shard AND bc.block BETWEEN p.pos // bc.unit AND (p.pos + p.size) // bc.unit GROUP BY p.id)
 SELECT p.doc_id, p.size::BIGINT AS size, p.source_size, p.target, CASE WHEN p.size > 0 THEN k.passes * p.size + coalesce(o.extra, 0) ELSE 0 END::BIGINT AS taken
 FROM p LEFT JOIN o USING (id) LEFT JOIN k ON k.place = p.place AND k.shard = p.shard
 """
+
+
+SQL = sql(SHARD_ROWS)

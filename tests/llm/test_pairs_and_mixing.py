@@ -125,9 +125,18 @@ def test_mix(spark, shares, monkeypatch):
     assert sorted(map(repr, op4.mix(df).collect())) == sorted(map(repr, got))
 
 
-def test_mix_equals_its_sql(spark, monkeypatch):
+@pytest.mark.parametrize("shard_rows", [4096, 37, 4])
+def test_mix_equals_its_sql(spark, monkeypatch, shard_rows):
+    monkeypatch.setattr(op4, "SHARD_ROWS", shard_rows)
     df = corpus(spark, {"a": 9, "b": 2, None: 1, "c": 3}, seed=7, n=300)
-    same(op4.mix(df).drop("source"), sql_rows(op4.SQL, documents=df))
+    same(op4.mix(df).drop("source"), sql_rows(op4.sql(shard_rows), documents=df))
+
+
+def test_mix_of_a_tiny_source(spark):
+    # Far below a block of the others.
+    sizes = spark.createDataFrame([(i, "abc"[i % 3], 30_000_000) for i in range(300)] + [(1000, "d", 130)], "doc_id long, source string, size long")
+    got = op4.mix_sizes(sizes).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert all(abs(r.taken - r.target) <= 0.01 * r.target + 1 for r in got), got
 
 
 @pytest.mark.parametrize("shares", [{"a": 1, "b": 1, "c": 1}, {"hot": 30, "Z": 2, "é": 1, None: 3, "z": 1}])
@@ -170,6 +179,9 @@ def test_mixed_documents(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
     out = op4.mixed_documents(df)
     assert out.columns == df.columns
+    clash = df.select("*", *[F.lit(7).alias(c) for c in ("key", "ID", "of", "part", "times", "nr", "__key", "unit", "blocks")])
+    mixed = op4.mixed_documents(clash)
+    assert mixed.columns == clash.columns and {tuple(r)[5:] for r in mixed.collect()} == {(7,) * 9} and mixed.count() == out.count()
     texts = {r.doc_id: r.text for r in df.collect()}
     got = out.collect()
     for r in got:
