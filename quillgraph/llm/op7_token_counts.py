@@ -1,9 +1,11 @@
 """Token counts with a whole-token shortcut.
 
-Which vocabulary strings encode alone as one token is proven once per worker
-with the library itself; pre-tokens among them count 1 without any merging,
-and only the rest are given to the merge rules.  Counts of pieces of text are
-remembered, so each distinct piece is looked at once while it is remembered.
+Which vocabulary strings encode alone as one token is proven once, on the
+driver, with the library itself, and the proven strings (a vocabulary at most)
+are sent along.  Pieces of text among them count 1 by one look-up; others are
+split into pre-tokens, those among them count 1, and only the rest are given to
+the merge rules.  Counts of pieces are remembered, so each distinct piece is
+looked at once while it is remembered.
 
 Nulls and empty texts count 0 tokens.  Rows are independent: repeated rows
 give repeated results, an empty table gives an empty result, and columns other
@@ -33,11 +35,12 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col:
     """
     spark = docs.sparkSession
     data = Path(tokenizer_path).read_bytes()
-    sent = spark.sparkContext.broadcast(data)
     piece_model = tokenizer_path.endswith(".model")
+    sent = spark.sparkContext.broadcast((data, None if piece_model else encoder(data.decode("utf-8")).whole))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = _piece_counter(sent.value) if piece_model else encoder(sent.value.decode("utf-8")).counts
+        model, whole = sent.value
+        count = _piece_counter(model) if piece_model else encoder(model.decode("utf-8"), whole).counts
         for batch in batches:
             raw, offs = text_buffers(batch.column(1))
             n = np.zeros(batch.num_rows, dtype=np.int64)

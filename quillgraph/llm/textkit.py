@@ -37,24 +37,18 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_BYTE = mix64((np.arange(256, dtype=np.uint64) + _U(1)) * _U(0x9E3779B97F4A7C15))
-_BYTE_FOLDED = _BYTE.copy()
-_BYTE_FOLDED[0x41:0x5B] = _BYTE[0x61:0x7B]
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BACK = pow(_BASE, -1, 1 << 64)
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(kind: str, n: int) -> np.ndarray:
-    """Powers 0..n-1 of the hash base or of its inverse modulo 2**64."""
-    have = _powers.get(kind)
-    if have is None or len(have) < n:
-        steps = np.full(max(n, GROUP_BYTES + 1), _BASE if kind == "up" else _BACK, dtype=np.uint64)
-        steps[0] = 1
-        have = np.multiply.accumulate(steps)
-        if n <= 4 * GROUP_BYTES:  # a rare giant text must not pin its tables
-            _powers[kind] = have
-    return have[:n]
+_FOLDED = np.arange(256, dtype=np.uint8)
+_FOLDED[0x41:0x5B] = np.arange(0x61, 0x7B)
+#: Eight bytes at a time: masks by the number of bytes that count, and a number per place in the word.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+_PLACES = 64
+
+
+def _spread(place: np.ndarray) -> np.ndarray:
+    return mix64((place.astype(np.uint64) + _U(257)) * _U(0xA0761D6478BD642F))
+
+
+_PLACE = _spread(np.arange(_PLACES))
 
 
 #: What this worker process keeps between tasks, by operator.
@@ -138,14 +132,35 @@ def find_words(buf: np.ndarray, offs: np.ndarray, is_word: np.ndarray) -> tuple[
 
 
 def hash_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
-    """A 64-bit hash per word; ``fold`` takes A-Z as a-z."""
+    """A 64-bit hash per word; ``fold`` takes A-Z as a-z.
+
+    Eight bytes at a time are mixed with their place in the word before they
+    are added, so no rule of algebra makes words collide (a polynomial modulo
+    2**64 has such words, those of the Thue-Morse sequence).
+    """
     if len(starts) == 0:
         return np.zeros(0, dtype=np.uint64)
-    sums = np.empty(len(buf) + 1, dtype=np.uint64)
-    sums[0] = 0
-    np.cumsum((_BYTE_FOLDED if fold else _BYTE)[buf] * _power("up", len(buf)), out=sums[1:])
-    h = (sums[ends] - sums[starts]) * _power("down", len(buf) + 1)[starts]
-    return mix64(h + (ends - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+    padded = np.zeros(len(buf) + 8, dtype=np.uint8)
+    padded[: len(buf)] = _FOLDED[buf] if fold else buf
+    wide = np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each byte on
+    size = ends - starts
+
+    def mixed(at: np.ndarray, left: np.ndarray, place: np.ndarray | np.uint64) -> np.ndarray:
+        return mix64((wide[at] & _MASK[np.minimum(left, 8)]) ^ place)
+
+    out = mixed(starts, size, _PLACE[0])
+    more = np.flatnonzero(size > 8)
+    for k in range(1, _PLACES):
+        if not len(more):
+            break
+        out[more] += mixed(starts[more] + 8 * k, size[more] - 8 * k, _PLACE[k])
+        more = more[size[more] > 8 * (k + 1)]
+    for w in more.tolist():  # giant words, one by one
+        at = np.arange(starts[w] + 8 * _PLACES, ends[w], 8)
+        for c in range(0, len(at), GROUP_BYTES):
+            part = at[c : c + GROUP_BYTES]
+            out[w : w + 1] += mixed(part, ends[w] - part, _spread(np.arange(_PLACES + c, _PLACES + c + len(part)))).sum(dtype=np.uint64)
+    return mix64(out + size.astype(np.uint64) * _U(0xD6E8FEB86659FD93))
 
 
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:

@@ -127,9 +127,10 @@ class Remembered:
 class PieceValues:
     """Arrays of numbers remembered for pieces."""
 
-    def __init__(self, compute: Callable[[list[str]], list[list[int]]], special: list[str], limit: int = REMEMBERED, kind: type = np.uint32):
+    def __init__(self, compute: Callable[[list[str]], list[list[int]]], special: list[str], limit: int = REMEMBERED, kind: type = np.uint32, known: dict[str, list[int]] | None = None):
         self._compute, self._kind, self._special = compute, kind, [s.encode() for s in special]
         self._known = Remembered(limit)
+        self._first = known or {}
         self._reset()
 
     def _reset(self) -> None:
@@ -137,6 +138,12 @@ class PieceValues:
         self._at = np.zeros(1, np.int64)
         self._values = np.zeros(0, self._kind)
         self._n = 0
+        if self._first:  # what is known beforehand is never forgotten
+            pieces = [x.encode() for x in self._first]
+            ends = np.cumsum([len(x) for x in pieces])
+            hashes = hash_words(np.frombuffer(b"".join(pieces), np.uint8), ends - [len(x) for x in pieces], ends, fold=False)
+            self._append(list(self._first.values()))
+            self._known.add(hashes)
 
     def _append(self, lists: list[list[int]]) -> None:
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
@@ -174,9 +181,13 @@ class PieceValues:
 
 
 class Encoder:
-    """Ids, or counts of ids, of whole texts."""
+    """Ids, or counts of ids, of whole texts.
 
-    def __init__(self, spec_json: str):
+    ``whole``: vocabulary strings proven to encode alone as one token; they are
+    proven here if not given.
+    """
+
+    def __init__(self, spec_json: str, whole: frozenset[str] | None = None):
         from tokenizers import Tokenizer
 
         spec = json.loads(spec_json)
@@ -185,9 +196,9 @@ class Encoder:
         self.tokenizer.no_padding()
         self.cut = cuts_safely(spec)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self._whole: frozenset[str] | None = None
+        self._whole = whole
         self._ids = PieceValues(self._encode, self.special, kind=np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
-        self._counts = PieceValues(lambda pieces: [[n] for n in self.count_pieces(pieces)], self.special)
+        self._counts: PieceValues | None = None
 
     def _encode(self, texts: Sequence[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
@@ -204,6 +215,8 @@ class Encoder:
         """Number of ids of each row."""
         if not self.cut:
             return np.array([len(ids) for ids in self._encode(_texts(buf, offs))], np.int64)
+        if self._counts is None:
+            self._counts = PieceValues(lambda pieces: [[n] for n in self.count_pieces(pieces)], self.special, known=dict.fromkeys(sorted(self.whole), [1]))
         values, sizes = self._counts.look_up(buf, offs)
         done = np.zeros(len(values) + 1, np.int64)
         np.cumsum(values, out=done[1:])
@@ -270,11 +283,11 @@ def _byte_chars() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
-def encoder(spec_json: str) -> Encoder:
-    """One encoder per worker process and tokenizer."""
+def encoder(spec_json: str, whole: frozenset[str] | None = None) -> Encoder:
+    """One encoder per process and tokenizer."""
     own = kept.setdefault("tokens", {})
     key = hashlib.sha256(spec_json.encode()).hexdigest()
     if key not in own:
         own.clear()
-        own[key] = Encoder(spec_json)
+        own[key] = Encoder(spec_json, whole)
     return own[key]

@@ -7,11 +7,13 @@ import random
 import re
 import string
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.llm import op1_compression_bands as op1
 from quillgraph.llm import op2_decontaminate as op2
+from quillgraph.llm import textkit
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -153,3 +155,20 @@ def test_empty_tables(spark):
     assert op2.clean_documents(d, spark.createDataFrame([(1, "Some Text")], "item_id long, text string")).count() == 0
     clash = d.withColumn("Found", F.lit("own")).withColumn("item_id", F.lit(5))
     assert [tuple(r) for r in op2.clean_documents(clash, b).collect()] == [(1, "some text", "own", 5)]
+
+
+def test_words_do_not_collide():
+    # Words that are equal under every polynomial hash modulo 2**64, and words that differ in one byte far out.
+    def thue_morse(n, a, b):
+        return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
+
+    words = [thue_morse(1 << k, *ab) for k in range(10, 15) for ab in ("xy", "yx")]
+    words += ["z" * n + end for n in (0, 7, 8, 9, 511, 512, 520, 600_000) for end in ("", "a", "b", "aa", "ab") if n or end]
+    raw, offs = textkit.text_buffers(pa.array([" ".join(words).upper(), " ".join(reversed(words))]))
+    starts, ends, first = textkit.find_words(raw, offs, textkit.PLAIN)
+    hashes = textkit.hash_words(raw, starts, ends)
+    assert first.tolist() == [0, len(words), 2 * len(words)] and len(set(hashes.tolist())) == len(words)
+    assert hashes[: len(words)].tolist() == hashes[len(words) :][::-1].tolist()
+    alone = [textkit.hash_words(r, *textkit.find_words(r, o, textkit.PLAIN)[:2]).tolist() for r, o in (textkit.text_buffers(pa.array([w])) for w in words)]
+    assert [h for a in alone for h in a] == hashes[: len(words)].tolist()
+    assert textkit.hash_words(raw, starts, ends, fold=False)[0] != hashes[0]

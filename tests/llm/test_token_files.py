@@ -142,3 +142,15 @@ def test_many_blocks(spark, tmp_path, library):
         ids = [*want(library, r.text), 0]
         assert tuple(got[r.doc_id]) == (r.doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
+
+
+def test_pieces_with_equal_polynomial_hashes(library):
+    texts = ["".join(ab[bin(i).count("1") % 2] for i in range(2048)) for ab in ("xy", "yx", "ab", "ba")]
+    encode = Encoder(library.to_str())
+    raw, offs = text_buffers(pa.array(texts))
+    ids, sizes = encode.ids(raw, offs)
+    assert ids.tolist() == [i for t in texts for i in want(library, t)]
+    assert encode.counts(raw, offs).tolist() == sizes.tolist() == [len(want(library, t)) for t in texts]
+    known = sorted(encode.whole)[::50]
+    raw, offs = text_buffers(pa.array(known))
+    assert set(encode.counts(raw, offs).tolist()) == {1} == {len(want(library, t)) for t in known}
