@@ -14,7 +14,7 @@ HUB_EDGES = 1_000
 HUBS = 10_000
 
 
-def connected_components(edges: DataFrame, name: str = "components", most: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b: long) but the roots; the
     root is the smallest node of the component.
 
@@ -27,9 +27,7 @@ def connected_components(edges: DataFrame, name: str = "components", most: int =
     """
     now = written(edges.where("a <> b").select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).distinct(), name)
     state = _state(now)
-    for _ in range(most):
-        if state[0] == 0:
-            break
+    while state[0]:
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select(F.col("a").alias("x"), F.least("a", "m").alias("m"), "n")
         hub = max(HUB_EDGES, 2 * state[0] // HUBS)  # the edges, each seen from two sides, make at most HUBS such nodes
@@ -45,8 +43,6 @@ def connected_components(edges: DataFrame, name: str = "components", most: int =
         if after == state:
             break
         state = after
-    else:
-        raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 

@@ -6,12 +6,14 @@
    hash) linked sets must share ``SHARED`` of their first shingles.  How
    frequent a shingle is only shapes that order, so the counts may be those of
    shingles seen repeatedly within a task; at most ``FREQUENT`` are broadcast.
-3. Lists of nodes by shingle.  Short lists give pairs; long lists only tie their
-   nodes to a leader.  Lists are sorted by set size and broken where sizes
-   differ too much to link.  Lists of very frequent shingles are salted and
-   their leaders tied together.
-4. Pairs that share enough, and ties, make groups of nodes that may link.  Each
-   node's set is shipped once, to its group.
+3. Lists of nodes by shingle.  Short lists give pairs, of which those that share
+   enough are kept.  The nodes of long lists are compared by sketches: 512 bits,
+   each the parity of the shingles that fall on it, so two sets differ by at
+   least as many shingles as their sketches by bits, and no linked pair is
+   lost.  Only edges of a spanning forest leave the list.  Lists of thousands
+   are cut into blocks and compared two blocks at a time.
+4. Both kinds of edges make groups of nodes that may link.  Each node's set is
+   shipped once, to its group.
 5. Inside a group an inverted index is kept in order of set size.  A leader's
    overlaps with all sets are counted from its lists, each list entered by
    position at the first size that can link (block skipping).  The overlaps of
@@ -54,6 +56,10 @@ SHARED = 4
 FREQUENT = 200_000
 #: Shingles counted together within a task, and the count there from which one is told.
 COUNTED, TOLD = 4_000_000, 3
+#: Bits of a sketch.
+SKETCH = 512
+_WORDS = SKETCH // 64
+_SKETCH = [f"s{k}" for k in range(_WORDS)]
 #: A set is derived from the leader if it has at least this share in common.
 DERIVE = 0.6
 
@@ -66,8 +72,8 @@ class Limits:
 
     #: Lists up to this length give pairs.
     short: int = 24
-    #: Nodes of a salted list that go to one task, about.
-    salted: int = 5_000
+    #: Nodes of a salted list that go to one task, about, and of a block of a long list.
+    salted: int = 4_000
     #: Shingles of a block of a group.
     block: int = 1_000_000
     #: Bytes of rows that may be broadcast.
@@ -95,6 +101,21 @@ def fingerprint(s: np.ndarray) -> tuple[int, int]:
     return int(np.int64(a)), int(np.int64(b))
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Per bit, whether an odd number of the set's shingles falls on it."""
+    bits = np.bincount((mix64(s) >> _U(64 - 9)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.uint64)
+
+
+def may_link(a: np.ndarray, b: np.ndarray, na: np.ndarray | int, nb: np.ndarray | int) -> np.ndarray:
+    """Whether sets of sizes ``na``, ``nb`` with these sketches may link.
+
+    Linked sets differ by at most (100 - PERCENT) / (100 + PERCENT) of both sizes.
+    """
+    differ = np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+    return (100 + PERCENT) * differ <= (100 - PERCENT) * (na + nb)
+
+
 def _sets(column: pa.Array) -> Iterator[np.ndarray]:
     """Sets of a column, some rows at a time."""
     _, offs = text_buffers(column)
@@ -103,7 +124,8 @@ def _sets(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def _profiles(docs: DataFrame) -> DataFrame:
-    """A row per document (doc_id, n, f1, f2), and rows (token, count) of shingles frequent in a task."""
+    """A row per document (doc_id, n, f1, f2, sketch), and rows (token, count) of shingles frequent in a task."""
+    names = ["doc_id", "n", "f1", "f2", *_SKETCH, "token", "count"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -116,13 +138,13 @@ def _profiles(docs: DataFrame) -> DataFrame:
             none = pa.nulls(len(tokens), pa.int64())
             held.clear()
             seen.clear()
-            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(tokens.view(np.int64)), pa.array(n)], ["doc_id", "n", "f1", "f2", "token", "count"])
+            return pa.RecordBatch.from_arrays([*[none] * (4 + _WORDS), pa.array(tokens.view(np.int64)), pa.array(n)], names)
 
         for batch in batches:
             rows = []
             for s in _sets(batch.column(1)):
                 f = fingerprint(s)
-                rows.append((len(s), *f))
+                rows.append((len(s), *f, *sketch(s).view(np.int64).tolist()))
                 if len(s) and f not in seen:
                     seen.add(f)
                     held.append(s)
@@ -130,13 +152,13 @@ def _profiles(docs: DataFrame) -> DataFrame:
                 if size >= COUNTED:
                     yield tell()
                     size = 0
-            columns = [np.array(c, np.int64) for c in zip(*rows, strict=True)] if rows else [np.zeros(0, np.int64)] * 3
+            columns = [np.array(c, np.int64) for c in zip(*rows, strict=True)] if rows else [np.zeros(0, np.int64)] * (3 + _WORDS)
             none = pa.nulls(len(rows), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns), none, none], ["doc_id", "n", "f1", "f2", "token", "count"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns), none, none], names)
         if held:
             yield tell()
 
-    return docs.mapInArrow(trimmed(run), "doc_id long, n long, f1 long, f2 long, token long, count long")
+    return docs.mapInArrow(trimmed(run), ", ".join(f"{x} long" for x in names))
 
 
 def _prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -177,20 +199,20 @@ def _prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataF
 
 
 class _Lists:
-    """Turns nodes sorted by (token, salt, size, node) into pairs and ties."""
+    """Turns nodes sorted by (token, salt, size, node) into pairs and members of long lists."""
 
     def __init__(self, short: int) -> None:
         self.short = short
-        self.leader: tuple[tuple[int, int], int, int] | None = None  # key, last size, leader of a long list that goes on
+        self.open: tuple[tuple[int, int], int] | None = None  # key and last size of a long list that goes on
 
     def take(self, token: np.ndarray, salt: np.ndarray, n: np.ndarray, node: np.ndarray, last: bool) -> tuple[list[np.ndarray], int]:
-        """Rows (kind, a, b, n of a, n of b, token), and how many input rows are used up."""
+        """Rows (0, a, b, n of a, n of b) and (1, token, node, n, 0), and how many input rows are used up."""
         if not len(token):
             return [], 0
         # A new list starts with another key, or where sizes leave no possible link.
         new = np.ones(len(token), dtype=bool)
         new[1:] = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1]) | (100 * n[:-1] < PERCENT * n[1:])
-        goes_on = self.leader is not None and self.leader[0] == (int(token[0]), int(salt[0])) and 100 * self.leader[1] >= PERCENT * int(n[0])
+        goes_on = self.open is not None and self.open[0] == (int(token[0]), int(salt[0])) and 100 * self.open[1] >= PERCENT * int(n[0])
         starts = np.flatnonzero(new)
         used = len(token)
         if not last and len(token) - starts[-1] <= self.short and not (len(starts) == 1 and goes_on):
@@ -201,39 +223,28 @@ class _Lists:
             token, salt, n, node = token[:used], salt[:used], n[:used], node[:used]
         length = np.diff(np.append(starts, used))
         which = np.repeat(np.arange(len(starts)), length)
-        tie = (length > self.short) | (salt[starts] > 0)
+        long = (length > self.short) | (salt[starts] > 0)
         if goes_on:
-            tie[0] = True
+            long[0] = True
         if not last and used == len(new):
-            tie[-1] = True
-        leader = node[starts].copy()
-        if goes_on:
-            leader[0] = self.leader[2]
+            long[-1] = True
         out = []
         for d in range(1, self.short):
-            a = np.flatnonzero((which[d:] == which[:-d]) & ~tie[which[d:]])
+            a = np.flatnonzero((which[d:] == which[:-d]) & ~long[which[d:]])
             if not len(a):
                 break
             a = a[(100 * n[a] >= PERCENT * n[a + d]) & (node[a] != node[a + d])]
-            out.append(np.stack([np.zeros(len(a), np.int64), node[a], node[a + d], n[a], n[a + d], np.zeros(len(a), np.int64)]))
-        tied = np.flatnonzero(tie[which])
-        tied = tied[node[tied] != leader[which[tied]]]
-        none = np.zeros(len(tied), np.int64)
-        out.append(np.stack([none + 1, leader[which[tied]], node[tied], none, none, none]))
-        # Leaders of salted lists are brought together by token.
-        salted = np.flatnonzero(salt[starts] > 0)
-        if goes_on:
-            salted = salted[salted > 0]
-        none = np.zeros(len(salted), np.int64)
-        out.append(np.stack([none + 2, node[starts[salted]], none, n[starts[salted]], n[starts[salted] + length[salted] - 1], token[starts[salted]]]))
-        self.leader = ((int(token[-1]), int(salt[-1])), int(n[-1]), int(leader[-1])) if tie[-1] else None
+            out.append(np.stack([np.zeros(len(a), np.int64), node[a], node[a + d], n[a], n[a + d]]))
+        own = np.flatnonzero(long[which])
+        out.append(np.stack([np.ones(len(own), np.int64), token[own], node[own], n[own], np.zeros(len(own), np.int64)]))
+        self.open = ((int(token[-1]), int(salt[-1])), int(n[-1])) if long[-1] else None
         return out, used
 
 
 def _list_rows(batches: Iterator[pa.RecordBatch], short: int, chunk: int = 200_000) -> Iterator[pa.RecordBatch]:
     """``_Lists`` over the sorted rows (token, salt, n, node) of a partition."""
     lists, held, size = _Lists(short), [], 0
-    names = ["kind", "a", "b", "na", "nb", "token"]
+    names = ["kind", "a", "b", "na", "nb"]
 
     def flush(last: bool) -> Iterator[pa.RecordBatch]:
         nonlocal held, size
@@ -252,6 +263,50 @@ def _list_rows(batches: Iterator[pa.RecordBatch], short: int, chunk: int = 200_0
     yield from flush(True)
 
 
+def forest(n: np.ndarray, sketches: np.ndarray) -> np.ndarray:
+    """Per set, in ascending order of size, the first set it is joined to by pairs that may link."""
+    label = np.arange(len(n))
+    upto = np.searchsorted(n, 100 * n // PERCENT, side="right")
+    for i in range(len(n) - 1):
+        others = i + 1 + np.flatnonzero(label[i + 1 : upto[i]] != label[i])
+        for at in range(0, len(others), 1 << 15):
+            part = others[at : at + (1 << 15)]
+            near = part[may_link(sketches[part], sketches[i], n[part], n[i])]
+            if len(near):
+                met = np.unique(np.append(label[near], label[i]))
+                label[np.isin(label, met)] = met[0]
+    return label
+
+
+def _tie_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) of the sorted rows (token, i, j, n, node, sketch)."""
+    held: list[np.ndarray] = []
+
+    def close(rows: np.ndarray) -> pa.RecordBatch | None:
+        rows = rows[np.append(True, rows[1:, 4] != rows[:-1, 4])]
+        if len(rows) < 2:
+            return None
+        node = rows[:, 4]
+        label = forest(rows[:, 3], np.ascontiguousarray(rows[:, 5:]).view(np.uint64))
+        tied = np.flatnonzero(label != np.arange(len(label)))
+        return pa.RecordBatch.from_arrays([pa.array(node[label[tied]]), pa.array(node[tied])], ["a", "b"])
+
+    for batch in batches:
+        rows = np.stack([batch.column(k).to_numpy() for k in range(5 + _WORDS)], axis=1)
+        if held:
+            rows = np.concatenate([*held, rows])
+        edge = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1
+        for a, b in zip(np.append(0, edge)[:-1].tolist(), edge.tolist()):
+            found = close(rows[a:b])
+            if found is not None:
+                yield found
+        held = [rows[edge[-1] if len(edge) else 0 :]]
+    if held and len(held[0]):
+        found = close(held[0])
+        if found is not None:
+            yield found
+
+
 def overlaps_within(sets: list[np.ndarray], weight: np.ndarray, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(smallest linked-together index, weight of linked sets) of each set.
 
@@ -386,12 +441,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     profiles = written(_profiles(rows), "profiles")
-    told = profiles.where("token IS NULL").select("doc_id", "n", "f1", "f2")
+    whole = profiles.where("token IS NULL")
+    told = whole.select("doc_id", "n", "f1", "f2")
     n_rows = told.count()
-    nodes = told.where("n > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    nodes = whole.where("n > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), *[F.first(x).alias(x) for x in _SKETCH])
     # A node is called by the smallest doc_id of its set; further sets of the same doc_id get other, negative names.
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("f1", "f2"))
-    nodes = written(nodes.withColumn("k", place).select("f1", "f2", "n", "doc_id", "copies", F.when(F.col("k") == 1, F.col("doc_id")).otherwise(-1 - F.abs(F.xxhash64("doc_id", "k") % (1 << 62))).alias("node")), "nodes", rows=n_rows)
+    nodes = written(nodes.withColumn("k", place).select("f1", "f2", "n", "doc_id", "copies", F.when(F.col("k") == 1, F.col("doc_id")).otherwise(-1 - F.abs(F.xxhash64("doc_id", "k") % (1 << 62))).alias("node"), *_SKETCH), "nodes", rows=n_rows)
     tokens, counts = frequent = _frequent(profiles, limits.frequent_from)
 
     # Lists by shingle.  Very frequent shingles have their lists salted.
@@ -407,13 +463,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         posts = posts.join(F.broadcast(table), "token", "left").withColumn("salt", F.when(F.col("salts").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("node"), F.col("salts"))).cast("long")).drop("salts")
     ordered = ["token", "salt", "n", "node"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kinds = "kind long, a long, b long, na long, nb long, token long"
+    kinds = "kind long, a long, b long, na long, nb long"
     listed = written(posts.select(*ordered).repartition(parts, "token", "salt").sortWithinPartitions(*ordered).mapInArrow(trimmed(lambda rows: _list_rows(rows, limits.short)), kinds), "lists")
-    bridges = listed.where("kind = 2")
-    ends = bridges.groupBy("token").agg(F.min("a").alias("leader"))
-    ties = listed.where("kind = 1").select("a", "b").union(bridges.join(ends, "token").select(F.col("leader").alias("a"), F.col("a").alias("b")).where("a <> b"))
     enough = F.least(F.lit(SHARED), F.ceil(F.col("na") * PERCENT / 100), F.ceil(F.col("nb") * PERCENT / 100))
     pairs = listed.where("kind = 0").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared")).where(F.col("shared") >= enough).select("a", "b")
+    # A linked pair with a common shingle in a long list is found there, whatever else it shares.
+    long = listed.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("node"))
+    cut = long.groupBy("token").agg(F.count("*").alias("length")).where(F.col("length") > 2 * limits.salted)
+    cut = cut.select("token", F.greatest(F.lit(3), F.ceil(F.col("length") / limits.salted)).cast("long").alias("blocks"))
+    long = long.join(cut, "token", "left").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    other = F.explode(F.expr("CASE WHEN blocks IS NULL THEN array(0L) ELSE filter(sequence(0L, blocks - 1), x -> x <> block) END"))
+    sides = ["token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "n", "node", *_SKETCH]
+    placed = long.join(nodes.select("node", "n", *_SKETCH), "node").withColumn("other", other).withColumn("block", F.coalesce("block", F.lit(0))).select(*sides)
+    by_size = ["token", "i", "j", "n", "node"]
+    ties = written(placed.repartition(parts, "token", "i", "j").sortWithinPartitions(*by_size).mapInArrow(trimmed(_tie_rows), "a long, b long"), "ties")
 
     # Groups of nodes that may link; what is in none has no link.
     grouped = connected_components(pairs.union(ties), "groups")

@@ -112,6 +112,42 @@ def test_overlaps_within():
     assert ((part[:, None] == part[None, :]) == reach).all()
 
 
+def test_sketches_lose_no_linked_pair():
+    rng = np.random.default_rng(5)
+    sets = []
+    for size in (9, 12, 19, 40, 200, 3000):
+        base = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
+        for _ in range(25):
+            some = base[rng.random(len(base)) > rng.choice([0, 0.02, 0.05, 0.2])]
+            sets.append(np.unique(np.concatenate([some, rng.integers(0, 2**63, rng.integers(0, 1 + size // 15), dtype=np.uint64)])))
+    sets.sort(key=len)
+    n, marks = np.array([len(s) for s in sets]), np.stack([op5.sketch(s) for s in sets])
+    label = op5.forest(n, marks)
+    unlike = 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(np.intersect1d(a, sets[j])) >= 90 * len(np.union1d(a, sets[j])):
+                assert op5.may_link(marks[i], marks[j], n[i], n[j]) and label[i] == label[j]
+            unlike += label[i] != label[j]
+    assert unlike > len(sets) ** 2 // 3  # sets of different texts stay apart
+
+
+def test_texts_of_few_words_make_no_large_group(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices([f"w{k}" for k in range(14)], k=12)) for _ in range(6000)]
+    tables = {}
+
+    def spy(df, name, *args, real=op5.written, **more):
+        tables[name] = real(df, name, *args, **more)
+        return tables[name]
+
+    monkeypatch.setattr(op5, "written", spy)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = op5.jaccard_components(df, limits=op5.Limits(short=3, salted=40, frequent_from=2)).collect()
+    assert sum(r.component_id != r.doc_id for r in got) < 20
+    assert tables["ties"].count() < 100 and max([r["count"] for r in tables["members"].groupBy("root").count().collect()], default=0) < 10
+
+
 def test_connected_components(spark):
     chain = [(i, i + 1) for i in range(0, 40)] + [(100, 90), (95, 90), (7, 7), (200, 201), (201, 200)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
