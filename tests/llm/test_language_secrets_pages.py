@@ -5,6 +5,7 @@ import math
 import random
 import re
 import string
+import time
 import zlib
 
 import numpy as np
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm import op6_language_ppm as op6
 from quillgraph.llm import op9_secrets as op9
+from quillgraph.llm import op10_text_density as op10
 from quillgraph.llm.op10_text_density import extract_pages, main_text
 
 # Language
@@ -219,6 +221,78 @@ def test_text_of_blocks():
     assert main_text(page) == "A title inline\n\nOne two three<x>\n\nNext link.\n\nitem\n\nother\n\na b\n\ntail text"
 
 
+def grown(rng, depth):
+    """A random element as (name, children), children being elements or texts."""
+    name = rng.choice(["div", "div", "section", "p", "ul", "a", "span", "nav"] if depth else ["p", "a", "span"])
+    kids = []
+    for _ in range(rng.randint(1, 4)):
+        kids.append(" ".join("word" * rng.randint(1, 3) for _ in range(rng.randint(1, 25))) if not depth or name == "p" or rng.random() < 0.3 else grown(rng, depth - 1))
+    return (name, kids)
+
+
+def written_out(e):
+    return e if isinstance(e, str) else f"<{e[0]}>{''.join(map(written_out, e[1]))}</{e[0]}>"
+
+
+def counted(e):
+    """(characters, linked characters, tags, link tags) in an element, by recursion."""
+    if isinstance(e, str):
+        return (len(e.replace(" ", "")), 0, 0, 0)
+    c, lc, t, lt = map(sum, zip(*map(counted, e[1])))
+    inner = [k[0] for k in e[1] if not isinstance(k, str)]
+    t, lt = t + len(inner), lt + inner.count("a")
+    return (c, c, t, t) if e[0] == "a" else (c, lc, t, lt)
+
+
+def test_densities_by_brute_force():
+    rng = random.Random(11)
+    for _ in range(60):
+        tree = ("body", [grown(rng, 3) for _ in range(5)])
+        page = written_out(tree)
+        whole = counted(tree)
+        found = []
+
+        def density(e, whole=whole):
+            c, lc, t, lt = counted(e)
+            if not c:
+                return 0.0
+            t, lt = max(1, t), max(1, lt)
+            base = math.log(c / max(1, c - lc) * lc + whole[1] / max(1, whole[0]) * c + math.e)
+            return max(0.0, c / t * math.log(max(1.0, c / max(1, lc) * t / lt) + 1) / math.log(base + 1))
+
+        def walk(e, path, cut):
+            cut = cut or e[0] == "nav"
+            path = [*path, density(e)]
+            kids = [k for k in e[1] if not isinstance(k, str)]
+            if counted(e)[0] and not cut and e[0] not in ("a", "span"):
+                total = sum(counted(k)[0] for k in e[1] if isinstance(k, str)) + sum(density(k) for k in kids if k[0] != "nav")
+                found.append((total, min(path), e[0]))
+            for k in kids:
+                walk(k, path, cut)
+
+        walk(tree, [], False)
+        root, texts = op10._parse(page)
+        order = op10._settle_cuts(root, texts)
+        path, threshold = op10._core(order, op10._measure(order))
+        best = max(found, key=lambda x: x[0])
+        assert path[0].total == pytest.approx(best[0]) and path[0].name == best[2] and threshold == pytest.approx(best[1])
+
+
+@pytest.mark.parametrize("bad", ["<a ", '<a ">" ', '<a "', "<i>", "<!-- ", "<div></p>", "<p a=", "<li><i>", "</b>", "<b 'x\">"])
+def test_broken_pages_take_time_in_proportion(bad):
+    began = time.perf_counter()
+    main_text(bad * (400_000 // len(bad)) + "</b>" * 1000)
+    assert time.perf_counter() - began < 20
+
+
+def test_siblings_that_reach_the_threshold():
+    parts = "".join(f"<section>{BODY}<p>Part {k}.</p></section>" for k in range(3))
+    page = f"<body><div>{LINKS}</div><div><div>{parts}</div></div><div class='meta'><a href=x>one</a> <a href=y>two</a></div></body>"
+    assert main_text(page) == "\n\n".join(f"{WANT}\n\nPart {k}." for k in range(3))
+    assert main_text(f"<body><article>{BODY}<p class='related'>A related thought.</p></article>").endswith("A related thought.")
+    assert main_text(f"<body><form id=aspnet><div>{BODY}</div><input></form><footer>f</footer>") == WANT
+
+
 def test_odd_pages(spark):
     pages = [None, "", "   ", "plain text only", "<", "<p", "</div></p>", "<!-- never closed", "<b>" * 3000 + "deep", "<div>" * 3000 + "deep div", "<script>", "<a href='x>y'>z</a>", "x" * 300_000, "<p>" + "long words " * 50_000 + "</p>"]
     rows = [(i, "u", h, "t") for i, h in enumerate(pages)] + [(3, "u", pages[3], "t")]
