@@ -1,16 +1,25 @@
 """Language identification by prediction by partial matching.
 
-Per language a byte context tree of order ``ORDER`` (escape method C with
-exclusion) is learned; then its statistics are frozen.  A frozen tree gives
-each byte after each context one fixed code length, so scoring a text is one
-table lookup per byte and language, and the sum is its exact code length under
-that tree.  The language of the shortest code is predicted.
+Per language a byte context tree of order ``ORDER`` is learned; then its
+statistics are frozen.  A byte is coded in the longest known context with its
+share there (escape method C, no exclusion); a byte that is new there costs an
+escape and is coded in the context one byte shorter, and at last as one of 256.
+Only contexts and bytes that occur are stored, each with the code lengths of
+all languages: a byte of text takes one look-up, or one per escape.  The sum
+is the text's exact code length under each tree; the language of the shortest
+one is predicted.
+
+Bounds of the model, whatever the data: ``ROWS`` counts are brought to the
+driver, ``MODEL_BYTES`` bytes are kept, of ``LANGS`` languages.  Beyond them
+the rarest bytes-in-context go first (by their share in the language where it
+is largest), so all orders stay in use.
 
 Learned from at most about ``SAMPLE`` documents per language, chosen by a hash
 of their id (a documented bound; whole texts), and never from held-out ones.
 Prediction reads whole texts and nothing but the text.
 
-``und`` with score 0 is returned for null texts, texts without a letter, and
+``und`` with score 0 is returned for null texts, texts without a letter (a code
+point of a Unicode letter category), and
 everything if there is nothing to learn from.  Ties go to the language first in
 code point order.  A document without an id is not learned from and not held
 out.  Repeated rows get repeated results; other columns are kept by
@@ -19,7 +28,6 @@ out.  Repeated rows get repeated results; other columns are kept by
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,138 +37,168 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fresh
-from .textkit import groups, text_buffers, trimmed
+from .shared import fresh, written
+from .textkit import groups, mix64, text_buffers, trimmed
+from .tokens import Remembered
 
 ORDER = 3
 #: Documents learned from per language, about.
 SAMPLE = 3000
-#: Bytes of the frozen table at most; the rarest contexts of full order go first.
-TABLE_BYTES = 48 << 20
+#: Bytes of the frozen model at most, indexes included.
+MODEL_BYTES = 96 << 20
+#: Counts brought to the driver and languages learned at most, the commonest first.
+ROWS = 4_000_000
+LANGS = 500
 #: The score compares code lengths of so many bytes of average text.
 SCORE_BYTES = 16
 #: A prediction below this score is not trusted by the filter.
 MIN_SCORE = 0.4
 
 _NEWLINE = 10
-_LETTER = re.compile(r"[^\W\d_]")
+_ALL = np.uint32(0xFFFFFFFF)
 
 
 def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 4 == 2, F.lit(False))
 
 
+class Table:
+    """Rows of numbers by 32-bit keys.  Only keys and rows are pickled; the index is made where it is used."""
+
+    def __init__(self, keys: np.ndarray, rows: np.ndarray):
+        self.keys, self.rows = keys, rows
+        self._index: Remembered | None = None
+
+    def __getstate__(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.keys, self.rows
+
+    def __setstate__(self, state: tuple[np.ndarray, np.ndarray]) -> None:
+        self.__init__(*state)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The row number of each key, -1 where there is none."""
+        if self._index is None:
+            self._index = Remembered()
+            self._index.add(mix64(self.keys.astype(np.uint64)))
+        return self._index.find(mix64(keys.astype(np.uint64)))
+
+
+#: Bytes per row of a table beside the numbers: the key, and slots of the index.
+_ROW_BYTES = 4 + 4 * 12
+
+
+def _last(codes: np.ndarray, n: int) -> np.ndarray:
+    """The last n bytes of codes of four bytes."""
+    return codes & (_ALL >> np.uint32(32 - 8 * n)) if n else codes & np.uint32(0)
+
+
 @dataclass
 class Model:
-    """Code lengths in bits: table[row * symbols + symbol, language]."""
+    """Code lengths in bits, a column per language."""
 
     langs: list[str]
-    symbol: np.ndarray  # of a byte; the last symbol stands for bytes never learned
-    n_symbols: int
-    row: np.ndarray  # of three preceding symbols
-    table: np.ndarray
+    #: Of each byte without context.
+    none: np.ndarray
+    #: By order 1..ORDER: of bytes in contexts that some language knows, escapes of all kinds included.
+    known: list[Table]
+    #: By order 1..ORDER: of the escape from contexts; 0 where a language does not know the context.
+    escape: list[Table]
+
+    def bits(self, codes: np.ndarray, order: int = ORDER) -> np.ndarray:
+        """Of the last byte of each code after the bytes before it."""
+        if order == 0:
+            return self.none[_last(codes, 1)]
+        at = self.known[order - 1].find(_last(codes, order + 1))
+        new = np.flatnonzero(at < 0)
+        if not len(new):
+            return self.known[order - 1].rows[at]
+        out = np.empty((len(codes), len(self.langs)), np.float32)
+        old = np.flatnonzero(at >= 0)
+        out[old] = self.known[order - 1].rows[at[old]]
+        codes = codes[new]
+        lower = self.bits(codes, order - 1)
+        context = self.escape[order - 1].find(_last(codes >> np.uint32(8), order))
+        hit = np.flatnonzero(context >= 0)
+        lower[hit] += self.escape[order - 1].rows[context[hit]]
+        out[new] = lower
+        return out
 
     def lengths(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Bits of each row's text under each language's tree."""
         out = np.zeros((len(offs) - 1, len(self.langs)))
-        if not len(buf):
-            return out
-        now = self.symbol[buf].astype(np.int32)
-        context = np.zeros(len(buf), np.int32)
-        begin, end = offs[:-1], offs[1:]
-        for back in range(ORDER, 0, -1):
-            past = np.empty(len(buf), np.int32)
-            past[back:] = now[:-back] if back < len(buf) else now[:0]
-            past[:back] = self.symbol[_NEWLINE]
-            for k in range(back):  # before its first byte a text has newlines
-                at = begin + k
-                past[at[at < end]] = self.symbol[_NEWLINE]
-            context = context * self.n_symbols + past
-        costs = self.table[self.row[context].astype(np.int64) * self.n_symbols + now]
-        full = np.flatnonzero(end > begin)
-        out[full] = np.add.reduceat(costs, begin[full], axis=0, dtype=np.float64)
+        full = np.flatnonzero(offs[1:] > offs[:-1])
+        begin = offs[:-1][full]
+        step = max(1 << 12, (1 << 20) // len(self.langs))  # bounds the matrix of code lengths
+        codes = contexts(buf, offs)
+        for a in range(0, len(buf), step):
+            costs = self.bits(codes[a : a + step])
+            rows = slice(int(np.searchsorted(begin, a, side="right")) - 1, int(np.searchsorted(begin, a + step, side="left")))
+            out[full[rows]] += np.add.reduceat(costs, np.maximum(begin[rows], a) - a, axis=0, dtype=np.float64)
         return out
 
 
-def count_contexts(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(four bytes as one number, count) over texts preceded by newlines."""
-    wide = buf.astype(np.uint32)
-    code = wide.copy()
+def contexts(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Each byte and the three before it as one number, over texts preceded by newlines."""
+    code = buf.astype(np.uint32)
     for back in range(1, ORDER + 1):
-        past = np.full(len(buf), _NEWLINE, np.uint32)
-        past[back:] = wide[:-back] if back < len(buf) else wide[:0]
+        past = np.full(len(buf), _NEWLINE, np.uint8)
+        past[back:] = buf[:-back] if back < len(buf) else buf[:0]
         for k in range(back):
             at = offs[:-1] + k
             past[at[at < offs[1:]]] = _NEWLINE
-        code |= past << np.uint32(8 * back)
-    return np.unique(code, return_counts=True)
-
-
-def freeze(langs: list[str], codes: dict[str, tuple[np.ndarray, np.ndarray]], table_bytes: int = TABLE_BYTES) -> Model:
-    """The code length of every symbol after every context that any language knows."""
-    seen = np.zeros(256, dtype=bool)
-    for c, _ in codes.values():
-        seen[c & 0xFF] = True
-    seen[_NEWLINE] = True
-    known = np.flatnonzero(seen)
-    n = len(known) + 1
-    symbol = np.full(256, n - 1, np.uint8 if n <= 256 else np.uint16)
-    symbol[known] = np.arange(n - 1)
-    counts: dict[str, np.ndarray] = {}
-    grams: dict[str, np.ndarray] = {}
-    for lang, (c, k) in codes.items():
-        parts = [symbol[c >> np.uint32(8 * back) & np.uint32(0xFF)].astype(np.int64) for back in (3, 2, 1, 0)]
-        grams[lang] = ((parts[0] * n + parts[1]) * n + parts[2]) * n + parts[3]
-        counts[lang] = k.astype(np.float64)
-
-    triples, inverse = np.unique(np.concatenate([g // n for g in grams.values()]), return_inverse=True)
-    limit = max(0, table_bytes // (4 * n * len(langs)) - n * n - n - 1)
-    if len(triples) > limit:
-        weight = np.bincount(inverse, np.concatenate(list(counts.values())))
-        triples = np.sort(triples[np.lexsort((triples, -weight))[:limit]])
-    pairs = np.arange(n * n)
-    rows = len(triples) + n * n + n + 1
-    # Rows: full contexts, then pairs, then single symbols, then none.
-    table = np.empty((rows, n, len(langs)), np.float32)
-    row = (len(triples) + np.arange(n**3) % (n * n)).astype(np.int32)
-    row[triples] = np.arange(len(triples))
-    for k, lang in enumerate(langs):
-        g, c = grams[lang], counts[lang]
-        three = np.zeros((len(triples), n), np.float32)
-        place = np.minimum(np.searchsorted(triples, g // n), max(0, len(triples) - 1))
-        own = triples[place] == g // n if len(triples) else np.zeros(len(g), bool)
-        np.add.at(three, (place[own], g[own] % n), c[own])
-        two = np.bincount(g % n**3, c, n**3).reshape(n * n, n).astype(np.float32)
-        one = np.bincount(g % n**2, c, n**2).reshape(n, n).astype(np.float32)
-        zero = np.bincount(g % n, c, n).reshape(1, n).astype(np.float32)
-        nothing = np.zeros((1, n), np.float32)
-        at2, at1 = triples % (n * n), pairs % n
-        table[: len(triples), :, k] = _bits([three, two[at2], one[at2 % n], zero])
-        table[len(triples) : len(triples) + n * n, :, k] = _bits([two, one[at1], zero])
-        table[len(triples) + n * n : -1, :, k] = _bits([one, zero])
-        table[-1, :, k] = _bits([zero, nothing])[0]
-    return Model(langs, symbol, n, row, table.reshape(rows * n, len(langs)))
-
-
-def _bits(orders: list[np.ndarray]) -> np.ndarray:
-    """Code lengths with escapes from the longest order down, method C.
-
-    Symbols that a longer order offers are excluded from the shorter ones.  What
-    no order offers is one of the remaining byte values, all alike.
-    """
-    shape = orders[0].shape
-    prob, left = np.zeros(shape), np.ones((shape[0], 1))
-    gone = np.zeros(shape, dtype=bool)
-    for counts in orders:
-        own = np.where(gone, 0.0, counts)
-        total, kinds = own.sum(axis=1, keepdims=True), (own > 0).sum(axis=1, keepdims=True)
-        some = total > 0
-        base = np.where(some, total + kinds, 1.0)
-        prob += np.where(own > 0, left * own / base, 0.0)
-        left = np.where(some, left * kinds / base, left)
-        gone |= own > 0
-    rest = np.maximum(1, 256 - gone.sum(axis=1, keepdims=True))
-    return -np.log2(np.where(gone, prob, left / rest)).astype(np.float32)
+        code |= past.astype(np.uint32) << np.uint32(8 * back)
+    return code
+
+
+def count_contexts(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(four bytes as one number, count) over texts preceded by newlines."""
+    return np.unique(contexts(buf, offs), return_counts=True)
+
+
+def freeze(langs: list[str], codes: dict[str, tuple[np.ndarray, np.ndarray]], model_bytes: int = MODEL_BYTES) -> Model:
+    """The code lengths of what any language knows, within ``model_bytes``."""
+    n = len(langs)
+    # A byte in a context may bring a context of its own.
+    room = model_bytes // (2 * (4 * n + _ROW_BYTES))
+    rooms = {1: room // 8, 2: room // 4, 3: room - room // 8 - room // 4}
+    model = Model(langs, np.zeros((256, n), np.float32), [], [])
+    totals = np.array([max(1, codes[x][1].sum()) for x in langs], np.float64)
+    every = np.concatenate([codes[x][0] for x in langs])
+    lang = np.repeat(np.arange(n), [len(codes[x][0]) for x in langs])
+    count = np.concatenate([codes[x][1] for x in langs]).astype(np.float64)
+    for order in range(ORDER + 1):
+        keys, at = np.unique(_last(every, order + 1), return_inverse=True)
+        if order and len(keys) > rooms[order]:
+            share = np.zeros(len(keys))
+            # The share of a byte-in-context in a language is summed before the largest is taken.
+            pair, place = np.unique(at * n + lang, return_inverse=True)
+            np.maximum.at(share, pair // n, np.bincount(place, count) / totals[pair % n])
+            keys = np.sort(keys[np.lexsort((keys, -share))[: rooms[order]]])
+            at = np.minimum(np.searchsorted(keys, _last(every, order + 1)), max(0, len(keys) - 1))
+            own = keys[at] == _last(every, order + 1) if len(keys) else np.zeros(len(every), bool)
+            at, who, times = at[own], lang[own], count[own]
+        else:
+            who, times = lang, count
+        seen = np.zeros((len(keys), n), np.float64)
+        np.add.at(seen, (at, who), times)
+        context, of = np.unique(_last(keys >> np.uint32(8), order), return_inverse=True)
+        total, kinds = np.zeros((len(context), n)), np.zeros((len(context), n))
+        np.add.at(total, of, seen)
+        np.add.at(kinds, of, seen > 0)
+        base = np.maximum(1.0, total + kinds)
+        escape = np.where(total > 0, -np.log2(np.maximum(kinds, 1) / base), 0.0).astype(np.float32)
+        if order:
+            lower = model.bits(keys, order - 1)
+        else:
+            lower = np.full((len(keys), n), 8.0, np.float32)
+            model.none[:] = 8.0 + (escape[0] if len(escape) else 0.0)
+        bits = np.where(seen > 0, -np.log2(np.maximum(seen, 1e-300) / base[of]), escape[of] + lower).astype(np.float32)
+        if order:
+            model.known.append(Table(keys, bits))
+            model.escape.append(Table(context, escape))
+        else:
+            model.none[keys] = bits
+    return model
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
@@ -168,7 +206,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     spark = docs.sparkSession
     rows = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].cast("string").alias("text"), docs["lang"].cast("string").alias("lang"))
     rows = rows.where("lang IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()}
     if not sizes:
         return None
     share = F.create_map(*[x for lang, n in sorted(sizes.items()) for x in (F.lit(lang), F.lit(min(1.0, sample / n)))])
@@ -185,7 +223,13 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
                     codes, n = count_contexts(raw[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "code", "n"])
 
-    found = chosen.mapInArrow(trimmed(run), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
+    counts = written(chosen.mapInArrow(trimmed(run), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")), "contexts")
+    # The least count that keeps the rows within the bound, from a row per distinct count.
+    sizes_of = counts.groupBy("n").agg(F.count("*").alias("rows")).orderBy(F.desc("n")).toArrow()
+    within = np.flatnonzero(np.cumsum(sizes_of.column("rows").to_numpy()) <= ROWS)
+    if not len(within):
+        return None
+    found = counts.where(F.col("n") >= int(sizes_of.column("n")[int(within[-1])].as_py())).toArrow()
     langs = sorted({*found.column("lang").to_pylist()})
     if not langs:
         return None
@@ -207,7 +251,7 @@ def _score(column: pa.Array, model: Model | None) -> tuple[list[str], np.ndarray
         worse = (bits - bits.min(axis=1, keepdims=True)) / size
         sure = 1 / np.exp2(-SCORE_BYTES * worse).sum(axis=1)
         for i, text in enumerate(column.slice(a, b - a).to_pylist()):
-            if text and _LETTER.search(text):
+            if text and any(map(str.isalpha, text)):
                 und[a + i] = model.langs[best[i]]
                 score[a + i] = sure[i]
     return und, np.round(score, 6)
