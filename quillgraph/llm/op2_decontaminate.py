@@ -6,12 +6,14 @@ ordered by how often they occur in the corpus; since a window must be contained
 whole, its prefix is one shingle, the rarest.  Documents are joined with these
 prefix shingles only; the shingle's place in the window fixes where the window
 would have to start (positional bound) and end (length bound), and the words
-there are compared one by one.
+there are compared one by one (words, as everywhere here, by 64-bit hashes).
 
 Two narrow passes over the documents, no shuffle of texts: one counts the
-benchmark's shingles, one joins.  The benchmark is cut into blocks of at most
-``BLOCK_BYTES`` by its measured size; each block's index is broadcast, and with
-more than one block the documents pass through the blocks in turn.
+benchmark's shingles, one joins.  The benchmark is cut into blocks of about
+``BLOCK_BYTES`` by its measured size.  One block at a time is brought to the
+driver and its index broadcast; with more than one, each block takes its two
+passes, of which only hits are written, and the documents meet those by hashes
+of their texts.
 
 Nulls and empty texts have no words: such documents hit nothing and such items
 have no windows.  An item without an id marks words as hit but can't be named.
@@ -22,21 +24,25 @@ results; an empty table on either side is allowed; other columns are kept by
 
 from __future__ import annotations
 
-import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import fresh, written
-from .textkit import ALNUM, text_buffers, trimmed, window_hashes, word_groups
+from .textkit import ALNUM, mix64, trimmed, window_hashes, word_groups
 
 WINDOW = 13
 SHINGLE = 5
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
+#: The words of a text, as the workers see them.
+_WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 #: A document is contaminated if at least 1 in MIN_SHARE of its words is hit.
 MIN_SHARE = 20
 
@@ -44,67 +50,72 @@ _FILTER_BITS = 20
 
 
 class Windows:
-    """The distinct windows of some items and the shingles they are made of."""
+    """The distinct windows of some items: where they are in the items' words, and whose they are."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW, shingle: int = SHINGLE):
         self.shingle = shingle
-        names = sorted({i for i, _ in items if i is not None})
-        number = {n: k for k, n in enumerate(names)}
-        self.names = names
-        found: dict[bytes, set[int]] = {}
-        column = pa.array([t or "" for _, t in items], pa.large_string())
-        for a, b, words, first, _ in word_groups(column, ALNUM):
-            for r in range(b - a):
-                own = words[first[r] : first[r + 1]]
-                name = items[a + r][0]
-                for k in range(max(1, len(own) - window + 1) if len(own) else 0):
-                    owners = found.setdefault(own[k : k + window].tobytes(), set())
-                    if name is not None:
-                        owners.add(number[name])
-        self.windows = [np.frombuffer(k, np.uint64) for k in sorted(found)]
-        self.owners = [np.array(sorted(found[w.tobytes()]), np.int64) for w in self.windows]
+        self.names = sorted({i for i, _ in items if i is not None})
+        number = {n: k for k, n in enumerate(self.names)}
+        owner = np.array([number.get(i, -1) for i, _ in items], np.int64)
+        words, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for _, _, own, first, _ in word_groups(pa.array([t or "" for _, t in items], pa.large_string()), ALNUM):
+            words.append(own)
+            sizes.append(np.diff(first))
+        self.words, size = np.concatenate(words), np.concatenate(sizes)
+        begin = np.cumsum(size) - size
+        n = np.where(size > window, size - window + 1, size > 0)
+        first = np.cumsum(n) - n
+        start = np.repeat(begin - first, n) + np.arange(n.sum())
+        length = np.repeat(np.minimum(size, window), n)
+        mark = np.zeros((2, len(start)), np.uint64)  # 128 bits tell windows apart
+        for k in np.unique(length):
+            own = length == k
+            for row, spread in zip(mark, (self.words, mix64(self.words)), strict=True):
+                row[own] = window_hashes(spread, int(k))[start[own]]
+        order = np.lexsort((start, mark[1], mark[0], length))
+        new = np.ones(len(order), bool)
+        new[1:] = (length[order][1:] != length[order][:-1]) | (mark[:, order][:, 1:] != mark[:, order][:, :-1]).any(axis=0)
+        self.start, self.length = start[order][new], length[order][new]
+        owned = np.unique(np.stack([np.cumsum(new) - 1, np.repeat(owner, n)[order]]), axis=1)
+        owned = owned[:, owned[1] >= 0]
+        self.owner_at = np.searchsorted(owned[0], np.arange(len(self.start) + 1))
+        self.owners = owned[1]
 
     def shingles(self) -> dict[int, np.ndarray]:
         """By shingle size, the sorted hashes of all shingles of all windows."""
-        by: dict[int, set[int]] = {}
-        for w in self.windows:
-            size = min(self.shingle, len(w))
-            by.setdefault(size, set()).update(window_hashes(w, size).tolist())
-        return {k: np.array(sorted(v), np.uint64) for k, v in by.items()}
+        out = {}
+        for size in np.unique(np.minimum(self.length, self.shingle)).tolist():
+            own = np.minimum(self.length, self.shingle) == size
+            at = [self.start[own & (self.length - size >= o)] + o for o in range(int(self.length[own].max()) - size + 1)]
+            out[size] = np.unique(window_hashes(self.words, size)[np.concatenate(at)])
+        return out
 
 
 class Index:
     """Windows by their rarest shingle."""
 
-    def __init__(self, windows: Windows, counts: dict[tuple[int, int], int]):
-        chosen: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for k, w in enumerate(windows.windows):
-            size = min(windows.shingle, len(w))
-            hashes = window_hashes(w, size).tolist()
-            seen = [(counts.get((size, h), 0), h, o) for o, h in enumerate(hashes)]
-            rarest = min(seen)
-            if rarest[0]:  # a window with a shingle that the corpus lacks occurs nowhere
-                chosen.setdefault((size, rarest[1]), []).append((k, rarest[2]))
-        kept = sorted({k for v in chosen.values() for k, _ in v})
-        place = {k: n for n, k in enumerate(kept)}
-        self.names = windows.names
-        self.length = np.array([len(windows.windows[k]) for k in kept], np.int64)
-        self.words = np.zeros((len(kept), max(self.length, default=1)), np.uint64)
-        for n, k in enumerate(kept):
-            self.words[n, : self.length[n]] = windows.windows[k]
-        self.owner_at = np.concatenate([[0], np.cumsum([len(windows.owners[k]) for k in kept])]).astype(np.int64)
-        self.owners = np.concatenate([windows.owners[k] for k in kept]) if kept else np.zeros(0, np.int64)
+    def __init__(self, windows: Windows, counts: dict[int, np.ndarray]):
+        """``counts``: by size, how often the corpus has each of ``windows.shingles()``."""
+        self.names, self.words = windows.names, windows.words
+        self.start, self.length = windows.start, windows.length
+        self.owner_at, self.owners = windows.owner_at, windows.owners
         self.by: dict[int, tuple] = {}
-        for size in sorted({s for s, _ in chosen}):
-            keys = np.array(sorted(h for s, h in chosen if s == size), np.uint64)
-            lists = [chosen[size, int(h)] for h in keys]
-            self.by[size] = (
-                keys,
-                _filter(keys),
-                np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64),
-                np.array([place[k] for x in lists for k, _ in x], np.int64),
-                np.array([o for x in lists for _, o in x], np.int64),
-            )
+        for size, keys in windows.shingles().items():
+            own = np.flatnonzero(np.minimum(windows.length, windows.shingle) == size)
+            runs = window_hashes(windows.words, size)
+            least, rarest, offset = np.full(len(own), np.iinfo(np.int64).max), np.zeros(len(own), np.uint64), np.zeros(len(own), np.int64)
+            for o in range(int(windows.length[own].max()) - size + 1):
+                has = np.flatnonzero(windows.length[own] - size >= o)
+                h = runs[windows.start[own[has]] + o]
+                n = counts[size][np.searchsorted(keys, h)]
+                better = (n < least[has]) | (n == least[has]) & (h < rarest[has])
+                at = has[better]
+                least[at], rarest[at], offset[at] = n[better], h[better], o
+            found = np.flatnonzero(least)  # a window with a shingle that the corpus lacks occurs nowhere
+            found = found[np.argsort(rarest[found], kind="stable")]
+            key, first = np.unique(rarest[found], return_index=True)
+            if len(key):
+                self.by[size] = (key, _filter(key), np.append(first, len(found)), own[found], offset[found])
 
     def probe(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, window) of every occurrence in rows that begin at ``first``."""
@@ -126,7 +137,7 @@ class Index:
                 own = self.length[w] == length
                 for k in range(0, int(own.sum()), 1 << 16):  # bounds the comparison matrix
                     ww, bb = w[own][k : k + (1 << 16)], begin[own][k : k + (1 << 16)]
-                    equal = (words[bb[:, None] + np.arange(length)] == self.words[ww, :length]).all(axis=1)
+                    equal = (words[bb[:, None] + np.arange(length)] == self.words[self.start[ww][:, None] + np.arange(length)]).all(axis=1)
                     starts.append(bb[equal])
                     which.append(ww[equal])
         none = np.zeros(0, np.int64)
@@ -140,21 +151,19 @@ def _filter(keys: np.ndarray) -> np.ndarray:
     return bits
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list[list[tuple[str | None, str | None]]]:
-    """The items in lists of bounded size, cut by the measured size of the table."""
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> tuple[int, Iterator[list[tuple[str | None, str | None]]]]:
+    """The number of blocks, by the measured size of the table, and the items of one after the other."""
     rows = benchmark.select(benchmark[id_col].cast("string").alias("item"), benchmark[text_col].cast("string").alias("text")).where("text is not null")
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, math.ceil(total / BLOCK_BYTES))
-    if n == 1:
-        return [[(r.item, r.text) for r in rows.collect()]]
+    n = max(1, math.ceil((rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / BLOCK_BYTES))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n)))
-    return [[(r.item, r.text) for r in dealt.where(F.col("block") == k).collect()] for k in range(n)]
+    return n, ([(r.item, r.text) for r in dealt.where(F.col("block") == k).collect()] for k in range(n))
 
 
-def _count(texts: DataFrame, windows: Windows) -> dict[tuple[int, int], int]:
-    """Corpus counts of the windows' shingles; as many rows as the index has."""
+def _count(texts: DataFrame, windows: Windows) -> dict[int, np.ndarray]:
+    """Corpus counts of the windows' shingles, by size; as many numbers as the index has shingles."""
     spark = texts.sparkSession
-    sent = spark.sparkContext.broadcast({k: (v, _filter(v)) for k, v in windows.shingles().items()})
+    shingles = windows.shingles()
+    sent = spark.sparkContext.broadcast({k: (v, _filter(v)) for k, v in shingles.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = {k: np.zeros(len(v), np.int64) for k, (v, _) in sent.value.items()}
@@ -175,10 +184,14 @@ def _count(texts: DataFrame, windows: Windows) -> dict[tuple[int, int], int]:
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), size), pa.int32()), pa.array(at, pa.int64()), pa.array(n[at])], ["size", "at", "n"])
 
-    if not sent.value:
-        return {}
-    found = texts.select("text").mapInArrow(trimmed(run), "size int, at long, n long").groupBy("size", "at").agg(F.sum("n").alias("n")).collect()
-    return {(r.size, int(sent.value[r.size][0][r.at])): r.n for r in found}
+    counts = {k: np.zeros(len(v), np.int64) for k, v in shingles.items()}
+    if counts:
+        found = texts.select("text").mapInArrow(trimmed(run), "size int, at long, n long").groupBy("size", "at").agg(F.sum("n").alias("n")).toArrow()
+        size, at, n = (found.column(c).to_numpy() for c in ("size", "at", "n"))
+        for k in counts:
+            counts[k][at[size == k]] = n[size == k]
+    sent.unpersist()
+    return counts
 
 
 def _ranges(starts: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
@@ -188,7 +201,7 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(edges[:n]) > 0
 
 
-def _scan(column: pa.Array, index: Index, before: list | None) -> Iterator[tuple[int, np.ndarray, list[str]]]:
+def _scan(column: pa.Array, index: Index) -> Iterator[tuple[int, np.ndarray, list[str]]]:
     """Per row: number of words, sorted positions of hit words, sorted items."""
     for a, b, words, first, _ in word_groups(column, ALNUM):
         starts, which = index.probe(words, first)
@@ -202,11 +215,7 @@ def _scan(column: pa.Array, index: Index, before: list | None) -> Iterator[tuple
         nothing = np.zeros(0, np.int64)
         for r in range(b - a):
             hit = np.flatnonzero(mask[first[r] : first[r + 1]]) if dirty[r] else nothing
-            named = {index.names[i] for i in items.get(r, ())}
-            if before is not None and before[a + r] is not None:
-                hit = np.union1d(hit, np.array(before[a + r]["hits"], np.int64))
-                named |= {*before[a + r]["items"]}
-            yield int(first[r + 1] - first[r]), hit, sorted(named)
+            yield int(first[r + 1] - first[r]), hit, sorted(index.names[i] for i in items.get(r, ()))
 
 
 FOUND = "struct<n_words: long, hits: array<long>, items: array<string>>"
@@ -217,23 +226,45 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, columns: list[str], id
     """``columns`` of the documents and a column ``found``: the number of words, the
     positions of hit words and the items with occurring windows."""
     spark = docs.sparkSession
-    rows = docs.select(*[docs[c] for c in columns if c != "text"], docs["text"].cast("string").alias("text"), F.lit(None).cast(FOUND).alias(found))
-    blocks = _blocks(benchmark, id_col, text_col)
-    for k, items in enumerate(blocks):
+    rows = docs.select(*[docs[c] for c in columns if c != "text"], docs["text"].cast("string").alias("text"))
+    n, blocks = _blocks(benchmark, id_col, text_col)
+
+    def index_of(items: list[tuple[str | None, str | None]]) -> Broadcast:
         windows = Windows(items, window, shingle)
-        sent = spark.sparkContext.broadcast(Index(windows, _count(rows, windows)))
+        return spark.sparkContext.broadcast(Index(windows, _count(rows, windows)))
+
+    def told(names: list[str], sent: Broadcast, hits_only: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """Batches whose last column is the text, with what a block of items finds in place of it or after it."""
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, k=k) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                last = batch.num_columns - 1
-                before = batch.column(last).to_pylist() if k else None
-                told = [{"n_words": n, "hits": hit.tolist(), "items": named} for n, hit, named in _scan(batch.column(last - 1), sent.value, before)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(told, _FOUND)], batch.schema.names)
-
-        rows = rows.mapInArrow(trimmed(run), rows.schema)
-        if k + 1 < len(blocks):
-            rows = written(rows, "hits")
-    return rows.select(*columns, found)
+                found = pa.array([{"n_words": w, "hits": hit.tolist(), "items": named} for w, hit, named in _scan(batch.column(batch.num_columns - 1), sent.value)], _FOUND)
+                if hits_only:
+                    some = pc.greater(pc.list_value_length(found.field("hits")), 0)
+                    yield pa.RecordBatch.from_arrays([*(c.filter(some) for c in batch.columns[:-1]), found.filter(some)], names)
+                else:
+                    yield pa.RecordBatch.from_arrays([*batch.columns, found], names)
+
+        return trimmed(run)
+
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    if n == 1:
+        return rows.mapInArrow(told([*rows.columns, found], index_of(next(blocks))), f"{shape}, `{found}` {FOUND}").select(*columns, found)
+
+    # Only hits leave a pass over the texts; they are brought together by two hashes of the text.
+    keyed = rows.select(F.xxhash64("text").alias("h"), F.xxhash64(F.lit("text"), "text").alias("i"), "text")
+    parts = []
+    for items in blocks:
+        sent = index_of(items)
+        hits = keyed.mapInArrow(told(["h", "i", "found"], sent, hits_only=True), f"h long, i long, found {FOUND}")
+        parts.append(written(hits.groupBy("h", "i").agg(F.any_value("found").alias("found")), "hits"))
+        sent.unpersist()
+    both = reduce(DataFrame.union, parts).groupBy("h", "i").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found.hits")))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("found.items")))).alias("items"))
+    h, i, hits, items = (fresh(x, rows.columns) for x in ("h", "i", "hits", "items"))
+    met = rows.withColumn(h, F.xxhash64("text")).withColumn(i, F.xxhash64(F.lit("text"), "text")).join(both.toDF(h, i, hits, items), [h, i], "left")
+    n_words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(_WORD)).cast("long").alias("n_words")
+    none = F.coalesce(F.col(hits), F.array().cast("array<long>")).alias("hits"), F.coalesce(F.col(items), F.array().cast("array<string>")).alias("items")
+    return met.select(*columns, F.struct(n_words, *none).alias(found))
 
 
 def contaminated(found: str = "found") -> F.Column:
