@@ -471,7 +471,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     long = listed.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("node"))
     cut = long.groupBy("token").agg(F.count("*").alias("length")).where(F.col("length") > 2 * limits.salted)
     cut = cut.select("token", F.greatest(F.lit(3), F.ceil(F.col("length") / limits.salted)).cast("long").alias("blocks"))
-    long = long.join(cut, "token", "left").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    # One row of 16 bytes for at least 2 * salted members.
+    small = listed.where("kind = 1").count() // (2 * limits.salted) * 16 <= limits.broadcast
+    long = long.join(F.broadcast(cut) if small else cut, "token", "left").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     other = F.explode(F.expr("CASE WHEN blocks IS NULL THEN array(0L) ELSE filter(sequence(0L, blocks - 1), x -> x <> block) END"))
     sides = ["token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "n", "node", *_SKETCH]
     placed = long.join(nodes.select("node", "n", *_SKETCH), "node").withColumn("other", other).withColumn("block", F.coalesce("block", F.lit(0))).select(*sides)
