@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .shared import small_batches
 from .textkit import PLAIN, find_words, groups, hash_words, text_buffers, trimmed, window_hashes
 
 #: (bytes from, lowest ratio, highest ratio), by ascending length.  From 256 bytes the lowest ratios lie between that
@@ -77,6 +78,7 @@ def duplicate_lines(text: bytes) -> int:
 
 def compression_bands(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Base counts, ratios and verdict of each row."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard

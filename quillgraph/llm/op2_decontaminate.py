@@ -35,7 +35,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fresh, written
+from .shared import fresh, small_batches, written
 from .textkit import ALNUM, mix64, trimmed, window_hashes, word_groups
 
 WINDOW = 13
@@ -226,6 +226,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, columns: list[str], id
     """``columns`` of the documents and a column ``found``: the number of words, the
     positions of hit words and the items with occurring windows."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(*[docs[c] for c in columns if c != "text"], docs["text"].cast("string").alias("text"))
     n, blocks = _blocks(benchmark, id_col, text_col)
 

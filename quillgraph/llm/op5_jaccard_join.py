@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import connected_components
-from .shared import written
+from .shared import small_batches, written
 from .textkit import groups, mix64, shingle_sets, text_buffers, trimmed
 
 SIZE = 3
@@ -439,6 +439,7 @@ def _frequent(profiles: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits()) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links (linked documents, copies included) of each row."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     profiles = written(_profiles(rows), "profiles")
     whole = profiles.where("token IS NULL")

@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fresh, written
+from .shared import fresh, small_batches, written
 from .textkit import groups, mix64, text_buffers, trimmed
 from .tokens import Remembered
 
@@ -204,6 +204,7 @@ def freeze(langs: list[str], codes: dict[str, tuple[np.ndarray, np.ndarray]], mo
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """The frozen model of ``docs`` (doc_id, text, lang), or None if nothing can be learned."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].cast("string").alias("text"), docs["lang"].cast("string").alias("lang"))
     rows = rows.where("lang IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()}
@@ -242,11 +243,10 @@ def _score(column: pa.Array, model: Model | None) -> tuple[list[str], np.ndarray
     und, score = ["und"] * len(column), np.zeros(len(column))
     if model is None:
         return und, score
-    lower = pc.utf8_lower(column.fill_null(""))
-    raw, offs = text_buffers(lower)
-    for a, b in groups(offs):
-        bits = model.lengths(raw[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
-        size = np.maximum(1, np.diff(offs[a : b + 1]))[:, None]
+    for a, b in groups(text_buffers(column)[1]):
+        raw, offs = text_buffers(pc.utf8_lower(column.slice(a, b - a)))
+        bits = model.lengths(raw[offs[0] : offs[-1]], offs - offs[0])
+        size = np.maximum(1, np.diff(offs))[:, None]
         best = bits.argmin(axis=1)
         worse = (bits - bits.min(axis=1, keepdims=True)) / size
         sure = 1 / np.exp2(-SCORE_BYTES * worse).sum(axis=1)
@@ -261,6 +261,7 @@ def predict(docs: DataFrame, model: Model | None, names: tuple[str, str] = ("lan
     """All columns of ``docs`` and two more, the language and its score; only
     the text is looked at.  Columns of ``docs`` with these names are replaced.
     """
+    small_batches(docs.sparkSession)
     docs = docs.drop(*names)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")

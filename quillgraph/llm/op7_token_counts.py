@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .shared import small_batches
 from .textkit import groups, text_buffers, trimmed
 from .tokens import encoder
 
@@ -34,6 +35,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col:
     of sentencepiece, read on the driver (a few MB) and sent to the workers.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     data = Path(tokenizer_path).read_bytes()
     piece_model = tokenizer_path.endswith(".model")
     sent = spark.sparkContext.broadcast((data, None if piece_model else encoder(data.decode("utf-8")).whole))

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import new_path
+from .shared import new_path, small_batches
 from .textkit import groups, text_buffers, trimmed
 from .tokens import encoder
 
@@ -138,6 +138,7 @@ def read_block(payload: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray
 def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, partitions: int | None = None, block_ids: int = BLOCK_IDS, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every text, append ``end_id``, and write blocks in ascending order of doc_id to ``path``."""
     spark = docs.sparkSession
+    small_batches(spark)
     sent = spark.sparkContext.broadcast(Path(tokenizer_path).read_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

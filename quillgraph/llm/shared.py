@@ -47,6 +47,17 @@ def written(df: DataFrame, name: str, codec: str = "zstd", rows: int | None = No
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of whole texts that a worker is handed at once; Spark's own default is ten times that.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hand texts to Python in batches of ``BATCH_ROWS`` rows, unless the session says how many."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "") in ("", "10000"):
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def fresh(name: str, taken: list[str]) -> str:
     """``name``, or a longer one if a column is called that already."""
     have = {c.lower() for c in taken}
