@@ -17,9 +17,9 @@ The text of the chosen nodes is returned whole: character references decoded,
 white space inside a block turned into one space and trimmed, blocks joined in
 page order by two newlines.  Nulls and empty pages give the empty text.  Broken
 markup (unclosed or stray tags, quotes and comments) never fails and is read in
-time that grows in proportion to the page.  Repeated rows
-get repeated results, an empty table gives an empty result, and other columns
-are neither read nor returned.
+time that grows in proportion to the page.  Repeated rows get repeated results,
+an empty table gives an empty result, and other columns are neither read nor
+returned.
 """
 
 from __future__ import annotations

@@ -54,7 +54,7 @@ BATCH_ROWS = 1_000
 def small_batches(spark: SparkSession) -> None:
     """Hand texts to Python in batches of ``BATCH_ROWS`` rows, unless the session says how many."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key, "") in ("", "10000"):
+    if spark.conf.get(key) == "10000":
         spark.conf.set(key, str(BATCH_ROWS))
 
 
