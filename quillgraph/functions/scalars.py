@@ -75,7 +75,9 @@ def url_decode(path: Column | str) -> Column:
     """Percent escapes resolved; NULL for malformed ones or bytes that are not UTF-8."""
     p = _col(path)
     out = F.try_url_decode(F.replace(p, F.lit("+"), F.lit("%2B")))
-    return F.when(out.contains("\ufffd") & ~p.contains("\ufffd"), None).otherwise(out)
+    # Bytes that are not UTF-8 come out as more replacement characters than the path spells.
+    spelt = F.regexp_count(p, F.lit("\ufffd|(?i:%EF%BF%BD)"))
+    return F.when(F.regexp_count(out, F.lit("\ufffd")) > spelt, None).otherwise(out)
 
 
 def url_encode(path: Column | str) -> Column:

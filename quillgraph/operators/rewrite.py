@@ -140,7 +140,7 @@ def get_frontmatter(pages: DataFrame, rel_path: str, field: str | None = None) -
 
 def frontmatter_values(parsed: DataFrame, field: str) -> DataFrame:
     """rel_path, value (compact JSON) of a top-level field of every page that has it."""
-    return parsed.where(F.array_contains("fm_keys", field)).select("rel_path", F.to_json(F.variant_get(F.parse_json("fm_json"), f"$.{field}", "variant")).alias("value"))
+    return parsed.where(F.array_contains("fm_keys", field)).select("rel_path", F.to_json(F.try_element_at(F.from_json("fm_json", "map<string, variant>"), F.lit(field))).alias("value"))
 
 
 def set_frontmatter(files: DataFrame, field: str, value: str) -> DataFrame:

@@ -104,6 +104,8 @@ ORACLES = {
     "links_orphans": f"{_W} SELECT lower(stem) AS page_id, rel_path FROM p WHERE kind IN ('regions', 'nations', 'suppliers', 'customers') AND lower(stem) NOT IN (SELECT page FROM l WHERE page IS NOT NULL)",
     "links_check_mentions": f"SELECT {_Q['customers']} AS rel_path, 'nation_' || c_nationkey AS concept, 5 AS line, 10 AS col FROM customer",
     "lint_broken_links": f"{_W} SELECT 'error' AS severity, 'broken-link' AS code, count(*) AS n FROM l WHERE page IS NULL OR NOT frag_ok HAVING count(*) > 0",
+    "lint_orphans": f"""{_W} SELECT 'warn' AS severity, 'orphan' AS code, rel_path, rel_path || ' has no inbound internal links' AS message
+        FROM p WHERE kind IN ('regions', 'nations', 'suppliers', 'customers') AND lower(stem) NOT IN (SELECT page FROM l WHERE page IS NOT NULL)""",
     "lint_index_coverage": f"""{_W} SELECT 'error' AS severity, 'not-in-index' AS code, rel_path, rel_path || ' is not listed in index' AS message
         FROM p WHERE kind IN ('regions', 'nations', 'suppliers', 'customers') AND stem NOT IN (SELECT name FROM idx)""",
     "lint_required_sections": f"""

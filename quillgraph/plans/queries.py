@@ -233,6 +233,10 @@ def lint_broken_links(spark, d):
     return lint.broken_links(w.broken, w.pages(), w.config).groupBy("severity", "code").agg(F.count("*").alias("n"))
 
 
+def lint_orphans(spark, d):
+    return lint.orphan_pages(_wiki(spark, d).orphans(), "warn").drop("detail")
+
+
 def lint_index_coverage(spark, d):
     w = _wiki(spark, d)
     return lint.index_coverage(graph.not_in_index(w.pages(), w.resolved), "error").drop("detail")
@@ -356,7 +360,7 @@ NAMES = (
     scan_directories, scan_frontmatter_fields, scan_headings_topk, mirror_candidates, index_refs, page_categories, name_conflicts,
     links_all, refs_graph, refs_to, refs_from, inbound_counts, links_broken_page, links_broken_heading, links_broken_block, links_orphans,
     links_check_mentions, mentions_in_notes, lint_broken_links, lint_index_coverage, lint_required_sections, lint_required_frontmatter,
-    lint_when_predicate, lint_mirror_parity, lint_citation_filename, lint_citation_content, lint_summary, links_format_edits, links_fix_edits,
+    lint_when_predicate, lint_mirror_parity, lint_citation_filename, lint_citation_content, lint_orphans, lint_summary, links_format_edits, links_fix_edits,
     rename_edits, rename_moves, move_edits, sections_rename_edits, frontmatter_get, frontmatter_set_edits, diff_hunks, edit_validation,
     heading_anchors, block_ids, path_normalize, url_decode, href_graph,
 )

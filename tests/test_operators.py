@@ -161,3 +161,31 @@ def test_parse_only_what_is_wanted(spark):
     assert [len(r.headings) for r in df.orderBy("rel_path").collect()] == [1, 0]
     assert resolve.categorised(df, config.WikiConfig()).where("is_managed").count() == 0
     assert markdown.normal_label(" A\n b ") == "a b"
+
+
+def test_contained_ids(spark, monkeypatch):
+    from quillgraph.operators import lint, mentions
+
+    ids = spark.createDataFrame([("T-1",), ("T-12",), ("é",), ("none",), ("a b",)], "id string")
+    pages = spark.createDataFrame([("xT-12y",), (None,), ("a  b é",), ("T-12",)], "source string")
+    want = {"T-1", "T-12", "é"}
+    assert {r.id for r in lint.contained(ids, pages).collect()} == want
+    monkeypatch.setattr(mentions, "BLOCK_BYTES", 3)
+    found = lint.contained(ids, pages)
+    assert {r.id for r in found.collect()} == want and "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    assert lint.contained(ids.limit(0), pages).count() == 0
+
+
+def test_fields_of_the_top_level(spark):
+    from quillgraph.operators import rewrite
+
+    rows = [("p.md", ["a.b", "a", "it's"], '{"a.b": 1, "a": {"b": 2}, "it\'s": null}')]
+    parsed = spark.createDataFrame(rows, "rel_path string, fm_keys array<string>, fm_json string")
+    assert [rewrite.frontmatter_values(parsed, f).first().value for f in ("a.b", "a", "it's")] == ["1", '{"b":2}', "null"]
+
+
+def test_escaped_replacement_characters(spark):
+    from quillgraph.functions import scalars
+
+    rows = spark.createDataFrame([("%EF%BF%BD.md",), ("�%ef%bf%bd",), ("%ff",), ("�%FF",), ("%C3%A9",), ("%zz",)], "p string")
+    assert [r[0] for r in rows.select(scalars.url_decode("p")).collect()] == ["�.md", "��", None, None, "é", None]
