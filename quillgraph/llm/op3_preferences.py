@@ -94,13 +94,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("conv_id IS NOT NULL")
     turn = F.struct("turn", "role", "text")
     odd = F.pmod("conv_id", F.lit(2)) == 1
-    both = told.groupBy(F.floor(F.col("conv_id") / 2).cast("long").alias("pair_id")).agg(F.sort_array(F.collect_list(F.when(~odd, turn))).alias("c"), F.sort_array(F.collect_list(F.when(odd, turn))).alias("r"))
+    both = told.groupBy(F.shiftright(F.col("conv_id").cast("long"), 1).alias("pair_id")).agg(F.sort_array(F.collect_list(F.when(~odd, turn))).alias("c"), F.sort_array(F.collect_list(F.when(odd, turn))).alias("r"))
     return rendered(both)
 
 
 SQL = """
 WITH t AS (
-  SELECT floor(conv_id / 2)::BIGINT AS pair_id, conv_id % 2 <> 0 AS odd, role, text,
+  SELECT (conv_id - (conv_id % 2 + 2) % 2) // 2 AS pair_id, conv_id % 2 <> 0 AS odd, role, text,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS nr
   FROM conversations WHERE conv_id IS NOT NULL),
 c AS (SELECT * FROM t WHERE NOT odd),
