@@ -18,6 +18,8 @@ from ..functions import scalars as S
 from ..sources.config import Rule, WikiConfig, java_pattern
 from . import graph, mentions
 
+#: What the checks read of parsed pages.
+FACETS = ("frontmatter", "headings", "links", "block_ids")
 COLUMNS = ("severity", "code", "rel_path", "message", "detail")
 FILTERS = {"all": ("error", "warn"), "error": ("error",), "warn": ("warn",)}
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import bisect
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -66,15 +67,16 @@ def _offsets(text: str, at: int) -> int:
     return at if text.isascii() else len(text[:at].encode())
 
 
-def _blocks(names: DataFrame) -> list[list[str]]:
-    """The names in lists of bounded size."""
-    total = names.agg(F.sum(F.octet_length("page_id"))).first()[0] or 0
+def _blocks(names: DataFrame) -> Iterator[list[str]]:
+    """The names in lists of bounded size, one at a time on the driver."""
+    real = names.where("page_id <> ''")
+    total = real.agg(F.sum(F.octet_length("page_id"))).first()[0] or 0
     n = -(-total // BLOCK_BYTES)
-    if n <= 1:
-        return [[r.page_id for r in names.where("page_id <> ''").collect()]] if total else []
-    dealt = names.where("page_id <> ''").withColumn("block", F.pmod(F.xxhash64("page_id"), F.lit(n)))
-    blocks = ([r.page_id for r in dealt.where(F.col("block") == k).collect()] for k in range(n))
-    return [b for b in blocks if b]
+    dealt = real.withColumn("block", F.pmod(F.xxhash64("page_id"), F.lit(max(n, 1))))
+    for k in range(n):
+        block = [r.page_id for r in dealt.where(F.col("block") == k).collect()]
+        if block:
+            yield block
 
 
 def mentions(pages: DataFrame, names: DataFrame) -> DataFrame:
@@ -83,21 +85,16 @@ def mentions(pages: DataFrame, names: DataFrame) -> DataFrame:
     ``pages``: rel_path, source, page_id, ranges; ``names``: page_id.
     """
     spark = pages.sparkSession
-    blocks = _blocks(names)
-    if not blocks:
-        return spark.createDataFrame([], SCHEMA)
     rows = pages.select("rel_path", "source", "page_id", "ranges")
-    if len(blocks) == 1:
-        sent = spark.sparkContext.broadcast(blocks[0])
-        return rows.mapInArrow(lambda batches: _search(batches, _automaton(sent.value)), SCHEMA)
+    sent = [spark.sparkContext.broadcast(block) for block in _blocks(names)]
+    if not sent:
+        return spark.createDataFrame([], SCHEMA)
+    if len(sent) == 1:
+        return rows.mapInArrow(lambda batches: _search(batches, _automaton(sent[0].value)), SCHEMA)
 
     # More names than one automaton should hold: gather all occurrences block
     # by block, then choose leftmost-longest ones within each prose range.
-    found = None
-    for block in blocks:
-        sent = spark.sparkContext.broadcast(block)
-        part = rows.mapInArrow(lambda batches, sent=sent: _occurrences(batches, _automaton(sent.value)), _FOUND)
-        found = part if found is None else found.unionByName(part)
+    found = reduce(DataFrame.unionByName, [rows.mapInArrow(lambda batches, block=block: _occurrences(batches, _automaton(block.value)), _FOUND) for block in sent])
     chosen = found.groupBy("rel_path", "range_no").applyInPandas(_leftmost_longest, _FOUND)
     cut = chosen.groupBy("rel_path").agg(F.collect_list(F.struct("start", "end", "concept")).alias("hits"))
     joined = rows.join(cut, "rel_path").select("rel_path", "source", "page_id", "hits")

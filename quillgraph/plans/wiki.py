@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +12,7 @@ from ..operators import edits as E
 from ..operators import format as formatting
 from ..operators import graph, inventory, lint, mentions, parse, resolve, rewrite
 from ..sources import config as settings
-from ..sources import corpus
+from ..sources import corpus, sinks
 from ..sources.config import WikiConfig
 
 
@@ -26,28 +26,46 @@ class Wiki:
     Every branch of a plan parses only the facets it reads; what needs paths
     alone does not parse at all.  ``persist`` parses all facets once and keeps
     them between actions, which pays off when more than one query is run.
+    ``store`` names facets to parse once into a table in the shared folder;
+    branches then read only the columns they need, and no lost executor costs
+    a second parse.
     """
 
-    def __init__(self, files: DataFrame, config: WikiConfig, persist: bool = False):
-        self.files, self.config, self._persist = files, config, persist
+    def __init__(self, files: DataFrame, config: WikiConfig, persist: bool = False, store: tuple[str, ...] = ()):
+        self.files, self.config, self._persist, self._store = files, config, persist, store
         self._by_facets: dict[tuple[str, ...], DataFrame] = {}
 
     @classmethod
     def open(cls, spark: SparkSession, root: str | Path | None = None, **more) -> Wiki:
-        """A wiki in a folder, with the settings found there."""
+        """A wiki in a folder, with the settings found there.
+
+        A root with a scheme (``hdfs://...``) is listed and read by Spark; a
+        plain path must be one that the executors can open too.
+        """
+        if root is not None and "://" in str(root):
+            shared = corpus.SharedFolder(spark, str(root))
+            config = shared.config()
+            return cls(shared.read(config.ignore), config, **more)
         folder = corpus.resolve_root(root)
         config = settings.load_or_detect(folder)
         return cls(corpus.read_corpus(spark, folder, config.ignore), config, **more)
 
     def pages(self, *facets: str) -> DataFrame:
         """Every file with its name, its category and the wanted facets."""
-        wanted = tuple(parse.FACETS) if self._persist else facets
+        wanted = tuple(parse.FACETS) if self._persist else self._store if set(facets) <= set(self._store) else facets
         if wanted not in self._by_facets:
             parsed = parse.parse_documents(self.files, wanted) if wanted else self.files
+            if wanted and wanted == self._store:
+                parsed = sinks.stored(parsed, "pages")
             out = resolve.categorised(parsed, self.config)
             self._by_facets[wanted] = out.persist() if self._persist else out
         return self._by_facets[wanted]
 
+    def page(self, rel_path: str, *facets: str) -> DataFrame:
+        """One file, whether a page or not; nothing else is parsed."""
+        own = self.files.where(F.col("rel_path") == rel_path)
+        return resolve.categorised(parse.parse_documents(own, facets) if facets else own, self.config)
+
     @cached_property
     def names(self) -> DataFrame:
         return resolve.names(self.pages("frontmatter"))
@@ -94,6 +112,14 @@ class Wiki:
     def orphans(self) -> DataFrame:
         return graph.orphans(self.pages(), self.edges)
 
+    def totals(self) -> DataFrame:
+        """n_mentions, n_edits, n_broken, n_orphans in one row."""
+        found = self._mentions()
+        edits = formatting.fix_edits(self.pages("definitions"), self.resolved, found, self.config.linking)
+        counted = {"n_mentions": found, "n_edits": edits, "n_broken": self.broken, "n_orphans": self.orphans()}
+        rows = reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("what")) for name, df in counted.items()])
+        return rows.agg(*[F.count_if(F.col("what") == name).alias(name) for name in counted])
+
     def refs_to(self, name: str) -> DataFrame:
         return graph.refs_to(self.edges, self.names, name)
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from pathlib import Path
 
 import pyarrow as pa
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ignore
-from .config import FILE_NAME, Ignore
+from .config import FILE_NAME, Directory, Ignore, WikiConfig, parse
 
 SCHEMA = "rel_path string, source string"
 
@@ -105,13 +105,70 @@ def from_table(rows: DataFrame, path: str, text: str) -> DataFrame:
     return rows.select(F.col(path).cast("string").alias("rel_path"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("source"))
 
 
-def without_ignored(files: DataFrame, rules: Ignore) -> DataFrame:
-    """The files that ignore patterns leave; for corpora that come from tables."""
-    patterns = rules.effective()
+def markdown_files(files: DataFrame) -> DataFrame:
+    """The rows whose path ends in exactly ``.md`` after a name."""
+    return files.where(F.col("rel_path").rlike(r"[^/][.]md$"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = ignore.Matcher(patterns)
-        for batch in batches:
-            yield batch.filter(pa.array([not matcher.ignores(p) for p in batch.column("rel_path").to_pylist()], pa.bool_()))
 
-    return files.mapInArrow(run, files.schema)
+def without_ignored(files: DataFrame, rules: Ignore, nested: Sequence[ignore.Matcher] = ()) -> DataFrame:
+    """The files that ignore patterns leave; for corpora that come from tables."""
+    return files.where(~ignore.ignored("rel_path", ignore.Matcher(rules.effective()), nested))
+
+
+class SharedFolder:
+    """A folder that Spark's file systems can open, by its URI."""
+
+    def __init__(self, spark: SparkSession, uri: str):
+        self._spark, self._jvm = spark, spark._jvm
+        top = self._path(uri.rstrip("/"))
+        self._fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+        self.uri = self._fs.makeQualified(top).toString()
+
+    def _path(self, uri: str):
+        return self._jvm.org.apache.hadoop.fs.Path(uri)
+
+    def exists(self, rel_path: str) -> bool:
+        return self._fs.exists(self._path(f"{self.uri}/{rel_path}"))
+
+    def text(self, rel_path: str) -> str | None:
+        """A small file, read on the driver."""
+        if not self.exists(rel_path):
+            return None
+        stream = self._fs.open(self._path(f"{self.uri}/{rel_path}"))
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def config(self) -> WikiConfig:
+        """The settings in the folder, or what its layout tells."""
+        text = self.text(FILE_NAME)
+        if text is not None:
+            return parse(text)
+        return WikiConfig(directories=(Directory("wiki" if self.exists("wiki") else "."),))
+
+    def read(self, rules: Ignore | None = None, start: str = "") -> DataFrame:
+        """The Markdown files below the folder, listed and read by Spark.
+
+        The driver sees folders, not files: it looks for a .gitignore in each
+        and sends the rules as columns, applied before any text is decoded.
+        As everywhere in Spark, names that begin with a dot or an underscore
+        are not listed.  A file that is not UTF-8 fails the read.
+        """
+        if start and not self.exists(start):
+            return self._spark.createDataFrame([], SCHEMA)
+        below = f"{self.uri}/{start}" if start else self.uri
+        found = self._spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(below)
+        path = F.substring("path", F.lit(len(self.uri) + 2), F.length("path"))
+        files = markdown_files(found.select(path.alias("rel_path"), "content"))
+        left = without_ignored(files, rules or Ignore(), list(self._gitignores(files)))
+        return left.select("rel_path", F.decode("content", "UTF-8").alias("source"))
+
+    def _gitignores(self, files: DataFrame) -> Iterator[ignore.Matcher]:
+        parts = F.split("rel_path", "/")
+        above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.when(k == 0, "").otherwise(F.array_join(F.slice(parts, F.lit(1), k), "/")))
+        folders = files.select(F.explode(above).alias("folder")).distinct()
+        for row in folders.orderBy(F.length("folder"), "folder").toLocalIterator():
+            text = self.text(f"{row.folder}/.gitignore" if row.folder else ".gitignore")
+            if text is not None:
+                yield ignore.from_text(text, row.folder)

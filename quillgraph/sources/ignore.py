@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from functools import lru_cache
 from pathlib import Path
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 
 def check(pattern: str) -> None:
     """Raise ConfigError for a pattern that can't be used."""
@@ -54,7 +58,8 @@ def _compiled(pattern: str) -> tuple[re.Pattern | None, bool, bool]:
                 raise re.error("unclosed character class")
             body = text[i + 1 : end]
             body = "^" + body[1:] if body[0] in "!^" else body
-            out.append(f"[{body}]".replace("\\", "\\\\"))
+            # Escapes that Python and Java read alike.
+            out.append("[" + re.sub(r"([\\\[\]&~|])", r"\\\1", body) + "]")
             i = end + 1
         elif c == "\\" and i + 1 < len(text):
             out.append(re.escape(text[i + 1]))
@@ -89,15 +94,47 @@ class Matcher:
         parts = path.split("/")
         return any(self.decide("/".join(parts[: k + 1]), k + 1 < len(parts)) for k in range(len(parts)))
 
+    def column(self, path: Column, is_dir: Column) -> Column:
+        """``decide`` as a column."""
+        out = F.lit(None).cast("boolean")
+        body = re.escape(f"{self.base}/") if self.base else ""
+        for pattern, negated, folder in self.rules:
+            found = path.rlike(f"^{body}(?:{pattern.pattern})$")
+            out = F.when(found & is_dir if folder else found, not negated).otherwise(out)
+        return out
+
+
+def ignored(path: Column | str, own: Matcher, nested: Sequence[Matcher] = ()) -> Column:
+    """Whether a file is ignored, itself or with a folder above it, as a column.
+
+    ``nested``: the matchers of .gitignore files, outer ones first; the nearest
+    that speaks of a path decides.
+    """
+    nested = [m for m in nested if m.rules]
+    if not own.rules and not nested:
+        return F.lit(False)
+    parts = F.split(path, "/")
+    steps = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(F.array_join(F.slice(parts, F.lit(1), k), "/").alias("path"), (k < F.size(parts)).alias("is_dir")))
+
+    def hit(step: Column) -> Column:
+        near = F.coalesce(*[m.column(step["path"], step["is_dir"]) for m in reversed(nested)], F.lit(False))
+        return F.coalesce(own.column(step["path"], step["is_dir"]), F.lit(False)) | near
+
+    return F.exists(steps, hit)
+
 
 def read(folder: Path, base: str) -> Matcher | None:
     """The .gitignore of a folder."""
     try:
-        lines = (folder / ".gitignore").read_text(encoding="utf-8", errors="replace").splitlines()
+        return from_text((folder / ".gitignore").read_text(encoding="utf-8", errors="replace"), base)
     except OSError:
         return None
+
+
+def from_text(text: str, base: str) -> Matcher:
+    """The rules of a .gitignore file that can be used."""
     usable = []
-    for line in lines:
+    for line in text.splitlines():
         try:
             _compiled(line)
         except re.error:

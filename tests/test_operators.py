@@ -189,3 +189,81 @@ def test_escaped_replacement_characters(spark):
 
     rows = spark.createDataFrame([("%EF%BF%BD.md",), ("�%ef%bf%bd",), ("%ff",), ("�%FF",), ("%C3%A9",), ("%zz",)], "p string")
     assert [r[0] for r in rows.select(scalars.url_decode("p")).collect()] == ["�.md", "��", None, None, "é", None]
+
+
+IGNORABLE = ["a.md", "raw/a.md", "x/raw/a.md", "x/raw.md", "wiki/raw[1]/a.md", "wiki/k-1/a.md", "wiki/k&/b c.md", "deep/er/still/x.md", ".codex/a.md", "keep/no.md"]
+
+
+@pytest.mark.parametrize(
+    "own, nested",
+    [
+        ((), ()),
+        (("raw/",), ()),
+        (("/raw",), ()),
+        (("raw*",), ()),
+        (("**/still/", "wiki/**"), ()),
+        (("k[-&]", "raw[[]1]", "b?c.md"), ()),
+        (("*.md",), (("", "!a.md"),)),
+        ((), (("", "*.md\n!no.md"), ("wiki", "!a.md\n# none\n"))),
+        (("wiki/k-1",), (("deep", "er/\n!x.md"), ("deep/er", "!still"))),
+    ],
+)
+def test_ignore_rules_as_a_column(spark, own, nested):
+    """The column says what the walk's matchers say, folder by folder."""
+    mine, others = ignore.Matcher(own), [ignore.from_text(text, base) for base, text in nested]
+
+    def lost(path):
+        parts = path.split("/")
+        for k in range(1, len(parts) + 1):
+            step, is_dir = "/".join(parts[:k]), k < len(parts)
+            if mine.decide(step, is_dir) or next((d for m in reversed(others) if (d := m.decide(step, is_dir)) is not None), False):
+                return True
+        return False
+
+    rows = spark.createDataFrame([(p,) for p in IGNORABLE], "rel_path string").select("rel_path", ignore.ignored("rel_path", mine, others).alias("lost")).collect()
+    assert {r.rel_path: r.lost for r in rows} == {p: lost(p) for p in IGNORABLE}
+
+
+def test_folder_by_its_uri_reads_as_by_its_path(spark, tmp_path):
+    files = {
+        "index.md": "# Start\n[[one]]\n",
+        "wiki/one.md": "# One é\n",
+        "wiki/two words.md": "",
+        "wiki/.gitignore": "*.md\n!one.md\n",
+        "drafts/x.md": "never",
+        "raw/[1].md": "r",
+        "raw/upper.MD": "no",
+        "wiki.toml": '[[directories]]\npath = "wiki"\n[ignore]\npatterns = ["drafts/"]\n',
+    }
+    for path, text in files.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text, encoding="utf-8")
+    by_path, by_uri = Wiki.open(spark, tmp_path), Wiki.open(spark, tmp_path.as_uri())
+    assert by_path.config == by_uri.config
+    rows = sorted(map(tuple, by_uri.files.collect()))
+    assert rows == sorted(map(tuple, by_path.files.collect())) and [r[0] for r in rows] == ["index.md", "raw/[1].md", "wiki/one.md"]
+    shared = corpus.SharedFolder(spark, tmp_path.as_uri())
+    assert [r.rel_path for r in shared.read(start="raw").collect()] == ["raw/[1].md"]
+    assert shared.read(start="none").count() == 0
+    assert by_uri.page("raw/[1].md").count() == 1
+    (tmp_path / "raw" / "bad.md").write_bytes(b"\xff")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        shared.read().collect()
+
+
+def test_stored_pages_give_the_same_findings(spark):
+    files = spark.createDataFrame([("index.md", "[[a]]"), ("wiki/a.md", "[[b]] [[c#x]]"), ("wiki/c.md", "# C")], "rel_path string, source string")
+    plain, stored = Wiki(files, config.WikiConfig(directories=(config.Directory("wiki"),))), Wiki(files, config.WikiConfig(directories=(config.Directory("wiki"),)), store=lint.FACETS)
+    key = lambda df: sorted(map(repr, df.collect()))
+    assert key(stored.lint()) == key(plain.lint()) != []
+
+
+def test_mentions_in_blocks_of_names(spark, monkeypatch):
+    """Many automata find what one does."""
+    files = spark.createDataFrame([("n/1.md", "Ab cd, abc d and ab cd ef; x-ab."), ("n/2.md", "`ab` cd ef ab")], "rel_path string, source string")
+    pages = Wiki(files, config.parse("")).pages("ranges")
+    names = spark.createDataFrame([("ab",), ("ab cd",), ("cd ef",), ("d",), ("",)], "page_id string")
+    whole = sorted(map(tuple, mentions.mentions(pages, names).collect()))
+    monkeypatch.setattr(mentions, "BLOCK_BYTES", 3)
+    assert len(list(mentions._blocks(names))) > 1
+    assert sorted(map(tuple, mentions.mentions(pages, names).collect())) == whole != []
