@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import PAGES
+from .queries import MORE, PAGES
 
 _Q = {k: path for k, (path, _, _) in PAGES.items()}
 _T = {k: text.replace("\\n", "' || chr(10) || '") for k, (_, text, _) in PAGES.items()}
@@ -137,7 +137,10 @@ ORACLES = {
                CASE WHEN twice THEN '[N' || s_nationkey || '][' || nm || ']' ELSE '[N' || s_nationkey || '](../nations/' || nm || '.md)' END AS replacement FROM s
         UNION ALL SELECT {_Q['suppliers']}, (h + w + 1 + gap + 7)::INT, (h + w + 1 + gap + 7 + w2)::INT, '[' || nm || '][' || nm || '#^evidence]' FROM s WHERE twice
         UNION ALL SELECT {_Q['suppliers']}, (h + w + 1 + gap + 7 + w2 + 2)::INT, (h + w + 1 + gap + 7 + w2 + 2)::INT,
-               chr(10) || '[' || nm || ']: ../nations/' || nm || '.md' || chr(10) || '[' || nm || '#^evidence]: ../nations/' || nm || '.md#^evidence' || chr(10) FROM s WHERE twice""",
+               chr(10) || '[' || nm || ']: ../nations/' || nm || '.md' || chr(10) || '[' || nm || '#^evidence]: ../nations/' || nm || '.md#^evidence' || chr(10) FROM s WHERE twice
+        UNION ALL SELECT {_Q['nations']}, {_NATION_HEAD}::INT, ({_NATION_HEAD} + length(r_name) + 4)::INT, '[' || r_name || '](../regions/' || replace(r_name, ' ', '%20') || '.md)' FROM {_NATIONS}
+        UNION ALL SELECT 'index.md', (upto - length(name) - 5)::INT, (upto - 1)::INT, '[' || name || '](wiki/' || CASE WHEN name LIKE 'NATION%' THEN 'nations/' ELSE 'regions/' END || replace(name, ' ', '%20') || '.md)' FROM (
+          SELECT name, length('# Index' || chr(10) || chr(10)) + sum(length(name) + 7) OVER (ORDER BY name) AS upto FROM (SELECT r_name AS name FROM region UNION ALL SELECT n_name FROM nation WHERE n_nationkey % 5 <> 0))""",
     "links_fix_edits": f"""
         SELECT {_Q['customers']} AS rel_path, {_CUSTOMER_HEAD}::INT AS start, ({_CUSTOMER_HEAD} + length('NATION_' || c_nationkey))::INT AS "end", '[NATION_' || c_nationkey || ']' AS replacement FROM customer
         UNION ALL SELECT {_Q['customers']}, {_CUSTOMER_ALL}::INT, {_CUSTOMER_ALL}::INT, chr(10) || '[NATION_' || c_nationkey || ']: ../nations/NATION_' || c_nationkey || '.md' || chr(10) FROM customer""",
@@ -189,5 +192,60 @@ ORACLES = {
 }
 
 
+_REF_PAGE = MORE["references"][0]
+# Offsets of the reference link, and of its definition, on a page (``x]`` for the escaped bracket).
+_REF_AT = "length('# ' || n_name || chr(10) || chr(10) || 'Go ')"
+_REF_END = f"({_REF_AT} + length('[on][The x]  Next]'))"
+_REF_DEF = f"({_REF_END} + length(' now.') + 2)"
+_REF_URL = f"({_REF_DEF} + length('[the x] next]:') + 3)"
+_REF_NEXT = "'NATION_' || ((n_nationkey + 1) % 25)"
+
+ORACLES |= {
+    "scan_files": f"""
+        WITH {_PAGES}
+        SELECT rel_path FROM p WHERE kind NOT LIKE 'raw%' AND NOT (kind = 'customers' AND stem LIKE '%1')
+        UNION ALL SELECT {_Q['notes']} FROM documents WHERE doc_id % 5 <> 0
+        UNION ALL SELECT {MORE['drafts'][0]} FROM nation WHERE n_regionkey IN (1, 2)""",
+    "mentions_in_notes": """
+        WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+(-+[A-Za-z0-9_]+)*')) AS word FROM documents)
+        SELECT lower(word) AS concept, count(*) AS n_mentions, count(DISTINCT doc_id) AS n_files FROM w WHERE lower(word) IN ('the', 'that', 'and', 'with') GROUP BY 1""",
+    "wiki_totals": f"""{_W}
+        SELECT (SELECT count(*) FROM customer) AS n_mentions, 2 * (SELECT count(*) FROM customer) AS n_edits, (SELECT count(*) FROM l WHERE page IS NULL OR NOT frag_ok) AS n_broken,
+               (SELECT count(*) FROM p WHERE kind IN ('regions', 'nations', 'suppliers', 'customers') AND lower(stem) NOT IN (SELECT page FROM l WHERE page IS NOT NULL)) AS n_orphans""",
+    "page_headings": "SELECT 0 AS pos, 1 AS level, 'NATION_3' AS text UNION ALL SELECT 1, 2, 'Key Findings'",
+    "lint_reasons": f"""{_W}
+        SELECT 'error' AS severity, rel_path, markup || ' in ' || rel_path AS message,
+               CASE WHEN page IS NULL THEN 'page not found' WHEN frag_kind = 'block' THEN 'block not found: ''^' || frag || '''' ELSE 'heading not found: ''' || frag || '''' END AS detail
+        FROM l WHERE page IS NULL OR NOT frag_ok""",
+    "lint_citation_preset": f"""
+        SELECT 'warn' AS severity, 'brand' AS code, {MORE['parts'][0]} AS rel_path, replace(p_brand, '#', '-') AS detail FROM part WHERE p_brand NOT LIKE '%2'""",
+    "settings_rules": """
+        SELECT * FROM (VALUES
+          ('required-sections', 'error', '', 'wiki/nations', ''), ('required-frontmatter', 'error', '', 'wiki/customers,wiki/regions', ''), ('required-frontmatter', 'error', '', '', ''),
+          ('mirror-parity', 'error', '', '', ''), ('citation-pattern', 'warn', 'cited-nation', 'wiki/customers', 'filename'), ('citation-pattern', 'error', 'raw-nation', 'wiki/suppliers', 'content')
+        ) AS r("check", severity, name, dirs, match_mode)""",
+    "setup_required": """
+        SELECT 'wiki/regions' AS dir, count(*) AS n_files, '"type"' AS fields, '"Notes"' AS sections FROM region
+        UNION ALL SELECT 'wiki/nations', count(*), '"aliases", "type"', '-' FROM nation
+        UNION ALL SELECT 'wiki/suppliers', count(*), '"nation", "type"', '-' FROM supplier
+        UNION ALL SELECT 'wiki/customers', count(*), '-', '-' FROM customer""",
+    "links_format_wikilinks": f"""
+        SELECT {_REF_PAGE} AS rel_path, {_REF_AT}::INT AS start, {_REF_END}::INT AS "end", '[[' || {_REF_NEXT} || '|on]]' AS replacement FROM nation
+        UNION ALL SELECT {_REF_PAGE}, {_REF_DEF}::INT, ({_REF_URL} + length({_REF_NEXT} || '.md') + 1)::INT, '' FROM nation""",
+    "move_definition_edits": f"""
+        SELECT {_REF_PAGE} AS rel_path, {_REF_URL}::INT AS start, ({_REF_URL} + length({_REF_NEXT} || '.md'))::INT AS "end",
+               CASE WHEN n_nationkey = 2 THEN '../../archive/NATION_3.md' ELSE '../wiki/nations/NATION_4.md' END AS replacement FROM nation WHERE n_nationkey IN (2, 3)""",
+    "frontmatter_json": f"""
+        SELECT {_Q['regions']} AS rel_path, '{{"type":"region"}}' AS json FROM region
+        UNION ALL SELECT {_Q['nations']}, '{{"aliases":["N' || n_nationkey || '"],"type":"nation"}}' FROM nation
+        UNION ALL SELECT {_Q['suppliers']}, '{{"nation":"N' || s_nationkey || '","type":"supplier"}}' FROM supplier""",
+    "edits_effective": f"""SELECT {_Q['nations']} AS rel_path, 0 AS start, 3 AS "end", '+++' AS replacement FROM nation WHERE n_nationkey % 2 = 0""",
+    "markdown_block_ids": f"SELECT {_Q['nations']} AS rel_path, 0 AS pos, 'evidence' AS block_id FROM nation WHERE n_nationkey % 3 = 0",
+    "name_rules": """
+        SELECT p_partkey, p_type || '/x' AS folder, chr(92) || '[' || p_brand || chr(92) || ']' || chr(92) || chr(92) AS label, '"' || p_brand || '", "' || p_type || '"' AS listed,
+               p_partkey % 5 IN (0, 4) AS is_md FROM part""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)

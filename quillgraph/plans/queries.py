@@ -12,7 +12,8 @@ from ..functions import scalars as S
 from ..operators import edits as E
 from ..operators import format as formatting
 from ..operators import graph, inventory, lint, mentions, parse, resolve, rewrite
-from ..sources import config
+from ..sources import config, corpus
+from . import setup
 from .wiki import Wiki
 
 CONFIG = """
@@ -87,14 +88,14 @@ PAGES = {
     ),
     "notes": ("'notes/' || doc_id || '.md'", "coalesce(text, '')", "documents"),
 }
-TABLES = ("region", "nation", "supplier", "customer", "documents")
+TABLES = ("region", "nation", "supplier", "customer", "documents", "part")
 
 
 def corpus_from_tables(spark: SparkSession, sf_dir: str, parts: tuple[str, ...] = tuple(PAGES)) -> DataFrame:
     """A corpus (rel_path, source) built from the tables in ``sf_dir``."""
     out = None
     for name in parts:
-        path, text, table = PAGES[name]
+        path, text, table = (PAGES | MORE)[name]
         for t in TABLES:
             if t in table.split():
                 spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(f"corpus_{t}")
@@ -118,11 +119,33 @@ def _spread(files: DataFrame) -> DataFrame:
     return files.repartition(cores) if len(files.inputFiles()) < cores else files
 
 
+#: Pages that link by reference, with labels that are told apart only after escapes and case.
+REFERENCES = {
+    "references": (
+        "'wiki/nations/' || n_name || '.md'",
+        "'# ' || n_name || '\\n\\nGo [on][The ' || chr(92) || ']  Next] now.\\n\\n[the ' || chr(92) || '] next]:\\n  NATION_' || ((n_nationkey + 1) % 25) || '.md\\n'",
+        "nation",
+    )
+}
+#: Pages that cite brands, and the pages of some of them.
+BRANDS = {
+    "parts": ("'wiki/parts/' || p_partkey || '.md'", "'Uses **' || replace(p_brand, '#', '-') || '** (see ' || (1990 + p_size) || ').\\n'", "part"),
+    "brands": ("DISTINCT 'wiki/brands/' || replace(p_brand, '#', '-') || '.md'", "'# Brand\\n'", "part WHERE p_brand LIKE '%2'"),
+}
+#: What a scan meets beside pages: tool folders, other extensions, bare extensions.
+STRAYS = {
+    "tools": ("'.codex/' || n_name || '.md'", "'x'", "nation"),
+    "upper": ("'wiki/nations/' || n_name || '.MD'", "'x'", "nation"),
+    "bare": ("'wiki/' || n_name || '/.md'", "'x'", "nation"),
+    "drafts": ("'wiki/drafts_' || n_regionkey || '/' || n_name || '.md'", "'x'", "nation"),
+}
+MORE = REFERENCES | BRANDS | STRAYS
+
 GRAPH = ("regions", "raw_regions", "nations", "raw_nations", "suppliers", "customers")
 
 
-def _wiki(spark: SparkSession, sf_dir: str, parts: tuple[str, ...] = GRAPH) -> Wiki:
-    return Wiki(corpus_from_tables(spark, sf_dir, parts), config.parse(CONFIG))
+def _wiki(spark: SparkSession, sf_dir: str, parts: tuple[str, ...] = GRAPH, **more) -> Wiki:
+    return Wiki(corpus_from_tables(spark, sf_dir, parts), config.parse(CONFIG), **more)
 
 
 def _rule(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
@@ -153,6 +176,13 @@ def index_refs(spark, d):
     return inventory.index_refs(_wiki(spark, d, ("regions", "nations")).pages("links"))
 
 
+def scan_files(spark, d):
+    """The Markdown files that ignore rules leave."""
+    files = corpus_from_tables(spark, d, (*PAGES, *STRAYS))
+    rules = config.Ignore(patterns=("raw/", "/notes/*[05].md", "drafts_[!12]", "Customer-*1.md"))
+    return corpus.without_ignored(corpus.markdown_files(files), rules).select("rel_path")
+
+
 def page_categories(spark, d):
     pages = resolve.categorised(corpus_from_tables(spark, d), config.parse(CONFIG))
     return pages.groupBy(resolve.category(config.parse(CONFIG)).alias("category"), F.coalesce("folder", F.lit("-")).alias("folder")).agg(F.count("*").alias("n"))
@@ -217,7 +247,7 @@ def links_check_mentions(spark, d):
 
 
 def mentions_in_notes(spark, d):
-    """The commonest long words of the documents as page names, looked for in all documents."""
+    """Four common words as page names, looked for in all documents."""
     notes = corpus_from_tables(spark, d, ("notes",))
     pages = resolve.categorised(parse.parse_documents(notes, ("ranges",)), config.parse(CONFIG))
     names = spark.createDataFrame([("the",), ("that",), ("and",), ("with",)], "page_id string")
@@ -225,9 +255,45 @@ def mentions_in_notes(spark, d):
     return found.groupBy("concept").agg(F.count("*").alias("n_mentions"), F.countDistinct("rel_path").alias("n_files"))
 
 
+def wiki_totals(spark, d):
+    """How much there is to mend: mentions, the edits that link them, broken links and orphans."""
+    w = _wiki(spark, d, store=("frontmatter", "headings", "links", "block_ids", "definitions", "ranges"))
+    return w.totals()
+
+
+def page_headings(spark, d):
+    """One page, parsed alone."""
+    return parse.headings(_wiki(spark, d).page("wiki/nations/NATION_3.md", "headings")).select("pos", "level", "text")
+
+
 # Checks
 
 
+def lint_reasons(spark, d):
+    w = _wiki(spark, d)
+    return lint.broken_links(w.broken, w.pages(), w.config).select("severity", "rel_path", "message", "detail")
+
+
+def lint_citation_preset(spark, d):
+    files = corpus_from_tables(spark, d, ("parts", "brands"))
+    text = 'directories = [{path = "wiki/parts"}]\n[[rules]]\ncheck = "citation-pattern"\nname = "brand"\npreset = "bold-method-year"\nmatch_in = "wiki/brands"\n'
+    w = Wiki(files, config.parse(text))
+    return lint.rule_findings(w.pages, w.config.rules[0]).select("severity", "code", "rel_path", "detail")
+
+
+def settings_rules(spark, d):
+    """The rules of a configuration, with what they leave out filled in."""
+    rows = [(r.check, r.severity, r.name, ",".join(r.dirs), r.match_mode if r.check == "citation-pattern" else "") for r in config.parse(CONFIG).rules]
+    return spark.createDataFrame(rows, "check string, severity string, name string, dirs string, match_mode string")
+
+
+def setup_required(spark, d):
+    """What a generated configuration would ask of each content folder."""
+    dirs = setup.content_dirs(setup.required_everywhere(_wiki(spark, d).pages("frontmatter", "headings")), True)
+    listed = [F.coalesce(F.nullif(S.quoted_list(F.coalesce(c, F.array())), F.lit("")), F.lit("-")).alias(c) for c in ("fields", "sections")]
+    return dirs.select("dir", "n_files", *listed)
+
+
 def lint_broken_links(spark, d):
     w = _wiki(spark, d)
     return lint.broken_links(w.broken, w.pages(), w.config).groupBy("severity", "code").agg(F.count("*").alias("n"))
@@ -267,7 +333,7 @@ def lint_citation_content(spark, d):
 
 
 def lint_summary(spark, d):
-    return lint.summary(_wiki(spark, d).lint())
+    return lint.summary(_wiki(spark, d, store=lint.FACETS).lint())
 
 
 # Rewrites
@@ -275,8 +341,13 @@ def lint_summary(spark, d):
 
 def links_format_edits(spark, d):
     w = _wiki(spark, d, ("regions", "nations", "suppliers"))
-    found = formatting.format_edits(w.pages("definitions", "uses"), w.pages("headings", "block_ids"), w.resolved, w.config.linking)
-    return found.where("rel_path LIKE 'wiki/suppliers/%'")
+    return formatting.format_edits(w.pages("definitions", "uses"), w.pages("headings", "block_ids"), w.resolved, w.config.linking)
+
+
+def links_format_wikilinks(spark, d):
+    """Reference links as wikilinks; definitions that nothing uses any more go."""
+    w = Wiki(corpus_from_tables(spark, d, ("references",)), config.parse(""))
+    return formatting.format_edits(w.pages("definitions", "uses"), w.pages("headings", "block_ids"), w.resolved, w.config.linking)
 
 
 def links_fix_edits(spark, d):
@@ -300,6 +371,12 @@ def move_edits(spark, d):
     return rewrite.move(w.pages("destinations"), w.names, "NATION_3", "archive")[1]
 
 
+def move_definition_edits(spark, d):
+    """Destinations that stand on the line after their label."""
+    w = Wiki(corpus_from_tables(spark, d, ("references",)), config.parse(""))
+    return rewrite.move(w.pages("destinations"), w.names, "NATION_3", "archive")[1]
+
+
 def sections_rename_edits(spark, d):
     w = _wiki(spark, d, ("regions", "nations"))
     return rewrite.rename_section(w.pages("headings", "links", "destinations"), "Key Findings", "Main Results")
@@ -309,6 +386,10 @@ def frontmatter_get(spark, d):
     return rewrite.frontmatter_values(_wiki(spark, d).pages("frontmatter"), "nation")
 
 
+def frontmatter_json(spark, d):
+    return parse.frontmatter(_wiki(spark, d).pages("frontmatter")).where("fm IS NOT NULL").select("rel_path", F.to_json("fm").alias("json"))
+
+
 def frontmatter_set_edits(spark, d):
     files = corpus_from_tables(spark, d, ("suppliers",))
     return E.apply_edits(files, rewrite.set_frontmatter(files, "owner", "alice")).select("rel_path", F.substring_index("source", "\n# ", 1).alias("head"))
@@ -325,6 +406,13 @@ def edit_validation(spark, d):
     return E.invalid(files.select("rel_path").crossJoin(F.broadcast(rows)).select("rel_path", "start", "end", "replacement"), files).select("rel_path", "start", "reason")
 
 
+def edits_effective(spark, d):
+    """Edits that would put what is there already are left out."""
+    files = corpus_from_tables(spark, d, ("nations",)).where("rel_path LIKE 'wiki/nations/%'")
+    new = F.when(F.col("rel_path").rlike("[02468][.]md$"), "+++").otherwise("---")
+    return E.effective(files.select("rel_path", F.lit(0).alias("start"), F.lit(3).alias("end"), new.alias("replacement")), files)
+
+
 # Scalars
 
 
@@ -336,6 +424,24 @@ def block_ids(spark, d):
     return parse.block_ids_of(corpus_from_tables(spark, d, GRAPH)).select("rel_path", "block_id")
 
 
+def markdown_block_ids(spark, d):
+    """Block ids as the Markdown reader finds them."""
+    return parse.block_ids(_wiki(spark, d).pages("block_ids")).select("rel_path", "pos", "block_id")
+
+
+def name_rules(spark, d):
+    """Slashes at the end, labels with brackets, quoted lists, which paths name Markdown files."""
+    part = spark.read.parquet(f"{d}/part.parquet")
+    path = F.concat(F.element_at(F.array(*map(F.lit, ("", "/", "x:", "%zz", "../"))), F.pmod("p_partkey", F.lit(5)).cast("int") + 1), "p_type", F.lit("%20.md"))
+    return part.select(
+        "p_partkey",
+        S.strip_slash(F.concat("p_type", F.lit("/x//"))).alias("folder"),
+        S.escape_label(F.concat(F.lit("["), "p_brand", F.lit("]\\"))).alias("label"),
+        S.quoted_list(F.array("p_brand", "p_type")).alias("listed"),
+        S.is_relative_md(path).alias("is_md"),
+    )
+
+
 def path_normalize(spark, d):
     part = spark.read.parquet(f"{d}/part.parquet")
     path = F.concat(F.lit("a/./b/../"), F.col("p_brand"), F.lit("/../../../x/"), F.col("p_partkey"), F.lit(".md"))
@@ -357,12 +463,13 @@ def href_graph(spark, d):
 
 
 NAMES = (
-    scan_directories, scan_frontmatter_fields, scan_headings_topk, mirror_candidates, index_refs, page_categories, name_conflicts,
+    scan_files, scan_directories, scan_frontmatter_fields, scan_headings_topk, mirror_candidates, index_refs, page_categories, name_conflicts,
     links_all, refs_graph, refs_to, refs_from, inbound_counts, links_broken_page, links_broken_heading, links_broken_block, links_orphans,
     links_check_mentions, mentions_in_notes, lint_broken_links, lint_index_coverage, lint_required_sections, lint_required_frontmatter,
     lint_when_predicate, lint_mirror_parity, lint_citation_filename, lint_citation_content, lint_orphans, lint_summary, links_format_edits, links_fix_edits,
     rename_edits, rename_moves, move_edits, sections_rename_edits, frontmatter_get, frontmatter_set_edits, diff_hunks, edit_validation,
-    heading_anchors, block_ids, path_normalize, url_decode, href_graph,
+    heading_anchors, block_ids, path_normalize, url_decode, href_graph, wiki_totals, page_headings, lint_reasons, lint_citation_preset,
+    settings_rules, setup_required, links_format_wikilinks, move_definition_edits, frontmatter_json, edits_effective, markdown_block_ids, name_rules,
 )
 
 
