@@ -14,8 +14,9 @@ gives the run exactly.  A stretch found with several periods has the smallest
 one, of which the others are multiples.
 
 Blocks with a pair of neighbouring words that comes only once in the document
-can't come again and are neither built nor searched; inside a run of a period
-of at most b / 2, which is known from smaller sizes, no seeds are taken.
+can't come again and are neither built nor searched.  Inside a run of a period
+of at most b / 2, which is known from smaller sizes, no seeds are taken, and
+what is left without a place to come again is not searched for.
 
 Documents are independent, so nothing is shuffled.  Words are compared
 themselves, not by hashes.  Nulls and empty texts have no words and no runs.
@@ -72,42 +73,84 @@ def _stretch(ids: np.ndarray, at: int, size: int, q: int) -> tuple[int, int]:
     return s, t
 
 
-def _occurrences(words: list[int], segments: list[tuple[int, int]], size: int) -> tuple[np.ndarray, ...] | None:
-    """(block, place) of the aligned blocks, and of all occurrences, within the segments [a, b)."""
-    import ahocorasick
-
-    search = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    number: dict[tuple, int] = {}
-    blocks, places = [], []
-    for a, b in segments:
-        for x in range(-(-a // size) * size, b - size + 1, size):
-            key = tuple(words[x : x + size])
-            k = number.setdefault(key, len(number))
-            if k == len(number) - 1:
-                search.add_word(key, k)
-            blocks.append(k)
-            places.append(x)
-    if not blocks:
-        return None
-    search.make_automaton()
-    found, where = [], []
-    for a, b in segments:
-        for last, k in search.iter(tuple(words[a:b])):
-            found.append(k)
-            where.append(a + last + 1 - size)
-    return np.array(blocks), np.array(places), np.array(found), np.array(where)
-
-
-def _recurring(ids: np.ndarray) -> list[tuple[int, int]]:
-    """The stretches [a, b) of two words or more whose pairs of neighbours all come again in the text."""
+def _recurring(ids: np.ndarray) -> np.ndarray:
+    """Which pairs of neighbours come more than once in the text."""
     pairs = ids[:-1] * (int(ids.max()) + 1) + ids[1:]
     order = np.argsort(pairs, kind="stable")
     same = pairs[order[1:]] == pairs[order[:-1]]
-    again = np.zeros(len(pairs) + 2, dtype=np.int8)
-    again[1 + order[1:][same]] = 1
-    again[1 + order[:-1][same]] = 1
-    edges = np.flatnonzero(np.diff(again))
-    return list(zip(edges[::2].tolist(), (edges[1::2] + 1).tolist(), strict=True))
+    again = np.zeros(len(pairs), dtype=bool)
+    again[order[1:][same]] = True
+    again[order[:-1][same]] = True
+    return again
+
+
+def _pieces(joined: np.ndarray, size: int) -> list[tuple[int, int]]:
+    """The stretches [a, b) of at least ``size`` words whose neighbours are joined."""
+    edges = np.flatnonzero(np.diff(joined.view(np.int8), prepend=0, append=0))
+    return [(a, b + 1) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True) if b + 1 - a >= size]
+
+
+class _Size:
+    """The search for the aligned blocks of one size."""
+
+    def __init__(self, again: np.ndarray, size: int, min_length: int, known: dict[tuple[int, int], int]):
+        self.size, self.n = size, len(again) + 1
+        pieces = _pieces(again, size)
+        aligned = [np.arange(-(-a // size) * size, b - size + 1, size) for a, b in pieces]
+        places = np.concatenate(aligned) if aligned else np.zeros(0, np.int64)
+        self.any = len(places) > 0
+        # Inside a known run of a short period a block's occurrences say nothing new; those beyond its end may.
+        ends = np.zeros(self.n // size + 1, dtype=np.int64)
+        for (s, e), p in known.items():
+            if 2 * p <= size:
+                ends[-(-s // size) : max(0, (e - size) // size + 1)] = e
+        floor = np.maximum(0, ends[places // size] - size + 1)
+        self.ranges = []
+        for least, most in distances(size, min_length):
+            # The smallest period of a known run may be one of the short ones that belong to a later size.
+            low = places + least if 2 * least < min_length else np.maximum(places + least, floor)
+            high = np.minimum(places + most, self.n - size)
+            own = low <= high
+            self.ranges.append((places[own], low[own], high[own]))
+
+    def seeds(self, words: list[int], again: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """By ascending distance: the distance and the places of the blocks that come again there."""
+        import ahocorasick
+
+        size, wide = self.size, self.n + 1
+        search = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        number: dict[tuple, int] = {}
+        edges = np.zeros(wide, dtype=np.int64)
+        named = []
+        for places, low, high in self.ranges:
+            blocks = [number.setdefault(tuple(words[x : x + size]), len(number)) for x in places.tolist()]
+            named.append(np.array(blocks, dtype=np.int64))
+            np.add.at(edges, low, 1)
+            np.add.at(edges, high + size, -1)
+        if not number:
+            return []
+        for key, k in number.items():
+            search.add_word(key, k)
+        search.make_automaton()
+        used = np.cumsum(edges[:-1]) > 0
+        found, where = [], []
+        for a, b in _pieces(again & used[:-1] & used[1:], size):
+            for last, k in search.iter(tuple(words[a:b])):
+                found.append(k)
+                where.append(a + last + 1 - size)
+        seen = np.sort(np.array(found, dtype=np.int64) * wide + np.array(where, dtype=np.int64))
+        at, apart = [], []
+        for blocks, (places, low, high) in zip(named, self.ranges, strict=True):
+            a, b = np.searchsorted(seen, blocks * wide + low), np.searchsorted(seen, blocks * wide + high, side="right")
+            x = np.repeat(places, b - a)
+            k = np.arange(len(x)) + np.repeat(b - np.cumsum(b - a), b - a)
+            at.append(x)
+            apart.append(seen[k] % wide - x)
+        x, q = np.concatenate(at), np.concatenate(apart)
+        order = np.lexsort((x, q))
+        x, q = x[order], q[order]
+        cuts = [0, *(np.flatnonzero(np.diff(q)) + 1).tolist(), len(q)]
+        return [(int(q[i]), x[i:j]) for i, j in zip(cuts, cuts[1:], strict=False) if j > i]
 
 
 def find_runs(words: list, min_length: int = MIN_LENGTH) -> list[tuple[int, int, int]]:
@@ -120,15 +163,14 @@ def find_runs(words: list, min_length: int = MIN_LENGTH) -> list[tuple[int, int,
     code: dict = {}
     own = [code.setdefault(w, len(code)) for w in words]
     ids = np.array(own, dtype=np.int64)
-    segments = _recurring(ids)
+    again = _recurring(ids)
     periods: dict[tuple[int, int], int] = {}
     size = 2
     while 2 * size - 1 <= max(n // 2, min_length):
-        segments = [s for s in segments if s[1] - s[0] >= size]
-        if not segments:
+        blocks = _Size(again, size, min_length, periods)
+        if not blocks.any:
             break
-        found = _occurrences(own, segments, size) if distances(size, min_length) else None
-        for q, places in _seeds(*found, size, n, min_length, periods) if found else ():
+        for q, places in blocks.seeds(own, again):
             i = 0
             while i < len(places):
                 s, t = _stretch(ids, int(places[i]), size, q)
@@ -139,33 +181,6 @@ def find_runs(words: list, min_length: int = MIN_LENGTH) -> list[tuple[int, int,
     return sorted((s, e - s, q) for (s, e), q in periods.items())
 
 
-def _seeds(blocks: np.ndarray, places: np.ndarray, found: np.ndarray, where: np.ndarray, size: int, n: int, min_length: int, known: dict[tuple[int, int], int]) -> list[tuple[int, np.ndarray]]:
-    """By ascending distance: the distance and the places of the blocks that come again there."""
-    ends = np.zeros(n // size + 1, dtype=np.int64)
-    for (s, e), p in known.items():
-        if 2 * p <= size:
-            ends[-(-s // size) : max(0, (e - size) // size + 1)] = e
-    wide = n + 1
-    seen = np.sort(found * wide + where)
-    floor = np.maximum(0, ends[places // size] - size + 1)
-    at, apart = [], []
-    for least, most in distances(size, min_length):
-        # The smallest period of a known run may be a short one that belongs to a later size.
-        lowest = places + least if 2 * least < min_length else np.maximum(places + least, floor)
-        a = np.searchsorted(seen, blocks * wide + np.minimum(lowest, n))
-        b = np.searchsorted(seen, blocks * wide + np.minimum(places + most, n), side="right")
-        many = np.maximum(b - a, 0)
-        x = np.repeat(places, many)
-        k = np.arange(len(x)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(a, many)
-        at.append(x)
-        apart.append(seen[k] % wide - x)
-    x, q = np.concatenate(at), np.concatenate(apart)
-    order = np.lexsort((x, q))
-    x, q = x[order], q[order]
-    cuts = np.flatnonzero(np.diff(q)) + 1
-    return [(int(d[0]), p) for d, p in zip(np.split(q, cuts), np.split(x, cuts), strict=True) if len(d)]
-
-
 def collapsed(words: list, runs: list[tuple[int, int, int]]) -> list:
     """The words without those that only repeat: of each run the first period stays."""
     if not runs:
