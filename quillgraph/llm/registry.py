@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_compression_bands, op2_decontaminate, op3_preferences, op4_mixing, op5_jaccard_join, op6_language_ppm, op7_token_counts, op8_id_files, op9_secrets, op10_text_density, op12_filter_audit, op13_periodic_runs
+from . import op1_compression_bands, op2_decontaminate, op3_preferences, op4_mixing, op5_jaccard_join, op6_language_ppm, op7_token_counts, op8_id_files, op9_secrets, op10_text_density, op11_url_trees, op12_filter_audit, op13_periodic_runs
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_id_files": op8_id_files.query,
         "op9_secrets": op9_secrets.query,
         "op10_text_density": op10_text_density.query,
+        "op11_url_trees": op11_url_trees.query,
         "op12_filter_audit": op12_filter_audit.query,
         "op13_periodic_runs": op13_periodic_runs.query,
     }
