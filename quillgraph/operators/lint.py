@@ -6,17 +6,16 @@ finding(severity, code, rel_path, message, detail)
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import reduce
 
-import ahocorasick
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..sources.config import Rule, WikiConfig, java_pattern
-from . import graph, mentions
+from ..sources.sinks import stored
+from . import graph, phrases
 
 #: What the checks read of parsed pages.
 FACETS = ("frontmatter", "headings", "links", "block_ids")
@@ -98,37 +97,6 @@ def mirror_parity(pages: DataFrame, rule: Rule) -> DataFrame:
     return _finding(rows, rule.severity, "missing-mirror", F.concat(here, F.lit(" has no "), other, F.lit("/"), "stem", F.lit(".md")), F.col("stem"))
 
 
-def contained(ids: DataFrame, pages: DataFrame) -> DataFrame:
-    """The ids that occur in some source.
-
-    Blocks of ids, cut by their measured size, are looked for by one automaton
-    each in a pass over the sources; a task tells each id it finds once.
-    """
-    spark = ids.sparkSession
-    total = ids.agg(F.sum(F.octet_length("id"))).first()[0] or 0
-    n = max(1, -(-total // mentions.BLOCK_BYTES))
-    found = spark.createDataFrame([], "id string")
-    for k in range(n):
-        block = [r.id for r in ids.where(F.pmod(F.xxhash64("id"), F.lit(n)) == k).collect()]
-        if not block:
-            continue
-        sent = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            words = ahocorasick.Automaton()
-            for word in sent.value:
-                words.add_word(word, word)
-            words.make_automaton()
-            told: set[str] = set()
-            for batch in batches:
-                now = {word for text in batch.column(0).to_pylist() if text for _, word in words.iter(text)} - told
-                told |= now
-                yield pa.RecordBatch.from_arrays([pa.array(sorted(now), pa.string())], ["id"])
-
-        found = found.unionByName(pages.select("source").mapInArrow(run, "id string"))
-    return found.distinct()
-
-
 def citation_pattern(pages: DataFrame, rule: Rule) -> DataFrame:
     """Captured ids without a matching page, once per occurrence."""
     group = re.compile(rule.pattern).groupindex.get("id")
@@ -139,7 +107,8 @@ def citation_pattern(pages: DataFrame, rule: Rule) -> DataFrame:
     if rule.match_mode == "filename":
         lost = ids.withColumn("low", F.lower("id")).join(where.select(F.lower("stem").alias("low")), "low", "left_anti")
     else:
-        lost = ids.join(contained(ids.select("id").distinct(), where), "id", "left_anti")
+        ids = stored(ids, "citations")  # the pattern is looked for once
+        lost = ids.join(phrases.contained(where, ids.select(F.col("id").alias("phrase"))).withColumnRenamed("phrase", "id"), "id", "left_anti")
     message = F.concat("rel_path", F.lit(" references '"), "id", F.lit(f"' but no matching page in {rule.match_in}"))
     return _finding(lost, rule.severity, rule.name, message, F.col("id"))
 

@@ -1,28 +1,17 @@
 """Unlinked mentions of page names in prose.
 
-All names are matched at once by an Aho-Corasick automaton, leftmost-longest
-and without regard to ASCII case.  A match that is rejected, because it is part
-of a longer word or names the page itself, still uses up its text.
+Names are matched leftmost-longest and without regard to ASCII case.  A match
+that is rejected, because it is part of a longer word or names the page itself,
+still uses up its text.
 """
 
 from __future__ import annotations
 
-import bisect
-from collections.abc import Iterator
-from functools import reduce
-
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.markdown import ascii_lower
 from ..sources.config import WikiConfig
-
-#: Bytes of names in one automaton.
-BLOCK_BYTES = 16 << 20
-SCHEMA = "rel_path string, concept string, start int, end int, line int, col int"
-_FOUND = "rel_path string, range_no int, concept string, start int, end int"
+from . import phrases
 
 
 def autolink_pages(pages: DataFrame, config: WikiConfig) -> DataFrame:
@@ -38,133 +27,14 @@ def autolink_pages(pages: DataFrame, config: WikiConfig) -> DataFrame:
     return out.where(~off).select("page_id").distinct()
 
 
-def _word(byte: int) -> bool:
-    return 48 <= byte <= 57 or 65 <= byte <= 90 or 97 <= byte <= 122
-
-
-def _free(raw: bytes, start: int, end: int) -> bool:
-    """Whether a match is not part of a longer word or hyphenated name."""
-    for near, far in ((start - 1, start - 2), (end, end + 1)):
-        if 0 <= near < len(raw):
-            if _word(raw[near]) or raw[near] == 95:
-                return False
-            if raw[near] == 45 and 0 <= far < len(raw) and _word(raw[far]):
-                return False
-    return True
-
-
-def _automaton(names: list[str]):
-    import ahocorasick
-
-    out = ahocorasick.Automaton()
-    for name in names:
-        out.add_word(name, name)
-    out.make_automaton()
-    return out
-
-
-def _offsets(text: str, at: int) -> int:
-    return at if text.isascii() else len(text[:at].encode())
-
-
-def _blocks(names: DataFrame) -> Iterator[list[str]]:
-    """The names in lists of bounded size, one at a time on the driver."""
-    real = names.where("page_id <> ''")
-    total = real.agg(F.sum(F.octet_length("page_id"))).first()[0] or 0
-    n = -(-total // BLOCK_BYTES)
-    dealt = real.withColumn("block", F.pmod(F.xxhash64("page_id"), F.lit(max(n, 1))))
-    for k in range(n):
-        block = [r.page_id for r in dealt.where(F.col("block") == k).collect()]
-        if block:
-            yield block
-
-
 def mentions(pages: DataFrame, names: DataFrame) -> DataFrame:
     """rel_path, concept, start, end, line, col of each mention.
 
-    ``pages``: rel_path, source, page_id, ranges; ``names``: page_id.
+    ``pages``: rel_path, source, page_id, ranges; ``names``: page_id.  Of all
+    occurrences those are chosen that a search from the left for the longest
+    names would give, then those that end a word and name another page.
     """
-    spark = pages.sparkSession
-    rows = pages.select("rel_path", "source", "page_id", "ranges")
-    sent = [spark.sparkContext.broadcast(block) for block in _blocks(names)]
-    if not sent:
-        return spark.createDataFrame([], SCHEMA)
-    if len(sent) == 1:
-        return rows.mapInArrow(lambda batches: _search(batches, _automaton(sent[0].value)), SCHEMA)
-
-    # More names than one automaton should hold: gather all occurrences block
-    # by block, then choose leftmost-longest ones within each prose range.
-    found = reduce(DataFrame.unionByName, [rows.mapInArrow(lambda batches, block=block: _occurrences(batches, _automaton(block.value)), _FOUND) for block in sent])
-    chosen = found.groupBy("rel_path", "range_no").applyInPandas(_leftmost_longest, _FOUND)
-    cut = chosen.groupBy("rel_path").agg(F.collect_list(F.struct("start", "end", "concept")).alias("hits"))
-    joined = rows.join(cut, "rel_path").select("rel_path", "source", "page_id", "hits")
-    return joined.mapInArrow(_accept, SCHEMA)
-
-
-def _prose(batch: pa.RecordBatch) -> Iterator[tuple[str, str, bytes, list[tuple[int, int]]]]:
-    for path, source, page, ranges in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-        yield path, page, source.encode(), [(r["start"], r["end"]) for r in ranges or [] if r["kind"] == "prose"]
-
-
-def _told(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
-    kinds = {"rel_path": pa.string(), "concept": pa.string()}
-    return pa.RecordBatch.from_arrays([pa.array(list(c), kinds.get(n, pa.int32())) for c, n in zip(columns, names, strict=True)], names)
-
-
-def _accepted(path: str, page: str, raw: bytes, hits: list[tuple[int, int, str]]) -> list[tuple]:
-    out, breaks = [], None
-    for start, end, name in hits:
-        if name != page and _free(raw, start, end):
-            if breaks is None:
-                breaks = [i for i, c in enumerate(raw) if c == 10]
-            line = bisect.bisect_left(breaks, start)
-            out.append((path, name, start, end, line + 1, start - (breaks[line - 1] + 1 if line else 0) + 1))
-    return out
-
-
-_NAMES = ["rel_path", "concept", "start", "end", "line", "col"]
-
-
-def _search(batches: Iterator[pa.RecordBatch], automaton) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows: list[tuple] = []
-        for path, page, raw, ranges in _prose(batch):
-            hits = []
-            for a, b in ranges:
-                text = ascii_lower(raw[a:b].decode())
-                for last, name in automaton.iter_long(text):
-                    end = a + _offsets(text, last + 1)
-                    hits.append((end - len(name.encode()), end, name))
-            rows += _accepted(path, page, raw, hits)
-        yield _told(rows, _NAMES)
-
-
-def _occurrences(batches: Iterator[pa.RecordBatch], automaton) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for path, _, raw, ranges in _prose(batch):
-            for k, (a, b) in enumerate(ranges):
-                text = ascii_lower(raw[a:b].decode())
-                for last, name in automaton.iter(text):
-                    end = a + _offsets(text, last + 1)
-                    rows.append((path, k, name, end - len(name.encode()), end))
-        yield _told(rows, ["rel_path", "range_no", "concept", "start", "end"])
-
-
-def _leftmost_longest(hits: pd.DataFrame) -> pd.DataFrame:
-    hits = hits.sort_values(["start", "end"], ascending=[True, False])
-    keep, upto = [], -1
-    for i, (a, b) in enumerate(zip(hits["start"], hits["end"], strict=True)):
-        if a >= upto:
-            keep.append(i)
-            upto = b
-    return hits.iloc[keep]
-
-
-def _accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows: list[tuple] = []
-        for path, source, page, hits in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-            rows += _accepted(path, page, source.encode(), sorted((h["start"], h["end"], h["concept"]) for h in hits))
-        yield _told(rows, _NAMES)
+    texts = pages.select("rel_path", "page_id", "source", "ranges")
+    found = phrases.occurrences(texts, names.select(F.col("page_id").alias("phrase")), fold=True)
+    chosen = phrases.leftmost_longest(found).where("free AND phrase <> page_id")
+    return chosen.select("rel_path", F.col("phrase").alias("concept"), "start", "end", "line", "col")

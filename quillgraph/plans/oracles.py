@@ -209,6 +209,17 @@ ORACLES |= {
     "mentions_in_notes": """
         WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+(-+[A-Za-z0-9_]+)*')) AS word FROM documents)
         SELECT lower(word) AS concept, count(*) AS n_mentions, count(DISTINCT doc_id) AS n_files FROM w WHERE lower(word) IN ('the', 'that', 'and', 'with') GROUP BY 1""",
+    "mentions_of_customers": """
+        SELECT 'orders/' || o_orderkey || '.md' AS rel_path, 'customer-' || lpad(o_custkey::VARCHAR, 9, '0') AS concept, (14 + length(o_orderkey::VARCHAR))::INT AS start,
+               (32 + length(o_orderkey::VARCHAR))::INT AS "end", 3 AS line, 5 AS col FROM orders""",
+    "mentions_of_terms": """
+        WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+(-+[A-Za-z0-9_]+)*')) AS word FROM documents),
+        n AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z0-9_]+'))) AS concept FROM benchmark)
+        SELECT concept, count(*) AS n_mentions, count(DISTINCT doc_id) AS n_files FROM w JOIN n ON lower(word) = concept GROUP BY 1""",
+    "lint_citation_accounts": """
+        WITH c AS (SELECT DISTINCT o_custkey AS k FROM orders),
+        lost AS (SELECT k FROM c WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey % 3 <> 0 AND starts_with(c_custkey::VARCHAR, k::VARCHAR)))
+        SELECT 'warn' AS severity, 'account' AS code, 'orders/' || o_orderkey || '.md' AS rel_path, 'C' || o_custkey AS detail FROM orders JOIN lost ON o_custkey = k""",
     "wiki_totals": f"""{_W}
         SELECT (SELECT count(*) FROM customer) AS n_mentions, 2 * (SELECT count(*) FROM customer) AS n_edits, (SELECT count(*) FROM l WHERE page IS NULL OR NOT frag_ok) AS n_broken,
                (SELECT count(*) FROM p WHERE kind IN ('regions', 'nations', 'suppliers', 'customers') AND lower(stem) NOT IN (SELECT page FROM l WHERE page IS NOT NULL)) AS n_orphans""",

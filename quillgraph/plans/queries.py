@@ -88,7 +88,7 @@ PAGES = {
     ),
     "notes": ("'notes/' || doc_id || '.md'", "coalesce(text, '')", "documents"),
 }
-TABLES = ("region", "nation", "supplier", "customer", "documents", "part")
+TABLES = ("region", "nation", "supplier", "customer", "documents", "part", "orders")
 
 
 def corpus_from_tables(spark: SparkSession, sf_dir: str, parts: tuple[str, ...] = tuple(PAGES)) -> DataFrame:
@@ -132,6 +132,15 @@ BRANDS = {
     "parts": ("'wiki/parts/' || p_partkey || '.md'", "'Uses **' || replace(p_brand, '#', '-') || '** (see ' || (1990 + p_size) || ').\\n'", "part"),
     "brands": ("DISTINCT 'wiki/brands/' || replace(p_brand, '#', '-') || '.md'", "'# Brand\\n'", "part WHERE p_brand LIKE '%2'"),
 }
+#: Orders that name a customer's page and an account, and the ledger of most accounts.
+ORDERS = {
+    "orders": (
+        "'orders/' || o_orderkey || '.md'",
+        "'# Order ' || o_orderkey || '\\n\\nFor Customer-' || lpad(o_custkey, 9, '0') || ', not Customer-' || lpad(o_custkey, 9, '0') || 'x;\\naccount C' || o_custkey || '.\\n'",
+        "orders",
+    ),
+    "ledger": ("'ledger/' || c_custkey || '.md'", "'Account C' || c_custkey || ' is open.\\n'", "customer WHERE c_custkey % 3 <> 0"),
+}
 #: What a scan meets beside pages: tool folders, other extensions, bare extensions.
 STRAYS = {
     "tools": ("'.codex/' || n_name || '.md'", "'x'", "nation"),
@@ -139,7 +148,7 @@ STRAYS = {
     "bare": ("'wiki/' || n_name || '/.md'", "'x'", "nation"),
     "drafts": ("'wiki/drafts_' || n_regionkey || '/' || n_name || '.md'", "'x'", "nation"),
 }
-MORE = REFERENCES | BRANDS | STRAYS
+MORE = REFERENCES | BRANDS | ORDERS | STRAYS
 
 GRAPH = ("regions", "raw_regions", "nations", "raw_nations", "suppliers", "customers")
 
@@ -255,6 +264,21 @@ def mentions_in_notes(spark, d):
     return found.groupBy("concept").agg(F.count("*").alias("n_mentions"), F.countDistinct("rel_path").alias("n_files"))
 
 
+def mentions_of_customers(spark, d):
+    """Every customer's page name, looked for in all orders."""
+    pages = parse.parse_documents(corpus_from_tables(spark, d, ("orders",)), ("ranges",)).withColumn("page_id", S.page_id("rel_path"))
+    names = corpus_from_tables(spark, d, ("customers",)).select(S.page_id("rel_path").alias("page_id"))
+    return mentions.mentions(pages, names)
+
+
+def mentions_of_terms(spark, d):
+    """The words of all benchmark items as page names, looked for in all documents."""
+    pages = resolve.categorised(parse.parse_documents(corpus_from_tables(spark, d, ("notes",)), ("ranges",)), config.parse(CONFIG))
+    words = spark.read.parquet(f"{d}/benchmark.parquet").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_]+"), F.lit(0))).alias("word"))
+    names = words.select(S.ascii_lower("word").alias("page_id")).distinct()
+    return mentions.mentions(pages, names).groupBy("concept").agg(F.count("*").alias("n_mentions"), F.countDistinct("rel_path").alias("n_files"))
+
+
 def wiki_totals(spark, d):
     """How much there is to mend: mentions, the edits that link them, broken links and orphans."""
     w = _wiki(spark, d, store=("frontmatter", "headings", "links", "block_ids", "definitions", "ranges"))
@@ -281,6 +305,13 @@ def lint_citation_preset(spark, d):
     return lint.rule_findings(w.pages, w.config.rules[0]).select("severity", "code", "rel_path", "detail")
 
 
+def lint_citation_accounts(spark, d):
+    """Every order cites an account; accounts are looked for in the contents of the ledger."""
+    text = 'directories = [{path = "orders"}]\n[[rules]]\ncheck = "citation-pattern"\nname = "account"\npattern = "account (?P<id>C[0-9]+)"\nmatch_in = "ledger"\n'
+    w = Wiki(corpus_from_tables(spark, d, ("orders", "ledger")), config.parse(text))
+    return lint.rule_findings(w.pages, w.config.rules[0]).select("severity", "code", "rel_path", "detail")
+
+
 def settings_rules(spark, d):
     """The rules of a configuration, with what they leave out filled in."""
     rows = [(r.check, r.severity, r.name, ",".join(r.dirs), r.match_mode if r.check == "citation-pattern" else "") for r in config.parse(CONFIG).rules]
@@ -465,8 +496,8 @@ def href_graph(spark, d):
 NAMES = (
     scan_files, scan_directories, scan_frontmatter_fields, scan_headings_topk, mirror_candidates, index_refs, page_categories, name_conflicts,
     links_all, refs_graph, refs_to, refs_from, inbound_counts, links_broken_page, links_broken_heading, links_broken_block, links_orphans,
-    links_check_mentions, mentions_in_notes, lint_broken_links, lint_index_coverage, lint_required_sections, lint_required_frontmatter,
-    lint_when_predicate, lint_mirror_parity, lint_citation_filename, lint_citation_content, lint_orphans, lint_summary, links_format_edits, links_fix_edits,
+    links_check_mentions, mentions_in_notes, mentions_of_customers, mentions_of_terms, lint_broken_links, lint_index_coverage, lint_required_sections, lint_required_frontmatter,
+    lint_when_predicate, lint_mirror_parity, lint_citation_filename, lint_citation_content, lint_citation_accounts, lint_orphans, lint_summary, links_format_edits, links_fix_edits,
     rename_edits, rename_moves, move_edits, sections_rename_edits, frontmatter_get, frontmatter_set_edits, diff_hunks, edit_validation,
     heading_anchors, block_ids, path_normalize, url_decode, href_graph, wiki_totals, page_headings, lint_reasons, lint_citation_preset,
     settings_rules, setup_required, links_format_wikilinks, move_definition_edits, frontmatter_json, edits_effective, markdown_block_ids, name_rules,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import markdown, paths
 from quillgraph.functions import scalars as S
 from quillgraph.operators import edits as E
-from quillgraph.operators import lint, mentions, parse, resolve
+from quillgraph.operators import lint, mentions, parse, phrases, resolve
 from quillgraph.plans.wiki import Wiki
 from quillgraph.sources import config, corpus, ignore
 
@@ -98,16 +98,16 @@ def test_roots(tmp_path):
     assert config.detect(tmp_path / "w").directories[0].path == "."
 
 
-def _mentions(spark, source, names, page="self", block=None):
+def _mentions(spark, source, names, page="self"):
     pages = parse.parse_documents(spark.createDataFrame([(f"{page}.md", source)], "rel_path string, source string"), ("ranges",)).withColumn("page_id", F.lit(page))
     table = spark.createDataFrame([(n,) for n in names], "page_id string")
     return sorted((r.concept, r.start, r.line, r.col) for r in mentions.mentions(pages, table).collect())
 
 
-@pytest.mark.parametrize("blocked", [False, True])
-def test_mentions(spark, monkeypatch, blocked):
-    if blocked:
-        monkeypatch.setattr(mentions, "BLOCK_BYTES", 4)
+@pytest.mark.parametrize("chunk", [None, 16])
+def test_mentions(spark, monkeypatch, chunk):
+    if chunk:
+        monkeypatch.setattr(phrases, "CHUNK", chunk)
     names = ["grpo", "sft", "sa-sft", "deep learning", "self"]
     assert _mentions(spark, "Use GRPO, not xGRPO or GRPOx or self.\nGRPO-based SA-SFT é grpo_x (grpo)", names) == [("grpo", 4, 1, 5), ("grpo", 67, 2, 30), ("sa-sft", 49, 2, 12)]
     assert _mentions(spark, "# GRPO\n\n`GRPO` [[GRPO]] deep\nlearning **Deep Learning**", names) == [("deep learning", 40, 4, 12)]
@@ -163,17 +163,14 @@ def test_parse_only_what_is_wanted(spark):
     assert markdown.normal_label(" A\n b ") == "a b"
 
 
-def test_contained_ids(spark, monkeypatch):
-    from quillgraph.operators import lint, mentions
-
-    ids = spark.createDataFrame([("T-1",), ("T-12",), ("é",), ("none",), ("a b",)], "id string")
+def test_contained_ids(spark):
+    ids = spark.createDataFrame([("T-1",), ("T-12",), ("é",), ("none",), ("a b",), ("",)], "phrase string")
     pages = spark.createDataFrame([("xT-12y",), (None,), ("a  b é",), ("T-12",)], "source string")
-    want = {"T-1", "T-12", "é"}
-    assert {r.id for r in lint.contained(ids, pages).collect()} == want
-    monkeypatch.setattr(mentions, "BLOCK_BYTES", 3)
-    found = lint.contained(ids, pages)
-    assert {r.id for r in found.collect()} == want and "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
-    assert lint.contained(ids.limit(0), pages).count() == 0
+    found = phrases.contained(pages, ids)
+    assert {r.phrase for r in found.collect()} == {"T-1", "T-12", "é"}
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    assert phrases.contained(pages, ids.limit(0)).count() == 0
+    assert phrases.contained(pages.limit(0), ids).count() == 0
 
 
 def test_fields_of_the_top_level(spark):
@@ -256,14 +253,3 @@ def test_stored_pages_give_the_same_findings(spark):
     plain, stored = Wiki(files, config.WikiConfig(directories=(config.Directory("wiki"),))), Wiki(files, config.WikiConfig(directories=(config.Directory("wiki"),)), store=lint.FACETS)
     key = lambda df: sorted(map(repr, df.collect()))
     assert key(stored.lint()) == key(plain.lint()) != []
-
-
-def test_mentions_in_blocks_of_names(spark, monkeypatch):
-    """Many automata find what one does."""
-    files = spark.createDataFrame([("n/1.md", "Ab cd, abc d and ab cd ef; x-ab."), ("n/2.md", "`ab` cd ef ab")], "rel_path string, source string")
-    pages = Wiki(files, config.parse("")).pages("ranges")
-    names = spark.createDataFrame([("ab",), ("ab cd",), ("cd ef",), ("d",), ("",)], "page_id string")
-    whole = sorted(map(tuple, mentions.mentions(pages, names).collect()))
-    monkeypatch.setattr(mentions, "BLOCK_BYTES", 3)
-    assert len(list(mentions._blocks(names))) > 1
-    assert sorted(map(tuple, mentions.mentions(pages, names).collect())) == whole != []
