@@ -39,13 +39,13 @@ class Wiki:
     def open(cls, spark: SparkSession, root: str | Path | None = None, **more) -> Wiki:
         """A wiki in a folder, with the settings found there.
 
-        A root with a scheme (``hdfs://...``) is listed and read by Spark; a
-        plain path must be one that the executors can open too.
+        The executors list and read it, so a plain path must be one that they
+        can open; settings of a URI are read through Spark's file systems.
         """
         if root is not None and "://" in str(root):
             shared = corpus.SharedFolder(spark, str(root))
             config = shared.config()
-            return cls(shared.read(config.ignore), config, **more)
+            return cls(corpus.read_corpus(spark, shared.uri, config.ignore), config, **more)
         folder = corpus.resolve_root(root)
         config = settings.load_or_detect(folder)
         return cls(corpus.read_corpus(spark, folder, config.ignore), config, **more)

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator, Sequence
 from pathlib import Path
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ignore
+from . import folders, ignore, tree
 from .config import FILE_NAME, Directory, Ignore, WikiConfig, parse
 
-SCHEMA = "rel_path string, source string"
+SCHEMA = tree.SCHEMA
 
 
 class CorpusError(ValueError):
@@ -42,62 +40,26 @@ def resolve_root(root: str | Path | None) -> Path:
 
 
 def walk(root: Path, rules: Ignore, start: str = "") -> list[str]:
-    """Relative paths of the Markdown files below ``root/start``.
+    """Relative paths of the Markdown files below ``root/start``, by this process alone.
 
     Ignored folders are not entered, so what lies in them is never listed.
     Hidden files count.
     """
-    own = ignore.Matcher(rules.effective())
-    found: list[str] = []
-
-    def enter(folder: Path, base: str, above: tuple[ignore.Matcher, ...]) -> None:
-        here = ignore.read(folder, base)
-        matchers = (*above, here) if here else above
-        for entry in sorted(os.scandir(folder), key=lambda e: e.name):
-            path = f"{base}/{entry.name}" if base else entry.name
-            is_dir = entry.is_dir(follow_symlinks=False)
-            if entry.name == ".git" and is_dir or own.decide(path, is_dir):
-                continue
-            # The nearest .gitignore that speaks of the path decides.
-            if next((d for m in reversed(matchers) if (d := m.decide(path, is_dir)) is not None), False):
-                continue
-            if is_dir:
-                enter(Path(entry.path), path, matchers)
-            elif entry.name.endswith(".md") and entry.name != ".md" and entry.is_file():
-                found.append(path)
-
-    first = root / start
-    if first.is_dir() and not (start and own.ignores(f"{start}/x")):
-        enter(first, start, ())
+    pruned = tree.Pruned(folders.LocalFolder(str(root)), rules.effective())
+    found = pruned.files(start, pruned.rules_above(start)) if pruned.starts(start) else ()
     return sorted(found, key=lambda p: p.split("/"))
 
 
-def read_corpus(spark: SparkSession, root: Path, rules: Ignore | None = None, start: str = "") -> DataFrame:
-    """The Markdown files of a folder.
+def read_corpus(spark: SparkSession, root: Path | str, rules: Ignore | None = None, start: str = "") -> DataFrame:
+    """The Markdown files of a folder, by path or URI, listed and read by the executors.
 
-    The walk prunes folders on the driver; the files are read by the executors.
-    A file that is not UTF-8 fails the read.
+    Where no file system of the workers opens the URI, Spark's own reader does.
     """
-    paths = walk(root, rules or Ignore(), start)
-    if not paths:
-        return spark.createDataFrame([], SCHEMA)
-    top = str(root)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                own = batch.column(0).slice(a, 256)
-                texts = []
-                for p in own.to_pylist():
-                    raw = Path(top, p).read_bytes()
-                    try:
-                        texts.append(raw.decode("utf-8"))
-                    except UnicodeDecodeError as e:
-                        raise CorpusError(f"{p} is not UTF-8: {e}") from e
-                yield pa.RecordBatch.from_arrays([own, pa.array(texts, pa.string())], ["rel_path", "source"])
-
-    rows = spark.createDataFrame([(p,) for p in paths], "rel_path string")
-    return rows.repartition(max(1, min(len(paths) // 64 + 1, spark.sparkContext.defaultParallelism * 4))).mapInArrow(run, SCHEMA)
+    try:
+        folders.opened(str(root))
+    except ValueError:
+        return SharedFolder(spark, str(root)).read(rules, start)
+    return tree.read(spark, str(root), rules or Ignore(), start)
 
 
 def from_table(rows: DataFrame, path: str, text: str) -> DataFrame:
@@ -116,7 +78,7 @@ def without_ignored(files: DataFrame, rules: Ignore, nested: Sequence[ignore.Mat
 
 
 class SharedFolder:
-    """A folder that Spark's file systems can open, by its URI."""
+    """A folder that Spark's file systems can open, by its URI, and perhaps they alone."""
 
     def __init__(self, spark: SparkSession, uri: str):
         self._spark, self._jvm = spark, spark._jvm

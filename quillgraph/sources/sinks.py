@@ -7,46 +7,36 @@ import tempfile
 import uuid
 from pathlib import Path
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
+from . import folders, tree
+
 
 class SinkError(RuntimeError):
     """A file that can't be written."""
 
 
 def write_file(root: Path, rel_path: str, content: str) -> None:
-    path = root / rel_path
-    path.parent.mkdir(parents=True, exist_ok=True)
-    path.write_bytes(content.encode("utf-8"))
+    folders.LocalFolder(str(root)).write(rel_path, content.encode("utf-8"))
 
 
 def rename_file(root: Path, old: str, new: str) -> None:
-    target = root / new
-    if target.exists():
+    if (root / new).exists():
         raise SinkError(f"{new} exists already")
-    target.parent.mkdir(parents=True, exist_ok=True)
-    (root / old).rename(target)
+    folders.LocalFolder(str(root)).move(old, new)
 
 
-def apply(root: Path, moves: DataFrame, rewritten: DataFrame) -> int:
+def apply(root: Path | str, moves: DataFrame, rewritten: DataFrame) -> None:
     """Apply moves (old, new), then contents (rel_path, source) at the new paths.
 
-    Changed files are streamed to the driver, which owns the folder, one
-    partition at a time.  They are computed before the first file moves.
+    Executors write the contents beside the tree; nothing in it changes before
+    all of them are there.
     """
-    rewritten = rewritten.persist()
     try:
-        rewritten.count()
-        moved = {r.old: r.new for r in moves.distinct().orderBy("old").collect()}
-        for old, new in moved.items():
-            rename_file(root, old, new)
-        n = 0
-        for row in rewritten.toLocalIterator():
-            write_file(root, moved.get(row.rel_path, row.rel_path), row.source)
-            n += 1
-        return n
-    finally:
-        rewritten.unpersist()
+        tree.write(str(root), rewritten, [(r.old, r.new) for r in moves.distinct().orderBy("old").collect()])
+    except PySparkException as e:
+        raise SinkError(f"nothing written below {root}: {e}") from e
 
 
 def write_config(root: Path, text: str, force: bool = False) -> Path:
