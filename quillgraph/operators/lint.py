@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..sources.config import Rule, WikiConfig, java_pattern
-from ..sources.sinks import stored
+from ..sources.shared import stored
 from . import graph, phrases
 
 #: What the checks read of parsed pages.

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.sinks import stored
+from ..sources.shared import stored
 
 SIZES = (8, 4, 2, 1)
 #: The bitmap has this many bits a phrase, between these bounds.

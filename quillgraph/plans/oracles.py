@@ -206,6 +206,22 @@ ORACLES |= {
         SELECT rel_path FROM p WHERE kind NOT LIKE 'raw%' AND NOT (kind = 'customers' AND stem LIKE '%1')
         UNION ALL SELECT {_Q['notes']} FROM documents WHERE doc_id % 5 <> 0
         UNION ALL SELECT {MORE['drafts'][0]} FROM nation WHERE n_regionkey IN (1, 2)""",
+    "scan_nested_rules": """
+        WITH f AS (SELECT 'ledgers/c' || o_custkey || '/' || o_orderkey || '.md' AS rel_path, o_custkey AS c, o_orderkey::VARCHAR AS o, (o_custkey % 10)::VARCHAR AS x FROM orders),
+        s AS (SELECT *, c % 2 = 0 AND EXISTS (SELECT 1 FROM customer WHERE c_custkey = c) AS own FROM f WHERE c % 10 <> 9)
+        SELECT rel_path FROM s WHERE CASE WHEN own AND o LIKE '%5' || x THEN true WHEN own AND o LIKE '%' || x THEN false ELSE o NOT LIKE '%3' END""",
+    "scan_tree": f"""
+        SELECT {_Q['regions']} AS rel_path, length({_T['regions']})::INT AS n_chars FROM region
+        UNION ALL SELECT {_Q['nations']}, length({_T['nations']})::INT FROM {_NATIONS}
+        UNION ALL SELECT {_Q['suppliers']}, length({_T['suppliers']})::INT FROM supplier WHERE s_name LIKE '%10' OR NOT (s_name LIKE '%0' OR s_name LIKE '%5')
+        UNION ALL SELECT {MORE['drafts'][0]}, 1 FROM nation WHERE n_regionkey IN (1, 2)
+        UNION ALL SELECT 'index.md', length('# Index' || chr(10) || chr(10)) + sum(length(name) + 7)::INT FROM (SELECT r_name AS name FROM region UNION ALL SELECT n_name FROM nation WHERE n_nationkey % 5 <> 0)""",
+    "tree_rename": f"""
+        WITH f AS (
+          {" UNION ALL ".join(f"SELECT {_Q[k]} AS rel_path, {_T[k]} AS source FROM {PAGES[k][2]}" for k in ('regions', 'raw_regions', 'nations', 'raw_nations', 'suppliers', 'customers'))}
+          UNION ALL SELECT 'index.md', '# Index' || chr(10) || chr(10) || string_agg('- [[' || name || ']]' || chr(10), '' ORDER BY name) FROM (SELECT r_name AS name FROM region UNION ALL SELECT n_name FROM nation WHERE n_nationkey % 5 <> 0))
+        SELECT replace(rel_path, 'nations/NATION_3.md', 'nations/Nation Three.md') AS rel_path,
+               replace(replace(replace(replace(replace(source, '[[N3]]', '[[Nation Three]]'), '[[N3|', '[[Nation Three|'), '[[NATION_3#', '[[Nation Three#'), '[[NATION_3]]', '[[Nation Three]]'), '(NATION_3.md#', '(Nation%20Three.md#') AS source FROM f""",
     "mentions_in_notes": """
         WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+(-+[A-Za-z0-9_]+)*')) AS word FROM documents)
         SELECT lower(word) AS concept, count(*) AS n_mentions, count(DISTINCT doc_id) AS n_files FROM w WHERE lower(word) IN ('the', 'that', 'and', 'with') GROUP BY 1""",

@@ -3,6 +3,7 @@ computes the same answer from the tables themselves, never from Markdown."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,8 @@ from ..functions import scalars as S
 from ..operators import edits as E
 from ..operators import format as formatting
 from ..operators import graph, inventory, lint, mentions, parse, resolve, rewrite
-from ..sources import config, corpus
+from ..sources import config, corpus, ignore, sinks, tree
+from ..sources.shared import shared_folder, stored
 from . import setup
 from .wiki import Wiki
 
@@ -192,6 +194,41 @@ def scan_files(spark, d):
     return corpus.without_ignored(corpus.markdown_files(files), rules).select("rel_path")
 
 
+def scan_nested_rules(spark, d):
+    """One folder per customer, every other one with an ignore file; ``ledgers`` holds rules for all of them."""
+    orders = spark.read.parquet(f"{d}/orders.parquet").select(F.expr("'ledgers/c' || o_custkey || '/' || o_orderkey || '.md'").alias("rel_path"), F.lit("").alias("source"))
+    customers = spark.read.parquet(f"{d}/customer.parquet").where("c_custkey % 2 = 0")
+    own = customers.select(F.expr("'ledgers/c' || c_custkey || '/.gitignore'").alias("rel_path"), F.expr("'*' || (c_custkey % 10) || '.md\n!*5' || (c_custkey % 10) || '.md\n'").alias("source"))
+    shared = spark.read.parquet(f"{d}/region.parquet").limit(1).select(F.lit("ledgers/.gitignore").alias("rel_path"), F.lit("c*9/\n*3.md\n").alias("source"))
+    every = orders.unionByName(own).unionByName(shared)
+    rules = stored(ignore.rule_rows(own.unionByName(shared)), "rules")
+    return corpus.without_ignored(corpus.markdown_files(every), config.Ignore(), rules).select("rel_path")
+
+
+def _tree(spark, d, parts) -> str:
+    """The pages of some tables as files in the shared folder; its URI."""
+    root = f"{shared_folder(spark)}/wiki-{uuid.uuid4().hex}"
+    tree.write(root, corpus_from_tables(spark, d, parts))
+    return root
+
+
+def scan_tree(spark, d):
+    """Pages written as files and scanned again: ignored ones are neither listed nor read."""
+    root = _tree(spark, d, ("regions", "nations", "suppliers", "tools", "upper", "drafts"))
+    tree.write(root, spark.createDataFrame([("wiki/suppliers/.gitignore", "*[05].md\n!*10.md\n")], corpus.SCHEMA))
+    rules = config.Ignore(patterns=("drafts_[!12]",))
+    return tree.read(spark, root, rules).select("rel_path", F.length("source").alias("n_chars"))
+
+
+def tree_rename(spark, d):
+    """A page renamed in a tree of files: moved with its mirror, all links rewritten by the executors, read back."""
+    root = _tree(spark, d, GRAPH)
+    w = Wiki(tree.read(spark, root, config.Ignore()), config.parse(CONFIG))
+    moves, edits = w.rename("NATION_3", "Nation Three")
+    sinks.apply(root, moves, w.rewritten(edits))
+    return tree.read(spark, root, config.Ignore())
+
+
 def page_categories(spark, d):
     pages = resolve.categorised(corpus_from_tables(spark, d), config.parse(CONFIG))
     return pages.groupBy(resolve.category(config.parse(CONFIG)).alias("category"), F.coalesce("folder", F.lit("-")).alias("folder")).agg(F.count("*").alias("n"))
@@ -494,7 +531,7 @@ def href_graph(spark, d):
 
 
 NAMES = (
-    scan_files, scan_directories, scan_frontmatter_fields, scan_headings_topk, mirror_candidates, index_refs, page_categories, name_conflicts,
+    scan_files, scan_nested_rules, scan_tree, tree_rename, scan_directories, scan_frontmatter_fields, scan_headings_topk, mirror_candidates, index_refs, page_categories, name_conflicts,
     links_all, refs_graph, refs_to, refs_from, inbound_counts, links_broken_page, links_broken_heading, links_broken_block, links_orphans,
     links_check_mentions, mentions_in_notes, mentions_of_customers, mentions_of_terms, lint_broken_links, lint_index_coverage, lint_required_sections, lint_required_frontmatter,
     lint_when_predicate, lint_mirror_parity, lint_citation_filename, lint_citation_content, lint_citation_accounts, lint_orphans, lint_summary, links_format_edits, links_fix_edits,

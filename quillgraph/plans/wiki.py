@@ -12,8 +12,9 @@ from ..operators import edits as E
 from ..operators import format as formatting
 from ..operators import graph, inventory, lint, mentions, parse, resolve, rewrite
 from ..sources import config as settings
-from ..sources import corpus, sinks
+from ..sources import corpus
 from ..sources.config import WikiConfig
+from ..sources.shared import stored
 
 
 class WikiError(ValueError):
@@ -56,7 +57,7 @@ class Wiki:
         if wanted not in self._by_facets:
             parsed = parse.parse_documents(self.files, wanted) if wanted else self.files
             if wanted and wanted == self._store:
-                parsed = sinks.stored(parsed, "pages")
+                parsed = stored(parsed, "pages")
             out = resolve.categorised(parsed, self.config)
             self._by_facets[wanted] = out.persist() if self._persist else out
         return self._by_facets[wanted]

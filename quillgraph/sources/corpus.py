@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import folders, ignore, tree
 from .config import FILE_NAME, Directory, Ignore, WikiConfig, parse
+from .shared import stored
 
 SCHEMA = tree.SCHEMA
 
@@ -72,9 +72,13 @@ def markdown_files(files: DataFrame) -> DataFrame:
     return files.where(F.col("rel_path").rlike(r"[^/][.]md$"))
 
 
-def without_ignored(files: DataFrame, rules: Ignore, nested: Sequence[ignore.Matcher] = ()) -> DataFrame:
-    """The files that ignore patterns leave; for corpora that come from tables."""
-    return files.where(~ignore.ignored("rel_path", ignore.Matcher(rules.effective()), nested))
+def without_ignored(files: DataFrame, rules: Ignore, nested: DataFrame | None = None) -> DataFrame:
+    """The files that ignore patterns leave; for corpora that come from tables.
+
+    ``nested``: the rules of ignore files (``ignore.rule_rows``).
+    """
+    left = files.where(~ignore.ignored("rel_path", ignore.Matcher(rules.effective())))
+    return left if nested is None else ignore.left_by_rules(left, nested)
 
 
 class SharedFolder:
@@ -112,8 +116,8 @@ class SharedFolder:
     def read(self, rules: Ignore | None = None, start: str = "") -> DataFrame:
         """The Markdown files below the folder, listed and read by Spark.
 
-        The driver sees folders, not files: it looks for a .gitignore in each
-        and sends the rules as columns, applied before any text is decoded.
+        The driver sees folders, not files: it looks for ignore files in each
+        and sends their rules as rows, applied before any text is decoded.
         As everywhere in Spark, names that begin with a dot or an underscore
         are not listed.  A file that is not UTF-8 fails the read.
         """
@@ -123,14 +127,17 @@ class SharedFolder:
         found = self._spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(below)
         path = F.substring("path", F.lit(len(self.uri) + 2), F.length("path"))
         files = markdown_files(found.select(path.alias("rel_path"), "content"))
-        left = without_ignored(files, rules or Ignore(), list(self._gitignores(files)))
+        left = without_ignored(files, rules or Ignore(), self._nested(files))
         return left.select("rel_path", F.decode("content", "UTF-8").alias("source"))
 
-    def _gitignores(self, files: DataFrame) -> Iterator[ignore.Matcher]:
-        parts = F.split("rel_path", "/")
-        above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.when(k == 0, "").otherwise(F.array_join(F.slice(parts, F.lit(1), k), "/")))
-        folders = files.select(F.explode(above).alias("folder")).distinct()
-        for row in folders.orderBy(F.length("folder"), "folder").toLocalIterator():
-            text = self.text(f"{row.folder}/.gitignore" if row.folder else ".gitignore")
-            if text is not None:
-                yield ignore.from_text(text, row.folder)
+    def _nested(self, files: DataFrame) -> DataFrame | None:
+        """The rules of the ignore files in the folders that hold files."""
+        above = files.select(F.explode(ignore.folders_above("rel_path")).alias("folder")).distinct()
+        found = []
+        for row in above.toLocalIterator():
+            for name in ignore.FILES:
+                path = f"{row.folder}/{name}" if row.folder else name
+                text = self.text(path)
+                if text is not None:
+                    found.append((path, text))
+        return stored(ignore.rule_rows(self._spark.createDataFrame(found, SCHEMA)), "ignore") if found else None

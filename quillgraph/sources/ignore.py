@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator
 from functools import lru_cache
-from pathlib import Path
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import stored
+
 
 def check(pattern: str) -> None:
     """Raise ConfigError for a pattern that can't be used."""
@@ -104,31 +106,75 @@ class Matcher:
         return out
 
 
-def ignored(path: Column | str, own: Matcher, nested: Sequence[Matcher] = ()) -> Column:
-    """Whether a file is ignored, itself or with a folder above it, as a column.
-
-    ``nested``: the matchers of .gitignore files, outer ones first; the nearest
-    that speaks of a path decides.
-    """
-    nested = [m for m in nested if m.rules]
-    if not own.rules and not nested:
+def ignored(path: Column | str, own: Matcher) -> Column:
+    """Whether a file is ignored, itself or with a folder above it, as a column."""
+    if not own.rules:
         return F.lit(False)
+    return F.exists(_steps(path), lambda step: F.coalesce(own.column(step["path"], step["is_dir"]), F.lit(False)))
+
+
+def _steps(path: Column | str) -> Column:
+    """The folders above a file from the top, then the file: (path, is_dir)."""
     parts = F.split(path, "/")
-    steps = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(F.array_join(F.slice(parts, F.lit(1), k), "/").alias("path"), (k < F.size(parts)).alias("is_dir")))
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(F.array_join(F.slice(parts, F.lit(1), k), "/").alias("path"), (k < F.size(parts)).alias("is_dir")))
 
-    def hit(step: Column) -> Column:
-        near = F.coalesce(*[m.column(step["path"], step["is_dir"]) for m in reversed(nested)], F.lit(False))
-        return F.coalesce(own.column(step["path"], step["is_dir"]), F.lit(False)) | near
 
-    return F.exists(steps, hit)
+def folders_above(path: Column | str) -> Column:
+    """The folders that hold a file: '' first, then from the top."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
 
 
-def read(folder: Path, base: str) -> Matcher | None:
-    """The .gitignore of a folder."""
-    try:
-        return from_text((folder / ".gitignore").read_text(encoding="utf-8", errors="replace"), base)
-    except OSError:
-        return None
+#: Ignore files, those that win last.
+FILES = (".gitignore", ".ignore")
+RULES = "folder string, kind int, rules array<struct<pattern: string, negated: boolean, dirs_only: boolean>>"
+
+
+def rule_rows(files: DataFrame) -> DataFrame:
+    """The rules of the ignore files among ``files`` (rel_path, source), one row per file.
+
+    Patterns are of paths below the folder, as the JVM reads them; the last
+    match of a file decides.
+    """
+    name = F.substring_index("rel_path", "/", -1)
+    kind = F.when(name == FILES[0], 0).when(name == FILES[1], 1)
+    own = files.select(F.regexp_replace("rel_path", "/?[^/]*$", "").alias("folder"), kind.alias("kind"), F.coalesce("source", F.lit("")).alias("text")).where("kind IS NOT NULL")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rules = [[{"pattern": p.pattern, "negated": n, "dirs_only": d} for p, n, d in from_text(text, "").rules] for text in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rules, _RULES)], ["folder", "kind", "rules"])
+
+    return own.mapInArrow(run, RULES).where("size(rules) > 0")
+
+
+#: A folder with one file in so many is met by a broadcast; on each level there are no more of them than that.
+WIDE = 1_000
+_RULES = pa.list_(pa.struct([("pattern", pa.string()), ("negated", pa.bool_()), ("dirs_only", pa.bool_())]))
+
+
+def left_by_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """``files`` (rel_path, ...) that the rules (of ``rule_rows``) leave, however many there are.
+
+    Every file meets the rules of the folders above it, by an equi-join; a
+    file, and each folder above it, is judged by the nearest of them that
+    speaks of it, ``.ignore`` before ``.gitignore``, and a file goes if it or a
+    folder above it is ignored.  Folders that hold a large share of all files
+    meet them by a broadcast.  The plan does not grow with the rules.
+    """
+    named = files.select("rel_path").distinct()
+    above = named.select("rel_path", F.explode(folders_above("rel_path")).alias("folder"))
+    load = above.join(rules.select("folder").distinct(), "folder", "left_semi").groupBy("folder").agg(F.count("*").alias("n"))
+    wide = F.broadcast(stored(load.where(F.col("n") > F.lit(named.count() // WIDE)).select("folder"), "wide"))
+    met = above.join(F.broadcast(rules.join(wide, "folder")), "folder").unionByName(above.join(rules.join(wide, "folder", "left_anti"), "folder"))
+    below = "if(folder = '', s.path, substring(s.path, char_length(folder) + 2))"
+    said = f"aggregate(rules, cast(null AS boolean), (a, r) -> if((s.is_dir OR NOT r.dirs_only) AND x rlike concat('\\\\A(?:', r.pattern, ')\\\\z'), NOT r.negated, a))"
+    said = f"get(transform(array({below}), x -> {said}), 0)"
+    depth = "if(folder = '', 0, size(split(folder, '/')))"
+    judged = met.withColumn("s", F.explode(_steps("rel_path"))).where(f"size(split(s.path, '/')) > {depth}")
+    spoken = judged.select("rel_path", F.col("s.path").alias("step"), F.struct("kind", F.expr(depth).alias("depth")).alias("rank"), F.expr(said).alias("ignored")).where("ignored IS NOT NULL")
+    gone = spoken.groupBy("rel_path", "step").agg(F.max_by("ignored", "rank").alias("ignored")).where("ignored").select("rel_path").distinct()
+    return files.join(gone, "rel_path", "left_anti")
 
 
 def from_text(text: str, base: str) -> Matcher:

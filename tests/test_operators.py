@@ -205,8 +205,8 @@ IGNORABLE = ["a.md", "raw/a.md", "x/raw/a.md", "x/raw.md", "wiki/raw[1]/a.md", "
         (("wiki/k-1",), (("deep", "er/\n!x.md"), ("deep/er", "!still"))),
     ],
 )
-def test_ignore_rules_as_a_column(spark, own, nested):
-    """The column says what the walk's matchers say, folder by folder."""
+def test_ignore_rules_as_columns_and_rows(spark, own, nested):
+    """Columns and rows say what the walk's matchers say, folder by folder."""
     mine, others = ignore.Matcher(own), [ignore.from_text(text, base) for base, text in nested]
 
     def lost(path):
@@ -217,8 +217,10 @@ def test_ignore_rules_as_a_column(spark, own, nested):
                 return True
         return False
 
-    rows = spark.createDataFrame([(p,) for p in IGNORABLE], "rel_path string").select("rel_path", ignore.ignored("rel_path", mine, others).alias("lost")).collect()
-    assert {r.rel_path: r.lost for r in rows} == {p: lost(p) for p in IGNORABLE}
+    files = spark.createDataFrame([(p,) for p in IGNORABLE], "rel_path string")
+    rules = ignore.rule_rows(spark.createDataFrame([(f"{b}/.gitignore" if b else ".gitignore", t) for b, t in nested], "rel_path string, source string"))
+    left = ignore.left_by_rules(files.where(~ignore.ignored("rel_path", mine)), rules)
+    assert sorted(r.rel_path for r in left.collect()) == sorted(p for p in IGNORABLE if not lost(p))
 
 
 def test_folder_by_its_uri_reads_as_by_its_path(spark, tmp_path):

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.plans.wiki import Wiki
-from quillgraph.sources import config, corpus, folders, sinks, tree
+from quillgraph.sources import config, corpus, folders, ignore, sinks, tree
 
 
 def put(root: Path, files: dict[str, str]) -> None:
@@ -119,3 +119,36 @@ def test_a_failure_leaves_the_tree_alone(spark, tmp_path):
         with pytest.raises(sinks.SinkError):
             sinks.apply(tmp_path, moves, rewritten)
         assert listing(tmp_path) == before
+
+
+@pytest.mark.parametrize("wide", [1000, 3])
+def test_rules_as_rows_leave_what_the_walk_finds(spark, tmp_path, monkeypatch, wide):
+    """With ``WIDE`` = 3 a folder counts as wide only if it holds a third of the files."""
+    monkeypatch.setattr(ignore, "WIDE", wide)
+    forest(tmp_path, random.Random(wide))
+    put(tmp_path, {".ignore": "!b/\n", "a/.ignore": "9.md\n", "a/.gitignore": "!9.md\n[0-8].md\n"})
+    every = spark.createDataFrame([(str(p.relative_to(tmp_path)), p.read_text()) for p in tmp_path.rglob("*") if p.is_file()], "rel_path string, source string")
+    rules = config.Ignore(patterns=("deep/a/",))
+    left = corpus.without_ignored(corpus.markdown_files(every), rules, ignore.rule_rows(every))
+    assert sorted((r.rel_path for r in left.collect()), key=lambda p: p.split("/")) == corpus.walk(tmp_path, rules)
+
+
+def test_many_ignore_files_in_a_plan_of_one_size(spark):
+    """10,000 ignore files; a third of the files lie in one folder."""
+    files = spark.range(30_000).select(F.expr("if(id % 3 = 0, 'hot/' || id || '.md', 'd' || id % 10000 || '/' || id || '.md')").alias("rel_path"))
+    texts = spark.range(10_000).select(F.expr("'d' || id || '/.gitignore'").alias("rel_path"), F.expr("'*' || (id % 10) || '.md\n!*1' || (id % 10) || '.md\n'").alias("source"))
+    root = spark.createDataFrame([(".gitignore", "*7.md\n"), ("hot/.gitignore", "!*77.md\n")], "rel_path string, source string")
+    few = ignore.left_by_rules(files, ignore.rule_rows(root))
+    many = ignore.left_by_rules(files, ignore.rule_rows(texts.union(root)))
+    size = lambda df: len(df._jdf.queryExecution().optimizedPlan().toString())
+    assert size(many) < 1.5 * size(few) + 2000
+    got = {r.rel_path for r in many.collect()}
+
+    def kept(i):
+        name = str(i)
+        if i % 3 == 0:
+            return name.endswith("77") or not name.endswith("7")
+        own = str(i % 10_000 % 10)
+        return True if name.endswith("1" + own) else False if name.endswith(own) else not name.endswith("7")
+
+    assert got == {f"hot/{i}.md" if i % 3 == 0 else f"d{i % 10_000}/{i}.md" for i in range(30_000) if kept(i)}
