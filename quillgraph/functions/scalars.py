@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 
 from .paths import ENCODED
 
+#: Control characters have to be escaped in TOML, some by short forms.
+_SHORT = {"\b": "\\b", "\t": "\\t", "\n": "\\n", "\f": "\\f", "\r": "\\r"}
+TOML_ESCAPES = [(c, _SHORT.get(c, f"\\u{ord(c):04X}")) for c in map(chr, (*range(1, 32), 127))]
+
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -171,6 +175,14 @@ def quoted_list(items: Column | str) -> Column:
     return F.array_join(F.transform(_col(items), lambda x: F.concat(F.lit('"'), x, F.lit('"'))), ", ")
 
 
+def toml_string(text: Column | str) -> Column:
+    """A text as a TOML string: quotes, backslashes and control characters escaped."""
+    out = F.regexp_replace(_col(text), r'(["\\])', r"\\$1")
+    for plain, code in TOML_ESCAPES:
+        out = F.replace(out, F.lit(plain), F.lit(code))
+    return F.concat(F.lit('"'), out, F.lit('"'))
+
+
 def rename_wikilink(markup: Column | str, new_name: str) -> Column:
     """A wikilink's markup with another target; an alias equal to it is dropped."""
     m = _col(markup)

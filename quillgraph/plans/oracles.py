@@ -247,10 +247,40 @@ ORACLES |= {
     "lint_citation_preset": f"""
         SELECT 'warn' AS severity, 'brand' AS code, {MORE['parts'][0]} AS rel_path, replace(p_brand, '#', '-') AS detail FROM part WHERE p_brand NOT LIKE '%2'""",
     "settings_rules": """
-        SELECT * FROM (VALUES
-          ('required-sections', 'error', '', 'wiki/nations', ''), ('required-frontmatter', 'error', '', 'wiki/customers,wiki/regions', ''), ('required-frontmatter', 'error', '', '', ''),
-          ('mirror-parity', 'error', '', '', ''), ('citation-pattern', 'warn', 'cited-nation', 'wiki/customers', 'filename'), ('citation-pattern', 'error', 'raw-nation', 'wiki/suppliers', 'content')
-        ) AS r("check", severity, name, dirs, match_mode)""",
+        SELECT s_suppkey AS fixture, 0 AS pos, 'required-sections' AS "check", 'error' AS severity, '' AS name, 'topics,b' AS dirs, '' AS match_in, 'content' AS match_mode FROM supplier WHERE s_suppkey % 6 = 1
+        UNION ALL SELECT s_suppkey, 0, 'citation-pattern', 'warn', 'c' || s_suppkey, '', 'papers', 'filename' FROM supplier WHERE s_suppkey % 6 = 2
+        UNION ALL SELECT s_suppkey, 1, 'citation-pattern', 'off', 'own', '', 'p', 'content' FROM supplier WHERE s_suppkey % 6 = 2""",
+    "settings_table": """
+        WITH s AS (SELECT s_suppkey AS k, s_suppkey % 6 AS c, s_suppkey % 4 AS t FROM supplier)
+        SELECT k AS fixture, CASE WHEN bad AND c = 4 THEN 'checks.broken_links: unknown severity ' || chr(39) || 'loud' || k || chr(39) || '; expected error, warn or off'
+                                  WHEN bad THEN 'linking.reference_style_threshold must be at least 1' END AS error,
+               CASE WHEN NOT bad AND c <> 1 THEN 'index.md' END AS "index",
+               CASE WHEN bad THEN NULL WHEN c = 1 THEN 'topics/deep' || k || ':false,topics:true' WHEN c = 5 AND t <> 1 THEN '.:true' ELSE 'wiki:true' END AS directories,
+               CASE WHEN bad THEN NULL WHEN c = 0 THEN 'drafts' || k || '/' ELSE '.windsurf/' END AS last_ignored, CASE WHEN bad THEN NULL WHEN c = 0 THEN 18 ELSE 17 END AS n_ignored,
+               CASE WHEN bad THEN NULL WHEN c = 3 THEN 'markdown' ELSE 'obsidian' END AS link_style, CASE WHEN NOT bad AND c = 3 THEN t END::INT AS reference_style_threshold,
+               CASE WHEN bad THEN '' WHEN c = 0 THEN 'error,warn,off,error' ELSE 'error,warn,error,error' END AS checks
+        FROM (SELECT *, c = 4 OR (c = 3 AND t = 0) AS bad FROM s)""",
+    "roots_discovered": """
+        WITH s AS (SELECT 'sites/' || n_regionkey || '/' || s_suppkey AS site, s_suppkey AS k, n_regionkey AS r FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+        t AS (SELECT site || '/notes/xwiki/a.md' AS start, * FROM s UNION ALL SELECT site || '/wiki/deep/wiki/page.md', * FROM s WHERE k % 4 IN (1, 3))
+        SELECT start, CASE WHEN k % 4 <> 3 THEN site WHEN r < 2 THEN 'sites/' || r END AS root,
+               CASE WHEN k % 4 = 0 THEN 'wiki.toml' WHEN k % 4 = 1 THEN 'index.md and wiki' WHEN k % 4 = 2 OR r < 2 THEN 'index.md' END AS found_by FROM t""",
+    "roots_explicit": """
+        WITH s AS (SELECT 'sites/' || n_regionkey || '/' || s_suppkey AS site, s_suppkey AS k, n_regionkey AS r FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+        SELECT folder, bool_or(is_root) AS is_root FROM (
+          SELECT site AS folder, true AS is_root FROM s
+          UNION ALL SELECT site || '/wiki', false FROM s WHERE k % 4 IN (1, 3) UNION ALL SELECT site || '/wiki/deep', true FROM s WHERE k % 4 IN (1, 3)
+          UNION ALL SELECT site || '/wiki/deep/wiki', false FROM s WHERE k % 4 IN (1, 3) UNION ALL SELECT site || '/notes', false FROM s UNION ALL SELECT site || '/notes/xwiki', false FROM s
+          UNION ALL SELECT 'sites/' || r, r < 2 FROM s UNION ALL SELECT 'sites/' || r_regionkey, true FROM region WHERE r_regionkey < 2 UNION ALL SELECT 'sites', false UNION ALL SELECT '', false)
+        GROUP BY folder""",
+    "setup_text": """
+        WITH r AS (
+          SELECT 1 AS part, 'wiki/nations' AS a, 1 AS b, 'required-frontmatter' AS c, 'dirs = ["wiki/nations"]' || chr(10) || 'fields = ["aliases", "type"]' AS t FROM nation WHERE n_nationkey = 0
+          UNION ALL SELECT 1, 'wiki/regions', 1, 'required-frontmatter', 'dirs = ["wiki/regions"]' || chr(10) || 'fields = ["type"]'
+          UNION ALL SELECT 1, 'wiki/regions', 2, 'required-sections', 'dirs = ["wiki/regions"]' || chr(10) || 'sections = ["Notes"]'
+          UNION ALL SELECT 1, 'wiki/suppliers', 1, 'required-frontmatter', 'dirs = ["wiki/suppliers"]' || chr(10) || 'fields = ["nation", "type"]'
+          UNION ALL SELECT 2, 'raw/regions', 1, 'mirror-parity', 'left = "wiki/regions"' || chr(10) || 'right = "raw/regions"')
+        SELECT string_agg('[[rules]]' || chr(10) || 'check = "' || c || '"' || chr(10) || t || chr(10) || 'severity = "error"' || chr(10) || chr(10), '' ORDER BY part, a, b) AS text FROM r""",
     "setup_required": """
         SELECT 'wiki/regions' AS dir, count(*) AS n_files, '"type"' AS fields, '"Notes"' AS sections FROM region
         UNION ALL SELECT 'wiki/nations', count(*), '"aliases", "type"', '-' FROM nation

@@ -13,7 +13,7 @@ from ..functions import scalars as S
 from ..operators import edits as E
 from ..operators import format as formatting
 from ..operators import graph, inventory, lint, mentions, parse, resolve, rewrite
-from ..sources import config, corpus, ignore, sinks, tree
+from ..sources import above, config, corpus, ignore, roots, settings, sinks, tree
 from ..sources.shared import shared_folder, stored
 from . import setup
 from .wiki import Wiki
@@ -349,10 +349,75 @@ def lint_citation_accounts(spark, d):
     return lint.rule_findings(w.pages, w.config.rules[0]).select("severity", "code", "rel_path", "detail")
 
 
+#: Settings files of as many wikis as there are suppliers: defaults, folders, rules, errors, and none at all.
+SETTINGS = """
+  CASE s_suppkey % 6
+    WHEN 0 THEN 'verbatim = ["drafts' || s_suppkey || '/"]\\n[checks]\\norphan_pages = "off"\\n'
+    WHEN 1 THEN 'index = ""\\n[[directories]]\\npath = "topics/"\\n[[directories]]\\npath = "topics/deep' || s_suppkey || '"\\nautolink = false\\n[[rules]]\\ncheck = "required-sections"\\nsections = ["S' || s_suppkey || '"]\\ndirs = ["topics/", "b"]\\n'
+    WHEN 2 THEN '[[rules]]\\ncheck = "citation-pattern"\\nname = "c' || s_suppkey || '"\\npreset = "bold-method-year"\\nmatch_in = "papers/"\\n[[rules]]\\ncheck = "citation-pattern"\\nname = "own"\\npattern = "x"\\nmatch_in = "p"\\nseverity = "off"\\n'
+    WHEN 3 THEN '[linking]\\nlink_style = "markdown"\\nreference_style_threshold = ' || (s_suppkey % 4) || '\\n'
+    WHEN 4 THEN '[checks]\\nbroken_links = "loud' || s_suppkey || '"\\n'
+  END"""
+
+
+def _settings(spark, d):
+    spark.read.parquet(f"{d}/supplier.parquet").createOrReplaceTempView("corpus_supplier")
+    return settings.settings(spark.sql(f"SELECT s_suppkey AS fixture, s_suppkey % 4 = 1 AS has_wiki, {SETTINGS} AS source FROM corpus_supplier"))
+
+
 def settings_rules(spark, d):
-    """The rules of a configuration, with what they leave out filled in."""
-    rows = [(r.check, r.severity, r.name, ",".join(r.dirs), r.match_mode if r.check == "citation-pattern" else "") for r in config.parse(CONFIG).rules]
-    return spark.createDataFrame(rows, "check string, severity string, name string, dirs string, match_mode string")
+    """The rules of many configurations, with what they leave out filled in."""
+    rules = _settings(spark, d).select("fixture", F.posexplode("rules").alias("pos", "r"))
+    return rules.select("fixture", "pos", "r.check", "r.severity", "r.name", F.array_join("r.dirs", ",").alias("dirs"), "r.match_in", "r.match_mode")
+
+
+def settings_table(spark, d):
+    """Many configurations at once: defaults, layouts without a file, and what is wrong with the bad ones."""
+    return _settings(spark, d).select(
+        "fixture",
+        "error",
+        "index",
+        F.array_join(F.transform("directories", lambda x: F.concat_ws(":", x["path"], x["autolink"])), ",").alias("directories"),
+        F.element_at("ignore", -1).alias("last_ignored"),
+        F.size("ignore").alias("n_ignored"),
+        "linking.link_style",
+        "linking.reference_style_threshold",
+        F.concat_ws(",", "checks.broken_links", "checks.unmanaged_broken_links", "checks.orphan_pages", "checks.index_coverage").alias("checks"),
+    )
+
+
+def _sites(spark, d):
+    """Paths of a site per supplier, some with settings, some with an index, some with neither, below regions of which two have an index."""
+    for t in ("region", "nation", "supplier"):
+        spark.read.parquet(f"{d}/{t}.parquet").createOrReplaceTempView(f"corpus_{t}")
+    site = "'sites/' || n_regionkey || '/' || s_suppkey"
+    return spark.sql(
+        f"""WITH s AS (SELECT {site} AS site, s_suppkey AS k FROM corpus_supplier JOIN corpus_nation ON s_nationkey = n_nationkey)
+        SELECT site || '/wiki.toml' AS path FROM s WHERE k % 4 = 0
+        UNION ALL SELECT site || '/index.md' FROM s WHERE k % 4 IN (0, 1, 2)
+        UNION ALL SELECT site || '/wiki/deep/wiki/page.md' FROM s WHERE k % 4 IN (1, 3)
+        UNION ALL SELECT site || '/notes/xwiki/a.md' FROM s
+        UNION ALL SELECT 'sites/' || r_regionkey || '/index.md' FROM corpus_region WHERE r_regionkey < 2"""
+    )
+
+
+def roots_discovered(spark, d):
+    """The root of every site's notes and pages, from the nearest folder with settings or an index."""
+    paths = _sites(spark, d)
+    starts = paths.where("path LIKE '%/a.md' OR path LIKE '%page.md'").select(F.col("path").alias("start"))
+    return roots.discovered(starts, paths)
+
+
+def roots_explicit(spark, d):
+    """Which folders of the sites would do as roots if they were named."""
+    paths = _sites(spark, d)
+    folders = paths.select(F.explode(above.folders_above("path")).alias("folder")).distinct()
+    return roots.explicit(folders, paths)
+
+
+def setup_text(spark, d):
+    """The whole settings file proposed for the wiki."""
+    return setup.proposal_text(_wiki(spark, d).pages("frontmatter", "headings", "links"), True)
 
 
 def setup_required(spark, d):
@@ -537,7 +602,7 @@ NAMES = (
     lint_when_predicate, lint_mirror_parity, lint_citation_filename, lint_citation_content, lint_citation_accounts, lint_orphans, lint_summary, links_format_edits, links_fix_edits,
     rename_edits, rename_moves, move_edits, sections_rename_edits, frontmatter_get, frontmatter_set_edits, diff_hunks, edit_validation,
     heading_anchors, block_ids, path_normalize, url_decode, href_graph, wiki_totals, page_headings, lint_reasons, lint_citation_preset,
-    settings_rules, setup_required, links_format_wikilinks, move_definition_edits, frontmatter_json, edits_effective, markdown_block_ids, name_rules,
+    settings_rules, settings_table, roots_discovered, roots_explicit, setup_required, setup_text, links_format_wikilinks, move_definition_edits, frontmatter_json, edits_effective, markdown_block_ids, name_rules,
 )
 
 

@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import folders, ignore, tree
+from . import above, folders, ignore, tree
 from .config import FILE_NAME, Directory, Ignore, WikiConfig, parse
 from .shared import stored
 
@@ -132,9 +132,9 @@ class SharedFolder:
 
     def _nested(self, files: DataFrame) -> DataFrame | None:
         """The rules of the ignore files in the folders that hold files."""
-        above = files.select(F.explode(ignore.folders_above("rel_path")).alias("folder")).distinct()
+        holding = files.select(F.explode(above.folders_above("rel_path")).alias("folder")).distinct()
         found = []
-        for row in above.toLocalIterator():
+        for row in holding.toLocalIterator():
             for name in ignore.FILES:
                 path = f"{row.folder}/{name}" if row.folder else name
                 text = self.text(path)

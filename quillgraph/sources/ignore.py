@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from . import above
 
 
 def check(pattern: str) -> None:
@@ -119,12 +119,6 @@ def _steps(path: Column | str) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(F.array_join(F.slice(parts, F.lit(1), k), "/").alias("path"), (k < F.size(parts)).alias("is_dir")))
 
 
-def folders_above(path: Column | str) -> Column:
-    """The folders that hold a file: '' first, then from the top."""
-    parts = F.split(path, "/")
-    return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
-
-
 #: Ignore files, those that win last.
 FILES = (".gitignore", ".ignore")
 RULES = "folder string, kind int, rules array<struct<pattern: string, negated: boolean, dirs_only: boolean>>"
@@ -148,8 +142,6 @@ def rule_rows(files: DataFrame) -> DataFrame:
     return own.mapInArrow(run, RULES).where("size(rules) > 0")
 
 
-#: A folder with one file in so many is met by a broadcast; on each level there are no more of them than that.
-WIDE = 1_000
 _RULES = pa.list_(pa.struct([("pattern", pa.string()), ("negated", pa.bool_()), ("dirs_only", pa.bool_())]))
 
 
@@ -163,10 +155,8 @@ def left_by_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
     meet them by a broadcast.  The plan does not grow with the rules.
     """
     named = files.select("rel_path").distinct()
-    above = named.select("rel_path", F.explode(folders_above("rel_path")).alias("folder"))
-    load = above.join(rules.select("folder").distinct(), "folder", "left_semi").groupBy("folder").agg(F.count("*").alias("n"))
-    wide = F.broadcast(stored(load.where(F.col("n") > F.lit(named.count() // WIDE)).select("folder"), "wide"))
-    met = above.join(F.broadcast(rules.join(wide, "folder")), "folder").unionByName(above.join(rules.join(wide, "folder", "left_anti"), "folder"))
+    every = named.select("rel_path", F.explode(above.folders_above("rel_path")).alias("folder"))
+    met = above.met(every, rules, named.count())
     below = "if(folder = '', s.path, substring(s.path, char_length(folder) + 2))"
     said = f"aggregate(rules, cast(null AS boolean), (a, r) -> if((s.is_dir OR NOT r.dirs_only) AND x rlike concat('\\\\A(?:', r.pattern, ')\\\\z'), NOT r.negated, a))"
     said = f"get(transform(array({below}), x -> {said}), 0)"

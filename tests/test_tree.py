@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.plans.wiki import Wiki
-from quillgraph.sources import config, corpus, folders, ignore, sinks, tree
+from quillgraph.sources import above, config, corpus, folders, ignore, sinks, tree
 
 
 def put(root: Path, files: dict[str, str]) -> None:
@@ -124,7 +124,7 @@ def test_a_failure_leaves_the_tree_alone(spark, tmp_path):
 @pytest.mark.parametrize("wide", [1000, 3])
 def test_rules_as_rows_leave_what_the_walk_finds(spark, tmp_path, monkeypatch, wide):
     """With ``WIDE`` = 3 a folder counts as wide only if it holds a third of the files."""
-    monkeypatch.setattr(ignore, "WIDE", wide)
+    monkeypatch.setattr(above, "WIDE", wide)
     forest(tmp_path, random.Random(wide))
     put(tmp_path, {".ignore": "!b/\n", "a/.ignore": "9.md\n", "a/.gitignore": "!9.md\n[0-8].md\n"})
     every = spark.createDataFrame([(str(p.relative_to(tmp_path)), p.read_text()) for p in tmp_path.rglob("*") if p.is_file()], "rel_path string, source string")
