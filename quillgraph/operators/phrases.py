@@ -8,6 +8,11 @@ and their bytes are compared.  Neither the texts nor the phrases are held by
 any process: executors keep a bitmap that tells which grams are worth emitting,
 of ``MAX_BITS`` bits at most however many phrases there are, and two small
 tables of how far phrases reach.
+
+Where only whole words count, a phrase of nothing but word characters is found
+as a word.  Within words it could only get in the way of phrases that go beyond
+one, so there its grams are looked for just around places where such a phrase
+may stand.
 """
 
 from __future__ import annotations
@@ -34,6 +39,12 @@ REACHES = 1 << 14
 #: Bytes of text looked at together.
 CHUNK = 1 << 20
 
+#: What a candidate may be: the gram of a phrase that goes beyond a word, the gram of a word near one, or a word.
+GRAM, INNER, WORD = range(3)
+_IN_WORD = np.zeros(256, dtype=bool)
+_IN_WORD[0x30:0x3A] = _IN_WORD[0x41:0x5B] = _IN_WORD[0x61:0x7B] = _IN_WORD[0x5F] = True
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+
 _U = np.uint64
 _FOLDED = np.arange(256, dtype=np.uint8)
 _FOLDED[0x41:0x5B] = np.arange(0x61, 0x7B)
@@ -72,28 +83,45 @@ def keyed(phrases: DataFrame) -> DataFrame:
     return best.select("phrase", "raw", "best.gram", "best.at")
 
 
+def _with_kinds(keys: DataFrame, words: bool) -> DataFrame:
+    """Every key as a gram; with ``words`` those of one word as an inner gram, and as a word."""
+    if not words:
+        return keys.withColumn("kind", F.lit(GRAM))
+    one = F.col("phrase").rlike("^[A-Za-z0-9_]+\\z")
+    grams = keys.withColumn("kind", F.when(one, INNER).otherwise(GRAM))
+    return grams.unionByName(keys.where(one).select("phrase", "raw", F.col("raw").alias("gram"), F.lit(0).alias("at"), F.lit(WORD).alias("kind")))
+
+
+def _word_hashes(first: np.ndarray, last: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Of words, by their first and last eight bytes and their length."""
+    return _hashes(first ^ (last * _U(0xC2B2AE3D27D4EB4F)) ^ (size.astype(np.uint64) << _U(32)), 9)
+
+
 class _Wanted:
-    """Which grams to emit, and how far phrases reach around them."""
+    """Which grams and words to emit, and how far phrases reach around them."""
 
-    def __init__(self, bits: np.ndarray, before: np.ndarray, after: np.ndarray, sizes: list[int]):
+    def __init__(self, bits: np.ndarray, before: np.ndarray, after: np.ndarray, sizes: dict[int, list[int]]):
         self.bits, self.before, self.after, self.sizes = bits, before, after, sizes
 
     @classmethod
     def of(cls, keys: DataFrame) -> _Wanted:
-        """One aggregate over the keyed phrases; its result has a bounded number of rows."""
-        per_size = {r["size"]: r.n for r in keys.groupBy(F.octet_length("gram").alias("size")).agg(F.count("*").alias("n")).collect()}
+        """One aggregate over the keys, of any kind; its result has a bounded number of rows."""
+        length = F.when(F.col("kind") == WORD, 0).otherwise(F.octet_length("gram"))
+        counts = keys.groupBy("kind", length.alias("size")).agg(F.count("*").alias("n")).collect()
         n_bits = MIN_BITS
-        while n_bits < min(MAX_BITS, BITS * sum(per_size.values())):
+        while n_bits < min(MAX_BITS, BITS * sum(r.n for r in counts)):
             n_bits *= 2
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                grams = batch.column(0).to_pylist()
+                grams, kind = batch.column(0).to_pylist(), batch.column(3).to_numpy()
                 size = np.array([len(g) for g in grams], dtype=np.int64)
-                number = np.array([int.from_bytes(g, "little") for g in grams], dtype=np.uint64)
-                h = np.zeros(len(grams), dtype=np.uint64)
+                first, last = (np.array([int.from_bytes(g, "little") for g in part], dtype=np.uint64) for part in ([g[:8] for g in grams], [g[-8:] for g in grams]))
+                h = np.where(kind == WORD, _word_hashes(first, last, size), _U(0))
                 for k in SIZES:
-                    h[size == k] = _hashes(number[size == k], k)
+                    own = (size == k) & (kind != WORD)
+                    h[own] = _hashes(first[own], k)
+                h += kind.astype(np.uint64) * _U(0x9E3779B97F4A7C15)
                 at, rest = batch.column(1).to_numpy(), batch.column(2).to_numpy()
                 slots, masks = [], []
                 for k in range(PROBES):
@@ -106,7 +134,7 @@ class _Wanted:
                 columns = [np.concatenate(slots), np.concatenate(masks), np.concatenate([none, at]), np.concatenate([none, rest])]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["slot", "mask", "before", "after"])
 
-        told = keys.select("gram", F.col("at").cast("int").alias("at"), (F.octet_length("raw") - F.col("at")).cast("int").alias("rest")).mapInArrow(run, "slot long, mask long, before int, after int")
+        told = keys.select("gram", F.col("at").cast("int").alias("at"), (F.octet_length("raw") - F.col("at")).cast("int").alias("rest"), "kind").mapInArrow(run, "slot long, mask long, before int, after int")
         rows = told.groupBy("slot").agg(F.bit_or("mask").alias("mask"), F.max("before").alias("before"), F.max("after").alias("after")).toArrow()
         slot, mask, before, after = (rows.column(k).to_numpy() for k in range(4))
         bits, reach = np.zeros(n_bits // 64, dtype=np.uint64), slot < 0
@@ -114,11 +142,10 @@ class _Wanted:
         out = [np.zeros(REACHES, dtype=np.int64) for _ in range(2)]
         for table, column in zip(out, (before, after), strict=True):
             table[-1 - slot[reach]] = column[reach]
-        return cls(bits, *out, sorted(per_size))
+        return cls(bits, *out, {kind: sorted(r["size"] for r in counts if r.kind == kind) for kind in (GRAM, INNER, WORD)})
 
-    def places(self, data: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Where a gram of the size that may be a key starts, and the reaches there."""
-        h = _hashes(_numbers(data, size), size)
+    def _kept(self, h: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        h = h + _U(kind) * _U(0x9E3779B97F4A7C15) if kind else h
         at = np.arange(len(h))
         for k in range(PROBES):
             bit = _probe(h, k, len(self.bits) * 64)
@@ -127,12 +154,42 @@ class _Wanted:
         near = (h % _U(REACHES)).astype(np.int64)
         return at, self.before[near], self.after[near]
 
+    def places(self, data: np.ndarray, size: int, kind: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where a gram of the size that may be a key starts, and the reaches there."""
+        return self._kept(_hashes(_numbers(data, size), size), kind)
+
+    def words(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Which of the words data[start:end] may be keys."""
+        wide = _numbers(np.concatenate([data, np.zeros(8, dtype=np.uint8)]), 8)
+        mask = _MASKS[np.minimum(end - start, 8)]
+        return self._kept(_word_hashes(wide[start] & mask, wide[np.maximum(start, end - 8)] & mask, end - start), WORD)[0]
+
+
+def _words(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of the runs of word characters; ``edges``: where texts begin."""
+    inside = np.zeros(len(data) + 1, dtype=bool)
+    inside[:-1] = _IN_WORD[data]
+    joined = inside[:-1].copy()  # whether a byte goes on from the one before
+    joined[1:] &= inside[:-2]
+    joined[:1] = False
+    joined[edges] = False
+    starts = np.flatnonzero(inside[:-1] & ~joined)
+    goes_on = np.append(joined[1:], False)
+    return starts, np.flatnonzero(inside[:-1] & ~goes_on) + 1
+
+
+def _touched(start: np.ndarray, end: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the stretches [start, end) meet one of the regions [a, b)."""
+    order = np.argsort(a, kind="stable")
+    furthest = np.concatenate([[-1], np.maximum.accumulate(b[order])])
+    return furthest[np.searchsorted(a[order], end)] > start
+
 
 def _probe(h: np.ndarray, k: int, n_bits: int) -> np.ndarray:
     return (h + _U(k) * ((h >> _U(32)) | _U(1))) & _U(n_bits - 1)
 
 
-_FOUND = [("range_no", "int"), ("gram", "binary"), ("place", "int"), ("low", "int"), ("high", "int"), ("from", "int"), ("line", "int"), ("col", "int"), ("near", "binary")]
+_FOUND = [("kind", "int"), ("range_no", "int"), ("gram", "binary"), ("place", "int"), ("low", "int"), ("high", "int"), ("from", "int"), ("line", "int"), ("col", "int"), ("near", "binary")]
 
 
 def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -154,6 +211,16 @@ def _prose(ranges: pa.Array, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     return doc[own], number[own], a[own], b[own]
 
 
+def _chunks(raw: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Pieces of about ``CHUNK`` bytes: whole texts, or one text that is longer."""
+    i, n = 0, len(offs) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(offs, offs[i] + CHUNK, side="right")) - 1)
+        if offs[j] > offs[i]:
+            yield int(offs[i]), int(offs[j])
+        i = j
+
+
 def _piece(raw: np.ndarray, i: int, j: int, fold: bool) -> bytes:
     piece = raw[i:j].tobytes()
     return piece.lower() if fold else piece  # of bytes: A-Z only
@@ -170,34 +237,52 @@ def _candidates(texts: DataFrame, wanted: _Wanted, fold: bool, keep: list[str])
     schema = T.StructType([*(texts.schema[c] for c in keep), *(T.StructField(n, getattr(T, f"{'Integer' if k == 'int' else 'Binary'}Type")()) for n, k in _FOUND)])
     kinds = [pa.int32() if k == "int" else pa.binary() for _, k in _FOUND]
 
+    def candidates(data: np.ndarray, edges: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(kind, start, length, bytes before, bytes from the start on) of what may be a key."""
+        look, regions = sent.value, [np.zeros((2, 0), dtype=np.int64)]
+        for size in look.sizes[GRAM]:
+            at, before, after = look.places(data, size)
+            regions.append(np.stack([at - before, at + after]))
+            yield GRAM, at, np.full(len(at), size), before, after
+        if not look.sizes[WORD]:
+            return
+        start, end = _words(data, edges)
+        touched = _touched(start, end, *np.concatenate(regions, axis=1))
+        if touched.any():
+            for size in look.sizes[INNER]:
+                at, before, after = look.places(data, size, INNER)
+                w = np.searchsorted(start, at, side="right") - 1
+                own = touched[w] & (w >= 0)
+                yield INNER, at[own], np.full(int(own.sum()), size), before[own], after[own]
+        start, end = start[~touched], end[~touched]
+        own = look.words(data, start, end)
+        yield WORD, start[own], (end - start)[own], np.zeros(len(own), dtype=np.int64), (end - start)[own]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = sent.value
         for batch in batches:
             raw, offs = _bytes(batch.column(len(keep)))
             doc, number, a, b = _prose(batch.column(len(keep) + 1), offs) if ranged else (np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int32), offs[:-1], offs[1:])
             breaks = None
-            for x in range(int(offs[0]), int(offs[-1]), CHUNK) if len(a) else ():
-                data = raw[x : min(x + CHUNK + max(SIZES) - 1, int(offs[-1]))]
-                data = _FOLDED[data] if fold else data
-                for size in look.sizes:
-                    at, before, after = look.places(data[: CHUNK + size - 1], size)
+            for x, y in _chunks(raw, offs) if len(a) else ():
+                data = _FOLDED[raw[x:y]] if fold else raw[x:y]
+                for kind, at, size, before, after in candidates(data, offs[np.searchsorted(offs, x) : np.searchsorted(offs, y)] - x):
                     at = at + x
                     r = np.searchsorted(a, at, side="right") - 1
                     own = (r >= 0) & (at + size <= b[r])
                     if not own.any():
                         continue
-                    at, before, after, r = at[own], before[own], after[own], r[own]
+                    at, size, before, after, r = at[own], size[own], before[own], after[own], r[own]
                     begin = np.maximum(offs[doc[r]], np.maximum(a[r], at - before) - 2)
                     end = np.minimum(offs[doc[r] + 1], np.minimum(b[r], at + after) + 2)
                     if breaks is None:
                         breaks = np.flatnonzero(raw[: int(offs[-1])] == _NEWLINE)
                     nth, first = np.searchsorted(breaks, begin), np.searchsorted(breaks, offs[doc[r]])
                     line_at = np.where(nth > first, breaks[np.maximum(nth, 1) - 1] + 1 if len(breaks) else 0, offs[doc[r]])
-                    cut = [data[i - x : j - x].tobytes() if i >= x and j - x <= len(data) else _piece(raw, i, j, fold) for i, j in zip(begin.tolist(), end.tolist(), strict=True)]
-                    grams = [data[i : i + size].tobytes() for i in (at - x).tolist()]
-                    told = [number[r], grams, at - begin, np.maximum(0, a[r] - begin), b[r] - begin, begin - offs[doc[r]], nth - first + 1, begin - line_at + 1, cut]
+                    near = [_piece(raw, i, j, fold) for i, j in zip(begin.tolist(), end.tolist(), strict=True)]
+                    grams = [n[i : i + k] for n, i, k in zip(near, (at - begin).tolist(), size.tolist(), strict=True)]
+                    told = [np.full(len(at), kind), number[r], grams, at - begin, np.maximum(0, a[r] - begin), b[r] - begin, begin - offs[doc[r]], nth - first + 1, begin - line_at + 1, near]
                     columns = batch.select(keep).take(pa.array(doc[r])).columns
-                    yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c, kind) for c, kind in zip(told, kinds, strict=True))], [*keep, *(n for n, _ in _FOUND)])
+                    yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c, k) for c, k in zip(told, kinds, strict=True))], [*keep, *(n for n, _ in _FOUND)])
 
     return texts.select(*keep, "source", *(["ranges"] if ranged else [])).mapInArrow(run, schema)
 
@@ -208,18 +293,21 @@ def _free() -> Column:
     return ~left.rlike("([A-Za-z0-9_]|[A-Za-z0-9]-)\\z") & ~right.rlike("^([A-Za-z0-9_]|-[A-Za-z0-9])")
 
 
-def occurrences(texts: DataFrame, phrases: DataFrame, fold: bool = False) -> DataFrame:
+def occurrences(texts: DataFrame, phrases: DataFrame, fold: bool = False, words: bool = False) -> DataFrame:
     """Every place where a phrase stands within a range, overlapping ones too.
 
+    With ``words`` some are left out that neither are free nor overlap one that
+    is: those of phrases of word characters alone within longer words.
+
     ``texts``: source, ranges (prose counts; without that column the whole
     text) and what else is to be kept; ``phrases``: phrase.  ``fold`` takes A-Z
     in the texts as a-z.  Adds range_no, phrase, start, end (bytes), line, col
     and ``free``: whether the neighbours end the word.
     """
     keep = [c for c in texts.columns if c not in ("source", "ranges")]
-    keys = stored(keyed(phrases), "phrases")
+    keys = _with_kinds(stored(keyed(phrases), "phrases"), words)
     found = _candidates(texts, _Wanted.of(keys), fold, keep)
-    met = found.join(keys, "gram").withColumns({"first": F.col("place") - F.col("at"), "long": F.octet_length("raw")})
+    met = found.join(keys, ["kind", "gram"]).withColumns({"first": F.col("place") - F.col("at"), "long": F.octet_length("raw")})
     same = met.where("first >= low AND first + long <= high AND substring(near, first + 1, long) = raw")
     seen = same.withColumn("seen", F.expr("decode(near, 'ISO-8859-1')")).withColumn("lead", F.expr("left(seen, first)"))
     breaks = F.expr("length(lead) - length(replace(lead, '\\n', ''))")
@@ -230,7 +318,7 @@ def occurrences(texts: DataFrame, phrases: DataFrame, fold: bool = False) -> Dat
 
 def contained(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     """The phrases that stand in some text, as written."""
-    keys = stored(keyed(phrases), "phrases")
+    keys = _with_kinds(stored(keyed(phrases), "phrases"), False)
     found = _candidates(texts.select("source"), _Wanted.of(keys), False, [])
     few = found.select("gram", "place", "near").distinct()  # what is cited often is compared once
     return few.join(keys, "gram").where("place >= at AND substring(near, place - at + 1, octet_length(raw)) = raw").select("phrase").distinct()

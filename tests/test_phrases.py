@@ -74,10 +74,26 @@ def test_occurrences(spark, monkeypatch, chunk):
     assert len(got) == len(set(got)) and set(got) == expected and len(expected) > 1000
     best = phrases.leftmost_longest(found)
     assert {tuple(r[c] for c in columns) for r in best.collect()} == longest(expected)
+    whole = phrases.leftmost_longest(phrases.occurrences(df, spark.createDataFrame([(x,) for x in names], "phrase string"), fold=True, words=True)).where("free")
+    assert sorted(tuple(r[c] for c in columns) for r in whole.collect()) == sorted(f for f in longest(expected) if f[-1])
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Join Inner" in plan and "Cross" not in plan
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_words_and_what_gets_in_their_way(spark, seed):
+    """Names of one word and of several, that shadow each other."""
+    rng = random.Random(seed)
+    texts = [(f"{k}.md", t, [("prose", 0, len(t))]) for k in range(250) for t in ["".join(rng.choices(["ab", "a", "b", "c", " ", " ", "-", "_", "é", "."], k=rng.randint(1, 30)))]]
+    texts = [(p, t, [("prose", 0, len(t.encode()))]) for p, t, _ in texts]
+    pieces = ["a", "b", "ab", "ba", "c", " ", "-", "bc", "a b", "é"]
+    names = sorted({"".join(rng.choices(pieces, k=rng.randint(1, 4))) for _ in range(rng.choice([4, 12, 40]))})
+    df = spark.createDataFrame(texts, "rel_path string, source string, ranges array<struct<kind: string, start: int, end: int>>")
+    found = phrases.occurrences(df, spark.createDataFrame([(x,) for x in names], "phrase string"), fold=True, words=True)
+    got = [tuple(r) for r in phrases.leftmost_longest(found).where("free").select("rel_path", "range_no", "phrase", "start", "end", "line", "col", "free").collect()]
+    assert sorted(got) == sorted(f for f in longest(everywhere(texts, names, True)) if f[-1])
+
+
 def test_case_counts_unless_folded(spark):
     df = spark.createDataFrame([("a", "Cited X-1, x-1"), ("b", None)], "rel_path string, source string")
     found = phrases.occurrences(df, spark.createDataFrame([("X-1",)], "phrase string"))
@@ -89,8 +105,8 @@ def test_many_names_share_no_key(spark):
     names = spark.range(20_000).select(F.format_string("a-common-beginning-%06d", "id").alias("phrase"))
     keys = phrases.keyed(names)
     assert keys.groupBy("gram").count().agg(F.max("count")).first()[0] <= 200
-    wanted = phrases._Wanted.of(keys)
-    assert len(wanted.bits) * 64 <= phrases.MAX_BITS and wanted.sizes == [8]
+    wanted = phrases._Wanted.of(phrases._with_kinds(keys, True))
+    assert len(wanted.bits) * 64 <= phrases.MAX_BITS and wanted.sizes == {phrases.GRAM: [8], phrases.INNER: [], phrases.WORD: []}
     rng = np.random.default_rng(1)
     text = rng.integers(97, 123, 500_000).astype(np.uint8)
     assert len(wanted.places(text, 8)[0]) < 2_000  # little but keys passes the bitmap
