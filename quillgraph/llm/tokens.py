@@ -55,11 +55,15 @@ def cuts_safely(spec: dict) -> bool:
 def piece_starts(buf: np.ndarray, offs: np.ndarray, special: list[bytes] = ()) -> np.ndarray:
     """Where pieces begin: at each row's first byte and at each safe place.
 
+    A row's end counts as white space: white space before it is one run.
     Special strings are not divided.
     """
     start = buf == 0x20
-    if len(buf) > 2:
-        start[1:-1] &= ~(_ENDS_SPACE[buf[:-2]] & _BEGINS_SPACE[buf[2:]])
+    if len(buf) > 1:
+        after = np.ones(len(buf), dtype=bool)
+        after[:-1] = _BEGINS_SPACE[buf[1:]]
+        after[offs[1:][offs[1:] > 0] - 1] = True
+        start[1:] &= ~(_ENDS_SPACE[buf[:-1]] & after[1:])
     start[1:] |= _LETTER[buf[:-1]] & _SIGN[buf[1:]]
     if special:
         raw = buf.tobytes()

@@ -45,6 +45,35 @@ def test_pieces_give_the_library_result(library):
             assert counts[i] == at[i + 1] - at[i]
 
 
+def test_vocabulary_with_tokens_of_many_spaces():
+    """Byte-level merges of runs of white space; rows end in such runs, and any row may follow."""
+    import json
+
+    from quillgraph.llm.tokens import _byte_chars
+
+    chars = sorted(_byte_chars())
+    space, line = (next(c for c, b in _byte_chars().items() if b == x) for x in (0x20, 0x0A))
+    merges = [(space, space), (space * 2, space * 2), (space, "a"), (line, line), (line, space), (space, line), (space * 2, line), ("a", "b"), (space + "a", "b")]
+    vocab = {c: i for i, c in enumerate([*chars, *dict.fromkeys(a + b for a, b in merges)])}
+    spec = {
+        "version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "normalizer": None, "post_processor": None, "decoder": None,
+        "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True},
+        "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False, "vocab": vocab, "merges": [list(m) for m in merges]},
+    }
+    encode = Encoder(json.dumps(spec))
+    assert encode.cut
+    rng = random.Random(3)
+    texts = ["".join(rng.choices(["a", "b", " ", "  ", "\n", "\t", "é", ".", "\u3000", "'s"], k=rng.randint(0, 7))) for _ in range(20_000)] + ["a  ", " ", "  ", "", "a   ", "a \n "]
+    for _ in range(2):
+        rng.shuffle(texts)
+        raw, offs = text_buffers(pa.array(texts))
+        ids, sizes = encode.ids(raw, offs)
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        expected = [want(encode.tokenizer, t) for t in texts]
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == expected
+        assert encode.counts(raw, offs).tolist() == [len(x) for x in expected]
+
+
 def test_whole_strings_are_proven(library):
     whole = Encoder(open(public.path("byte_bpe_50k.json")).read()).whole
     assert len(whole) > 40_000 and " the" in whole and "\n\n" in whole
