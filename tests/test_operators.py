@@ -1,5 +1,7 @@
 """Column rules, settings, walking, mentions and edits."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -255,3 +257,26 @@ def test_stored_pages_give_the_same_findings(spark):
     plain, stored = Wiki(files, config.WikiConfig(directories=(config.Directory("wiki"),))), Wiki(files, config.WikiConfig(directories=(config.Directory("wiki"),)), store=lint.FACETS)
     key = lambda df: sorted(map(repr, df.collect()))
     assert key(stored.lint()) == key(plain.lint()) != []
+
+
+def test_many_edits_meet_their_source_once(spark):
+    """2,000 edits of one file: what is shuffled does not grow with edits times source."""
+    rng = random.Random(4)
+    lines = ["x" * rng.randint(0, 40) + "é" for _ in range(20_000)]
+    source = "\n".join(lines)
+    raw, at = source.encode(), 0
+    rows = []
+    for k, line in enumerate(lines):
+        if k % 10 == 0:
+            rows.append(("big.md", at, at + len(line) - 1, f"<{k}>"))
+        at += len(line.encode()) + 1
+    files = spark.createDataFrame([("big.md", source), ("other.md", "o")], "rel_path string, source string")
+    edits = spark.createDataFrame(rows, E.SCHEMA).repartition(4)
+    assert E.invalid(edits, files).count() == 0 and E.effective(edits, files).count() == len(rows)
+    new = E.apply_edits(files, edits).first().source.split("\n")
+    assert new == [f"<{k}>é" if k % 10 == 0 else x for k, x in enumerate(lines)]
+    found = E.hunks(files, edits).collect()
+    assert [(h.line, h.new) for h in found] == [(k + 1, f"<{k}>é\n") for k in range(0, 20_000, 10)]
+    assert [h.old for h in found] == [lines[k] + "\n" for k in range(0, 20_000, 10)]
+    moved = E._by_file(edits, files)
+    assert moved.count() == 1 and len(moved.first().raw) == len(raw)
