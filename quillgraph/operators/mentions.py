@@ -35,6 +35,5 @@ def mentions(pages: DataFrame, names: DataFrame) -> DataFrame:
     names would give, then those that end a word and name another page.
     """
     texts = pages.select("rel_path", "page_id", "source", "ranges")
-    found = phrases.occurrences(texts, names.select(F.col("page_id").alias("phrase")), fold=True, words=True)
-    chosen = phrases.leftmost_longest(found).where("free AND phrase <> page_id")
-    return chosen.select("rel_path", F.col("phrase").alias("concept"), "start", "end", "line", "col")
+    found = phrases.chosen(texts, names.select(F.col("page_id").alias("phrase")), fold=True).where("phrase <> page_id")
+    return found.select("rel_path", F.col("phrase").alias("concept"), "start", "end", "line", "col")

@@ -293,27 +293,42 @@ def _free() -> Column:
     return ~left.rlike("([A-Za-z0-9_]|[A-Za-z0-9]-)\\z") & ~right.rlike("^([A-Za-z0-9_]|-[A-Za-z0-9])")
 
 
-def occurrences(texts: DataFrame, phrases: DataFrame, fold: bool = False, words: bool = False) -> DataFrame:
+def occurrences(texts: DataFrame, phrases: DataFrame, fold: bool = False) -> DataFrame:
     """Every place where a phrase stands within a range, overlapping ones too.
 
-    With ``words`` some are left out that neither are free nor overlap one that
-    is: those of phrases of word characters alone within longer words.
-
     ``texts``: source, ranges (prose counts; without that column the whole
     text) and what else is to be kept; ``phrases``: phrase.  ``fold`` takes A-Z
     in the texts as a-z.  Adds range_no, phrase, start, end (bytes), line, col
     and ``free``: whether the neighbours end the word.
     """
+    keys = _with_kinds(stored(keyed(phrases), "phrases"), False)
+    return _found(texts, keys, _Wanted.of(keys), fold).drop("kind")
+
+
+def chosen(texts: DataFrame, phrases: DataFrame, fold: bool = False) -> DataFrame:
+    """Of the occurrences those that a search from the left, taking the longest, would give, and that are free.
+
+    ``texts`` have a rel_path.  What is found as a word meets no phrase that
+    goes beyond one, so it is chosen as it is; only the others are shuffled.
+    """
+    keys = _with_kinds(stored(keyed(phrases), "phrases"), True)
+    wanted = _Wanted.of(keys)
+    found = _found(texts, keys, wanted, fold)
+    if wanted.sizes[GRAM]:
+        found = stored(found, "occurrences")
+        found = found.where(F.col("kind") == WORD).unionByName(leftmost_longest(found.where(F.col("kind") != WORD)))
+    return found.where("free").drop("kind", "free")
+
+
+def _found(texts: DataFrame, keys: DataFrame, wanted: _Wanted, fold: bool) -> DataFrame:
     keep = [c for c in texts.columns if c not in ("source", "ranges")]
-    keys = _with_kinds(stored(keyed(phrases), "phrases"), words)
-    found = _candidates(texts, _Wanted.of(keys), fold, keep)
-    met = found.join(keys, ["kind", "gram"]).withColumns({"first": F.col("place") - F.col("at"), "long": F.octet_length("raw")})
+    met = _candidates(texts, wanted, fold, keep).join(keys, ["kind", "gram"]).withColumns({"first": F.col("place") - F.col("at"), "long": F.octet_length("raw")})
     same = met.where("first >= low AND first + long <= high AND substring(near, first + 1, long) = raw")
     seen = same.withColumn("seen", F.expr("decode(near, 'ISO-8859-1')")).withColumn("lead", F.expr("left(seen, first)"))
-    breaks = F.expr("length(lead) - length(replace(lead, '\\n', ''))")
+    breaks = F.expr("length(lead) - length(replace(lead, '\n', ''))")
     col = F.when(breaks == 0, F.col("col") + F.col("first")).otherwise(F.length(F.substring_index("lead", "\n", -1)) + 1)
     start = F.col("from") + F.col("first")
-    return seen.select(*keep, "range_no", "phrase", start.alias("start"), (start + F.col("long")).alias("end"), (F.col("line") + breaks).alias("line"), col.alias("col"), _free().alias("free"))
+    return seen.select(*keep, "kind", "range_no", "phrase", start.alias("start"), (start + F.col("long")).alias("end"), (F.col("line") + breaks).alias("line"), col.alias("col"), _free().alias("free"))
 
 
 def contained(texts: DataFrame, phrases: DataFrame) -> DataFrame:
