@@ -239,6 +239,20 @@ ORACLES |= {
     "wiki_totals": f"""{_W}
         SELECT (SELECT count(*) FROM customer) AS n_mentions, 2 * (SELECT count(*) FROM customer) AS n_edits, (SELECT count(*) FROM l WHERE page IS NULL OR NOT frag_ok) AS n_broken,
                (SELECT count(*) FROM p WHERE kind IN ('regions', 'nations', 'suppliers', 'customers') AND lower(stem) NOT IN (SELECT page FROM l WHERE page IS NOT NULL)) AS n_orphans""",
+    "parse_store": f"""
+        WITH {_PAGES},
+        h AS (
+          SELECT {_Q['regions']} AS rel_path, 0 AS pos, 1 AS level, r_name AS text FROM region
+          UNION ALL SELECT {_Q['regions']}, 1, 2, 'Notes' FROM region
+          UNION ALL SELECT {_Q['nations']}, 0, 1, n_name FROM nation
+          UNION ALL SELECT {_Q['nations']}, 1, 2, 'Key Findings' FROM nation WHERE n_nationkey % 3 = 0
+          UNION ALL SELECT {_Q['suppliers']}, 0, 1, replace(s_name, '#', '-') FROM supplier
+          UNION ALL SELECT {_Q['suppliers']}, 1, 2, 'Nation ' || s_nationkey FROM supplier
+          UNION ALL SELECT {_Q['customers']}, 0, 1, replace(c_name, '#', '-') FROM customer
+          UNION ALL SELECT {_Q['customers']}, 1, 2, c_mktsegment FROM customer
+          UNION ALL SELECT 'index.md', 0, 1, 'Index')
+        SELECT rel_path, pos, level, text, (SELECT count(*) FROM p) AS n_first, (SELECT count(*) FROM customer WHERE c_name LIKE '%7') AS n_second, 0 AS n_third FROM (
+          SELECT * FROM h UNION ALL SELECT {_Q['customers']}, 2, 3, 'Added' FROM customer WHERE c_name LIKE '%7')""",
     "page_headings": "SELECT 0 AS pos, 1 AS level, 'NATION_3' AS text UNION ALL SELECT 1, 2, 'Key Findings'",
     "lint_reasons": f"""{_W}
         SELECT 'error' AS severity, rel_path, markup || ' in ' || rel_path AS message,

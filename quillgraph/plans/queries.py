@@ -15,6 +15,7 @@ from ..operators import format as formatting
 from ..operators import graph, inventory, lint, mentions, parse, resolve, rewrite
 from ..sources import above, config, corpus, ignore, roots, settings, sinks, tree
 from ..sources.shared import shared_folder, stored
+from ..sources.store import ParseStore
 from . import setup
 from .wiki import Wiki
 
@@ -327,6 +328,19 @@ def page_headings(spark, d):
     return parse.headings(_wiki(spark, d).page("wiki/nations/NATION_3.md", "headings")).select("pos", "level", "text")
 
 
+def parse_store(spark, d):
+    """A wiki parsed into a store, then again after some customers' pages changed: only those are parsed.
+
+    The headings of the second state, and how many pages each state had to parse.
+    """
+    files = corpus_from_tables(spark, d, GRAPH)
+    later = files.select("rel_path", F.when(F.col("rel_path").rlike("^wiki/customers/.*7[.]md$"), F.concat("source", F.lit("\n### Added\n"))).otherwise(F.col("source")).alias("source"))
+    kept = ParseStore(spark, f"{shared_folder(spark)}/parsed-{uuid.uuid4().hex}", ("headings", "links"))
+    first, second, third = kept.update(files), kept.update(later), kept.update(later)
+    found = parse.headings(kept.parsed(later))
+    return found.select("rel_path", "pos", "level", "text", F.lit(first).alias("n_first"), F.lit(second).alias("n_second"), F.lit(third).alias("n_third"))
+
+
 # Checks
 
 
@@ -601,7 +615,7 @@ NAMES = (
     links_check_mentions, mentions_in_notes, mentions_of_customers, mentions_of_terms, lint_broken_links, lint_index_coverage, lint_required_sections, lint_required_frontmatter,
     lint_when_predicate, lint_mirror_parity, lint_citation_filename, lint_citation_content, lint_citation_accounts, lint_orphans, lint_summary, links_format_edits, links_fix_edits,
     rename_edits, rename_moves, move_edits, sections_rename_edits, frontmatter_get, frontmatter_set_edits, diff_hunks, edit_validation,
-    heading_anchors, block_ids, path_normalize, url_decode, href_graph, wiki_totals, page_headings, lint_reasons, lint_citation_preset,
+    heading_anchors, block_ids, path_normalize, url_decode, href_graph, wiki_totals, page_headings, parse_store, lint_reasons, lint_citation_preset,
     settings_rules, settings_table, roots_discovered, roots_explicit, setup_required, setup_text, links_format_wikilinks, move_definition_edits, frontmatter_json, edits_effective, markdown_block_ids, name_rules,
 )
 

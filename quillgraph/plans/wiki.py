@@ -15,6 +15,7 @@ from ..sources import config as settings
 from ..sources import corpus
 from ..sources.config import WikiConfig
 from ..sources.shared import stored
+from ..sources.store import ParseStore
 
 
 class WikiError(ValueError):
@@ -29,12 +30,17 @@ class Wiki:
     them between actions, which pays off when more than one query is run.
     ``store`` names facets to parse once into a table in the shared folder;
     branches then read only the columns they need, and no lost executor costs
-    a second parse.
+    a second parse.  ``parsed``: a store that lasts; what it holds is not parsed
+    again.  ``root``: the folder the files are from, if any.
     """
 
-    def __init__(self, files: DataFrame, config: WikiConfig, persist: bool = False, store: tuple[str, ...] = ()):
+    def __init__(self, files: DataFrame, config: WikiConfig, persist: bool = False, store: tuple[str, ...] = (), parsed: ParseStore | None = None, root: str | None = None):
         self.files, self.config, self._persist, self._store = files, config, persist, store
+        self._parsed, self._root = parsed, root
+        if parsed:
+            self._store = parsed.facets
         self._by_facets: dict[tuple[str, ...], DataFrame] = {}
+        self._files: dict[str, DataFrame] = {}
 
     @classmethod
     def open(cls, spark: SparkSession, root: str | Path | None = None, **more) -> Wiki:
@@ -46,25 +52,33 @@ class Wiki:
         if root is not None and "://" in str(root):
             shared = corpus.SharedFolder(spark, str(root))
             config = shared.config()
-            return cls(corpus.read_corpus(spark, shared.uri, config.ignore), config, **more)
+            return cls(corpus.read_corpus(spark, shared.uri, config.ignore), config, root=shared.uri, **more)
         folder = corpus.resolve_root(root)
         config = settings.load_or_detect(folder)
-        return cls(corpus.read_corpus(spark, folder, config.ignore), config, **more)
+        return cls(corpus.read_corpus(spark, folder, config.ignore), config, root=str(folder), **more)
 
     def pages(self, *facets: str) -> DataFrame:
         """Every file with its name, its category and the wanted facets."""
         wanted = tuple(parse.FACETS) if self._persist else self._store if set(facets) <= set(self._store) else facets
         if wanted not in self._by_facets:
-            parsed = parse.parse_documents(self.files, wanted) if wanted else self.files
             if wanted and wanted == self._store:
-                parsed = stored(parsed, "pages")
+                parsed = self._from_store() if self._parsed else stored(parse.parse_documents(self.files, wanted), "pages")
+            else:
+                parsed = parse.parse_documents(self.files, wanted) if wanted else self.files
             out = resolve.categorised(parsed, self.config)
             self._by_facets[wanted] = out.persist() if self._persist else out
         return self._by_facets[wanted]
 
+    def _from_store(self) -> DataFrame:
+        self._parsed.update(self.files)
+        return self._parsed.parsed(self.files)
+
     def page(self, rel_path: str, *facets: str) -> DataFrame:
-        """One file, whether a page or not; nothing else is parsed."""
-        own = self.files.where(F.col("rel_path") == rel_path)
+        """One file, whether a page or not, once read; nothing else is read from a folder, or parsed."""
+        if rel_path not in self._files:
+            own = corpus.read_file(self.files.sparkSession, self._root, rel_path) if self._root else None
+            self._files[rel_path] = own if own is not None else self.files.where(F.col("rel_path") == rel_path)
+        own = self._files[rel_path]
         return resolve.categorised(parse.parse_documents(own, facets) if facets else own, self.config)
 
     @cached_property

@@ -62,6 +62,17 @@ def read_corpus(spark: SparkSession, root: Path | str, rules: Ignore | None = No
     return tree.read(spark, str(root), rules or Ignore(), start)
 
 
+def read_file(spark: SparkSession, root: str, rel_path: str) -> DataFrame | None:
+    """One file below a root, though a scan may leave it out; None where only a scan can reach the root."""
+    try:
+        folder = folders.opened(root)
+    except ValueError:
+        return None
+    if not folder.is_file(rel_path):
+        return spark.createDataFrame([], SCHEMA)
+    return spark.createDataFrame([(rel_path, folder.read(rel_path).decode("utf-8"))], SCHEMA)
+
+
 def from_table(rows: DataFrame, path: str, text: str) -> DataFrame:
     """A corpus from any table with a path and a text column."""
     return rows.select(F.col(path).cast("string").alias("rel_path"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("source"))
