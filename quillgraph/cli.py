@@ -119,7 +119,7 @@ def _lint(wiki: Wiki, severity: str) -> int:
 
 
 def run(spark: SparkSession, argv: list[str]) -> int:
-    """Run one command; returns the exit code."""
+    """Run one command; returns the exit code.  Lines of output and codes are fixed values."""
     a = _parser().parse_args(argv)
     root = corpus.resolve_root(a.root)
     if a.command == "setup" and a.action != "init":

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import scalars as S
 
-#: Files that may serve as the index, the first found wins.
+#: Files that may serve as the index, the first found wins.
 INDEX_FILES = ("index.md", "README.md", "_index.md")
 
 

@@ -1,5 +1,7 @@
 """Checks and rules.  Each returns findings; what is switched off is not planned.
 
+Codes and messages are fixed values, which other tools read.
+
 finding(severity, code, rel_path, message, detail)
 """
 

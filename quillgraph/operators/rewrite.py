@@ -24,11 +24,18 @@ class RewriteError(ValueError):
     """A rewrite that can't be done."""
 
 
-def find(names: DataFrame, name: str):
-    """The row (page_id, rel_path, stem) of a page given by name or alias."""
-    row = names.where(F.col("name") == markdown.ascii_lower(name)).first()
+def find(names: DataFrame, name: str, new: str | None = None):
+    """The row (page_id, rel_path, stem) of a page given by name or alias, by one look at the names.
+
+    With ``new`` an error if another page has that name.
+    """
+    wanted = [markdown.ascii_lower(x) for x in (name, new) if x is not None]
+    rows = names.where(F.col("name").isin(*wanted)).select("name", "page_id", "rel_path", "stem").collect()
+    row = next((r for r in rows if r["name"] == wanted[0]), None)
     if row is None:
         raise RewriteError(f"page not found: {name}")
+    if new is not None and any(r["name"] == wanted[-1] and r.page_id != row.page_id for r in rows):
+        raise RewriteError(f"a page is named {new} already")
     return row
 
 
@@ -56,25 +63,22 @@ def _moves(files: DataFrame, rows: list[tuple[str, str]]) -> DataFrame:
     return files.sparkSession.createDataFrame(rows, "old string, new string")
 
 
-def rename(pages: DataFrame, resolved: DataFrame, names: DataFrame, config: WikiConfig, old: str, new: str) -> tuple[DataFrame, DataFrame]:
+def rename(pages: DataFrame, resolved: DataFrame, names: DataFrame, config: WikiConfig, old: str, new: str, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A page gets another name: its file, its mirrors, and all references.
 
     Wikilinks by alias count.  In each file the first literal mention of a
-    mirror's path is changed.
+    mirror's path is changed.  Before the plan there is one look at the names
+    and one at the paths of ``files``, without parsing.
     """
-    page = find(names, old)
-    if names.where(F.col("name") == markdown.ascii_lower(new)).where(F.col("page_id") != page.page_id).first():
-        raise RewriteError(f"a page is named {new} already")
+    page = find(names, old, new)
     old_path, new_path = page.rel_path, paths.join(paths.parent(page.rel_path), f"{new}.md")
-    taken = pages.where(F.col("rel_path") == new_path)
-    if new_path != old_path and taken.first():
-        raise RewriteError(f"{new_path} exists already")
-    moves = [(old_path, new_path)]
     mirrors = config.mirrors()
-    if mirrors:
-        inside = reduce(lambda a, b: a | b, [S.in_folder("rel_path", right) for _, right in mirrors])
-        for r in pages.where(inside & (F.substring_index("rel_path", "/", -1) == f"{page.stem}.md")).select("rel_path").collect():
-            moves.append((r.rel_path, paths.join(paths.parent(r.rel_path), f"{new}.md")))
+    inside = reduce(lambda a, b: a | b, [S.in_folder("rel_path", right) for _, right in mirrors], F.lit(False))
+    mirror = inside & (F.substring_index("rel_path", "/", -1) == f"{page.stem}.md")
+    there = files.where(mirror | (F.col("rel_path") == new_path)).select("rel_path", mirror.alias("mirror")).collect()
+    if new_path != old_path and any(r.rel_path == new_path for r in there):
+        raise RewriteError(f"{new_path} exists already")
+    moves = [(old_path, new_path)] + [(r.rel_path, paths.join(paths.parent(r.rel_path), f"{new}.md")) for r in there if r.mirror]
     wiki = resolved.where((F.col("target_kind") == "name") & (F.col("target") != "") & (F.col("target_id") == page.page_id))
     edits = [wiki.select("rel_path", "start", "end", S.rename_wikilink("markup", new).alias("replacement"), "markup").where("replacement <> markup").drop("markup")]
     for _, right in mirrors:
@@ -86,7 +90,7 @@ def rename(pages: DataFrame, resolved: DataFrame, names: DataFrame, config: Wiki
     return _moves(pages, sorted({*moves})), reduce(DataFrame.unionByName, edits)
 
 
-def move(pages: DataFrame, names: DataFrame, name: str, folder: str) -> tuple[DataFrame, DataFrame]:
+def move(pages: DataFrame, names: DataFrame, name: str, folder: str, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A page goes to another folder below the root; mirrors stay."""
     page = find(names, name)
     depth = 0
@@ -95,7 +99,7 @@ def move(pages: DataFrame, names: DataFrame, name: str, folder: str) -> tuple[Da
         if depth < 0 or folder.startswith("/"):
             raise RewriteError(f"{folder} is outside the root")
     new = paths.join(paths.normalize(folder), paths.stem(page.rel_path) + ".md")
-    if pages.where(F.col("rel_path") == new).first():
+    if files.where(F.col("rel_path") == new).select("rel_path").first():
         raise RewriteError(f"{new} exists already")
     d = parse.destinations(pages)
     return _moves(pages, [(page.rel_path, new)]), _rebased(d, page.rel_path, new).unionByName(_retargeted(d.where(F.col("rel_path") != page.rel_path), page.rel_path, new))

@@ -26,8 +26,8 @@ l AS (
          7 AS line, 5 AS col, '[[' || r_name || ']]' AS markup, lower(r_name) AS page, {_Q['regions']} AS page_path, true AS frag_ok
   FROM nation JOIN region ON n_regionkey = r_regionkey
   UNION ALL
-  SELECT {_Q['nations']}, n_name, 1, 'markdown', 'NATION_' || ((n_nationkey + 1) % 25) || '.md', 'heading', 'key-findings', 'next',
-         7, 5 + length(r_name) + 9, '[next](NATION_' || ((n_nationkey + 1) % 25) || '.md#key-findings)', 'nation_' || ((n_nationkey + 1) % 25),
+  SELECT {_Q['nations']}, n_name, 1, 'markdown', 'NATION_' || ((n_nationkey + 1) % 25) || '.md', 'heading', 'harvest-plan', 'next',
+         7, 5 + length(r_name) + 9, '[next](NATION_' || ((n_nationkey + 1) % 25) || '.md#harvest-plan)', 'nation_' || ((n_nationkey + 1) % 25),
          'wiki/nations/NATION_' || ((n_nationkey + 1) % 25) || '.md', ((n_nationkey + 1) % 25) % 3 = 0
   FROM nation JOIN region ON n_regionkey = r_regionkey
   UNION ALL
@@ -37,9 +37,9 @@ l AS (
   SELECT {_Q['suppliers']}, replace(s_name, '#', '-'), 1, 'obsidian', 'missing ' || s_suppkey, NULL, NULL, 'Missing ' || s_suppkey, 9,
          10 + length('[[N' || s_nationkey || ']]. See '), '[[Missing ' || s_suppkey || ']]', NULL, NULL, true FROM supplier WHERE s_suppkey % 7 = 0
   UNION ALL
-  SELECT {_Q['suppliers']}, replace(s_name, '#', '-'), CASE WHEN s_suppkey % 7 = 0 THEN 2 ELSE 1 END, 'obsidian', 'nation_' || s_nationkey, 'block', 'evidence', 'NATION_' || s_nationkey, 9,
+  SELECT {_Q['suppliers']}, replace(s_name, '#', '-'), CASE WHEN s_suppkey % 7 = 0 THEN 2 ELSE 1 END, 'obsidian', 'nation_' || s_nationkey, 'block', 'estimate', 'NATION_' || s_nationkey, 9,
          10 + length('[[N' || s_nationkey || ']].') + CASE WHEN s_suppkey % 7 = 0 THEN length(' See [[Missing ' || s_suppkey || ']].') ELSE 0 END + length(' Cites '),
-         '[[NATION_' || s_nationkey || '#^evidence]]', 'nation_' || s_nationkey, 'wiki/nations/NATION_' || s_nationkey || '.md', s_nationkey % 3 = 0
+         '[[NATION_' || s_nationkey || '#^estimate]]', 'nation_' || s_nationkey, 'wiki/nations/NATION_' || s_nationkey || '.md', s_nationkey % 3 = 0
   FROM supplier WHERE s_suppkey % 5 = 1
   UNION ALL
   SELECT {_Q['customers']}, replace(c_name, '#', '-'), 0, 'obsidian', 'n' || c_nationkey, NULL, NULL, 'home', 3, 4, '[[N' || c_nationkey || '|home]]',
@@ -61,7 +61,7 @@ _SUPPLIER_HEAD = "length('---' || chr(10) || 'type: supplier' || chr(10) || 'nat
 _NATION_HEAD = "length('---' || chr(10) || 'type: nation' || chr(10) || 'aliases: [N' || n_nationkey || ']' || chr(10) || '---' || chr(10) || '# ' || n_name || chr(10) || chr(10) || 'See ')"
 # Offsets of a nation's link to the next one, and of its section heading's text.
 _NEXT_AT = f"({_NATION_HEAD} + length('[[' || r_name || ']] and [next]('))"
-_NEXT_LEN = "length('NATION_' || ((n_nationkey + 1) % 25) || '.md#key-findings')"
+_NEXT_LEN = "length('NATION_' || ((n_nationkey + 1) % 25) || '.md#harvest-plan')"
 _HEADING_AT = f"({_NEXT_AT} + {_NEXT_LEN} + 3 + 1 + 3)"
 _CUSTOMER_HEAD = "length('# ' || c_name || chr(10) || chr(10) || 'In [[N' || c_nationkey || '|home]].' || chr(10) || chr(10) || 'Ships to ')"
 _CUSTOMER_ALL = f"({_CUSTOMER_HEAD} + length('NATION_' || c_nationkey || ', not NATION_' || c_nationkey || 'x.' || chr(10) || chr(10) || '## ' || c_mktsegment || chr(10)))"
@@ -76,7 +76,7 @@ ORACLES = {
     "scan_headings_topk": """
         WITH h AS (
           SELECT 'wiki/regions' AS dir, 'Notes' AS heading, count(*) AS n FROM region
-          UNION ALL SELECT 'wiki/nations', 'Key Findings', count(*) FROM nation WHERE n_nationkey % 3 = 0
+          UNION ALL SELECT 'wiki/nations', 'Harvest Plan', count(*) FROM nation WHERE n_nationkey % 3 = 0
           UNION ALL SELECT 'wiki/suppliers', 'Nation ' || s_nationkey, count(*) FROM supplier GROUP BY 2
           UNION ALL SELECT 'wiki/customers', c_mktsegment, count(*) FROM customer GROUP BY 2),
         s AS (SELECT 'wiki/regions' AS dir, count(*) AS n_files FROM region UNION ALL SELECT 'wiki/nations', count(*) FROM nation
@@ -109,7 +109,7 @@ ORACLES = {
     "lint_index_coverage": f"""{_W} SELECT 'error' AS severity, 'not-in-index' AS code, rel_path, rel_path || ' is not listed in index' AS message
         FROM p WHERE kind IN ('regions', 'nations', 'suppliers', 'customers') AND stem NOT IN (SELECT name FROM idx)""",
     "lint_required_sections": f"""
-        SELECT 'error' AS severity, 'missing-section' AS code, {_Q['nations']} AS rel_path, {_Q['nations']} || ' is missing ''## key findings''' AS message, 'key findings' AS detail
+        SELECT 'error' AS severity, 'missing-section' AS code, {_Q['nations']} AS rel_path, {_Q['nations']} || ' is missing ''## harvest plan''' AS message, 'harvest plan' AS detail
         FROM nation WHERE n_nationkey % 3 <> 0""",
     "lint_required_frontmatter": f"""
         SELECT 'error' AS severity, 'missing-frontmatter' AS code, {_Q['regions']} AS rel_path, 'owner' AS detail FROM region
@@ -131,13 +131,13 @@ ORACLES = {
                (SELECT count(*) FROM customer) AS n_warnings""",
     "links_format_edits": f"""
         WITH s AS (SELECT *, s_suppkey % 5 = 1 AND s_nationkey % 3 = 0 AS twice, {_SUPPLIER_HEAD} AS h, length('[[N' || s_nationkey || ']]') AS w,
-                   CASE WHEN s_suppkey % 7 = 0 THEN length(' See [[Missing ' || s_suppkey || ']].') ELSE 0 END AS gap, length('[[NATION_' || s_nationkey || '#^evidence]]') AS w2,
+                   CASE WHEN s_suppkey % 7 = 0 THEN length(' See [[Missing ' || s_suppkey || ']].') ELSE 0 END AS gap, length('[[NATION_' || s_nationkey || '#^estimate]]') AS w2,
                    'NATION_' || s_nationkey AS nm FROM supplier)
         SELECT {_Q['suppliers']} AS rel_path, h::INT AS start, (h + w)::INT AS "end",
                CASE WHEN twice THEN '[N' || s_nationkey || '][' || nm || ']' ELSE '[N' || s_nationkey || '](../nations/' || nm || '.md)' END AS replacement FROM s
-        UNION ALL SELECT {_Q['suppliers']}, (h + w + 1 + gap + 7)::INT, (h + w + 1 + gap + 7 + w2)::INT, '[' || nm || '][' || nm || '#^evidence]' FROM s WHERE twice
+        UNION ALL SELECT {_Q['suppliers']}, (h + w + 1 + gap + 7)::INT, (h + w + 1 + gap + 7 + w2)::INT, '[' || nm || '][' || nm || '#^estimate]' FROM s WHERE twice
         UNION ALL SELECT {_Q['suppliers']}, (h + w + 1 + gap + 7 + w2 + 2)::INT, (h + w + 1 + gap + 7 + w2 + 2)::INT,
-               chr(10) || '[' || nm || ']: ../nations/' || nm || '.md' || chr(10) || '[' || nm || '#^evidence]: ../nations/' || nm || '.md#^evidence' || chr(10) FROM s WHERE twice
+               chr(10) || '[' || nm || ']: ../nations/' || nm || '.md' || chr(10) || '[' || nm || '#^estimate]: ../nations/' || nm || '.md#^estimate' || chr(10) FROM s WHERE twice
         UNION ALL SELECT {_Q['nations']}, {_NATION_HEAD}::INT, ({_NATION_HEAD} + length(r_name) + 4)::INT, '[' || r_name || '](../regions/' || replace(r_name, ' ', '%20') || '.md)' FROM {_NATIONS}
         UNION ALL SELECT 'index.md', (upto - length(name) - 5)::INT, (upto - 1)::INT, '[' || name || '](wiki/' || CASE WHEN name LIKE 'NATION%' THEN 'nations/' ELSE 'regions/' END || replace(name, ' ', '%20') || '.md)' FROM (
           SELECT name, length('# Index' || chr(10) || chr(10)) + sum(length(name) + 7) OVER (ORDER BY name) AS upto FROM (SELECT r_name AS name FROM region UNION ALL SELECT n_name FROM nation WHERE n_nationkey % 5 <> 0))""",
@@ -146,26 +146,26 @@ ORACLES = {
         UNION ALL SELECT {_Q['customers']}, {_CUSTOMER_ALL}::INT, {_CUSTOMER_ALL}::INT, chr(10) || '[NATION_' || c_nationkey || ']: ../nations/NATION_' || c_nationkey || '.md' || chr(10) FROM customer""",
     "rename_edits": f"""
         SELECT {_Q['suppliers']} AS rel_path, {_SUPPLIER_HEAD}::INT AS start, ({_SUPPLIER_HEAD} + 6)::INT AS "end", '[[Nation Three]]' AS replacement FROM supplier WHERE s_nationkey = 3
-        UNION ALL SELECT {_Q['suppliers']}, h::INT, (h + 22)::INT, '[[Nation Three#^evidence]]' FROM (
+        UNION ALL SELECT {_Q['suppliers']}, h::INT, (h + 22)::INT, '[[Nation Three#^estimate]]' FROM (
           SELECT s_name, {_SUPPLIER_HEAD} + 7 + CASE WHEN s_suppkey % 7 = 0 THEN length(' See [[Missing ' || s_suppkey || ']].') ELSE 0 END + 7 AS h FROM supplier WHERE s_nationkey = 3 AND s_suppkey % 5 = 1)
         UNION ALL SELECT {_Q['customers']}, h::INT, (h + 11)::INT, '[[Nation Three|home]]' FROM (SELECT c_name, length('# ' || c_name || chr(10) || chr(10) || 'In ') AS h FROM customer WHERE c_nationkey = 3)
         UNION ALL SELECT 'index.md', h::INT, (h + 12)::INT, '[[Nation Three]]' FROM (
           SELECT length('# Index' || chr(10) || chr(10)) + coalesce(sum(length(name) + 7), 0) + 2 AS h FROM (SELECT r_name AS name FROM region UNION ALL SELECT n_name FROM nation WHERE n_nationkey % 5 <> 0) WHERE name < 'NATION_3')
-        UNION ALL SELECT {_Q['nations']}, {_NEXT_AT}::INT, ({_NEXT_AT} + {_NEXT_LEN})::INT, 'Nation%20Three.md#key-findings' FROM {_NATIONS} WHERE n_nationkey = 2""",
+        UNION ALL SELECT {_Q['nations']}, {_NEXT_AT}::INT, ({_NEXT_AT} + {_NEXT_LEN})::INT, 'Nation%20Three.md#harvest-plan' FROM {_NATIONS} WHERE n_nationkey = 2""",
     "rename_moves": "SELECT 'wiki/nations/NATION_3.md' AS old, 'wiki/nations/Nation Three.md' AS new UNION ALL SELECT 'raw/nations/NATION_3.md', 'raw/nations/Nation Three.md'",
     "move_edits": f"""
         SELECT {_Q['nations']} AS rel_path, {_NEXT_AT}::INT AS start, ({_NEXT_AT} + {_NEXT_LEN})::INT AS "end",
-               CASE WHEN n_nationkey = 2 THEN '../../archive/NATION_3.md#key-findings' ELSE '../wiki/nations/NATION_4.md#key-findings' END AS replacement
+               CASE WHEN n_nationkey = 2 THEN '../../archive/NATION_3.md#harvest-plan' ELSE '../wiki/nations/NATION_4.md#harvest-plan' END AS replacement
         FROM {_NATIONS} WHERE n_nationkey IN (2, 3)""",
     "sections_rename_edits": f"""
-        SELECT {_Q['nations']} AS rel_path, {_HEADING_AT}::INT AS start, ({_HEADING_AT} + 12)::INT AS "end", 'Main Results' AS replacement FROM {_NATIONS} WHERE n_nationkey % 3 = 0
-        UNION ALL SELECT {_Q['nations']}, ({_NEXT_AT} + {_NEXT_LEN} - 12)::INT, ({_NEXT_AT} + {_NEXT_LEN})::INT, 'main-results' FROM {_NATIONS}""",
+        SELECT {_Q['nations']} AS rel_path, {_HEADING_AT}::INT AS start, ({_HEADING_AT} + 12)::INT AS "end", 'Market Notes' AS replacement FROM {_NATIONS} WHERE n_nationkey % 3 = 0
+        UNION ALL SELECT {_Q['nations']}, ({_NEXT_AT} + {_NEXT_LEN} - 12)::INT, ({_NEXT_AT} + {_NEXT_LEN})::INT, 'market-notes' FROM {_NATIONS}""",
     "frontmatter_get": f"""SELECT {_Q['suppliers']} AS rel_path, '"N' || s_nationkey || '"' AS value FROM supplier""",
     "frontmatter_set_edits": f"""
         SELECT {_Q['suppliers']} AS rel_path, '---' || chr(10) || 'type: supplier' || chr(10) || 'nation: N' || s_nationkey || chr(10) || 'owner: alice' || chr(10) || '---' AS head FROM supplier""",
     "diff_hunks": f"""
-        SELECT {_Q['nations']} AS rel_path, 9 AS line, '## Key Findings' || chr(10) AS old, '## Main Results' || chr(10) AS new FROM nation WHERE n_nationkey % 3 = 0
-        UNION ALL SELECT {_Q['nations']}, 7, x || 'key-findings).' || chr(10), x || 'main-results).' || chr(10) FROM (
+        SELECT {_Q['nations']} AS rel_path, 9 AS line, '## Harvest Plan' || chr(10) AS old, '## Market Notes' || chr(10) AS new FROM nation WHERE n_nationkey % 3 = 0
+        UNION ALL SELECT {_Q['nations']}, 7, x || 'harvest-plan).' || chr(10), x || 'market-notes).' || chr(10) FROM (
           SELECT n_name, 'See [[' || r_name || ']] and [next](NATION_' || ((n_nationkey + 1) % 25) || '.md#' AS x FROM {_NATIONS})""",
     "edit_validation": f"SELECT {_Q['nations']} AS rel_path, 3 AS start, 'overlaps' AS reason FROM nation UNION ALL SELECT {_Q['nations']}, 100000, 'out of bounds' FROM nation",
     "heading_anchors": f"""
@@ -173,14 +173,14 @@ ORACLES = {
           SELECT {_Q['regions']} AS rel_path, 0 AS pos, 1 AS level, r_name AS text FROM region
           UNION ALL SELECT {_Q['regions']}, 1, 2, 'Notes' FROM region
           UNION ALL SELECT {_Q['nations']}, 0, 1, n_name FROM nation
-          UNION ALL SELECT {_Q['nations']}, 1, 2, 'Key Findings' FROM nation WHERE n_nationkey % 3 = 0
+          UNION ALL SELECT {_Q['nations']}, 1, 2, 'Harvest Plan' FROM nation WHERE n_nationkey % 3 = 0
           UNION ALL SELECT {_Q['suppliers']}, 0, 1, replace(s_name, '#', '-') FROM supplier
           UNION ALL SELECT {_Q['suppliers']}, 1, 2, 'Nation ' || s_nationkey FROM supplier
           UNION ALL SELECT {_Q['customers']}, 0, 1, replace(c_name, '#', '-') FROM customer
           UNION ALL SELECT {_Q['customers']}, 1, 2, c_mktsegment FROM customer
           UNION ALL SELECT 'index.md', 0, 1, 'Index')
         SELECT *, replace(lower(text), ' ', '-') AS anchor FROM h""",
-    "block_ids": f"SELECT {_Q['nations']} AS rel_path, 'evidence' AS block_id FROM nation WHERE n_nationkey % 3 = 0",
+    "block_ids": f"SELECT {_Q['nations']} AS rel_path, 'estimate' AS block_id FROM nation WHERE n_nationkey % 3 = 0",
     "path_normalize": """
         SELECT p_partkey, 'x/' || p_partkey || '.md' AS path, '../' || p_partkey || '.md' AS relative FROM part""",
     "url_decode": """
@@ -245,7 +245,7 @@ ORACLES |= {
           SELECT {_Q['regions']} AS rel_path, 0 AS pos, 1 AS level, r_name AS text FROM region
           UNION ALL SELECT {_Q['regions']}, 1, 2, 'Notes' FROM region
           UNION ALL SELECT {_Q['nations']}, 0, 1, n_name FROM nation
-          UNION ALL SELECT {_Q['nations']}, 1, 2, 'Key Findings' FROM nation WHERE n_nationkey % 3 = 0
+          UNION ALL SELECT {_Q['nations']}, 1, 2, 'Harvest Plan' FROM nation WHERE n_nationkey % 3 = 0
           UNION ALL SELECT {_Q['suppliers']}, 0, 1, replace(s_name, '#', '-') FROM supplier
           UNION ALL SELECT {_Q['suppliers']}, 1, 2, 'Nation ' || s_nationkey FROM supplier
           UNION ALL SELECT {_Q['customers']}, 0, 1, replace(c_name, '#', '-') FROM customer
@@ -253,7 +253,7 @@ ORACLES |= {
           UNION ALL SELECT 'index.md', 0, 1, 'Index')
         SELECT rel_path, pos, level, text, (SELECT count(*) FROM p) AS n_first, (SELECT count(*) FROM customer WHERE c_name LIKE '%7') AS n_second, 0 AS n_third FROM (
           SELECT * FROM h UNION ALL SELECT {_Q['customers']}, 2, 3, 'Added' FROM customer WHERE c_name LIKE '%7')""",
-    "page_headings": "SELECT 0 AS pos, 1 AS level, 'NATION_3' AS text UNION ALL SELECT 1, 2, 'Key Findings'",
+    "page_headings": "SELECT 0 AS pos, 1 AS level, 'NATION_3' AS text UNION ALL SELECT 1, 2, 'Harvest Plan'",
     "lint_reasons": f"""{_W}
         SELECT 'error' AS severity, rel_path, markup || ' in ' || rel_path AS message,
                CASE WHEN page IS NULL THEN 'page not found' WHEN frag_kind = 'block' THEN 'block not found: ''^' || frag || '''' ELSE 'heading not found: ''' || frag || '''' END AS detail
@@ -311,7 +311,7 @@ ORACLES |= {
         UNION ALL SELECT {_Q['nations']}, '{{"aliases":["N' || n_nationkey || '"],"type":"nation"}}' FROM nation
         UNION ALL SELECT {_Q['suppliers']}, '{{"nation":"N' || s_nationkey || '","type":"supplier"}}' FROM supplier""",
     "edits_effective": f"""SELECT {_Q['nations']} AS rel_path, 0 AS start, 3 AS "end", '+++' AS replacement FROM nation WHERE n_nationkey % 2 = 0""",
-    "markdown_block_ids": f"SELECT {_Q['nations']} AS rel_path, 0 AS pos, 'evidence' AS block_id FROM nation WHERE n_nationkey % 3 = 0",
+    "markdown_block_ids": f"SELECT {_Q['nations']} AS rel_path, 0 AS pos, 'estimate' AS block_id FROM nation WHERE n_nationkey % 3 = 0",
     "name_rules": """
         SELECT p_partkey, p_type || '/x' AS folder, chr(92) || '[' || p_brand || chr(92) || ']' || chr(92) || chr(92) AS label, '"' || p_brand || '", "' || p_type || '"' AS listed,
                p_partkey % 5 IN (0, 4) AS is_md FROM part""",

@@ -37,7 +37,7 @@ reference_style_threshold = 2
 [[rules]]
 check = "required-sections"
 dirs = ["wiki/nations"]
-sections = ["key findings"]
+sections = ["harvest plan"]
 [[rules]]
 check = "required-frontmatter"
 dirs = ["wiki/customers", "wiki/regions"]
@@ -72,8 +72,8 @@ PAGES = {
     "raw_regions": ("'raw/regions/' || r_name || '.md'", "'Raw notes\\n'", "region"),
     "nations": (
         "'wiki/nations/' || n_name || '.md'",
-        "'---\\ntype: nation\\naliases: [N' || n_nationkey || ']\\n---\\n# ' || n_name || '\\n\\nSee [[' || r_name || ']] and [next](NATION_' || ((n_nationkey + 1) % 25) || '.md#key-findings).\\n'"
-        " || CASE WHEN n_nationkey % 3 = 0 THEN '\\n## Key Findings\\n\\nDetail ^evidence\\n' ELSE '' END",
+        "'---\\ntype: nation\\naliases: [N' || n_nationkey || ']\\n---\\n# ' || n_name || '\\n\\nSee [[' || r_name || ']] and [next](NATION_' || ((n_nationkey + 1) % 25) || '.md#harvest-plan).\\n'"
+        " || CASE WHEN n_nationkey % 3 = 0 THEN '\\n## Harvest Plan\\n\\nSurvey ^estimate\\n' ELSE '' END",
         "nation JOIN region ON n_regionkey = r_regionkey",
     ),
     "raw_nations": ("'raw/nations/' || n_name || '.md'", "'Ref N' || n_nationkey || ';\\n'", "nation WHERE n_nationkey % 4 <> 0"),
@@ -81,7 +81,7 @@ PAGES = {
         "'wiki/suppliers/' || replace(s_name, '#', '-') || '.md'",
         "'---\\ntype: supplier\\nnation: N' || s_nationkey || '\\n---\\n# ' || replace(s_name, '#', '-') || '\\n\\n## Nation ' || s_nationkey || '\\n\\nBased in [[N' || s_nationkey || ']].'"
         " || CASE WHEN s_suppkey % 7 = 0 THEN ' See [[Missing ' || s_suppkey || ']].' ELSE '' END"
-        " || CASE WHEN s_suppkey % 5 = 1 THEN ' Cites [[NATION_' || s_nationkey || '#^evidence]].' ELSE '' END || '\\n'",
+        " || CASE WHEN s_suppkey % 5 = 1 THEN ' Cites [[NATION_' || s_nationkey || '#^estimate]].' ELSE '' END || '\\n'",
         "supplier",
     ),
     "customers": (
@@ -505,28 +505,28 @@ def links_fix_edits(spark, d):
 
 def rename_edits(spark, d):
     w = _wiki(spark, d)
-    return rewrite.rename(w.pages("destinations"), w.resolved, w.names, w.config, "NATION_3", "Nation Three")[1]
+    return rewrite.rename(w.pages("destinations"), w.resolved, w.names, w.config, "NATION_3", "Nation Three", w.files)[1]
 
 
 def rename_moves(spark, d):
     w = _wiki(spark, d, ("regions", "nations", "raw_nations"))
-    return rewrite.rename(w.pages("destinations"), w.resolved, w.names, w.config, "N3", "Nation Three")[0]
+    return rewrite.rename(w.pages("destinations"), w.resolved, w.names, w.config, "N3", "Nation Three", w.files)[0]
 
 
 def move_edits(spark, d):
     w = _wiki(spark, d, ("regions", "nations"))
-    return rewrite.move(w.pages("destinations"), w.names, "NATION_3", "archive")[1]
+    return rewrite.move(w.pages("destinations"), w.names, "NATION_3", "archive", w.files)[1]
 
 
 def move_definition_edits(spark, d):
     """Destinations that stand on the line after their label."""
     w = Wiki(corpus_from_tables(spark, d, ("references",)), config.parse(""))
-    return rewrite.move(w.pages("destinations"), w.names, "NATION_3", "archive")[1]
+    return rewrite.move(w.pages("destinations"), w.names, "NATION_3", "archive", w.files)[1]
 
 
 def sections_rename_edits(spark, d):
     w = _wiki(spark, d, ("regions", "nations"))
-    return rewrite.rename_section(w.pages("headings", "links", "destinations"), "Key Findings", "Main Results")
+    return rewrite.rename_section(w.pages("headings", "links", "destinations"), "Harvest Plan", "Market Notes")
 
 
 def frontmatter_get(spark, d):
@@ -544,7 +544,7 @@ def frontmatter_set_edits(spark, d):
 
 def diff_hunks(spark, d):
     w = _wiki(spark, d, ("regions", "nations"))
-    return w.hunks(rewrite.rename_section(w.pages("headings", "links", "destinations"), "Key Findings", "Main Results"))
+    return w.hunks(rewrite.rename_section(w.pages("headings", "links", "destinations"), "Harvest Plan", "Market Notes"))
 
 
 def edit_validation(spark, d):

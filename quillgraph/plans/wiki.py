@@ -173,11 +173,11 @@ class Wiki:
         return formatting.skipped(self.resolved, formatting.convertible(self.resolved, self.pages("headings", "block_ids"), self.config.linking))
 
     def rename(self, old: str, new: str) -> tuple[DataFrame, DataFrame]:
-        moves, edits = rewrite.rename(self.pages("destinations"), self.resolved, self.names, self.config, old, new)
+        moves, edits = rewrite.rename(self.pages("destinations"), self.resolved, self.names, self.config, old, new, self.files)
         return moves, self._plan(edits)
 
     def move(self, name: str, folder: str) -> tuple[DataFrame, DataFrame]:
-        moves, edits = rewrite.move(self.pages("destinations"), self.names, name, folder)
+        moves, edits = rewrite.move(self.pages("destinations"), self.names, name, folder, self.files)
         return moves, self._plan(edits)
 
     def rename_section(self, old: str, new: str, dirs: list[str] | None = None) -> DataFrame:

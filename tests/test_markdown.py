@@ -41,11 +41,11 @@ def test_block_ids():
 
 
 def test_fragments_and_embeds():
-    p = parse("[[post-training#^method-comparison]] ![[post-training#^m]] [[page#Some Heading]] ![alt](pic.md)")
+    p = parse("[[bee-keeping#^hive-count]] ![[bee-keeping#^m]] [[page#Spring Work]] ![alt](pic.md)")
     assert [(x.target, x.frag_kind, x.frag, x.embed) for x in p.links] == [
-        ("post-training", "block", "method-comparison", False),
-        ("post-training", "block", "m", True),
-        ("page", "heading", "Some Heading", False),
+        ("bee-keeping", "block", "hive-count", False),
+        ("bee-keeping", "block", "m", True),
+        ("page", "heading", "Spring Work", False),
     ]
 
 

@@ -182,7 +182,7 @@ def test_scan_and_proposed_settings(wiki):
     assert "plants <-> seeds (2 files)" in out and "index: index.md (3 unique refs)" in out
     shown = wiki.run("setup", "init", "--show")[1]
     # Both sides of the mirror are content here, so neither has to follow the other.
-    assert 'fields = ["family"]' in shown and 'path = "seeds"' in shown and "mirror-parity" not in shown
+    assert 'fields = ["family"]' in shown and '[[directories]]' not in shown and "mirror-parity" not in shown
     before = wiki.text("wiki.toml")
     assert "--force" in wiki.run("setup", "init")[2] and wiki.text("wiki.toml") == before
     assert wiki.run("setup", "init", "--force")[0] == 0 and wiki.text("wiki.toml") != before
@@ -198,3 +198,13 @@ def test_rename_takes_the_mirror_along(wiki):
     wiki.make(FOLDERS + '[[rules]]\ncheck = "mirror-parity"\nleft = "plants"\nright = "seeds"\n', **notebook(**{"seeds/Kale.md": "packet\n", "seeds/Runner Bean.md": ""}))
     wiki.run("rename", "Kale", "Curly Kale", "--write")
     assert wiki.text("seeds/Curly Kale.md") == "packet\n" and wiki.exists("plants/Curly Kale.md") and not wiki.exists("seeds/Kale.md")
+
+
+def test_proposed_settings_are_read_back(wiki):
+    """Headings and folders with quotes, backslashes and control characters."""
+    from quillgraph.sources import config
+
+    wiki.make("", **{'we"ird\\dir/a.md': '## Say "hi" \\ now\n', 'we"ird\\dir/b.md': '## Say "hi" \\ now\n\n## tab\there\n'})
+    shown = wiki.run("setup", "init", "--show")[1]
+    rules = config.parse(shown).rules
+    assert [(r.check, r.dirs, r.sections) for r in rules] == [("required-sections", ('we"ird\\dir',), ('Say "hi" \\ now',))]
