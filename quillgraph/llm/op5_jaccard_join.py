@@ -41,10 +41,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from .components import connected_components
-from .shared import small_batches, written
+from .shared import fresh, small_batches, written
 from .textkit import groups, mix64, shingle_sets, text_buffers, trimmed
 
 SIZE = 3
@@ -438,6 +439,18 @@ def _frequent(profiles: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits()) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links (linked documents, copies included) of each row."""
+    told, named = _classes(docs, id_col, text_col, limits)
+    known = told.join(named, ["f1", "f2", "n"], "left")
+    return known.select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
+    )
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, limits: Limits) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, f1, f2) of each row, and (f1, f2, n, root, component, n_links) of each set that rows with an id have."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
@@ -523,28 +536,52 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = nodes.join(labels, "node", "left").select("f1", "f2", "n", "doc_id", "copies", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     # A root is the smallest name; only a component with a negative name has another smallest doc_id.
     odd = named.where("root < 0").groupBy("root").agg(F.min("doc_id").alias("least"))
-    named = named.join(odd, "root", "left").select("f1", "f2", "n", F.coalesce("least", "root").alias("component"), (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    known = told.join(named, ["f1", "f2", "n"], "left")
-    return known.select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
-    )
+    named = named.join(odd, "root", "left").select("f1", "f2", "n", "root", F.coalesce("least", "root").alias("component"), (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    return told, named
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component, all
-    columns kept; of equal rows one.  Rows without doc_id stay.
+    """One row of ``docs`` per component, all columns kept: one with its smallest doc_id.
+
+    Rows without doc_id stay, and so does every row that is linked with none,
+    whatever other rows have its doc_id; of equal rows one stays.
     """
-    found = written(jaccard_components(docs), "classes", rows=docs.count())
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    twice = found.where("doc_id = component_id").groupBy("doc_id", "n_shingles").count().where("count > 1")
-    kept = docs
-    if not twice.isEmpty():
-        kept = docs.where("doc_id IS NULL").unionByName(docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]))
-    small = gone.count() * 40 <= Limits().broadcast
-    return kept.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*docs.columns)
+    told, named = _classes(docs, "doc_id", "text", Limits())
+    named = written(named, "named")
+    found = written(told.join(named, ["f1", "f2", "n"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("component")), "classes", rows=docs.count())
+    gone = found.where("doc_id <> component").select("doc_id").distinct()
+    repeated = written(found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
+
+    def small(ids: DataFrame) -> DataFrame:
+        return F.broadcast(ids) if ids.count() * 40 <= Limits().broadcast else ids
+
+    if repeated.isEmpty():
+        return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    once = docs.join(small(repeated), "doc_id", "left_anti").join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    return once.unionByName(_one_of_repeated(docs.join(small(repeated), "doc_id", "left_semi").select(*docs.columns), named))
+
+
+def _one_of_repeated(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """``one_of_each`` for rows that share their doc_id with others, each judged by its own set."""
+    columns = docs.columns
+    f1, f2, n = fresh("f1", columns), fresh("f2", columns), fresh("n", columns)
+    at = columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = list(_sets(batch.column(at).cast(pa.string())))
+            f = np.array([fingerprint(s) for s in sets], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(f[:, 0]), pa.array(f[:, 1]), pa.array([len(s) for s in sets], pa.int64())], [*batch.schema.names, f1, f2, n])
+
+    marked = docs.mapInArrow(trimmed(run), StructType([*docs.schema.fields, *(StructField(c, LongType()) for c in (f1, f2, n))]))
+    own = named.select(*(F.col(c).alias(f"class_{c}") for c in ("f1", "f2", "n", "root", "component")))
+    met = marked.join(own, (marked[f1] == own["class_f1"]) & (marked[f2] == own["class_f2"]) & (marked[n] == own["class_n"]), "left")
+    met = met.withColumn("class_text", F.xxhash64("text")).where("class_component IS NULL OR class_component = doc_id")
+    # Rows without words are in no class: each text stays once.
+    least = met.where("class_root IS NOT NULL").groupBy(F.col("class_root").alias("least_root")).agg(F.min(F.struct("class_f1", "class_f2", "class_text")).alias("least"))
+    first = F.struct("class_f1", "class_f2", "class_text")
+    kept = met.join(least, met["class_root"] == least["least_root"], "left").where(F.col("class_root").isNull() | (first == F.col("least")))
+    return kept.dropDuplicates(["doc_id", "text"]).select(*columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

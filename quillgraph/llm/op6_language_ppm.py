@@ -9,10 +9,12 @@ all languages: a byte of text takes one look-up, or one per escape.  The sum
 is the text's exact code length under each tree; the language of the shortest
 one is predicted.
 
-Bounds of the model, whatever the data: ``ROWS`` counts are brought to the
-driver, ``MODEL_BYTES`` bytes are kept, of ``LANGS`` languages.  Beyond them
-the rarest bytes-in-context go first (by their share in the language where it
-is largest), so all orders stay in use.
+Bounds of the model, however many documents there are: about ``ROWS`` counts
+are brought to the driver, in equal shares for all languages (``LEAST`` of each
+at least), and ``MODEL_BYTES`` bytes are kept.  Beyond them the rarest
+bytes-in-context go first (of a language by their count, of all by their share
+in the language where it is largest), so all orders stay in use, and a language
+of few documents keeps its commonest contexts like any other.
 
 Learned from at most about ``SAMPLE`` documents per language, chosen by a hash
 of their id (a documented bound; whole texts), and never from held-out ones.
@@ -46,9 +48,10 @@ ORDER = 3
 SAMPLE = 3000
 #: Bytes of the frozen model at most, indexes included.
 MODEL_BYTES = 96 << 20
-#: Counts brought to the driver and languages learned at most, the commonest first.
+#: Counts brought to the driver, about; every language has an equal share of them, and what one leaves goes to the others.
 ROWS = 4_000_000
-LANGS = 500
+#: Counts of a language at least, so that none is lost however many there are.
+LEAST = 1_000
 #: The score compares code lengths of so many bytes of average text.
 SCORE_BYTES = 16
 #: A prediction below this score is not trusted by the filter.
@@ -201,13 +204,34 @@ def freeze(langs: list[str], codes: dict[str, tuple[np.ndarray, np.ndarray]], mo
     return model
 
 
+def _least_counts(langs: list[str], counts: list[int], rows: list[int]) -> dict[str, int]:
+    """From which count on a language's contexts are kept; its commonest ones always are.
+
+    ``counts`` descend within a language; ``rows`` contexts have each.
+    """
+    steps: dict[str, list[tuple[int, int]]] = {}
+    for lang, n, k in zip(langs, counts, rows, strict=True):
+        steps.setdefault(lang, []).append((n, k))
+    left, out = ROWS, {}
+    by_size = sorted(steps, key=lambda x: (sum(k for _, k in steps[x]), x))
+    for i, lang in enumerate(by_size):  # those that need least first, so that the others share the rest
+        share, kept, least = max(LEAST, left // (len(by_size) - i)), 0, steps[lang][0][0]
+        for n, k in steps[lang]:
+            if kept and kept + k > share:
+                break
+            kept, least = kept + k, n
+        out[lang] = least
+        left -= kept
+    return out
+
+
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """The frozen model of ``docs`` (doc_id, text, lang), or None if nothing can be learned."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].cast("string").alias("text"), docs["lang"].cast("string").alias("lang"))
     rows = rows.where("lang IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()}
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return None
     share = F.create_map(*[x for lang, n in sorted(sizes.items()) for x in (F.lit(lang), F.lit(min(1.0, sample / n)))])
@@ -225,12 +249,11 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "code", "n"])
 
     counts = written(chosen.mapInArrow(trimmed(run), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")), "contexts")
-    # The least count that keeps the rows within the bound, from a row per distinct count.
-    sizes_of = counts.groupBy("n").agg(F.count("*").alias("rows")).orderBy(F.desc("n")).toArrow()
-    within = np.flatnonzero(np.cumsum(sizes_of.column("rows").to_numpy()) <= ROWS)
-    if not len(within):
-        return None
-    found = counts.where(F.col("n") >= int(sizes_of.column("n")[int(within[-1])].as_py())).toArrow()
+    # By language the least count that keeps its rows within its share, from a row per language and distinct count.
+    sizes_of = counts.groupBy("lang", "n").agg(F.count("*").alias("rows")).orderBy("lang", F.desc("n")).toArrow()
+    least = _least_counts(*(sizes_of.column(c).to_pylist() for c in ("lang", "n", "rows")))
+    floor = F.element_at(F.create_map(*[F.lit(x) for pair in sorted(least.items()) for x in pair]), F.col("lang")) if least else F.lit(0)
+    found = counts.where(F.col("n") >= floor).toArrow()
     langs = sorted({*found.column("lang").to_pylist()})
     if not langs:
         return None

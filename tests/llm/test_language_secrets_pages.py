@@ -123,6 +123,27 @@ def test_language(spark):
     assert next(r for r in found if r.doc_id == 1003).lang_pred == "zz"
 
 
+def test_no_language_is_lost(spark, monkeypatch):
+    """Counts beyond the bound: languages of few documents stay, with those of many and beside many others."""
+    rng = random.Random(6)
+
+    def language():
+        syllables = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 3))) for _ in range(25)]
+        words = ["".join(rng.choices(syllables, k=rng.randint(1, 3))) for _ in range(150)]
+        return lambda n: " ".join(rng.choices(words, k=n))
+
+    monkeypatch.setattr(op6, "ROWS", 12_000)
+    speak = [language() for _ in range(40)]
+    learned = [k for k in range(40) for _ in range(150 if k < 6 else 4)]
+    ids = [i for i in range(10_000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    df = spark.createDataFrame([(i, speak[k](60), f"l{k:02}") for i, k in zip(ids, learned, strict=False)], "doc_id long, text string, lang string")
+    model = op6.learn(df)
+    assert model.langs == [f"l{k:02}" for k in range(40)]
+    asked = spark.createDataFrame([(k, speak[k](40)) for k in range(40) for _ in range(3)], "doc_id long, text string")
+    assert all(r.lang_pred == f"l{r.doc_id:02}" for r in op6.predict(asked, model).collect())
+    assert op6._least_counts(["a", "a", "b", "b", "b"], [9, 1, 5, 2, 1], [10, 20_000, 7, 11_000, 30_000]) == {"a": 9, "b": 2}
+
+
 def test_language_is_not_learned_from_held_out_rows(spark):
     df = languages(spark)
     held = op6.held_out(F.col("doc_id"))

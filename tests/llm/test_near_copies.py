@@ -97,6 +97,25 @@ def test_one_of_each(spark):
     assert sum(r.doc_id is None for r in kept.collect()) == 2
 
 
+def test_one_of_rows_that_share_an_id(spark):
+    base = [f"w{i}" for i in range(60)]
+    near, other, third = " ".join(base), " ".join(base[:-1] + ["x"]), " ".join(f"v{i}" for i in range(40))
+    own = [
+        (1, near, 0), (1, other, 1), (1, near, 2),  # linked, under one id: one stays
+        (5, other + " ", 3), (5, third, 4),  # one linked with id 1, one with none: that stays
+        (7, "", 5), (7, None, 6), (7, "", 7), (7, "alone here now", 8),  # no words: each text once
+        (9, "u " * 9, 9), (3, "u u u u", 10),  # ids of one row each: the smaller stays
+        (None, near, 11),
+    ]
+    df = spark.createDataFrame(own, "doc_id long, text string, f1 int")
+    for rows_ in (df, df.repartition(3, "f1")):
+        kept = op5.one_of_each(rows_)
+        assert kept.columns == df.columns
+        got = kept.collect()
+        assert sorted((r.doc_id or 0, r.f1 in (4, 8), (r.text or "").strip()) for r in got if r.doc_id not in (1,)) == [(0, False, near), (3, False, "u u u u"), (5, True, third), (7, False, ""), (7, False, ""), (7, True, "alone here now")]
+        assert [r.text in (near, other) for r in got if r.doc_id == 1] == [True]
+
+
 def test_overlaps_within():
     rng = np.random.default_rng(3)
     base = np.unique(rng.integers(0, 2**60, 120, dtype=np.uint64))
