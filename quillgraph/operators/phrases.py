@@ -145,7 +145,7 @@ class _Wanted:
         return cls(bits, *out, {kind: sorted(r["size"] for r in counts if r.kind == kind) for kind in (GRAM, INNER, WORD)})
 
     def _kept(self, h: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        h = h + _U(kind) * _U(0x9E3779B97F4A7C15) if kind else h
+        h = h + _U(kind * 0x9E3779B97F4A7C15 % (1 << 64))
         at = np.arange(len(h))
         for k in range(PROBES):
             bit = _probe(h, k, len(self.bits) * 64)

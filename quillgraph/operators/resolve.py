@@ -12,14 +12,20 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..sources.config import WikiConfig
+from ..sources.shared import stored
 
 
 def folder_of(path: Column | str, config: WikiConfig) -> Column:
-    """The most specific configured folder of a path; NULL if none holds it."""
-    out = F.lit(None).cast("string")
-    for d in reversed(config.directories):  # most specific first
-        out = F.when(S.in_folder(path, d.path), F.lit(d.path)).otherwise(out)
-    return out
+    """The most specific configured folder of a path; NULL if none holds it.
+
+    The path's own folders, deepest first, are looked up in the set of the
+    configured ones: one look per level, however many are configured.
+    """
+    named = sorted({d.path for d in config.directories})
+    parts = F.split(path, "/")
+    deepest_first = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), F.size(parts) - k), "/"))
+    found = F.get(F.filter(deepest_first, lambda x: x.isin(*named)), F.lit(0)) if named else F.lit(None).cast("string")
+    return F.coalesce(found, F.lit(".")) if "." in named else found
 
 
 def categorised(files: DataFrame, config: WikiConfig) -> DataFrame:
@@ -60,19 +66,37 @@ def name_conflicts(pages: DataFrame) -> DataFrame:
     return grouped.where("n > 1").select("name", kind.alias("kind"), "paths")
 
 
-def resolved(links: DataFrame, names: DataFrame, pages: DataFrame) -> DataFrame:
+#: A key that one link in so many has is met by a broadcast; there are no more such keys than that.
+WIDE = 1_000
+
+
+def resolved(links: DataFrame, names: DataFrame, pages: DataFrame, even: bool = False) -> DataFrame:
     """``links`` with target_id and target_path, NULL where nothing is found.
 
     Names and paths are looked up by one join on a tagged key.  An empty name
-    or path is the page itself.
+    or path is the page itself.  ``even`` is for links that are cheap to read
+    twice: they are counted by key first, and those to a page that a large
+    share of all links leads to stay where they are and meet it by a broadcast.
     """
     table = names.select(F.concat(F.lit("n:"), "name").alias("key"), F.col("page_id").alias("found_id"), F.col("rel_path").alias("found_path"))
     table = table.unionByName(pages.select(F.concat(F.lit("p:"), "rel_path").alias("key"), F.col("page_id").alias("found_id"), F.col("rel_path").alias("found_path")))
     key = F.when(F.col("target") == "", F.concat(F.lit("p:"), "rel_path")).when(F.col("target_kind") == "name", F.concat(F.lit("n:"), "target")).otherwise(F.concat(F.lit("p:"), S.resolved_path("rel_path", "target")))
-    out = links.withColumn("key", key).join(table, "key", "left")
+    keyed = links.withColumn("key", key)
+    out = _evenly(keyed, table) if even else keyed.join(table, "key", "left")
     return out.withColumnsRenamed({"found_id": "target_id", "found_path": "target_path"}).withColumn("source_id", S.page_id("rel_path")).drop("key")
 
 
+def _evenly(keyed: DataFrame, table: DataFrame) -> DataFrame:
+    """The left join of ``keyed`` and ``table`` on key, without bringing the rows of a frequent key together."""
+    load = stored(keyed.groupBy("key").agg(F.count("*").alias("n")), "keys")
+    total = load.agg(F.sum("n")).first()[0] or 0
+    wide = F.broadcast(load.where(F.col("key").isNotNull() & (F.col("n") > total // WIDE)).select("key"))
+    often = keyed.join(wide, "key", "left_semi").join(F.broadcast(table.join(wide, "key", "left_semi")), "key", "left")
+    none = keyed.where("key IS NULL").withColumns({"found_id": F.lit(None).cast("string"), "found_path": F.lit(None).cast("string")})
+    rest = keyed.where("key IS NOT NULL").join(wide, "key", "left_anti").join(table, "key", "left")
+    return often.unionByName(rest).unionByName(none)
+
+
 def fragments(pages: DataFrame) -> DataFrame:
     """target_path, frag_key: what link fragments may point at."""
     h = pages.select("rel_path", F.explode("headings").alias("h"))

@@ -139,6 +139,8 @@ ORACLES = {
         UNION ALL SELECT {_Q['suppliers']}, (h + w + 1 + gap + 7 + w2 + 2)::INT, (h + w + 1 + gap + 7 + w2 + 2)::INT,
                chr(10) || '[' || nm || ']: ../nations/' || nm || '.md' || chr(10) || '[' || nm || '#^estimate]: ../nations/' || nm || '.md#^estimate' || chr(10) FROM s WHERE twice
         UNION ALL SELECT {_Q['nations']}, {_NATION_HEAD}::INT, ({_NATION_HEAD} + length(r_name) + 4)::INT, '[' || r_name || '](../regions/' || replace(r_name, ' ', '%20') || '.md)' FROM {_NATIONS}
+        UNION ALL SELECT {_Q['customers']}, length('# ' || c_name || chr(10) || chr(10) || 'In ')::INT, length('# ' || c_name || chr(10) || chr(10) || 'In [[N' || c_nationkey || '|home]]')::INT,
+               '[home](../nations/NATION_' || c_nationkey || '.md)' FROM customer
         UNION ALL SELECT 'index.md', (upto - length(name) - 5)::INT, (upto - 1)::INT, '[' || name || '](wiki/' || CASE WHEN name LIKE 'NATION%' THEN 'nations/' ELSE 'regions/' END || replace(name, ' ', '%20') || '.md)' FROM (
           SELECT name, length('# Index' || chr(10) || chr(10)) + sum(length(name) + 7) OVER (ORDER BY name) AS upto FROM (SELECT r_name AS name FROM region UNION ALL SELECT n_name FROM nation WHERE n_nationkey % 5 <> 0))""",
     "links_fix_edits": f"""
@@ -167,7 +169,8 @@ ORACLES = {
         SELECT {_Q['nations']} AS rel_path, 9 AS line, '## Harvest Plan' || chr(10) AS old, '## Market Notes' || chr(10) AS new FROM nation WHERE n_nationkey % 3 = 0
         UNION ALL SELECT {_Q['nations']}, 7, x || 'harvest-plan).' || chr(10), x || 'market-notes).' || chr(10) FROM (
           SELECT n_name, 'See [[' || r_name || ']] and [next](NATION_' || ((n_nationkey + 1) % 25) || '.md#' AS x FROM {_NATIONS})""",
-    "edit_validation": f"SELECT {_Q['nations']} AS rel_path, 3 AS start, 'overlaps' AS reason FROM nation UNION ALL SELECT {_Q['nations']}, 100000, 'out of bounds' FROM nation",
+    "edit_validation": f"""WITH {_PAGES}
+        SELECT rel_path, start, reason FROM p, (VALUES (3, 'overlaps'), (100000, 'out of bounds')) AS e(start, reason) WHERE kind IN ('nations', 'suppliers', 'customers')""",
     "heading_anchors": f"""
         WITH h AS (
           SELECT {_Q['regions']} AS rel_path, 0 AS pos, 1 AS level, r_name AS text FROM region
@@ -310,7 +313,7 @@ ORACLES |= {
         SELECT {_Q['regions']} AS rel_path, '{{"type":"region"}}' AS json FROM region
         UNION ALL SELECT {_Q['nations']}, '{{"aliases":["N' || n_nationkey || '"],"type":"nation"}}' FROM nation
         UNION ALL SELECT {_Q['suppliers']}, '{{"nation":"N' || s_nationkey || '","type":"supplier"}}' FROM supplier""",
-    "edits_effective": f"""SELECT {_Q['nations']} AS rel_path, 0 AS start, 3 AS "end", '+++' AS replacement FROM nation WHERE n_nationkey % 2 = 0""",
+    "edits_effective": f"""WITH {_PAGES} SELECT rel_path, 0 AS start, 3 AS "end", '+++' AS replacement FROM p WHERE kind IN ('nations', 'suppliers') AND k % 2 = 0""",
     "markdown_block_ids": f"SELECT {_Q['nations']} AS rel_path, 0 AS pos, 'estimate' AS block_id FROM nation WHERE n_nationkey % 3 = 0",
     "name_rules": """
         SELECT p_partkey, p_type || '/x' AS folder, chr(92) || '[' || p_brand || chr(92) || ']' || chr(92) || chr(92) AS label, '"' || p_brand || '", "' || p_type || '"' AS listed,

@@ -487,7 +487,7 @@ def lint_summary(spark, d):
 
 
 def links_format_edits(spark, d):
-    w = _wiki(spark, d, ("regions", "nations", "suppliers"))
+    w = _wiki(spark, d)
     return formatting.format_edits(w.pages("definitions", "uses"), w.pages("headings", "block_ids"), w.resolved, w.config.linking)
 
 
@@ -498,7 +498,7 @@ def links_format_wikilinks(spark, d):
 
 
 def links_fix_edits(spark, d):
-    w = _wiki(spark, d, ("regions", "nations", "customers"))
+    w = _wiki(spark, d)
     hits = mentions.mentions(w.pages("ranges"), mentions.autolink_pages(w.pages("frontmatter"), w.config))
     return formatting.fix_edits(w.pages("definitions"), w.resolved, hits, w.config.linking)
 
@@ -509,12 +509,12 @@ def rename_edits(spark, d):
 
 
 def rename_moves(spark, d):
-    w = _wiki(spark, d, ("regions", "nations", "raw_nations"))
+    w = _wiki(spark, d)
     return rewrite.rename(w.pages("destinations"), w.resolved, w.names, w.config, "N3", "Nation Three", w.files)[0]
 
 
 def move_edits(spark, d):
-    w = _wiki(spark, d, ("regions", "nations"))
+    w = _wiki(spark, d)
     return rewrite.move(w.pages("destinations"), w.names, "NATION_3", "archive", w.files)[1]
 
 
@@ -525,7 +525,7 @@ def move_definition_edits(spark, d):
 
 
 def sections_rename_edits(spark, d):
-    w = _wiki(spark, d, ("regions", "nations"))
+    w = _wiki(spark, d)
     return rewrite.rename_section(w.pages("headings", "links", "destinations"), "Harvest Plan", "Market Notes")
 
 
@@ -543,19 +543,20 @@ def frontmatter_set_edits(spark, d):
 
 
 def diff_hunks(spark, d):
-    w = _wiki(spark, d, ("regions", "nations"))
+    w = _wiki(spark, d)
     return w.hunks(rewrite.rename_section(w.pages("headings", "links", "destinations"), "Harvest Plan", "Market Notes"))
 
 
 def edit_validation(spark, d):
-    files = corpus_from_tables(spark, d, ("nations",)).where("rel_path LIKE 'wiki/%'")
-    rows = spark.createDataFrame([("a", 1, 4), ("b", 3, 5), ("c", 7, 7), ("d", 100000, 100001)], "replacement string, start int, end int")
-    return E.invalid(files.select("rel_path").crossJoin(F.broadcast(rows)).select("rel_path", "start", "end", "replacement"), files).select("rel_path", "start", "reason")
+    files = corpus_from_tables(spark, d, ("nations", "suppliers", "customers")).where("rel_path LIKE 'wiki/%'")
+    rows = (("a", 1, 4), ("b", 3, 5), ("c", 7, 7), ("d", 100000, 100001))
+    edits = F.explode(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("replacement", "start", "end"), r, strict=True)]) for r in rows]))
+    return E.invalid(files.select("rel_path", edits.alias("e")).select("rel_path", "e.*"), files).select("rel_path", "start", "reason")
 
 
 def edits_effective(spark, d):
     """Edits that would put what is there already are left out."""
-    files = corpus_from_tables(spark, d, ("nations",)).where("rel_path LIKE 'wiki/nations/%'")
+    files = corpus_from_tables(spark, d, ("regions", "nations", "suppliers")).where("rel_path LIKE 'wiki/%'")
     new = F.when(F.col("rel_path").rlike("[02468][.]md$"), "+++").otherwise("---")
     return E.effective(files.select("rel_path", F.lit(0).alias("start"), F.lit(3).alias("end"), new.alias("replacement")), files)
 

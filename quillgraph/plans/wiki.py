@@ -91,7 +91,7 @@ class Wiki:
 
     @cached_property
     def resolved(self) -> DataFrame:
-        return resolve.resolved(self.links, self.names, self.pages())
+        return resolve.resolved(self.links, self.names, self.pages(), even=self._persist or "links" in self._store)
 
     @cached_property
     def edges(self) -> DataFrame:

@@ -280,3 +280,38 @@ def test_many_edits_meet_their_source_once(spark):
     assert [h.old for h in found] == [lines[k] + "\n" for k in range(0, 20_000, 10)]
     moved = E._by_file(edits, files)
     assert moved.count() == 1 and len(moved.first().raw) == len(raw)
+
+
+def test_links_to_one_page_stay_spread(spark):
+    """Nine links in ten lead to one page; no task gets them all."""
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        links = spark.range(40_000, numPartitions=8).select(
+            F.format_string("p%d.md", "id").alias("rel_path"),
+            F.lit("name").alias("target_kind"),
+            F.expr("CASE WHEN id % 10 > 0 THEN 'hot' WHEN id % 40 = 0 THEN 'gone' ELSE 'p' || (id % 5000) END").alias("target"),
+        )
+        links = links.unionByName(spark.createDataFrame([("a.md", "path", "/abs.md"), ("a.md", "name", "")], "rel_path string, target_kind string, target string"))
+        pages = spark.range(5000).select(F.format_string("p%d.md", "id").alias("rel_path")).union(spark.createDataFrame([("hot.md",), ("a.md",)], "rel_path string")).withColumn("page_id", S.page_id("rel_path"))
+        names = pages.select(F.col("page_id").alias("name"), "page_id", "rel_path")
+        even, plain = (resolve.resolved(links, names, pages, even=x) for x in (True, False))
+        columns = sorted(plain.columns)
+        assert sorted(map(repr, even.select(*columns).collect())) == sorted(map(repr, plain.select(*columns).collect()))
+        sizes = sorted(r["count"] for r in even.where("target = 'hot'").groupBy(F.spark_partition_id()).count().collect())
+        assert len(sizes) == 8 and sizes[-1] <= 3 * sizes[len(sizes) // 2]
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def test_most_specific_of_many_folders(spark):
+    many = config.WikiConfig(directories=tuple(config.Directory(f"d{i}/e{i % 7}") for i in range(10_000)) + (config.Directory("d5"), config.Directory("d5/e5/f")))
+    rows = [("d5/x.md", "d5"), ("d5/e5/f/g/x.md", "d5/e5/f"), ("d5/e5/x.md", "d5/e5"), ("d9999/e3/x.md", "d9999/e3"), ("d5x/a.md", None), ("e.md", None), ("d5", "d5")]
+    df = spark.createDataFrame(rows, "rel_path string, want string").select("want", resolve.folder_of("rel_path", many).alias("got"))
+    assert all(r.want == r.got for r in df.collect())
+    few = config.WikiConfig(directories=(config.Directory("a"), config.Directory(".")))
+    assert [r[0] for r in spark.createDataFrame([("a/b.md",), ("c.md",)], "p string").select(resolve.folder_of("p", few)).collect()] == ["a", "."]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert spark.createDataFrame(rows, "rel_path string, want string").select(resolve.folder_of("rel_path", many))._jdf.queryExecution().optimizedPlan().toString().count("INSET") == 1 and "StartsWith" not in plan
