@@ -211,16 +211,28 @@ def _prose(ranges: pa.Array, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     return doc[own], number[own], a[own], b[own]
 
 
-def _chunks(raw: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Pieces of about ``CHUNK`` bytes: whole texts, or one text that is longer."""
+def _chunks(offs: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Pieces of about ``size`` bytes: whole texts, or one text that is longer."""
     i, n = 0, len(offs) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offs, offs[i] + CHUNK, side="right")) - 1)
+        j = max(i + 1, int(np.searchsorted(offs, offs[i] + size, side="right")) - 1)
         if offs[j] > offs[i]:
             yield int(offs[i]), int(offs[j])
         i = j
 
 
+def _slices(data: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Pieces of about ``size`` bytes that do not divide a word; they bound the temporary arrays."""
+    x = 0
+    while x < len(data):
+        y = min(x + size, len(data))
+        while y < len(data) and _IN_WORD[data[y - 1]] and _IN_WORD[data[y]]:
+            on = _IN_WORD[data[y : y + size]]
+            y += len(on) if on.all() else int(on.argmin())
+        yield x, y
+        x = y
+
+
 def _piece(raw: np.ndarray, i: int, j: int, fold: bool) -> bytes:
     piece = raw[i:j].tobytes()
     return piece.lower() if fold else piece  # of bytes: A-Z only
@@ -237,33 +249,41 @@ def _candidates(texts: DataFrame, wanted: _Wanted, fold: bool, keep: list[str])
     schema = T.StructType([*(texts.schema[c] for c in keep), *(T.StructField(n, getattr(T, f"{'Integer' if k == 'int' else 'Binary'}Type")()) for n, k in _FOUND)])
     kinds = [pa.int32() if k == "int" else pa.binary() for _, k in _FOUND]
 
+    chunk = CHUNK
+
     def candidates(data: np.ndarray, edges: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(kind, start, length, bytes before, bytes from the start on) of what may be a key."""
+        """(kind, start, length, bytes before, bytes from the start on) of what may be a key; ``edges``: where texts begin."""
         look, regions = sent.value, [np.zeros((2, 0), dtype=np.int64)]
+        slices = list(_slices(data, chunk))
         for size in look.sizes[GRAM]:
-            at, before, after = look.places(data, size)
-            regions.append(np.stack([at - before, at + after]))
-            yield GRAM, at, np.full(len(at), size), before, after
+            for x, y in slices:
+                at, before, after = look.places(data[x : y + size - 1], size)
+                at = at + x
+                regions.append(np.stack([at - before, at + after]))
+                yield GRAM, at, np.full(len(at), size), before, after
         if not look.sizes[WORD]:
             return
-        start, end = _words(data, edges)
-        touched = _touched(start, end, *np.concatenate(regions, axis=1))
-        if touched.any():
-            for size in look.sizes[INNER]:
-                at, before, after = look.places(data, size, INNER)
-                w = np.searchsorted(start, at, side="right") - 1
-                own = touched[w] & (w >= 0)
-                yield INNER, at[own], np.full(int(own.sum()), size), before[own], after[own]
-        start, end = start[~touched], end[~touched]
-        own = look.words(data, start, end)
-        yield WORD, start[own], (end - start)[own], np.zeros(len(own), dtype=np.int64), (end - start)[own]
+        near = np.concatenate(regions, axis=1)
+        for x, y in slices:
+            part = data[x:y]
+            start, end = _words(part, edges[np.searchsorted(edges, x) : np.searchsorted(edges, y)] - x)
+            touched = _touched(start + x, end + x, *near)
+            if touched.any():
+                for size in look.sizes[INNER]:
+                    at, before, after = look.places(part, size, INNER)
+                    w = np.searchsorted(start, at, side="right") - 1
+                    own = touched[w] & (w >= 0)
+                    yield INNER, at[own] + x, np.full(int(own.sum()), size), before[own], after[own]
+            start, end = start[~touched], end[~touched]
+            own = look.words(part, start, end)
+            yield WORD, start[own] + x, (end - start)[own], np.zeros(len(own), dtype=np.int64), (end - start)[own]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offs = _bytes(batch.column(len(keep)))
             doc, number, a, b = _prose(batch.column(len(keep) + 1), offs) if ranged else (np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int32), offs[:-1], offs[1:])
             breaks = None
-            for x, y in _chunks(raw, offs) if len(a) else ():
+            for x, y in _chunks(offs, chunk) if len(a) else ():
                 data = _FOLDED[raw[x:y]] if fold else raw[x:y]
                 for kind, at, size, before, after in candidates(data, offs[np.searchsorted(offs, x) : np.searchsorted(offs, y)] - x):
                     at = at + x

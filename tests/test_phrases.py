@@ -81,8 +81,9 @@ def test_occurrences(spark, monkeypatch, chunk):
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_words_and_what_gets_in_their_way(spark, seed):
-    """Names of one word and of several, that shadow each other."""
+def test_words_and_what_gets_in_their_way(spark, monkeypatch, seed):
+    """Names of one word and of several, that shadow each other; texts cut into slices or not."""
+    monkeypatch.setattr(phrases, "CHUNK", (1 << 20, 8)[seed % 2])
     rng = random.Random(seed)
     texts = [(f"{k}.md", t, [("prose", 0, len(t))]) for k in range(250) for t in ["".join(rng.choices(["ab", "a", "b", "c", " ", " ", "-", "_", "é", "."], k=rng.randint(1, 30)))]]
     texts = [(p, t, [("prose", 0, len(t.encode()))]) for p, t, _ in texts]
