@@ -32,7 +32,8 @@ URLS = [
 ]
 
 
-def test_hosts_paths_and_rules(spark):
+def test_hosts_paths_and_rules(spark, monkeypatch):
+    monkeypatch.setattr(op11, "TREES", 3)
     rows = [(i, u, "kept out") for i, u in enumerate(URLS)] + [(None, URLS[4], "x"), (4, URLS[4], "x")]
     df = spark.createDataFrame(rows, "page_id long, url string, verdict string")
     got = op11.judged(df).collect()
