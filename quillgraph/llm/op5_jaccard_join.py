@@ -2,18 +2,21 @@
 
 1. Each text becomes its set of distinct 3-word shingles (64-bit hashes).  Equal
    sets are one node; copies are never paired.
-2. Prefix filter.  In one order of all shingles (rare before frequent, then by
-   hash) linked sets must share ``SHARED`` of their first shingles.  How
-   frequent a shingle is only shapes that order, so the counts may be those of
-   shingles seen repeatedly within a task; at most ``FREQUENT`` are broadcast.
-3. Lists of nodes by shingle.  Short lists give pairs, of which those that share
-   enough are kept.  The nodes of long lists are compared by sketches: 512 bits,
-   each the parity of the shingles that fall on it, so two sets differ by at
-   least as many shingles as their sketches by bits, and no linked pair is
-   lost.  Only edges of a spanning forest leave the list.  Lists of thousands
-   are cut into blocks and compared two blocks at a time.
-4. Both kinds of edges make groups of nodes that may link.  Each node's set is
-   shipped once, to its group.
+2. Signatures.  Linked sets differ by few shingles.  Shingles are dealt by hash
+   into more buckets than that, so linked sets have at least one bucket alike;
+   a signature stands for all that a set has in a bucket, five shingles or
+   more as a rule.  Unlike single shingles, which more texts share the more
+   texts there are, it is shared by copies and hardly by others, so lists do
+   not grow with the corpus.  The number of buckets goes by classes of sizes.
+3. Lists of nodes by signature.  Short lists give pairs, but not those that
+   agree in the bucket before, which are found there.  The nodes of long lists
+   are compared by sketches: 512 bits, each the parity of the shingles that
+   fall on it, so two sets differ by at least as many shingles as their
+   sketches by bits, and no linked pair is lost.  Only edges of a spanning
+   forest leave the list.  Lists of thousands are cut into blocks and compared
+   two blocks at a time.
+4. Both kinds of edges make groups of nodes that may link.  Each node's text is
+   shipped once, compressed, to its group.
 5. Inside a group an inverted index is kept in order of set size.  A leader's
    overlaps with all sets are counted from its lists, each list entered by
    position at the first size that can link (block skipping).  The overlaps of
@@ -51,12 +54,12 @@ from .textkit import groups, mix64, shingle_sets, text_buffers, trimmed
 SIZE = 3
 #: Sets link if 100 * intersection >= PERCENT * union.
 PERCENT = 90
-#: Common prefix shingles asked for (fewer for tiny sets).
-SHARED = 4
-#: Frequent shingles that the order knows; bounds the broadcast to a few MB.
-FREQUENT = 200_000
-#: Shingles counted together within a task, and the count there from which one is told.
-COUNTED, TOLD = 4_000_000, 3
+#: Classes of sizes: the greatest size in each is so many times that of the one before, about.
+RATIO = 1.45
+#: One bucket in so many may be empty without more ado.
+EMPTY = 20
+#: Not used any more: shingles are not counted.
+TOLD = 3
 #: Bits of a sketch.
 SKETCH = 512
 _WORDS = SKETCH // 64
@@ -73,23 +76,60 @@ class Limits:
 
     #: Lists up to this length give pairs.
     short: int = 24
-    #: Nodes of a salted list that go to one task, about, and of a block of a long list.
+    #: Nodes of a block of a long list.
     salted: int = 4_000
     #: Shingles of a block of a group.
     block: int = 1_000_000
     #: Bytes of rows that may be broadcast.
     broadcast: int = 32 << 20
-    #: Count from which a shingle is told to be frequent.
+    #: Not used any more: shingles are not counted.
     frequent_from: int = 16
 
 
-def least_overlap(n: np.ndarray | int) -> np.ndarray | int:
-    """Shingles that a set of n must have in common with any set it links with."""
-    return -(-PERCENT * n // 100)
+def differences(n: np.ndarray | int) -> np.ndarray | int:
+    """Shingles at most in just one of two linked sets whose sizes add up to n."""
+    return (100 - PERCENT) * n // (100 + PERCENT)
 
 
-def shared_needed(n: np.ndarray | int) -> np.ndarray | int:
-    return np.minimum(SHARED, least_overlap(n))
+def _tops() -> np.ndarray:
+    tops = [8]
+    while tops[-1] < 1 << 40:
+        tops.append(int(tops[-1] * RATIO))
+    return np.array(tops)
+
+
+_TOPS = _tops()
+
+
+def signatures(s: np.ndarray) -> np.ndarray:
+    """A signature per bucket, in order; 0 for an empty bucket and before each series of buckets.
+
+    A pair meets in the class of its larger set, so a set takes part in the
+    classes of all sizes from its own to the largest it can link with.  In a
+    class linked sets have more buckets alike than may be empty.  Sets with
+    more empty buckets are dealt once more by another hash, so that those that
+    are alike in empty buckets alone meet there.
+    """
+    out, zero = [], np.zeros(1, dtype=np.uint64)
+    first, last = np.searchsorted(_TOPS, [len(s), 100 * len(s) // PERCENT]).tolist()
+    for c in range(first, last + 1):
+        need = differences(2 * int(_TOPS[c])) + 1
+        may_be_empty = need // EMPTY
+        n, level, empty = need + may_be_empty, 0, may_be_empty + 1
+        while need > 1 and empty > may_be_empty:  # else only equal sets link
+            seed = mix64(np.full(1, c + (level << 16), dtype=np.uint64) * _U(0xE7037ED1A0B428DB) + _U(1))
+            h = mix64(s ^ seed)
+            bucket = ((h >> _U(32)) * _U(n) >> _U(32)).astype(np.int64)
+            sums = np.zeros(n, dtype=np.uint64)
+            np.add.at(sums, bucket, mix64(h + _U(0xA0761D6478BD642F)))
+            signs = mix64(sums ^ mix64(seed + np.arange(1, n + 1, dtype=np.uint64)))
+            signs[signs == 0] = 1
+            there = np.zeros(n, dtype=bool)
+            there[bucket] = True
+            signs[~there] = 0
+            empty, level = n - int(np.count_nonzero(there)), level + 1
+            out += [zero, signs]
+    return np.concatenate(out) if out else zero[:0]
 
 
 def fingerprint(s: np.ndarray) -> tuple[int, int]:
@@ -125,95 +165,56 @@ def _sets(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def _profiles(docs: DataFrame) -> DataFrame:
-    """A row per document (doc_id, n, f1, f2, sketch), and rows (token, count) of shingles frequent in a task."""
-    names = ["doc_id", "n", "f1", "f2", *_SKETCH, "token", "count"]
+    """doc_id, n, f1, f2 and sketch of each document."""
+    names = ["doc_id", "n", "f1", "f2", *_SKETCH]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        seen: set[tuple[int, int]] = set()
-        size = 0
-
-        def tell() -> pa.RecordBatch:
-            tokens, n = np.unique(np.concatenate(held), return_counts=True)
-            tokens, n = tokens[n >= TOLD], n[n >= TOLD]
-            none = pa.nulls(len(tokens), pa.int64())
-            held.clear()
-            seen.clear()
-            return pa.RecordBatch.from_arrays([*[none] * (4 + _WORDS), pa.array(tokens.view(np.int64)), pa.array(n)], names)
-
         for batch in batches:
             rows = []
             for s in _sets(batch.column(1)):
-                f = fingerprint(s)
-                rows.append((len(s), *f, *sketch(s).view(np.int64).tolist()))
-                if len(s) and f not in seen:
-                    seen.add(f)
-                    held.append(s)
-                    size += len(s)
-                if size >= COUNTED:
-                    yield tell()
-                    size = 0
+                rows.append((len(s), *fingerprint(s), *sketch(s).view(np.int64).tolist()))
             columns = [np.array(c, np.int64) for c in zip(*rows, strict=True)] if rows else [np.zeros(0, np.int64)] * (3 + _WORDS)
-            none = pa.nulls(len(rows), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns), none, none], names)
-        if held:
-            yield tell()
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], names)
 
     return docs.mapInArrow(trimmed(run), ", ".join(f"{x} long" for x in names))
 
 
-def _prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, f1, f2 and the prefix shingles of each document."""
-    sent = docs.sparkSession.sparkContext.broadcast(frequent)
+def _signed(docs: DataFrame) -> DataFrame:
+    """doc_id, f1, f2 and the signatures of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, counts = sent.value
-        low = _U((1 << 20) - 1)
-        bits = np.zeros(1 << 20, dtype=bool)
-        bits[tokens & low] = True
         for batch in batches:
             marks, parts = [], []
             for s in _sets(batch.column(1)):
                 marks.append(fingerprint(s))
-                n = len(s)
-                want = n - least_overlap(n) + int(shared_needed(n)) if n else 0
-                maybe = np.flatnonzero(bits[s & low])
-                if len(tokens) and len(maybe):
-                    at = np.minimum(np.searchsorted(tokens, s[maybe]), len(tokens) - 1)
-                    hit = tokens[at] == s[maybe]
-                    often, count = maybe[hit], counts[at[hit]]
-                    rare = np.ones(n, dtype=bool)
-                    rare[often] = False
-                    first = s[rare][:want]
-                    if len(first) < want:
-                        first = np.concatenate([first, s[often][np.lexsort((s[often], count))][: want - len(first)]])
-                else:
-                    first = s[:want]
-                parts.append(first)
+                parts.append(signatures(s))
             sizes = np.fromiter(map(len, parts), np.int32, len(parts))
             flat = np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
             f = np.array(marks, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f[:, 0].copy()), pa.array(f[:, 1].copy()), lists], ["doc_id", "f1", "f2", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f[:, 0].copy()), pa.array(f[:, 1].copy()), lists], ["doc_id", "f1", "f2", "signs"])
 
-    return docs.mapInArrow(trimmed(run), "doc_id long, f1 long, f2 long, prefix array<long>")
+    return docs.mapInArrow(trimmed(run), "doc_id long, f1 long, f2 long, signs array<long>")
 
 
 class _Lists:
-    """Turns nodes sorted by (token, salt, size, node) into pairs and members of long lists."""
+    """Turns nodes sorted by (token, size, node) into pairs and members of long lists."""
 
     def __init__(self, short: int) -> None:
         self.short = short
-        self.open: tuple[tuple[int, int], int] | None = None  # key and last size of a long list that goes on
+        self.open: tuple[int, int] | None = None  # token and last size of a long list that goes on
+
+    def take(self, token: np.ndarray, n: np.ndarray, node: np.ndarray, before: np.ndarray, last: bool) -> tuple[list[np.ndarray], int]:
+        """Rows (0, a, b, n of a, n of b) and (1, token, node, n, 0), and how many input rows are used up.
 
-    def take(self, token: np.ndarray, salt: np.ndarray, n: np.ndarray, node: np.ndarray, last: bool) -> tuple[list[np.ndarray], int]:
-        """Rows (0, a, b, n of a, n of b) and (1, token, node, n, 0), and how many input rows are used up."""
+        ``before``: the signature of the bucket before, 0 if there is none.
+        """
         if not len(token):
             return [], 0
         # A new list starts with another key, or where sizes leave no possible link.
         new = np.ones(len(token), dtype=bool)
-        new[1:] = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1]) | (100 * n[:-1] < PERCENT * n[1:])
-        goes_on = self.open is not None and self.open[0] == (int(token[0]), int(salt[0])) and 100 * self.open[1] >= PERCENT * int(n[0])
+        new[1:] = (token[1:] != token[:-1]) | (100 * n[:-1] < PERCENT * n[1:])
+        goes_on = self.open is not None and self.open[0] == int(token[0]) and 100 * self.open[1] >= PERCENT * int(n[0])
         starts = np.flatnonzero(new)
         used = len(token)
         if not last and len(token) - starts[-1] <= self.short and not (len(starts) == 1 and goes_on):
@@ -221,10 +222,10 @@ class _Lists:
             starts = starts[:-1]
             if not used:
                 return [], 0
-            token, salt, n, node = token[:used], salt[:used], n[:used], node[:used]
+            token, n, node, before = token[:used], n[:used], node[:used], before[:used]
         length = np.diff(np.append(starts, used))
         which = np.repeat(np.arange(len(starts)), length)
-        long = (length > self.short) | (salt[starts] > 0)
+        long = length > self.short
         if goes_on:
             long[0] = True
         if not last and used == len(new):
@@ -234,16 +235,16 @@ class _Lists:
             a = np.flatnonzero((which[d:] == which[:-d]) & ~long[which[d:]])
             if not len(a):
                 break
-            a = a[(100 * n[a] >= PERCENT * n[a + d]) & (node[a] != node[a + d])]
+            a = a[(100 * n[a] >= PERCENT * n[a + d]) & (node[a] != node[a + d]) & ((before[a] != before[a + d]) | (before[a] == 0))]
             out.append(np.stack([np.zeros(len(a), np.int64), node[a], node[a + d], n[a], n[a + d]]))
         own = np.flatnonzero(long[which])
         out.append(np.stack([np.ones(len(own), np.int64), token[own], node[own], n[own], np.zeros(len(own), np.int64)]))
-        self.open = ((int(token[-1]), int(salt[-1])), int(n[-1])) if long[-1] else None
+        self.open = (int(token[-1]), int(n[-1])) if long[-1] else None
         return out, used
 
 
 def _list_rows(batches: Iterator[pa.RecordBatch], short: int, chunk: int = 200_000) -> Iterator[pa.RecordBatch]:
-    """``_Lists`` over the sorted rows (token, salt, n, node) of a partition."""
+    """``_Lists`` over the sorted rows (token, n, node, before) of a partition."""
     lists, held, size = _Lists(short), [], 0
     names = ["kind", "a", "b", "na", "nb"]
 
@@ -387,15 +388,29 @@ def overlaps_within(sets: list[np.ndarray], weight: np.ndarray, first: np.ndarra
     return back, out
 
 
+def _packed(text: str) -> bytes:
+    raw = text.encode("utf-8", "surrogatepass")
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(texts: list[bytes]) -> list[np.ndarray]:
+    """The sets of packed texts, some texts at a time."""
+    out: list[np.ndarray] = []
+    for k in range(0, len(texts), 256):
+        raw = [pa.decompress(memoryview(x)[8:], decompressed_size=int.from_bytes(x[:8], "little"), codec="zstd", asbytes=True) for x in texts[k : k + 256]]
+        out += _sets(pa.array(raw, pa.large_binary()).view(pa.large_string()))
+    return out
+
+
 def _group_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Roots and links of sorted rows (cluster, i, j, blocks, block, node, copies, tokens)."""
+    """Roots and links of sorted rows (cluster, i, j, blocks, block, node, copies, text)."""
     held: list[tuple] = []
     key = None
 
     def close() -> pa.RecordBatch:
         node = np.array([r[0] for r in held], np.int64)
         copies = np.array([r[1] for r in held], np.int64)
-        sets = [np.frombuffer(r[2], np.uint64) for r in held]
+        sets = _unpacked([r[2] for r in held])
         blocks, i, j = key[3], key[1], key[2]
         if len(held) == 2 and blocks == 1:
             a, b = sets
@@ -429,14 +444,6 @@ def _group_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield close()
 
 
-def _frequent(profiles: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles, sorted, and their counts; bounded by FREQUENT."""
-    found = profiles.where("token IS NOT NULL").groupBy("token").agg(F.sum("count").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
-    tokens = found.column("token").to_numpy().view(np.uint64)
-    order = np.argsort(tokens)
-    return tokens[order], found.column("n").to_numpy()[order]
-
-
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits()) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links (linked documents, copies included) of each row."""
     told, named = _classes(docs, id_col, text_col, limits)
@@ -455,33 +462,23 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, limits: Limits) -> tup
     small_batches(spark)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     profiles = written(_profiles(rows), "profiles")
-    whole = profiles.where("token IS NULL")
-    told = whole.select("doc_id", "n", "f1", "f2")
+    told = profiles.select("doc_id", "n", "f1", "f2")
     n_rows = told.count()
-    nodes = whole.where("n > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), *[F.first(x).alias(x) for x in _SKETCH])
+    nodes = profiles.where("n > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), *[F.first(x).alias(x) for x in _SKETCH])
     # A node is called by the smallest doc_id of its set; further sets of the same doc_id get other, negative names.
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("f1", "f2"))
     nodes = written(nodes.withColumn("k", place).select("f1", "f2", "n", "doc_id", "copies", F.when(F.col("k") == 1, F.col("doc_id")).otherwise(-1 - F.abs(F.xxhash64("doc_id", "k") % (1 << 62))).alias("node"), *_SKETCH), "nodes", rows=n_rows)
-    tokens, counts = frequent = _frequent(profiles, limits.frequent_from)
-
-    # Lists by shingle.  Very frequent shingles have their lists salted.
-    many = counts >= 2 * limits.salted
-    first = _prefixes(rows.where("doc_id IS NOT NULL"), frequent)
-    first = first.join(nodes.select("doc_id", "f1", "f2", "n", "node"), ["doc_id", "f1", "f2"])
-    posts = first.select(F.explode("prefix").alias("token"), "node", "n")
-    if not many.any():
-        posts = posts.withColumn("salt", F.lit(0).cast("long"))
-    else:
-        hot = {int(np.int64(t)): -(-int(c) // limits.salted) for t, c in zip(tokens[many].view(np.int64), counts[many], strict=True)}
-        table = spark.createDataFrame([(t, s) for t, s in hot.items()], "token long, salts int")
-        posts = posts.join(F.broadcast(table), "token", "left").withColumn("salt", F.when(F.col("salts").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("node"), F.col("salts"))).cast("long")).drop("salts")
-    ordered = ["token", "salt", "n", "node"]
+
+    # Lists by signature.
+    signed = _signed(rows.where("doc_id IS NOT NULL")).join(nodes.select("doc_id", "f1", "f2", "n", "node"), ["doc_id", "f1", "f2"])
+    each = "filter(transform(signs, (x, i) -> struct(x AS token, get(signs, i - 1) AS before)), y -> y.token <> 0)"
+    posts = signed.select(F.explode(F.expr(each)).alias("post"), "node", "n")
+    ordered = ["token", "n", "node"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kinds = "kind long, a long, b long, na long, nb long"
-    listed = written(posts.select(*ordered).repartition(parts, "token", "salt").sortWithinPartitions(*ordered).mapInArrow(trimmed(lambda rows: _list_rows(rows, limits.short)), kinds), "lists")
-    enough = F.least(F.lit(SHARED), F.ceil(F.col("na") * PERCENT / 100), F.ceil(F.col("nb") * PERCENT / 100))
-    pairs = listed.where("kind = 0").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared")).where(F.col("shared") >= enough).select("a", "b")
-    # A linked pair with a common shingle in a long list is found there, whatever else it shares.
+    listed = written(posts.select("post.token", "n", "node", "post.before").repartition(parts, "token").sortWithinPartitions(*ordered).mapInArrow(trimmed(lambda rows: _list_rows(rows, limits.short)), kinds), "lists")
+    pairs = listed.where("kind = 0").select("a", "b")
+    # A linked pair with a common signature in a long list is found there, whatever else it shares.
     long = listed.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("node"))
     cut = long.groupBy("token").agg(F.count("*").alias("length")).where(F.col("length") > 2 * limits.salted)
     cut = cut.select("token", F.greatest(F.lit(3), F.ceil(F.col("length") / limits.salted)).cast("long").alias("blocks"))
@@ -503,24 +500,23 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, limits: Limits) -> tup
     members = members.join(weights.select("root", blocks.alias("blocks")), "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     members = written(members.select("root", "blocks", "block", "node", "copies", "doc_id", "f1", "f2"), "members", rows=n_rows)
 
-    # Ship each member's set to its group, or to all groups of its block.
+    # Ship each member's text to its group, or to all groups of its block.
     size = members.count() * 80
     picked = rows.join(F.broadcast(members) if size <= limits.broadcast else members, "doc_id")
 
-    def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def with_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                sets = list(_sets(part.column("text")))
-                f = np.array([fingerprint(s) for s in sets], np.int64).reshape(-1, 2)
+                f = np.array([fingerprint(s) for s in _sets(part.column("text"))], np.int64).reshape(-1, 2)
                 own = pa.array((f[:, 0] == part.column("f1").to_numpy()) & (f[:, 1] == part.column("f2").to_numpy()))
+                part = part.filter(own)
                 columns = [part.column(c) for c in ("root", "blocks", "block", "node", "copies")]
-                out = pa.RecordBatch.from_arrays([*columns, pa.array([s.tobytes() for s in sets], pa.binary())], ["root", "blocks", "block", "node", "copies", "tokens"])
-                yield out.filter(own)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([_packed(x.as_py()) for x in part.column("text")], pa.binary())], ["root", "blocks", "block", "node", "copies", "packed"])
 
-    shipped = picked.select("root", "blocks", "block", "node", "copies", "f1", "f2", "text").mapInArrow(trimmed(with_sets), "root long, blocks long, block long, node long, copies long, tokens binary")
+    shipped = picked.select("root", "blocks", "block", "node", "copies", "f1", "f2", "text").mapInArrow(trimmed(with_texts), "root long, blocks long, block long, node long, copies long, packed binary")
     others = F.expr("CASE WHEN blocks = 1 THEN array(0L) ELSE filter(sequence(0L, blocks - 1), x -> x <> block) END")
-    shipped = shipped.withColumn("other", F.explode(others)).select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "blocks", "block", "node", "copies", "tokens")
+    shipped = shipped.withColumn("other", F.explode(others)).select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "blocks", "block", "node", "copies", "packed")
     order = ["root", "i", "j", "blocks", "node"]
     found = written(shipped.repartition(parts, "root", "i", "j").sortWithinPartitions(*order).mapInArrow(trimmed(_group_rows), "node long, root long, links long, blocks long"), "found")
 

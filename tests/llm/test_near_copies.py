@@ -167,6 +167,56 @@ def test_texts_of_few_words_make_no_large_group(spark, monkeypatch):
     assert tables["ties"].count() < 100 and max([r["count"] for r in tables["members"].groupBy("root").count().collect()], default=0) < 10
 
 
+def test_linked_sets_share_a_signature():
+    rng = np.random.default_rng(7)
+    shared = unlinked = 0
+    for size in (9, 10, 11, 12, 19, 20, 21, 40, 41, 100, 400, 3000):
+        for _ in range(60 if size < 1000 else 8):
+            a = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
+            gone = rng.integers(0, 2 + size // 10)
+            b = np.unique(np.concatenate([rng.permutation(a)[gone:], rng.integers(0, 2**63, rng.integers(0, 2 + max(0, size // 10 - gone)), dtype=np.uint64)]))
+            far = np.unique(np.concatenate([rng.permutation(a)[: size // 3], rng.integers(0, 2**63, size - size // 3, dtype=np.uint64)]))
+            own, other, third = ({*op5.signatures(s).tolist()} - {0} for s in (a, b, far))
+            both = len(np.intersect1d(a, b))
+            if 100 * both >= 90 * (len(a) + len(b) - both) and both < max(len(a), len(b)):
+                assert own & other
+                shared += 1
+            assert len(own) <= 0.4 * size + 3
+            unlinked += bool(own & third)
+    assert shared > 100 and unlinked < 60
+
+
+def test_sets_with_empty_buckets_meet(monkeypatch):
+    monkeypatch.setattr(op5, "EMPTY", 10**9)  # no bucket may be empty: many sets are dealt again
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 2**63, 300, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[15:], rng.integers(0, 2**63, 15, dtype=np.uint64)]))
+        assert {*op5.signatures(a).tolist()} & {*op5.signatures(b).tolist()} - {0}
+
+
+def test_sentences_in_many_texts_give_no_pairs(spark, monkeypatch):
+    rng = random.Random(9)
+    sentences = [" ".join(f"s{k}w{i}" for i in range(12)) for k in range(300)]
+    texts = [" ".join(rng.sample(sentences, 12)) for _ in range(250)]  # each sentence in ten texts
+    near = [f"{t} one more" for t in texts[:50]]
+    tables, packed = {}, []
+
+    def spy(df, name, *args, real=op5.written, **more):
+        tables[name] = real(df, name, *args, **more)
+        return tables[name]
+
+    monkeypatch.setattr(op5, "written", spy)
+    df = spark.createDataFrame(list(enumerate(texts + near)), "doc_id long, text string")
+    got = op5.jaccard_components(df).collect()
+    assert sorted((r.component_id, r.doc_id) for r in got if r.component_id != r.doc_id) == [(k, 250 + k) for k in range(50)]
+    # A pair is put out once for each stretch of buckets in which it agrees, not for each common shingle.
+    assert tables["lists"].count() < 50 * 8 and tables["members"].count() < 110
+    for t in texts:
+        packed.append((len(op5._packed(t)), 8 * len(shingles(t))))
+    assert 2 * sum(a for a, _ in packed) < sum(b for _, b in packed)
+
+
 def test_connected_components(spark):
     chain = [(i, i + 1) for i in range(0, 40)] + [(100, 90), (95, 90), (7, 7), (200, 201), (201, 200)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
