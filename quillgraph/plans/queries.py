@@ -224,7 +224,8 @@ def scan_tree(spark, d):
 def tree_rename(spark, d):
     """A page renamed in a tree of files: moved with its mirror, all links rewritten by the executors, read back."""
     root = _tree(spark, d, GRAPH)
-    w = Wiki(tree.read(spark, root, config.Ignore()), config.parse(CONFIG))
+    files = stored(tree.read(spark, root, config.Ignore()), "files")  # the tree is walked once
+    w = Wiki(files, config.parse(CONFIG), store=("frontmatter", "links", "destinations"))
     moves, edits = w.rename("NATION_3", "Nation Three")
     sinks.apply(root, moves, w.rewritten(edits))
     return tree.read(spark, root, config.Ignore())

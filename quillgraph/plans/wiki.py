@@ -161,7 +161,8 @@ class Wiki:
     # Rewrites: (moves, edits)
 
     def _plan(self, edits: DataFrame) -> DataFrame:
-        return E.checked(edits, self.files)
+        """Found once: they are checked, then shown or applied."""
+        return E.checked(stored(edits, "edits"), self.files)
 
     def fix(self) -> DataFrame:
         return self._plan(formatting.fix_edits(self.pages("definitions"), self.resolved, self._mentions(), self.config.linking))

@@ -43,15 +43,23 @@ class LocalFolder:
         return Path(self._at(rel_path)).read_bytes()
 
     def write(self, rel_path: str, content: bytes) -> None:
-        path = Path(self._at(rel_path))
-        path.parent.mkdir(parents=True, exist_ok=True)
-        path.write_bytes(content)
+        path = self._at(rel_path)
+        try:
+            f = open(path, "wb")
+        except FileNotFoundError:  # the folder is made when the first file needs it
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            f = open(path, "wb")
+        with f:
+            f.write(content)
 
     def move(self, old: str, new: str) -> None:
         """Rename a file, over another one if need be."""
-        target = Path(self._at(new))
-        target.parent.mkdir(parents=True, exist_ok=True)
-        os.replace(self._at(old), target)
+        source, target = self._at(old), self._at(new)
+        try:
+            os.replace(source, target)
+        except FileNotFoundError:
+            os.makedirs(os.path.dirname(target), exist_ok=True)
+            os.replace(source, target)
 
     def drop(self, rel_path: str) -> None:
         shutil.rmtree(self._at(rel_path), ignore_errors=True)

@@ -104,6 +104,19 @@ def test_moves_then_contents(spark, tmp_path):
     assert listing(tmp_path)["n/1.md"] == "1" and listing(tmp_path)["n/2.md"] == ""
 
 
+def test_a_rename_walks_the_tree_twice(spark, monkeypatch):
+    """Before the plan and for the result, however many branches the plan has."""
+    from quillgraph.plans import queries
+
+    walked = []
+    monkeypatch.setattr(queries.tree, "read", lambda *a, real=tree.read, **more: walked.append(real(*a, **more)) or walked[-1])
+    plans = []
+    monkeypatch.setattr(queries.sinks, "apply", lambda root, moves, new, real=sinks.apply: plans.append(new._jdf.queryExecution().optimizedPlan().toString()) or real(root, moves, new))
+    got = {r.rel_path for r in queries.tree_rename(spark, "/root/testdata/sf0.001").collect()}
+    assert "wiki/nations/Nation Three.md" in got and "wiki/nations/NATION_3.md" not in got
+    assert len(walked) == 2 and tree.NAME not in plans[0]
+
+
 def test_a_failure_leaves_the_tree_alone(spark, tmp_path):
     put(tmp_path, {f"{i}.md": str(i) for i in range(40)})
     before = listing(tmp_path)
