@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.config import WikiConfig
-from . import phrases
+from ..sources.shared import stored
+from . import parse, phrases, resolve
 
 
 def autolink_pages(pages: DataFrame, config: WikiConfig) -> DataFrame:
@@ -37,3 +38,17 @@ def mentions(pages: DataFrame, names: DataFrame) -> DataFrame:
     texts = pages.select("rel_path", "page_id", "source", "ranges")
     found = phrases.chosen(texts, names.select(F.col("page_id").alias("phrase")), fold=True).where("phrase <> page_id")
     return found.select("rel_path", F.col("phrase").alias("concept"), "start", "end", "line", "col")
+
+
+def counts(files: DataFrame, names: DataFrame, config: WikiConfig) -> DataFrame:
+    """concept, n_mentions, n_files of the names that are mentioned in ``files`` (rel_path, source).
+
+    As ``mentions``, but only counted.  Paths that come more than once are
+    found first, from the paths alone; the other files need not be told apart.
+    """
+    again = stored(files.groupBy("rel_path").count().where("count > 1").select("rel_path"), "repeated")
+    flagged = files.join(again.withColumn("repeated", F.lit(True)), "rel_path", "left")
+    pages = resolve.categorised(parse.parse_documents(flagged, ("ranges",)), config)
+    texts = pages.select("rel_path", F.col("page_id").alias("own"), "repeated", "source", "ranges")
+    found = phrases.counted(texts, names.select(F.col("page_id").alias("phrase")), fold=True)
+    return found.select(F.col("phrase").alias("concept"), F.col("n").alias("n_mentions"), F.col("n_texts").alias("n_files"))

@@ -48,7 +48,7 @@ _MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 _U = np.uint64
 _FOLDED = np.arange(256, dtype=np.uint8)
 _FOLDED[0x41:0x5B] = np.arange(0x61, 0x7B)
-_NEWLINE = 10
+_NEWLINE, _HYPHEN = 10, 0x2D
 
 
 def _hashes(grams: np.ndarray, size: int) -> np.ndarray:
@@ -164,6 +164,33 @@ class _Wanted:
         mask = _MASKS[np.minimum(end - start, 8)]
         return self._kept(_word_hashes(wide[start] & mask, wide[np.maximum(start, end - 8)] & mask, end - start), WORD)[0]
 
+    def candidates(self, data: np.ndarray, edges: np.ndarray, chunk: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(kind, start, length, bytes before, bytes from the start on) of what may be a key; ``edges``: where texts begin."""
+        regions = [np.zeros((2, 0), dtype=np.int64)]
+        slices = list(_slices(data, chunk))
+        for size in self.sizes[GRAM]:
+            for x, y in slices:
+                at, before, after = self.places(data[x : y + size - 1], size)
+                at = at + x
+                regions.append(np.stack([at - before, at + after]))
+                yield GRAM, at, np.full(len(at), size), before, after
+        if not self.sizes[WORD]:
+            return
+        near = np.concatenate(regions, axis=1)
+        for x, y in slices:
+            part = data[x:y]
+            start, end = _words(part, edges[np.searchsorted(edges, x) : np.searchsorted(edges, y)] - x)
+            touched = _touched(start + x, end + x, *near)
+            if touched.any():
+                for size in self.sizes[INNER]:
+                    at, before, after = self.places(part, size, INNER)
+                    w = np.searchsorted(start, at, side="right") - 1
+                    own = touched[w] & (w >= 0)
+                    yield INNER, at[own] + x, np.full(int(own.sum()), size), before[own], after[own]
+            start, end = start[~touched], end[~touched]
+            own = self.words(part, start, end)
+            yield WORD, start[own] + x, (end - start)[own], np.zeros(len(own), dtype=np.int64), (end - start)[own]
+
 
 def _words(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of the runs of word characters; ``edges``: where texts begin."""
@@ -251,33 +278,6 @@ def _candidates(texts: DataFrame, wanted: _Wanted, fold: bool, keep: list[str])
 
     chunk = CHUNK
 
-    def candidates(data: np.ndarray, edges: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(kind, start, length, bytes before, bytes from the start on) of what may be a key; ``edges``: where texts begin."""
-        look, regions = sent.value, [np.zeros((2, 0), dtype=np.int64)]
-        slices = list(_slices(data, chunk))
-        for size in look.sizes[GRAM]:
-            for x, y in slices:
-                at, before, after = look.places(data[x : y + size - 1], size)
-                at = at + x
-                regions.append(np.stack([at - before, at + after]))
-                yield GRAM, at, np.full(len(at), size), before, after
-        if not look.sizes[WORD]:
-            return
-        near = np.concatenate(regions, axis=1)
-        for x, y in slices:
-            part = data[x:y]
-            start, end = _words(part, edges[np.searchsorted(edges, x) : np.searchsorted(edges, y)] - x)
-            touched = _touched(start + x, end + x, *near)
-            if touched.any():
-                for size in look.sizes[INNER]:
-                    at, before, after = look.places(part, size, INNER)
-                    w = np.searchsorted(start, at, side="right") - 1
-                    own = touched[w] & (w >= 0)
-                    yield INNER, at[own] + x, np.full(int(own.sum()), size), before[own], after[own]
-            start, end = start[~touched], end[~touched]
-            own = look.words(part, start, end)
-            yield WORD, start[own] + x, (end - start)[own], np.zeros(len(own), dtype=np.int64), (end - start)[own]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offs = _bytes(batch.column(len(keep)))
@@ -285,7 +285,7 @@ def _candidates(texts: DataFrame, wanted: _Wanted, fold: bool, keep: list[str])
             breaks = None
             for x, y in _chunks(offs, chunk) if len(a) else ():
                 data = _FOLDED[raw[x:y]] if fold else raw[x:y]
-                for kind, at, size, before, after in candidates(data, offs[np.searchsorted(offs, x) : np.searchsorted(offs, y)] - x):
+                for kind, at, size, before, after in sent.value.candidates(data, offs[np.searchsorted(offs, x) : np.searchsorted(offs, y)] - x, chunk):
                     at = at + x
                     r = np.searchsorted(a, at, side="right") - 1
                     own = (r >= 0) & (at + size <= b[r])
@@ -307,6 +307,55 @@ def _candidates(texts: DataFrame, wanted: _Wanted, fold: bool, keep: list[str])
     return texts.select(*keep, "source", *(["ranges"] if ranged else [])).mapInArrow(run, schema)
 
 
+def _cut(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The pieces of data, ASCII all, as strings."""
+    ends = np.cumsum(size)
+    flat = data[np.arange(int(size.sum())) + np.repeat(start - ends + size, size)]
+    return pa.StringArray.from_buffers(len(size), pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(flat))
+
+
+def _hyphened(data: np.ndarray, start: np.ndarray, end: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Which of the words data[start:end] are part of a hyphenated name within the text data[low:high]; as ``_free``."""
+    (left, far_left), (right, far_right) = ([data[np.clip(i, 0, len(data) - 1)] for i in pair] for pair in ((start - 1, start - 2), (end, end + 1)))
+    named = _IN_WORD.copy()
+    named[0x5F] = False
+    return (start - 2 >= low) & (left == _HYPHEN) & named[far_left] | (end + 1 < high) & (right == _HYPHEN) & named[far_right]
+
+
+def _tallies(texts: DataFrame, wanted: _Wanted, fold: bool, keep: list[str]) -> DataFrame:
+    """How often (n) each word that may be a phrase stands free in the prose of a text: one row for both.
+
+    For phrases of one word each; their occurrences do not leave the pass.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast(wanted)
+    schema = T.StructType([*(texts.schema[c] for c in keep), T.StructField("phrase", T.StringType()), T.StructField("n", T.LongType())])
+    chunk = CHUNK
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offs = _bytes(batch.column(len(keep)))
+            doc, _, a, b = _prose(batch.column(len(keep) + 1), offs)
+            for x, y in _chunks(offs, chunk) if len(a) else ():
+                data, parts = _FOLDED[raw[x:y]] if fold else raw[x:y], []
+                for _, at, size, _, _ in sent.value.candidates(data, offs[np.searchsorted(offs, x) : np.searchsorted(offs, y)] - x, chunk):
+                    r = np.searchsorted(a, at + x, side="right") - 1
+                    own = (r >= 0) & (at + x + size <= b[r])
+                    at, size, row = at[own], size[own], doc[r[own]]
+                    own = ~_hyphened(data, at, at + size, offs[row] - x, offs[row + 1] - x)
+                    found = pa.table({"row": row[own], "phrase": _cut(data, at[own], size[own]), "n": np.ones(int(own.sum()), dtype=np.int64)})
+                    parts.append(_summed(found))
+                if parts:
+                    found = _summed(pa.concat_tables(parts)).combine_chunks()
+                    for part in found.to_batches():
+                        yield pa.RecordBatch.from_arrays([*batch.select(keep).take(part["row"]).columns, part["phrase"], part["n"]], [*keep, "phrase", "n"])
+
+    return texts.select(*keep, "source", "ranges").mapInArrow(run, schema)
+
+
+def _summed(found: pa.Table) -> pa.Table:
+    return found.group_by(["row", "phrase"], use_threads=False).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
+
+
 def _free() -> Column:
     """Whether what is found is not part of a longer word or hyphenated name."""
     left, right = F.expr("substring(seen, greatest(1, first - 1), least(2, first))"), F.expr("substring(seen, first + long + 1, 2)")
@@ -332,7 +381,10 @@ def chosen(texts: DataFrame, phrases: DataFrame, fold: bool = False) -> DataFram
     goes beyond one, so it is chosen as it is; only the others are shuffled.
     """
     keys = _with_kinds(stored(keyed(phrases), "phrases"), True)
-    wanted = _Wanted.of(keys)
+    return _chosen(texts, keys, _Wanted.of(keys), fold)
+
+
+def _chosen(texts: DataFrame, keys: DataFrame, wanted: _Wanted, fold: bool) -> DataFrame:
     found = _found(texts, keys, wanted, fold)
     if wanted.sizes[GRAM]:
         found = stored(found, "occurrences")
@@ -340,6 +392,30 @@ def chosen(texts: DataFrame, phrases: DataFrame, fold: bool = False) -> DataFram
     return found.where("free").drop("kind", "free")
 
 
+def counted(texts: DataFrame, phrases: DataFrame, fold: bool = False) -> DataFrame:
+    """phrase, n, n_texts: how often each phrase is ``chosen``, and under how many paths.
+
+    ``texts``: rel_path, source, ranges, own (a phrase that does not count
+    there) and repeated (whether other rows have the path).  Words are counted
+    text by text where they are found; then only texts that share their path
+    need be told apart, so the groups to hold are as many as the words, however
+    many texts there are.  Where a phrase goes beyond a word, its occurrences
+    are counted by path.
+    """
+    known = stored(keyed(phrases), "phrases")
+    keys = _with_kinds(known, True)
+    wanted, keep = _Wanted.of(keys), ["rel_path", "own", "repeated"]
+    if wanted.sizes[GRAM]:
+        each = _chosen(texts, keys, wanted, fold).groupBy(*keep, "phrase").agg(F.count("*").alias("n"))
+    else:
+        each = _tallies(texts, wanted, fold, keep)
+    shared = each.where("phrase <> own").groupBy("phrase", F.when(F.col("repeated"), F.col("rel_path")).alias("path"))
+    sums = shared.agg(F.sum("n").alias("n"), F.count("*").alias("n_texts"))
+    texts_of = F.when(F.col("path").isNull(), F.col("n_texts")).otherwise(1)
+    totals = sums.groupBy("phrase").agg(F.sum("n").alias("n"), F.sum(texts_of).alias("n_texts"))
+    return totals.join(known.select("phrase"), "phrase", "left_semi")
+
+
 def _found(texts: DataFrame, keys: DataFrame, wanted: _Wanted, fold: bool) -> DataFrame:
     keep = [c for c in texts.columns if c not in ("source", "ranges")]
     met = _candidates(texts, wanted, fold, keep).join(keys, ["kind", "gram"]).withColumns({"first": F.col("place") - F.col("at"), "long": F.octet_length("raw")})

@@ -297,10 +297,8 @@ def links_check_mentions(spark, d):
 def mentions_in_notes(spark, d):
     """Four common words as page names, looked for in all documents."""
     notes = corpus_from_tables(spark, d, ("notes",))
-    pages = resolve.categorised(parse.parse_documents(notes, ("ranges",)), config.parse(CONFIG))
     names = spark.createDataFrame([("the",), ("that",), ("and",), ("with",)], "page_id string")
-    found = mentions.mentions(pages, names)
-    return found.groupBy("concept").agg(F.count("*").alias("n_mentions"), F.countDistinct("rel_path").alias("n_files"))
+    return mentions.counts(notes, names, config.parse(CONFIG))
 
 
 def mentions_of_customers(spark, d):
@@ -312,10 +310,10 @@ def mentions_of_customers(spark, d):
 
 def mentions_of_terms(spark, d):
     """The words of all benchmark items as page names, looked for in all documents."""
-    pages = resolve.categorised(parse.parse_documents(corpus_from_tables(spark, d, ("notes",)), ("ranges",)), config.parse(CONFIG))
+    notes = corpus_from_tables(spark, d, ("notes",))
     words = spark.read.parquet(f"{d}/benchmark.parquet").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_]+"), F.lit(0))).alias("word"))
     names = words.select(S.ascii_lower("word").alias("page_id")).distinct()
-    return mentions.mentions(pages, names).groupBy("concept").agg(F.count("*").alias("n_mentions"), F.countDistinct("rel_path").alias("n_files"))
+    return mentions.counts(notes, names, config.parse(CONFIG))
 
 
 def wiki_totals(spark, d):

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.operators import mentions, phrases
+from quillgraph.plans import queries
 
 
 def word(byte):
@@ -120,3 +121,51 @@ def test_one_hot_name_and_own_page(spark):
     names = spark.createDataFrame([("the",), ("7",)], "page_id string")
     got = mentions.mentions(pages, names).groupBy("concept").count().collect()
     assert [tuple(r) for r in got] == [("the", 600)]
+
+
+@pytest.mark.parametrize("chunk", [1 << 20, 8])
+@pytest.mark.parametrize("own", ["words", "all"])
+def test_counts_as_chosen(spark, monkeypatch, chunk, own):
+    """Counts by phrase and path; paths that come twice, names that texts may not count, hyphens at a text's ends."""
+    monkeypatch.setattr(phrases, "CHUNK", chunk)
+    rng = random.Random(chunk)
+    sources = ["".join(rng.choices(["ab", "a", "A", "b_", " ", " ", "-", "_", "é", ".", "\n"], k=rng.randint(0, 30))) for _ in range(200)] + ["a-", "-a", "a", "a-b", "b", "-b a", "a_-a", "_-a"]
+    texts = [(f"{k % 150}.md", t, [("prose", 0, len(t.encode()) // 2), ("code", 0, 1), ("prose", len(t.encode()) // 2, len(t.encode()))]) for k, t in enumerate(sources)]
+    names = ["a", "ab", "b_", "aa", "never"] + (["a b", "b-a", "é"] if own == "all" else [])
+    own_name = ["a" if k % 7 == 0 else "x" for k in range(150)]
+    alike = {k for k in range(150) if k + 150 < len(texts)}
+    if own == "all":  # which texts share a path counts for names beyond a word
+        texts = [x for k, x in enumerate(texts) if k % 150 not in alike]
+    found = []
+    for path, *text in texts:
+        got = longest(everywhere([(path, *text)], names, True))
+        found += [(f[2], path) for f in got if f[-1] and f[2] != own_name[int(path[:-3])]]
+    rows = [(p, own_name[int(p[:-3])], True if int(p[:-3]) in alike or int(p[:-3]) % 3 == 0 else None, s, r) for p, s, r in texts]
+    df = spark.createDataFrame(rows, "rel_path string, own string, repeated boolean, source string, ranges array<struct<kind: string, start: int, end: int>>").repartition(3)
+    counts = phrases.counted(df, spark.createDataFrame([(x,) for x in [*names, ""]], "phrase string"), fold=True)
+    got = sorted(map(tuple, counts.collect()))
+    assert got == sorted((n, sum(f[0] == n for f in found), len({f for f in found if f[0] == n})) for n in {f[0] for f in found}) and len(got) >= 4
+
+
+def held(plan):
+    """The rows that any aggregate of a plan that ran gave."""
+    own = [plan.metrics().apply("numOutputRows").value()] if "Aggregate" in plan.nodeName() else []
+    below = plan.children()
+    return own + [n for i in range(below.size()) for n in held(below.apply(i))]
+
+
+def test_counts_hold_words_not_texts(spark, tmp_path):
+    """What is grouped grows with the words looked for, not with the texts; ids that come twice are one file."""
+    spark.createDataFrame([(0, "Red green blue"), (1, "green hill")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for n in (300, 3000):
+            documents = spark.range(n).selectExpr("id AS doc_id", "'a red Hill, blue and blue; green-house ' || id AS text")
+            more = spark.createDataFrame([(7, "green red"), (7, "red"), (None, "red")], "doc_id long, text string")
+            documents.unionByName(more).write.parquet(f"{tmp_path}/{n}/documents.parquet")
+            spark.read.parquet(f"{tmp_path}/benchmark.parquet").write.parquet(f"{tmp_path}/{n}/benchmark.parquet")
+            df = queries.mentions_of_terms(spark, f"{tmp_path}/{n}")
+            assert sorted(map(tuple, df.collect())) == [("blue", 2 * n, n), ("green", 1, 1), ("hill", n, n), ("red", n + 2, n)]
+            assert max(held(df._jdf.queryExecution().executedPlan())) <= 100
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
