@@ -461,7 +461,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, limits: Limits) -> tup
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    profiles = written(_profiles(rows), "profiles")
+    profiles = written(_profiles(rows), "profiles", gather=True)
     told = profiles.select("doc_id", "n", "f1", "f2")
     n_rows = told.count()
     nodes = profiles.where("n > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), *[F.first(x).alias(x) for x in _SKETCH])
@@ -476,7 +476,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, limits: Limits) -> tup
     ordered = ["token", "n", "node"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kinds = "kind long, a long, b long, na long, nb long"
-    listed = written(posts.select("post.token", "n", "node", "post.before").repartition(parts, "token").sortWithinPartitions(*ordered).mapInArrow(trimmed(lambda rows: _list_rows(rows, limits.short)), kinds), "lists")
+    listed = written(posts.select("post.token", "n", "node", "post.before").repartition(parts, "token").sortWithinPartitions(*ordered).mapInArrow(trimmed(lambda rows: _list_rows(rows, limits.short)), kinds), "lists", gather=True)
     pairs = listed.where("kind = 0").select("a", "b")
     # A linked pair with a common signature in a long list is found there, whatever else it shares.
     long = listed.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("node"))
@@ -489,7 +489,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, limits: Limits) -> tup
     sides = ["token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "n", "node", *_SKETCH]
     placed = long.join(nodes.select("node", "n", *_SKETCH), "node").withColumn("other", other).withColumn("block", F.coalesce("block", F.lit(0))).select(*sides)
     by_size = ["token", "i", "j", "n", "node"]
-    ties = written(placed.repartition(parts, "token", "i", "j").sortWithinPartitions(*by_size).mapInArrow(trimmed(_tie_rows), "a long, b long"), "ties")
+    ties = written(placed.repartition(parts, "token", "i", "j").sortWithinPartitions(*by_size).mapInArrow(trimmed(_tie_rows), "a long, b long"), "ties", gather=True)
 
     # Groups of nodes that may link; what is in none has no link.
     grouped = connected_components(pairs.union(ties), "groups")
@@ -518,7 +518,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, limits: Limits) -> tup
     others = F.expr("CASE WHEN blocks = 1 THEN array(0L) ELSE filter(sequence(0L, blocks - 1), x -> x <> block) END")
     shipped = shipped.withColumn("other", F.explode(others)).select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "blocks", "block", "node", "copies", "packed")
     order = ["root", "i", "j", "blocks", "node"]
-    found = written(shipped.repartition(parts, "root", "i", "j").sortWithinPartitions(*order).mapInArrow(trimmed(_group_rows), "node long, root long, links long, blocks long"), "found")
+    found = written(shipped.repartition(parts, "root", "i", "j").sortWithinPartitions(*order).mapInArrow(trimmed(_group_rows), "node long, root long, links long, blocks long"), "found", gather=True)
 
     # Whole groups are settled; the roots of blocks are joined.
     single = found.where("blocks = 1").select("node", "root", "links")

@@ -32,15 +32,20 @@ def new_path(spark: SparkSession, name: str) -> str:
 FILE_ROWS = 1_000_000
 
 
-def written(df: DataFrame, name: str, codec: str = "zstd", rows: int | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, codec: str = "zstd", rows: int | None = None, gather: bool = False) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again.
 
     Cuts the lineage: what was computed survives the loss of any executor.
     ``rows``: about how many rows there are, at most; a small table then
-    becomes few files, however many partitions it was computed in.
+    becomes few files, however many partitions it was computed in.  ``gather``:
+    small rows of many tasks, of unknown number, are dealt to as few files as
+    their size asks for, by one more shuffle.  (A local file system without
+    Hadoop's native library starts processes for each file.)
     """
     spark = df.sparkSession
     path = new_path(spark, name)
+    if gather:
+        df = df.hint("rebalance")
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     df.write.option("compression", codec).parquet(path)

@@ -217,6 +217,26 @@ def test_sentences_in_many_texts_give_no_pairs(spark, monkeypatch):
     assert 2 * sum(a for a, _ in packed) < sum(b for _, b in packed)
 
 
+def test_many_tasks_write_few_files(spark, monkeypatch):
+    own, tables = rows(10), {}
+
+    def spy(df, name, *args, real=op5.written, **more):
+        tables[name] = real(df, name, *args, **more)
+        return tables[name]
+
+    monkeypatch.setattr(op5, "written", spy)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        df = spark.createDataFrame(own, "doc_id long, text string").repartition(40)
+        got = op5.jaccard_components(df, limits=op5.Limits(short=3, salted=10)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted(repr(tuple(r)) for r in got) == brute(own)
+    for name in ("profiles", "lists", "ties", "found"):
+        assert tables[name].count() and len(tables[name].inputFiles()) <= 4
+
+
 def test_connected_components(spark):
     chain = [(i, i + 1) for i in range(0, 40)] + [(100, 90), (95, 90), (7, 7), (200, 201), (201, 200)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
